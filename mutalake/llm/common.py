@@ -22,13 +22,18 @@ _ROOT = 0x9E3779B97F4A7C15 | 1
 _ROOT_INVERSE = pow(_ROOT, -1, 1 << 64)
 
 
+def scratch_folder() -> str:
+    """For sessions without a shared folder, as in tests on one machine."""
+    return os.path.join(tempfile.gettempdir(), "mutalake-checkpoints")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder; one is set only where the session has none."""
     session = df.sparkSession
     context = session.sparkContext
     if context.getCheckpointDir() is None:
         folder = session.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "mutalake-checkpoints"))
+        context.setCheckpointDir(folder or scratch_folder())
     return df.checkpoint(eager=True)
 
 

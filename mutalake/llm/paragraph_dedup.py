@@ -1,0 +1,139 @@
+"""Removal of repeated passages by MinHash banding of paragraphs.
+
+A paragraph is a line with enough words. Equal paragraphs are one class. Bands of MinHash values,
+as many as the wanted recall at the threshold needs, bring classes together; colliding classes are
+compared exactly by the Jaccard similarity of their word shingles, and components of the verified
+links are the passages. All occurrences of a passage but the first (by document id, then place) go.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from mutalake.llm.common import Words, checkpointed, list_array, mix, shingle_hashes, slices, whole
+from mutalake.llm.simjoin import candidate_edges, similar_components
+
+WIDTH, PERCENT = 5, 80
+#: A passage has this many words at least.
+MIN_WORDS = 45
+#: Wanted chance that two paragraphs at the threshold share a band, and MinHash values in a band.
+RECALL, ROWS = 0.999, 4
+_U = np.uint64
+
+
+def bands_for(percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL) -> int:
+    """The fewest bands that reach the recall at the threshold: 1 - (1 - s**rows)**bands >= recall."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** rows))
+
+
+def paragraphs(data: np.ndarray, offsets: np.ndarray, least: int, width: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(row, line, words, word hashes, sorted distinct shingles) of each long enough line of the texts."""
+    words = Words(data, offsets)
+    if len(words.starts) < width:
+        return
+    hashes = words.hashes()
+    windows = shingle_hashes(hashes, width)
+    breaks = np.flatnonzero(data == 10)
+    edges = np.unique(np.concatenate([np.searchsorted(words.starts, breaks), words.bounds]))
+    lengths = np.diff(edges)
+    for k in np.flatnonzero(lengths >= least).tolist():
+        a, b = int(edges[k]), int(edges[k + 1])
+        row = int(np.searchsorted(words.bounds, a, "right")) - 1
+        line = int(np.searchsorted(breaks, words.starts[a]) - np.searchsorted(breaks, offsets[row]))
+        yield row, line, b - a, hashes[a:b], np.unique(windows[a : b - width + 1])
+
+
+def minhash_bands(sets: list[np.ndarray], bands: int, rows: int) -> list[np.ndarray]:
+    """One 64-bit value a band for each set."""
+    if not sets:
+        return []
+    flat, heads = np.concatenate(sets), np.cumsum([0, *(len(x) for x in sets[:-1])])
+    steps = mix(np.arange(1, bands * rows + 1, dtype=_U)) | _U(1)
+    out = np.zeros((len(sets), bands), dtype=_U)
+    for j in range(bands * rows):
+        least = np.minimum.reduceat(mix_fast(flat * steps[j]), heads)
+        out[:, j // rows] = mix(out[:, j // rows] ^ (least + steps[j]))
+    return [*out.view(np.int64)]
+
+
+def mix_fast(x: np.ndarray) -> np.ndarray:
+    """Enough mixing for values that are hashes already: the high bits of a product come down."""
+    return x ^ (x >> _U(32))
+
+
+def _scan(least: int, width: int, bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = np.array([pow(0x9E3779B97F4A7C15, 3, 1 << 64)], dtype=_U)
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for first, data, offsets in slices(batch.column("text")):
+                found = [*paragraphs(data, offsets, least, width)]
+                keys = []
+                for _, _, n, h, _ in found:
+                    order = mix(h + places * np.arange(n, dtype=_U))
+                    keys.append(np.array([order.sum(dtype=_U), mix(order).sum(dtype=_U) + _U(n)]).tobytes())
+                rows = pa.array([first + x[0] for x in found], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(rows), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64()), pa.array(keys, pa.binary()), list_array(minhash_bands([x[4] for x in found], bands, ROWS), pa.int64())],
+                    names=["doc_id", "paragraph", "n_words", "key", "sigs"])
+
+    return run
+
+
+def _wanted_sets(least: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column("wanted").to_pylist()
+            for first, data, offsets in slices(batch.column("text")):
+                nodes, sets = [], []
+                for row, line, _, _, x in paragraphs(data, offsets, least, width):
+                    for w in wanted[first + row]:
+                        if w["paragraph"] == line:
+                            nodes.append(w["node"])
+                            sets.append(x.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), list_array(sets, pa.int64())], names=["node", "items"])
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row an occurrence of a passage that occurs more than once:
+    doc_id, paragraph (line number from 0), n_words, first_doc_id, first_paragraph, removed.
+
+    The first occurrence has removed = false. Null and empty texts and lines below the least length
+    have no rows; rows with a null id are left out; rows that repeat an id are one document. An empty
+    table gives no rows; ties go to the smaller id and place; other columns are neither read nor returned.
+    """
+    if least < width:
+        raise ValueError("a passage needs a whole shingle")
+    source = whole(docs, key, text).where("doc_id is not null")
+    seen = checkpointed(source.mapInArrow(_scan(least, width, bands_for(percent)), "doc_id long, paragraph long, n_words long, key binary, sigs array<long>"))
+    counted = seen.groupBy("key").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count("*").alias("times"), F.min("sigs").alias("sigs"))
+    classes = checkpointed(counted.withColumn("node", F.monotonically_increasing_id()))
+
+    def items_of(wanted: DataFrame) -> DataFrame:
+        named = classes.join(wanted.select("node"), "node", "left_semi").select("first.doc_id", F.struct("first.paragraph", "node").alias("w"))
+        per_doc = named.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))  # a document's own paragraphs
+        return source.dropDuplicates(["doc_id"]).join(per_doc, "doc_id").select("text", "wanted").mapInArrow(_wanted_sets(least, width), "node long, items array<long>")
+
+    linked = similar_components(candidate_edges(classes.select("node", "sigs")), items_of, percent)
+    named = classes.join(linked, "node", "left").select("key", "first", "times", F.coalesce("root", "node").alias("root"))
+    named = checkpointed(named)
+    passages = named.groupBy("root").agg(F.min("first").alias("origin"), F.sum("times").alias("total")).where("total > 1")
+    keys = named.select("key", "root").join(passages, "root").select("key", "origin")
+    at = F.struct("doc_id", "paragraph")
+    return seen.select("doc_id", "paragraph", "n_words", "key").join(keys, "key").select("doc_id", "paragraph", "n_words", F.col("origin.doc_id").alias("first_doc_id"), F.col("origin.paragraph").alias("first_paragraph"), (at != F.col("origin")).alias("removed"))
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with the removed lines cut out of the text; other columns and rows stay as they are."""
+    gone = repeated_passages(docs, key, text, **options).where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone_"))  # of one document
+    joined = docs.join(gone.withColumnRenamed("doc_id", "gone_id_"), F.col(key) == F.col("gone_id_"), "left")
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("gone_", i.cast("long"))), "\n")
+    return joined.withColumn(text, F.when(F.col("gone_").isNull(), F.col(text)).otherwise(kept)).drop("gone_", "gone_id_")
