@@ -155,5 +155,5 @@ def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     """A column of lists from numpy parts."""
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)
     np.cumsum([len(x) for x in parts], out=offsets[1:])
-    flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+    flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))

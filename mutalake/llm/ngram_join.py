@@ -79,17 +79,26 @@ def signatures(x: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(made).view(np.int64)
 
 
-def _features(width: int, percent: int):
+def _features(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
-            for at in range(0, len(ids), 2000):
-                sizes, keys, sigs = [], [], []
-                for _, x in shingle_sets(texts.slice(at, 2000), width):
-                    sizes.append(len(x))
-                    keys.append(np.array([mix(x).sum(dtype=_U), mix(x ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=_U) + _U(len(x))]).tobytes())
-                    sigs.append(signatures(x, percent))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 2000), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), list_array(sigs, pa.int64())], names=["doc_id", "n_shingles", "key", "sigs"])
+            sizes, keys = [], []
+            for _, x in shingle_sets(texts, width):
+                sizes.append(len(x))
+                keys.append(np.array([mix(x).sum(dtype=_U), mix(x ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=_U) + _U(len(x))]).tobytes())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "key"])
+
+    return run
+
+
+def _signed(width: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            for at in range(0, len(ids), 1000):
+                sigs = [signatures(x, percent) for _, x in shingle_sets(texts.slice(at, 1000), width)]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 1000), list_array(sigs, pa.int64())], names=["node", "sigs"])
 
     return run
 
@@ -114,7 +123,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     An empty table gives no rows; further columns are neither read nor returned.
     """
     source = whole(docs, key, text)
-    seen = checkpointed(source.where("doc_id is not null").mapInArrow(_features(width, percent), "doc_id long, n_shingles long, key binary, sigs array<long>"))
+    seen = checkpointed(source.where("doc_id is not null").mapInArrow(_features(width), "doc_id long, n_shingles long, key binary"))
     classes = seen.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
 
     def items_of(wanted: DataFrame) -> DataFrame:
@@ -122,7 +131,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         kept = source.join(reps, "doc_id", "left_semi")
         return kept.select(F.col("doc_id").alias("node"), "text").mapInArrow(_items(width), "node long, items array<long>")
 
-    edges = candidate_edges(seen.select(F.col("doc_id").alias("node"), "sigs"))
+    edges = candidate_edges(source.where("doc_id is not null").mapInArrow(_signed(width, percent), "node long, sigs array<long>"))
     linked = similar_components(edges, items_of, percent)
     roots = classes.join(linked.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component_id"))
     done = seen.select("doc_id", "n_shingles", "key").join(roots, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

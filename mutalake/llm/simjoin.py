@@ -24,7 +24,7 @@ BLOCK_ELEMENTS = 2_000_000
 #: Expanded (member, posting) pairs that are counted together.
 EXPAND = 4_000_000
 #: Signature rows that a map task joins locally before the shuffle.
-LOCAL_ROWS = 2_000_000
+LOCAL_ROWS = 1_000_000
 
 
 def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,9 +64,10 @@ def _local(buckets: int):
         u, v = _distinct(u, v)
         by_node = np.argsort(node, kind="stable")
         sig, node = sig[by_node], node[by_node]
-        rows = [(k, *x, False) for k, x in _runs((sig.view(np.uint64) % np.uint64(buckets)).astype(np.int64), sig, node)]
-        rows += [(k, *x, True) for k, x in _runs(u % buckets, u, v)]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), list_array([x[1] for x in rows], pa.int64()), list_array([x[2] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.bool_())], names=["bucket", "a", "b", "link"])
+        short = (sig >> 32).astype(np.int32)  # with its bucket enough: a chance collision costs a comparison, not a result
+        none = np.zeros(0, dtype=np.int32)
+        rows = [(k, x, y, none) for k, (x, y) in _runs((sig.view(np.uint64) % np.uint64(buckets)).astype(np.int64), short, node)] + [(k, none, x, y) for k, (x, y) in _runs(u % buckets, u, v)]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), list_array([x[1] for x in rows], pa.int32()), list_array([x[2] for x in rows], pa.int64()), list_array([x[3] for x in rows], pa.int64())], names=["bucket", "sig", "node", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, nodes, n = [], [], 0
@@ -87,18 +88,26 @@ def _local(buckets: int):
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stars across map tasks; a signature has an entry for each map-side flush at most."""
-    a: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    b: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    sigs: dict[int, list[np.ndarray]] = {}
+    nodes: dict[int, list[np.ndarray]] = {}
+    u, v = [], []
     for batch in batches:
-        x, y = batch.column("a"), batch.column("b")
-        at, left, right = x.offsets.to_numpy(), x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)
-        for i, link in enumerate(batch.column("link").to_pylist()):
-            a[link].append(left[at[i] : at[i + 1]].copy())
-            b[link].append(right[at[i] : at[i + 1]].copy())
-    u, v = a[True], b[True]
-    if a[False]:
-        _, _, x, y = _stars(np.concatenate(a[False]), np.concatenate(b[False]))
-        u, v = [*u, x], [*v, y]
+        columns = [batch.column(x) for x in ("sig", "node", "other")]
+        spans = [x.offsets.to_numpy() for x in columns]
+        flat = [x.values.to_numpy(zero_copy_only=False) for x in columns]
+        for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+            sig, node, other = (f[at[i] : at[i + 1]].copy() for f, at in zip(flat, spans, strict=True))
+            if len(other):
+                u.append(node)
+                v.append(other)
+            else:
+                sigs.setdefault(bucket, []).append(sig)
+                nodes.setdefault(bucket, []).append(node)
+    for bucket, parts in sigs.items():
+        _, _, x, y = _stars(np.concatenate(parts), np.concatenate(nodes.pop(bucket)))
+        x, y = _distinct(x, y)
+        u.append(x)
+        v.append(y)
     if u:
         x, y = contract(np.concatenate(u), np.concatenate(v))
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["u", "v"])
@@ -107,7 +116,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidate_edges(signatures: DataFrame) -> DataFrame:
     """Edges (u, v) that connect all nodes sharing a signature, from rows (node long, sigs array of long)."""
     n = partitions_of(signatures.sparkSession)
-    packed = signatures.select("node", "sigs").mapInArrow(_local(4 * n), "bucket long, a array<long>, b array<long>, link boolean")
+    packed = signatures.select("node", "sigs").mapInArrow(_local(4 * n), "bucket long, sig array<int>, node array<long>, other array<long>")
     return packed.repartition(n, "bucket").mapInArrow(_meet, "u long, v long")
 
 
