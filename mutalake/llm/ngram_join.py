@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mutalake.llm.common import checkpointed, list_array, mix, shingle_sets, whole
-from mutalake.llm.simjoin import candidate_edges, similar_components
+from mutalake.llm.simjoin import TASKS, candidate_edges, similar_components
 
 WIDTH, PERCENT = 5, 80
 #: Up to this distance, subsets of two of three parts are signed instead of single parts.
@@ -106,10 +106,10 @@ def _signed(width: int, percent: int):
 def _items(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("node"), batch.column("text")
-            for at in range(0, len(ids), 2000):
-                sets = [x.view(np.int64) for _, x in shingle_sets(texts.slice(at, 2000), width)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 2000), list_array(sets, pa.int64())], names=["node", "items"])
+            ids, texts, tasks = batch.column("node"), batch.column("text"), batch.column("tasks")
+            for at in range(0, len(ids), 1000):
+                sets = [x.view(np.int64) for _, x in shingle_sets(texts.slice(at, 1000), width)]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 1000), tasks.slice(at, 1000), list_array(sets, pa.int64())], names=["node", "tasks", "items"])
 
     return run
 
@@ -124,15 +124,15 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     """
     source = whole(docs, key, text)
     seen = checkpointed(source.where("doc_id is not null").mapInArrow(_features(width), "doc_id long, n_shingles long, key binary"))
-    classes = seen.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
+    classes = seen.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("weight"))
+    repeated_ids = not seen.groupBy("doc_id").count().where("count > 1").isEmpty()
 
     def items_of(wanted: DataFrame) -> DataFrame:
-        reps = classes.select(F.col("rep").alias("doc_id")).join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-        kept = source.join(reps, "doc_id", "left_semi")
-        return kept.select(F.col("doc_id").alias("node"), "text").mapInArrow(_items(width), "node long, items array<long>")
+        kept = source.dropDuplicates(["doc_id"]) if repeated_ids else source
+        return kept.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "text", "tasks").mapInArrow(_items(width), f"node long, tasks {TASKS}, items array<long>")
 
     edges = candidate_edges(source.where("doc_id is not null").mapInArrow(_signed(width, percent), "node long, sigs array<long>"))
-    linked = similar_components(edges, items_of, percent)
+    linked = similar_components(edges, classes.select(F.col("rep").alias("node"), "weight"), items_of, percent)
     roots = classes.join(linked.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component_id"))
     done = seen.select("doc_id", "n_shingles", "key").join(roots, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     alone = source.where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mutalake.llm.common import Words, checkpointed, list_array, mix, shingle_hashes, slices, whole
-from mutalake.llm.simjoin import candidate_edges, similar_components
+from mutalake.llm.simjoin import TASKS, candidate_edges, similar_components
 
 WIDTH, PERCENT = 5, 80
 #: A passage has this many words at least.
@@ -25,6 +25,7 @@ MIN_WORDS = 45
 #: Wanted chance that two paragraphs at the threshold share a band, and MinHash values in a band.
 RECALL, ROWS = 0.999, 4
 _U = np.uint64
+TASK_TYPE = pa.list_(pa.struct([("task", pa.int64()), ("side", pa.int32())]))
 
 
 def bands_for(percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -91,13 +92,14 @@ def _wanted_sets(least: int, width: int):
         for batch in batches:
             wanted = batch.column("wanted").to_pylist()
             for first, data, offsets in slices(batch.column("text")):
-                nodes, sets = [], []
+                nodes, tasks, sets = [], [], []
                 for row, line, _, _, x in paragraphs(data, offsets, least, width):
                     for w in wanted[first + row]:
                         if w["paragraph"] == line:
                             nodes.append(w["node"])
+                            tasks.append(w["tasks"])
                             sets.append(x.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), list_array(sets, pa.int64())], names=["node", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tasks, TASK_TYPE), list_array(sets, pa.int64())], names=["node", "tasks", "items"])
 
     return run
 
@@ -114,15 +116,17 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
         raise ValueError("a passage needs a whole shingle")
     source = whole(docs, key, text).where("doc_id is not null")
     seen = checkpointed(source.mapInArrow(_scan(least, width, bands_for(percent)), "doc_id long, paragraph long, n_words long, key binary, sigs array<long>"))
-    counted = seen.groupBy("key").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count("*").alias("times"), F.min("sigs").alias("sigs"))
+    counted = seen.groupBy("key").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count("*").alias("times"), F.min("sigs").alias("sigs"), F.min("n_words").alias("n_words"))
     classes = checkpointed(counted.withColumn("node", F.monotonically_increasing_id()))
 
     def items_of(wanted: DataFrame) -> DataFrame:
-        named = classes.join(wanted.select("node"), "node", "left_semi").select("first.doc_id", F.struct("first.paragraph", "node").alias("w"))
+        named = classes.join(wanted, "node").select("first.doc_id", F.struct("first.paragraph", "node", "tasks").alias("w"))
         per_doc = named.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))  # a document's own paragraphs
-        return source.dropDuplicates(["doc_id"]).join(per_doc, "doc_id").select("text", "wanted").mapInArrow(_wanted_sets(least, width), "node long, items array<long>")
+        kept = source.dropDuplicates(["doc_id"]) if repeated_ids else source
+        return kept.join(per_doc, "doc_id").select("text", "wanted").mapInArrow(_wanted_sets(least, width), f"node long, tasks {TASKS}, items array<long>")
 
-    linked = similar_components(candidate_edges(classes.select("node", "sigs")), items_of, percent)
+    repeated_ids = not source.groupBy("doc_id").count().where("count > 1").isEmpty()
+    linked = similar_components(candidate_edges(classes.select("node", "sigs")), classes.select("node", F.col("n_words").alias("weight")), items_of, percent)
     named = classes.join(linked, "node", "left").select("key", "first", "times", F.coalesce("root", "node").alias("root"))
     named = checkpointed(named)
     passages = named.groupBy("root").agg(F.min("first").alias("origin"), F.sum("times").alias("total")).where("total > 1")

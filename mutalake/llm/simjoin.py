@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mutalake.llm.common import checkpointed, list_array, partitions_of
+from mutalake.llm.common import checkpointed, list_array, partitions_of, release
 from mutalake.llm.components import connected_components, contract
 
 #: Elements and members that one task of a group holds at most, for a side.
 BLOCK_ELEMENTS = 2_000_000
+#: Type of the list of a set's tasks.
+TASKS = "array<struct<task: bigint, side: int>>"
 #: Expanded (member, posting) pairs that are counted together.
 EXPAND = 4_000_000
 #: Signature rows that a map task joins locally before the shuffle.
@@ -117,7 +119,8 @@ def candidate_edges(signatures: DataFrame) -> DataFrame:
     """Edges (u, v) that connect all nodes sharing a signature, from rows (node long, sigs array of long)."""
     n = partitions_of(signatures.sparkSession)
     packed = signatures.select("node", "sigs").mapInArrow(_local(4 * n), "bucket long, sig array<int>, node array<long>, other array<long>")
-    return packed.repartition(n, "bucket").mapInArrow(_meet, "u long, v long")
+    # Fewer tasks than usual: each gives a star for every group it knows of, and most know of all.
+    return packed.repartition(max(6, n // 4), "bucket").mapInArrow(_meet, "u long, v long")
 
 
 class _Union:
@@ -267,22 +270,27 @@ def _verify(percent: int):
     return run
 
 
-def similar_components(edges: DataFrame, items_of, percent: int) -> DataFrame:
+def similar_components(edges: DataFrame, weights: DataFrame, items_of, percent: int) -> DataFrame:
     """(node, root) for nodes linked with another one: 100 * intersection >= percent * union, closed under links.
 
-    edges: candidate edges (u, v). items_of(wanted) gives (node, items array of long, sorted and
-    distinct) for the nodes in wanted(node). Nodes without a link have no row.
+    edges: candidate edges (u, v). weights: (node, weight), the size of each set, to cut large groups
+    in blocks. items_of(wanted) adds items (array of long, distinct) to the rows of wanted(node, tasks);
+    sets then travel once to each of their tasks. Nodes without a link have no row.
     """
     spark = edges.sparkSession
-    groups = checkpointed(connected_components(edges))
-    sets = checkpointed(items_of(groups.select("node")).join(groups, "node").select("node", "root", "items"))
-    sizes = sets.groupBy("root").agg(F.count("*").alias("members"), F.sum(F.size("items").cast("long") + 64).alias("weight")).where("members > 1")
-    blocked = sizes.withColumn("blocks", F.ceil(F.col("weight") / BLOCK_ELEMENTS).cast("int"))
-    placed = sets.join(blocked, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    groups = checkpointed(connected_components(edges).join(weights.select("node", "weight"), "node"))
+    del edges
+    release(spark)
+    sizes = groups.groupBy("root").agg(F.count("*").alias("members"), F.sum(F.col("weight") + 64).alias("total")).where("members > 1")
+    blocked = sizes.select("root", F.ceil(F.col("total") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
+    placed = groups.join(blocked, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     # One block: one task. Several: a task for each block (i, i) and for each pair of blocks i < j.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    tasks = placed.select("node", "items", "root", "block", F.explode(pairs).alias("p")).select(
-        F.xxhash64("root", "p.i", "p.j").alias("task"), "node", F.when(F.col("p.i") == F.col("p.j"), 0).when(F.col("block") == F.col("p.i"), 2).otherwise(3).alias("side"), "items")
+    low, high = (lambda j: F.least(F.col("block"), j)), (lambda j: F.greatest(F.col("block"), j))
+    side = lambda j: F.when(F.col("block") == j, 0).when(F.col("block") < j, 2).otherwise(3)
+    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.xxhash64("root", low(j), high(j)).alias("task"), side(j).alias("side")))
+    held = items_of(placed.select("node", tasks.alias("tasks"))).select("node", "items", F.explode("tasks").alias("t")).select("t.task", "node", "t.side", "items")
     n = partitions_of(spark)
-    links = tasks.repartition(n, "task").sortWithinPartitions("task", "node").mapInArrow(_verify(percent), "u long, v long")
-    return connected_components(links)
+    links = held.repartition(n, "task").sortWithinPartitions("task", "node").mapInArrow(_verify(percent), "u long, v long")
+    linked = connected_components(links)
+    release(spark)
+    return linked
