@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mutalake.llm.common import checkpointed, list_array, mix, shingle_sets, whole
-from mutalake.llm.simjoin import TASKS, candidate_edges, similar_components
+from mutalake.llm.components import connected_components
+from mutalake.llm.simjoin import TASKS, candidate_edges, parity_sketch, similar_components
 
 WIDTH, PERCENT = 5, 80
 #: Up to this distance, subsets of two of three parts are signed instead of single parts.
@@ -79,15 +80,21 @@ def signatures(x: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(made).view(np.int64)
 
 
+def _key(x: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums that stand for a set."""
+    return np.array([mix(x).sum(dtype=_U), mix(x ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=_U) + _U(len(x))])
+
+
 def _features(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
-            sizes, keys = [], []
+            sizes, keys, sketches = [], [], []
             for _, x in shingle_sets(texts, width):
                 sizes.append(len(x))
-                keys.append(np.array([mix(x).sum(dtype=_U), mix(x ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=_U) + _U(len(x))]).tobytes())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "key"])
+                keys.append(_key(x))
+                sketches.append(parity_sketch(x))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array([int(x.view(np.int64)[0]) for x in keys], pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "key", "node", "sketch"])
 
     return run
 
@@ -95,10 +102,13 @@ def _features(width: int):
 def _signed(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            for at in range(0, len(ids), 1000):
-                sigs = [signatures(x, percent) for _, x in shingle_sets(texts.slice(at, 1000), width)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 1000), list_array(sigs, pa.int64())], names=["node", "sigs"])
+            texts = batch.column("text")
+            for at in range(0, batch.num_rows, 1000):
+                nodes, sigs = [], []
+                for _, x in shingle_sets(texts.slice(at, 1000), width):
+                    nodes.append(int(_key(x).view(np.int64)[0]))
+                    sigs.append(signatures(x, percent))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), list_array(sigs, pa.int64())], names=["node", "sigs"])
 
     return run
 
@@ -123,16 +133,20 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     An empty table gives no rows; further columns are neither read nor returned.
     """
     source = whole(docs, key, text)
-    seen = checkpointed(source.where("doc_id is not null").mapInArrow(_features(width), "doc_id long, n_shingles long, key binary"))
-    classes = seen.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("weight"))
+    named = source.where("doc_id is not null")
+    seen = checkpointed(named.mapInArrow(_features(width), "doc_id long, n_shingles long, key binary, node long, sketch binary"))
     repeated_ids = not seen.groupBy("doc_id").count().where("count > 1").isEmpty()
+    full = seen.where("n_shingles > 0")
+    # Candidates are sought among the first halves of the keys; two classes with one half only share candidates.
+    classes = checkpointed(full.groupBy("key", "node").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("r")).select("key", "node", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.sketch").alias("x")))
 
     def items_of(wanted: DataFrame) -> DataFrame:
         kept = source.dropDuplicates(["doc_id"]) if repeated_ids else source
         return kept.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "text", "tasks").mapInArrow(_items(width), f"node long, tasks {TASKS}, items array<long>")
 
-    edges = candidate_edges(source.where("doc_id is not null").mapInArrow(_signed(width, percent), "node long, sigs array<long>"))
-    linked = similar_components(edges, classes.select(F.col("rep").alias("node"), "weight"), items_of, percent)
+    edges = candidate_edges(named.select("text").mapInArrow(_signed(width, percent), "node long, sigs array<long>"), classes.select("node", "n", "x"), percent)
+    groups = connected_components(edges).join(classes.select("node", "rep", F.col("n").alias("weight")), "node").select(F.col("rep").alias("node"), "root", "weight")
+    linked = similar_components(groups, items_of, percent)
     roots = classes.join(linked.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component_id"))
     done = seen.select("doc_id", "n_shingles", "key").join(roots, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     alone = source.where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mutalake.llm.common import Words, checkpointed, list_array, mix, shingle_hashes, slices, whole
+from mutalake.llm.components import connected_components
 from mutalake.llm.simjoin import TASKS, candidate_edges, similar_components
 
 WIDTH, PERCENT = 5, 80
@@ -126,7 +127,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
         return kept.join(per_doc, "doc_id").select("text", "wanted").mapInArrow(_wanted_sets(least, width), f"node long, tasks {TASKS}, items array<long>")
 
     repeated_ids = not source.groupBy("doc_id").count().where("count > 1").isEmpty()
-    linked = similar_components(candidate_edges(classes.select("node", "sigs")), classes.select("node", F.col("n_words").alias("weight")), items_of, percent)
+    groups = connected_components(candidate_edges(classes.select("node", "sigs"))).join(classes.select("node", F.col("n_words").alias("weight")), "node")
+    linked = similar_components(groups.select("node", "root", "weight"), items_of, percent)
     named = classes.join(linked, "node", "left").select("key", "first", "times", F.coalesce("root", "node").alias("root"))
     named = checkpointed(named)
     passages = named.groupBy("root").agg(F.min("first").alias("origin"), F.sum("times").alias("total")).where("total > 1")

@@ -1,8 +1,10 @@
 """Exact set-similarity components from candidate signatures, with bounded memory for any group size.
 
-Signatures put sets that may be similar under one key. Only connectivity is needed of them, so each
-signature's members become a star instead of all pairs: first within a map task, then once a task
-across tasks. Components of these stars are the candidate groups; every similar pair lies in one.
+Signatures put sets that may be similar under one key. Only connectivity is needed of them, so a
+signature's members can become a star instead of all pairs; that is what crowded signatures get. With
+parity sketches members are first compared: bit j of a sketch is the parity of the elements in cell j,
+so sets differ in as many elements as their sketches differ in bits, at least, and what differs in too
+many isn't joined. Components of the edges are the candidate groups; every similar pair lies in one.
 A group is then searched exactly, in one task or, when it is large, in one task for each pair of
 its blocks, so that no cap is needed.
 """
@@ -29,17 +31,6 @@ EXPAND = 4_000_000
 LOCAL_ROWS = 1_000_000
 
 
-def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, their smallest nodes, edge ends u, edge ends v) with one edge for each further node of a signature."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    head = np.ones(len(sig), dtype=bool)
-    head[1:] = sig[1:] != sig[:-1]
-    least = node[np.flatnonzero(head)][np.cumsum(head) - 1]
-    far = node != least
-    return sig[head], node[head], node[far], least[far]
-
-
 def _distinct(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(u):
         return u, v
@@ -51,6 +42,8 @@ def _distinct(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs(keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    if not len(keys):
+        return
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     heads = np.flatnonzero(np.diff(keys, prepend=-1))
@@ -58,12 +51,24 @@ def _runs(keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np
         yield int(keys[a]), [x[order[a:b]] for x in columns]
 
 
-def _local(buckets: int):
-    """From (node, sigs) to packed rows, a few for each bucket and task: signatures with one node each, or links found here."""
+def _local(buckets: int, star_from: int):
+    """From (node, sigs) to packed rows, a few for each bucket and task.
+
+    A signature with star_from nodes or more in one task goes on with its smallest node alone; the
+    others are linked to that here.
+    """
 
     def flush(sigs: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
-        sig, node, u, v = _stars(np.concatenate(sigs), np.concatenate(nodes))
-        u, v = _distinct(u, v)
+        sig, node = np.concatenate(sigs), np.concatenate(nodes)
+        sig, node = _distinct(sig, node)
+        heads = np.flatnonzero(np.diff(sig, prepend=sig[0] ^ 1))
+        counts = np.diff(np.append(heads, len(sig)))
+        crowded = np.repeat(counts >= star_from, counts)
+        first = np.zeros(len(sig), dtype=bool)
+        first[heads] = True
+        far = crowded & ~first
+        u, v = _distinct(node[far], np.repeat(node[heads], counts)[far])
+        sig, node = sig[~far], node[~far]
         by_node = np.argsort(node, kind="stable")
         sig, node = sig[by_node], node[by_node]
         short = (sig >> 32).astype(np.int32)  # with its bucket enough: a chance collision costs a comparison, not a result
@@ -88,39 +93,141 @@ def _local(buckets: int):
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars across map tasks; a signature has an entry for each map-side flush at most."""
-    sigs: dict[int, list[np.ndarray]] = {}
-    nodes: dict[int, list[np.ndarray]] = {}
-    u, v = [], []
-    for batch in batches:
-        columns = [batch.column(x) for x in ("sig", "node", "other")]
-        spans = [x.offsets.to_numpy() for x in columns]
-        flat = [x.values.to_numpy(zero_copy_only=False) for x in columns]
-        for i, bucket in enumerate(batch.column("bucket").to_pylist()):
-            sig, node, other = (f[at[i] : at[i + 1]].copy() for f, at in zip(flat, spans, strict=True))
-            if len(other):
-                u.append(node)
-                v.append(other)
-            else:
-                sigs.setdefault(bucket, []).append(sig)
-                nodes.setdefault(bucket, []).append(node)
-    for bucket, parts in sigs.items():
-        _, _, x, y = _stars(np.concatenate(parts), np.concatenate(nodes.pop(bucket)))
-        x, y = _distinct(x, y)
-        u.append(x)
-        v.append(y)
-    if u:
-        x, y = contract(np.concatenate(u), np.concatenate(v))
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["u", "v"])
-
-
-def candidate_edges(signatures: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all nodes sharing a signature, from rows (node long, sigs array of long)."""
+#: Kinds of candidate rows: a sure edge, a pair to compare, a member of a group to compare.
+EDGE, PAIR, MEMBER = 0, 1, 2
+
+
+def _meet(pairs_to: int, members_to: int):
+    """Signatures of one bucket: few nodes give their pairs, more give members of a group, a crowd a star."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs: dict[int, list[np.ndarray]] = {}
+        nodes: dict[int, list[np.ndarray]] = {}
+        out: dict[int, tuple[list, list]] = {EDGE: ([], []), PAIR: ([], []), MEMBER: ([], [])}
+
+        def put(kind: int, x: np.ndarray, y: np.ndarray) -> None:
+            out[kind][0].append(x)
+            out[kind][1].append(y)
+
+        for batch in batches:
+            columns = [batch.column(x) for x in ("sig", "node", "other")]
+            spans = [x.offsets.to_numpy() for x in columns]
+            flat = [x.values.to_numpy(zero_copy_only=False) for x in columns]
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+                sig, node, other = (f[at[i] : at[i + 1]].copy() for f, at in zip(flat, spans, strict=True))
+                if len(other):
+                    put(EDGE, node, other)
+                else:
+                    sigs.setdefault(bucket, []).append(sig)
+                    nodes.setdefault(bucket, []).append(node)
+        for bucket, parts in sigs.items():
+            sig, node = _distinct(np.concatenate(parts), np.concatenate(nodes.pop(bucket)))
+            heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            counts = np.diff(np.append(heads, len(sig)))
+            for m in np.unique(counts[(counts > 1) & (counts <= pairs_to)]).tolist():
+                rows = node[heads[counts == m][:, None] + np.arange(m)]
+                i, j = np.triu_indices(m, 1)
+                put(PAIR, rows[:, j].ravel(), rows[:, i].ravel())
+            middle = np.repeat((counts > pairs_to) & (counts <= members_to), counts)
+            put(MEMBER, (sig.astype(np.int64) << 24 ^ bucket)[middle], node[middle])
+            crowd = np.repeat(counts > members_to, counts)
+            put(EDGE, node[crowd], np.repeat(node[heads], counts)[crowd])
+        for kind, (x, y) in out.items():
+            if x:
+                u, v = (contract if kind == EDGE else _distinct)(np.concatenate(x), np.concatenate(y))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind), pa.int32()), pa.array(u), pa.array(v)], names=["kind", "a", "b"])
+
+    return run
+
+
+SKETCH_BITS = 1024
+
+
+def parity_sketch(x: np.ndarray) -> bytes:
+    """Bit j is the parity of the number of elements in cell j."""
+    return np.packbits(np.bincount((x & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
+
+
+def _near(bits: np.ndarray, others: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with these sketches and sizes can be similar: the difference is at most (100 - p) / (100 + p) of both sizes."""
+    return np.bitwise_count(bits ^ others).sum(-1).astype(np.int64) * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def _near_pairs(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n, m = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("n", "m"))
+                good = pa.array(_near(_bits(batch.column("x")), _bits(batch.column("y")), n, m, percent))
+                yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["u", "v"])
+
+    return run
+
+
+def _near_members(percent: int):
+    """Rows (a, node, n, x) sorted by group a, each of a bounded size: edges among those that can be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, vs = [], []
+        key, nodes, sizes, bits = None, [], [], []
+
+        def search() -> None:
+            if len(nodes) > 1:
+                node, n, x = np.array(nodes), np.array(sizes), np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(nodes), -1)
+                for k in range(1, len(node)):
+                    near = np.flatnonzero(_near(x[k], x[:k], n[k], n[:k], percent))
+                    us.append(np.full(len(near), node[k]))
+                    vs.append(node[near])
+            if len(us) > 1000:
+                u, v = contract(np.concatenate(us), np.concatenate(vs))
+                us[:], vs[:] = [u], [v]
+
+        for batch in batches:
+            for a, b, n, x in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "x")), strict=True):
+                if a != key:
+                    search()
+                    key = a
+                    nodes.clear(), sizes.clear(), bits.clear()
+                nodes.append(b)
+                sizes.append(n)
+                bits.append(x)
+        search()
+        if us:
+            u, v = contract(np.concatenate(us), np.concatenate(vs))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+#: Nodes of a signature up to which its pairs are listed, and up to which its members are compared in one task.
+PAIRS_TO, MEMBERS_TO = 16, 8192
+#: Nodes of a signature in one map task from which they are joined there.
+STAR_FROM = 2048
+
+
+def candidate_edges(signatures: DataFrame, sketches: DataFrame | None = None, percent: int = 80) -> DataFrame:
+    """Edges (u, v) that connect all similar nodes sharing a signature, from rows (node long, sigs array of long).
+
+    sketches: (node, n, x), a set's size and parity sketch, to leave out what can't be similar.
+    """
     n = partitions_of(signatures.sparkSession)
-    packed = signatures.select("node", "sigs").mapInArrow(_local(4 * n), "bucket long, sig array<int>, node array<long>, other array<long>")
-    # Fewer tasks than usual: each gives a star for every group it knows of, and most know of all.
-    return packed.repartition(max(6, n // 4), "bucket").mapInArrow(_meet, "u long, v long")
+    packed = signatures.select("node", "sigs").mapInArrow(_local(4 * n, STAR_FROM if sketches is not None else 2), "bucket long, sig array<int>, node array<long>, other array<long>")
+    # Fewer tasks than usual: each gives a row for every pair it knows of, and most know of all.
+    met = packed.repartition(max(6, n // 4), "bucket").mapInArrow(_meet(*((PAIRS_TO, MEMBERS_TO) if sketches is not None else (1, 1))), "kind int, a long, b long")
+    if sketches is None:
+        return met.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    met = checkpointed(met)
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("x").alias("y"))
+    left = sketches.select(F.col("node").alias("a"), "n", "x")
+    pairs = met.where(f"kind = {PAIR}").select("a", "b").distinct()
+    near = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(_near_pairs(percent), "u long, v long")
+    members = met.where(f"kind = {MEMBER}").select("a", "b").join(sketches.select(F.col("node").alias("b"), "n", "x"), "b").select("a", "b", "n", "x")
+    grouped = members.repartition(n, "a").sortWithinPartitions("a").mapInArrow(_near_members(percent), "u long, v long")
+    return met.where(f"kind = {EDGE}").select(F.col("a").alias("u"), F.col("b").alias("v")).union(near).union(grouped)
 
 
 class _Union:
@@ -270,16 +377,15 @@ def _verify(percent: int):
     return run
 
 
-def similar_components(edges: DataFrame, weights: DataFrame, items_of, percent: int) -> DataFrame:
+def similar_components(candidates: DataFrame, items_of, percent: int) -> DataFrame:
     """(node, root) for nodes linked with another one: 100 * intersection >= percent * union, closed under links.
 
-    edges: candidate edges (u, v). weights: (node, weight), the size of each set, to cut large groups
-    in blocks. items_of(wanted) adds items (array of long, distinct) to the rows of wanted(node, tasks);
+    candidates: (node, root, weight), each node's candidate group and the size of its set, by which
+    large groups are cut in blocks. items_of(wanted) adds items (array of long, distinct) to the rows of wanted(node, tasks);
     sets then travel once to each of their tasks. Nodes without a link have no row.
     """
-    spark = edges.sparkSession
-    groups = checkpointed(connected_components(edges).join(weights.select("node", "weight"), "node"))
-    del edges
+    spark = candidates.sparkSession
+    groups = checkpointed(candidates)
     release(spark)
     sizes = groups.groupBy("root").agg(F.count("*").alias("members"), F.sum(F.col("weight") + 64).alias("total")).where("members > 1")
     blocked = sizes.select("root", F.ceil(F.col("total") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
