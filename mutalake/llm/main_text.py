@@ -120,6 +120,8 @@ def features(page: list[tuple[str, str, int]], counts: np.ndarray) -> np.ndarray
     """The input of each block. counts: signed hashed words, (blocks, WORDS + 1), the last the number of words."""
     n = len(page)
     x = np.zeros((n, WIDTH), dtype=np.float32)
+    if not n:
+        return x
     chars = np.array([len(t) for _, t, _ in page], dtype=np.float32)
     x[:, :PATH] = [path_vector(p) for p, _, _ in page]
     words = counts[:, WORDS]
