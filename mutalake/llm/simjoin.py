@@ -140,16 +140,25 @@ def _meet(pairs_to: int, members_to: int):
     return run
 
 
-SKETCH_BITS = 1024
+#: Least and most cells of a sketch; a set has about as many as elements.
+SKETCH_BITS = (512, 1 << 17)
 
 
 def parity_sketch(x: np.ndarray) -> bytes:
-    """Bit j is the parity of the number of elements in cell j."""
-    return np.packbits(np.bincount((x & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+    """Bit j is the parity of the number of elements in cell j, of a power of two of cells."""
+    bits = min(max(SKETCH_BITS[0], 1 << (len(x) - 1).bit_length() if len(x) else 0), SKETCH_BITS[1])
+    return np.packbits(np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
-def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
+def _folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, longer ones folded to size bytes: a cell is then the parity of its halves."""
+    out = np.empty((len(sketches), size // 8), dtype=np.uint64)
+    for i, sketch in enumerate(sketches):
+        x = np.frombuffer(sketch, dtype=np.uint64)
+        while len(x) > size // 8:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[i] = x
+    return out
 
 
 def _near(bits: np.ndarray, others: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -160,10 +169,14 @@ def _near(bits: np.ndarray, others: np.ndarray, n: np.ndarray, m: np.ndarray, pe
 def _near_pairs(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                n, m = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("n", "m"))
-                good = pa.array(_near(_bits(batch.column("x")), _bits(batch.column("y")), n, m, percent))
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["u", "v"])
+            n, m = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("n", "m"))
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            size = np.array([min(len(p), len(q)) for p, q in zip(x, y, strict=True)], dtype=np.int64)
+            good = np.zeros(len(size), dtype=bool)
+            for k in np.unique(size).tolist():
+                at = np.flatnonzero(size == k)
+                good[at] = _near(_folded([x[i] for i in at], k), _folded([y[i] for i in at], k), n[at], m[at], percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], names=["u", "v"])
 
     return run
 
@@ -177,7 +190,7 @@ def _near_members(percent: int):
 
         def search() -> None:
             if len(nodes) > 1:
-                node, n, x = np.array(nodes), np.array(sizes), np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(nodes), -1)
+                node, n, x = np.array(nodes), np.array(sizes), _folded(bits, min(map(len, bits)))
                 for k in range(1, len(node)):
                     near = np.flatnonzero(_near(x[k], x[:k], n[k], n[:k], percent))
                     us.append(np.full(len(near), node[k]))
