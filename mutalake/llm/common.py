@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: White space that separates words: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 #: Bytes of text that the vectorised code looks at together.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18
 
 _U = np.uint64
 _ROOT = 0x9E3779B97F4A7C15 | 1
@@ -70,7 +70,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash's root and of its inverse modulo 2**64; grown when a longer text comes."""
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + (1 << 20))
+        size = max(n + n // 2, 2 * SLICE_BYTES)
         for name, root in (("up", _ROOT), ("down", _ROOT_INVERSE)):
             powers = np.full(size, root, dtype=_U)
             powers[0] = 1
