@@ -98,30 +98,29 @@ EDGE, PAIR, MEMBER = 0, 1, 2
 
 
 def _meet(pairs_to: int, members_to: int):
-    """Signatures of one bucket: few nodes give their pairs, more give members of a group, a crowd a star."""
+    """Rows sorted by bucket, of which one is held at a time. A signature's few nodes give their pairs,
+    more give members of a group, a crowd a star."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs: dict[int, list[np.ndarray]] = {}
-        nodes: dict[int, list[np.ndarray]] = {}
+        held, sigs, nodes = None, [], []
         out: dict[int, tuple[list, list]] = {EDGE: ([], []), PAIR: ([], []), MEMBER: ([], [])}
+        size = dict.fromkeys(out, 0)
+
+        def unite(kind: int) -> None:
+            if out[kind][0]:
+                u, v = (contract if kind == EDGE else _distinct)(*map(np.concatenate, out[kind]))
+                out[kind] = ([u], [v])
 
         def put(kind: int, x: np.ndarray, y: np.ndarray) -> None:
             out[kind][0].append(x)
             out[kind][1].append(y)
+            size[kind] += len(x)
+            if size[kind] > LOCAL_ROWS:
+                unite(kind)
+                size[kind] = 0
 
-        for batch in batches:
-            columns = [batch.column(x) for x in ("sig", "node", "other")]
-            spans = [x.offsets.to_numpy() for x in columns]
-            flat = [x.values.to_numpy(zero_copy_only=False) for x in columns]
-            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
-                sig, node, other = (f[at[i] : at[i + 1]].copy() for f, at in zip(flat, spans, strict=True))
-                if len(other):
-                    put(EDGE, node, other)
-                else:
-                    sigs.setdefault(bucket, []).append(sig)
-                    nodes.setdefault(bucket, []).append(node)
-        for bucket, parts in sigs.items():
-            sig, node = _distinct(np.concatenate(parts), np.concatenate(nodes.pop(bucket)))
+        def meet() -> None:
+            sig, node = _distinct(np.concatenate(sigs), np.concatenate(nodes))
             heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             counts = np.diff(np.append(heads, len(sig)))
             for m in np.unique(counts[(counts > 1) & (counts <= pairs_to)]).tolist():
@@ -129,12 +128,30 @@ def _meet(pairs_to: int, members_to: int):
                 i, j = np.triu_indices(m, 1)
                 put(PAIR, rows[:, j].ravel(), rows[:, i].ravel())
             middle = np.repeat((counts > pairs_to) & (counts <= members_to), counts)
-            put(MEMBER, (sig.astype(np.int64) << 24 ^ bucket)[middle], node[middle])
+            put(MEMBER, (sig.astype(np.int64) << 24 ^ held)[middle], node[middle])
             crowd = np.repeat(counts > members_to, counts)
             put(EDGE, node[crowd], np.repeat(node[heads], counts)[crowd])
-        for kind, (x, y) in out.items():
-            if x:
-                u, v = (contract if kind == EDGE else _distinct)(np.concatenate(x), np.concatenate(y))
+
+        for batch in batches:
+            columns = [batch.column(x) for x in ("sig", "node", "other")]
+            spans = [x.offsets.to_numpy() for x in columns]
+            flat = [x.values.to_numpy(zero_copy_only=False) for x in columns]
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+                sig, node, other = (f[at[i] : at[i + 1]].copy() for f, at in zip(flat, spans, strict=True))
+                if len(other):
+                    put(EDGE, node, other)
+                    continue
+                if bucket != held and sigs:
+                    meet()
+                    sigs.clear(), nodes.clear()
+                held = bucket
+                sigs.append(sig)
+                nodes.append(node)
+        if sigs:
+            meet()
+        for kind in out:
+            unite(kind)
+            for u, v in zip(*out[kind], strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind), pa.int32()), pa.array(u), pa.array(v)], names=["kind", "a", "b"])
 
     return run
@@ -230,7 +247,7 @@ def candidate_edges(signatures: DataFrame, sketches: DataFrame | None = None, pe
     n = partitions_of(signatures.sparkSession)
     packed = signatures.select("node", "sigs").mapInArrow(_local(4 * n, STAR_FROM if sketches is not None else 2), "bucket long, sig array<int>, node array<long>, other array<long>")
     # Fewer tasks than usual: each gives a row for every pair it knows of, and most know of all.
-    met = packed.repartition(max(6, n // 4), "bucket").mapInArrow(_meet(*((PAIRS_TO, MEMBERS_TO) if sketches is not None else (1, 1))), "kind int, a long, b long")
+    met = packed.repartition(max(6, n // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(*((PAIRS_TO, MEMBERS_TO) if sketches is not None else (1, 1))), "kind int, a long, b long")
     if sketches is None:
         return met.select(F.col("a").alias("u"), F.col("b").alias("v"))
     met = checkpointed(met)
