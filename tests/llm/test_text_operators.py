@@ -169,6 +169,35 @@ def test_suffix_tree(spark, docs, none):
     assert (alone.n_tokens, alone.n_known, alone.train_tokens) == (1, 0, 0) and math.isclose(alone.score, -math.log10(256))
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_suffix_tree_counts_are_whole(spark, docs, partitions):
+    """Scores are those of a tree grown from brute-force counts, however windows are dealt."""
+    import pyarrow as pa
+
+    from mutalake.llm.common import Words, slices
+
+    seen = [collections.Counter() for _ in range(suffix_tree_lm.DEPTH + 1)]
+    for i, t, *_ in corpus():
+        if i % 7 != 2:
+            text = b"\n" + b"".join(w.encode() + b" " for w in words(t))[:-1] + b"\n"
+            for at in range(1, len(text)):
+                for d in range(suffix_tree_lm.DEPTH + 1):
+                    seen[d][int.from_bytes(text[max(at - d, 0) : at + 1], "big")] += 1
+    orders = [(np.array(sorted(x), dtype=np.uint64), np.array([x[k] for k in sorted(x)])) for x in seen]
+    tree = suffix_tree_lm.grow(orders, sum(seen[0].values()))
+    want = {}
+    for i, t, *_ in corpus():
+        for _, data, offsets in slices(pa.array([t], pa.string())):
+            want[i] = tree.scores(Words(data, offsets))[0]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        got = {r.doc_id: r.score for r in suffix_tree_lm.score_documents(docs, F.col("doc_id") % 7 != 2).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
+
+
 def test_suffix_tree_is_a_distribution():
     """Probabilities of the next byte sum to one in every state."""
     import pyarrow as pa
