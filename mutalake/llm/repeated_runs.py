@@ -1,0 +1,282 @@
+"""Repeated runs of words wherever they lie: inside longer lines, or over several lines.
+
+A run of RUN words that occurs earlier too (by document id, then place) is a repeat. Of the GRAM-word
+grams the least of each RUN-word window are fingerprints, so two equal windows share one. Only
+windows around a fingerprint that occurs more than once are looked at in the second pass, where
+all their hashes meet: what is found are exactly the equal windows, told apart by a 64-bit hash.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from mutalake.llm.common import Words, checkpointed, list_array, mix, partitions_of, shingle_hashes, slices, whole
+from mutalake.llm.paragraph_dedup import repeated_passages
+
+#: Words of a run at least, and of the grams that fingerprints are chosen from; a window holds RUN - GRAM + 1 grams.
+RUN, GRAM = 50, 25
+_U = np.uint64
+#: A place is the line in the upper and the word's number in its text in the lower half.
+_LINE = 1 << 32
+_DEALT = "bucket long, keys array<long>, docs array<long>, places array<long>"
+
+
+def _grams(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of all windows of GRAM words, out of those of five words."""
+    fives = shingle_hashes(hashes, 5)
+    return shingle_hashes_apart(fives, 5, GRAM // 5)
+
+
+def shingle_hashes_apart(hashes: np.ndarray, step: int, times: int) -> np.ndarray:
+    """Hashes of so many windows that follow each other at a step."""
+    n = len(hashes) - step * (times - 1)
+    total = np.zeros(n, dtype=_U)
+    for j in range(times):
+        total = mix(total + hashes[step * j : step * j + n])
+    return total
+
+
+def _inside(words: Words, n: int) -> np.ndarray:
+    """For each word, whether a window of n words from it lies in one text."""
+    ends = np.repeat(words.bounds[1:], np.diff(words.bounds))
+    return np.arange(len(words.starts)) + n <= ends
+
+
+def fingerprints(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, hashes) of the grams that are least in a window of RUN words of one text."""
+    if len(words.starts) < RUN:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=_U)
+    grams = _grams(words.hashes())
+    width = RUN - GRAM + 1
+    least, size = grams, 1
+    while 2 * size <= width:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    if size < width:
+        least = np.minimum(least[: len(grams) - width + 1], least[width - size :])
+    # A gram is chosen if it is as small as the least of a window that holds it.
+    most, size = np.pad(np.where(_inside(words, RUN)[: len(least)], least, _U(0)), width - 1), 1
+    while 2 * size <= width:
+        most, size = np.maximum(most[:-size], most[size:]), 2 * size
+    if size < width:
+        most = np.maximum(most[: len(grams)], most[width - size :])
+    at = np.flatnonzero(most == grams)
+    return at, grams[at]
+
+
+def _spans(of: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct values in order, and the rows of each."""
+    order = np.argsort(of, kind="stable")
+    names, heads = np.unique(of[order], return_index=True)
+    return names, np.split(order, heads[1:]) if len(names) else []
+
+
+def _deal(buckets: int, keys: np.ndarray, docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    names, spans = _spans((keys % _U(buckets)).astype(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(list_array([x[s] for s in spans], pa.int64()) for x in (keys.view(np.int64), docs, places))], names=["bucket", "keys", "docs", "places"])
+
+
+def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
+
+
+def _scan(buckets: int):
+    """Pass 1: fingerprints of all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            keys, docs, places = [], [], []
+            for first, data, offsets in slices(batch.column("text")):
+                words = Words(data, offsets)
+                at, grams = fingerprints(words)
+                row = np.searchsorted(words.bounds, at, "right") - 1
+                keys.append(grams)
+                docs.append(ids[first + row])
+                places.append(at - words.bounds[row])
+            yield _deal(buckets, _joined(keys, _U), _joined(docs, np.int64), _joined(places, np.int64))
+
+    return run
+
+
+def _windows(buckets: int):
+    """Pass 2: windows of RUN words around repeated fingerprints that touch no removed line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            marks, gone = batch.column("marks"), batch.column("gone")
+            keys, docs, places = [], [], []
+            for first, data, offsets in slices(batch.column("text")):
+                words = Words(data, offsets)
+                n = len(words.starts)
+                if n < RUN:
+                    continue
+                breaks = np.flatnonzero(data == 10)
+                row = np.repeat(np.arange(len(offsets) - 1), np.diff(words.bounds))
+                line = np.searchsorted(breaks, words.starts) - np.searchsorted(breaks, offsets[:-1])[row]
+                steps, cut = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+                for k in range(len(offsets) - 1):
+                    a, b = int(words.bounds[k]), int(words.bounds[k + 1])
+                    at = marks[first + k].values.to_numpy(zero_copy_only=False)
+                    at = at[at < b - a]
+                    np.add.at(steps, np.maximum(a + at - (RUN - GRAM), a), 1)
+                    np.add.at(steps, a + at + 1, -1)
+                    if gone[first + k].is_valid:
+                        cut[1 + a : 1 + b] = np.isin(line[a:b], gone[first + k].values.to_numpy(zero_copy_only=False))
+                cut = np.cumsum(cut)
+                whole_run = np.flatnonzero(_inside(words, RUN) & (np.cumsum(steps)[:-1] > 0))
+                at = whole_run[cut[whole_run + RUN] == cut[whole_run]]
+                keys.append(shingle_hashes_apart(_grams(words.hashes()), GRAM, RUN // GRAM)[at])
+                docs.append(ids[first + row[at]])
+                places.append(line[at] * _LINE + at - words.bounds[row[at]])
+            yield _deal(buckets, _joined(keys, _U), _joined(docs, np.int64), _joined(places, np.int64))
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Each bucket's (keys, documents, places) in order; a place that comes twice (ids that repeat) counts once."""
+    held: dict[int, list[list[np.ndarray]]] = {}
+    for batch in batches:
+        columns = [batch.column(x) for x in ("keys", "docs", "places")]
+        for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+            parts = held.setdefault(bucket, [[], [], []])
+            for part, column in zip(parts, columns, strict=True):
+                part.append(column[i].values.to_numpy(zero_copy_only=False).copy())
+    while held:
+        keys, docs, places = (np.concatenate(x) for x in held.popitem()[1])
+        order = np.lexsort((places, docs, keys))
+        keys, docs, places = keys[order], docs[order], places[order]
+        fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1]) | (places[1:] != places[:-1])])
+        yield keys[fresh], docs[fresh], places[fresh]
+
+
+def _per_doc(docs: np.ndarray, names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
+    ids, spans = _spans(docs)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(list_array([x[s] for s in spans], pa.int64()) for x in columns)], names=["doc_id", *names])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of fingerprints that occur more than once."""
+    for keys, docs, places in _met(batches):
+        same = keys[1:] == keys[:-1]
+        often = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        yield _per_doc(docs[often], ["places"], places[often])
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of windows that occur earlier too, with the first place; windows that overlap their first are none."""
+    for keys, docs, places in _met(batches):
+        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        first = np.repeat(heads, np.diff(np.append(heads, len(keys))))
+        apart = (docs != docs[first]) | (places % _LINE - places[first] % _LINE >= RUN)
+        yield _per_doc(docs[apart], ["places", "first_docs", "first_places"], places[apart], docs[first[apart]], places[first[apart]])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows that follow each other both here and where they occur first are one run."""
+    for batch in batches:
+        ids = batch.column("doc_id").to_pylist()
+        out: list[list] = [[], [], [], [], []]
+        for i, doc in enumerate(ids):
+            place, other, origin = (batch.column(x)[i].values.to_numpy(zero_copy_only=False) for x in ("places", "first_docs", "first_places"))
+            order = np.argsort(place, kind="stable")
+            place, other, origin = place[order], other[order], origin[order]
+            at, from_ = place % _LINE, origin % _LINE
+            heads = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(from_) != 1) | (np.diff(other) != 0)]))
+            tails = np.append(heads[1:], len(at)) - 1
+            for column, x in zip(out, ([doc] * len(heads), place[heads], at[tails] - at[heads] + RUN, other[heads], origin[heads]), strict=True):
+                column.extend(x)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["doc_id", "place", "n_words", "first_doc_id", "first_place"])
+
+
+def repeated_runs(docs: DataFrame, gone: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, place, n_words, first_doc_id, first_place) of the runs that occur earlier too, outside removed lines.
+
+    gone: doc_id and gone, its removed line numbers. Runs of a document may overlap where their first
+    occurrences differ; words that lie in any of them are repeats. Rows with a null id are left out,
+    rows that repeat an id are one document; null and short texts and an empty table give no rows.
+    """
+    n = partitions_of(docs.sparkSession)
+    buckets = 4 * n
+    source = whole(docs, key, text).where("doc_id is not null")
+    marks = source.mapInArrow(_scan(buckets), _DEALT).repartition(n, "bucket").mapInArrow(_repeated, "doc_id long, places array<long>")
+    marks = marks.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("marks"))  # of one document
+    marked = source.join(marks, "doc_id").join(gone, "doc_id", "left").select("doc_id", "text", "marks", "gone")
+    later = marked.mapInArrow(_windows(buckets), _DEALT).repartition(n, "bucket").mapInArrow(_later, "doc_id long, places array<long>, first_docs array<long>, first_places array<long>")
+    per_doc = later.groupBy("doc_id").agg(*(F.flatten(F.collect_list(x)).alias(x) for x in ("places", "first_docs", "first_places")))  # of one document
+    return per_doc.mapInArrow(_runs, "doc_id long, place long, n_words long, first_doc_id long, first_place long")
+
+
+def _gone(passages: DataFrame) -> DataFrame:
+    return passages.where("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone"))  # of one document
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Repeated lines as repeated_passages gives them, and repeated runs of RUN words and more outside the removed lines.
+
+    Two columns more: word and first_word, the number of a run's first word in its text, null for whole
+    lines; paragraph is then the line in which the run begins. A run has one row where it occurs first.
+    """
+    passages = checkpointed(repeated_passages(docs, key, text))
+    runs = checkpointed(repeated_runs(docs, _gone(passages), key, text))
+    part = lambda x: (F.floor(F.col(x) / F.lit(_LINE)).cast("long"), (F.col(x) % F.lit(_LINE)).cast("long"))
+    (line, word), (first_line, first_word) = part("place"), part("first_place")
+    of = lambda d, p, w, r: ("n_words", d.alias("doc_id"), p.alias("paragraph"), F.col("first_doc_id"), first_line.alias("first_paragraph"), F.lit(r).alias("removed"), w.alias("word"), first_word.alias("first_word"))
+    later = runs.select(*of(F.col("doc_id"), line, word, True))
+    first = runs.select(*of(F.col("first_doc_id"), first_line, first_word, False)).distinct()
+    none = F.lit(None).cast("long")
+    return passages.withColumn("word", none).withColumn("first_word", none).unionByName(later.union(first))
+
+
+def _cut_text(data: bytes, lines: list[int] | None, runs: list[tuple[int, int]]) -> bytes:
+    words = Words(x := np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))
+    keep = np.ones(len(x), dtype=bool)
+    for a, n in (x for x in runs if sum(x) <= len(words.starts)):
+        b, e = int(words.starts[a]), int(words.ends[a + n - 1])
+        keep[b:e] = False
+    # A blank or line end after the cut goes with it if the one before it stays.
+    tails = np.flatnonzero(~keep & np.append(keep[1:], False))
+    heads = np.flatnonzero(~keep & np.append(True, keep[:-1])[: len(x)])
+    for b, e in zip(heads, tails, strict=False):
+        before, after = (10 if b == 0 else x[b - 1]), x[e + 1]
+        if after == before or (after == 32 and before == 10):
+            keep[e + 1] = False
+    if lines:
+        ends = np.append(np.flatnonzero(x == 10), len(x))
+        starts = np.append(0, ends[:-1] + 1)
+        for k in (x for x in lines if x < len(ends)):
+            if len(ends) == 1:
+                keep[:] = False
+            elif k + 1 < len(ends):
+                keep[starts[k] : ends[k] + 1] = False
+            else:
+                keep[starts[k] :] = False
+                left = np.flatnonzero(keep)
+                if len(left) and x[left[-1]] == 10:
+                    keep[left[-1]] = False
+    return x[keep].tobytes()
+
+
+def without_all_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the removed lines and runs; other columns and rows stay as they are."""
+    passages = checkpointed(repeated_passages(docs, key, text))
+    gone = _gone(passages)
+    runs = repeated_runs(docs, gone, key, text).groupBy("doc_id").agg(F.collect_list(F.struct((F.col("place") % F.lit(_LINE)).cast("long").alias("a"), F.col("n_words").alias("n"))).alias("runs_"))  # of one document
+    cuts = gone.join(runs, "doc_id", "full").select(F.col("doc_id").alias("cut_id_"), F.col("gone").alias("gone_"), "runs_")
+    joined = docs.join(cuts, F.col(key) == F.col("cut_id_"), "left").drop("cut_id_")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            rows = zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)
+            new = [t if t is None or not (g or r) else _cut_text(t.encode(), g and sorted(g), [(x["a"], x["n"]) for x in r or []]).decode() for t, g, r in rows]
+            columns = [pa.array(new, batch.schema.field(k).type) if k == at else batch.column(k) for k in range(batch.num_columns - 2)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2])
+
+    return joined.mapInArrow(cut, docs.schema)
