@@ -242,6 +242,22 @@ def test_suffix_tree_counts_are_whole(spark, docs, partitions):
     assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], rel_tol=1e-9) for i in want)
 
 
+def test_suffix_tree_keeps_every_context():
+    """More contexts than the old limit of 32,768 pass both tests, and a larger corpus drops none of them."""
+    rng = np.random.default_rng(6)
+    pairs = np.unique(rng.integers(97, 123, (60_000, 6)), axis=0).astype(np.uint64)  # each five bytes have one successor or few
+    code = (pairs << (np.uint64(8) * np.arange(6, dtype=np.uint64))).sum(1, dtype=np.uint64)
+    orders = []
+    for d in range(6):
+        grams, at = np.unique(code & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        orders.append((grams, np.bincount(at) * 40))
+    tree = suffix_tree_lm.grow(orders, len(code) * 40)
+    times = [(g, n * 1000) for g, n in orders]
+    more = suffix_tree_lm.grow(times, len(code) * 40_000)
+    assert tree.states > 32_768 and more.states >= tree.states
+    assert all(np.isin(a, b).all() for a, b in zip(tree.contexts, more.contexts, strict=True))
+
+
 def test_suffix_tree_is_a_distribution():
     """Probabilities of the next byte sum to one in every state."""
     import pyarrow as pa
