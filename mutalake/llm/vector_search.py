@@ -82,14 +82,16 @@ class Tree:
                 todo += [(below[j], rows[near == j]) for j in range(len(below))]
         return at
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order."""
+    def visits(self, query: np.ndarray, most: int, held: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """Leaves in best-bin-first order: so many, and more until they hold the least number of ids."""
         gain = self.centres @ query
         queue, out = [(-gain[0], 0)], []
-        while queue and len(out) < most:
+        ids = 0
+        while queue and (len(out) < most or (held is not None and ids < least)):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(int(self.leaf[node]))
+                ids += held.get(out[-1], 0) if held else 0
             for below in self.children[node]:
                 heapq.heappush(queue, (-gain[below], below))
         return out
@@ -185,7 +187,8 @@ def nearest_vectors(df: DataFrame, is_query: Column, k: int = K, key: str = "vec
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), batch.column("embedding"), batch.column("ids")], names=["leaf", "embedding", "ids"])
 
     index = checkpointed(classes.mapInArrow(assign, "leaf long, embedding array<double>, ids array<long>"))
-    sizes = {r.leaf: r["count"] for r in index.groupBy("leaf").count().collect()}  # LEAVES rows
+    counts = index.groupBy("leaf").agg(F.count("*").alias("rows"), F.sum(F.size("ids")).alias("ids")).collect()  # LEAVES rows
+    sizes, held = {r.leaf: r["rows"] for r in counts}, {r.leaf: r["ids"] for r in counts}
     queries = sound.where(is_query)
     probes = queries.orderBy(F.xxhash64(F.lit(1), "vec_id"), "vec_id").limit(CALIBRATION).collect()
     if not probes:
@@ -198,7 +201,7 @@ def nearest_vectors(df: DataFrame, is_query: Column, k: int = K, key: str = "vec
             x = _matrix(batch.column("embedding"))
             who, leaf, block = [], [], []
             for i in range(len(x)):
-                for v in shared.value.visits(x[i], visits):
+                for v in shared.value.visits(x[i], visits, held, k + 1):
                     for b in range(blocks.get(v, 0)):
                         who.append(i)
                         leaf.append(v)

@@ -430,6 +430,15 @@ def test_vectors(spark):
     assert len(few) == 2
 
 
+def test_vectors_fill_up_from_further_leaves(spark):
+    """A query whose leaves hold too few candidates visits more of them: all have 20 rows, even at one visit each."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.standard_normal((400, 8)) * 0.05 + 3, rng.standard_normal((100, 8)) * 20])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = vector_search.nearest_vectors(df, F.col("vec_id") % 20 == 0, recall=1e-9).groupBy("query_id").count().collect()
+    assert len(rows) == 25 and {r["count"] for r in rows} == {20}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><p>no";</script></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>About us</a></li></ul></nav><div class="ad">Buy this now.</div>
 <article><h1>A &amp; B</h1><p><b>First   line here, with
 some words in it that make it long enough.<br><p>Second paragraph &lt;x&gt;&nbsp;has several words too, and a <a href=#>link</a> in it.</p></article><section class="comments"><div class="comment"><p>Nice one, thanks!</p></div></section><footer>&copy; me</footer></body></html>"""
