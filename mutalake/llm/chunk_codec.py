@@ -95,7 +95,7 @@ class ByteCodec:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(model)
-        self.library.encode_special_tokens = True
+        self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.ranks = self._ranks(model)
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -139,9 +139,13 @@ class ByteCodec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [x.split(" ") for x in texts]
-        known = self.table.cover(set().union(*(p[1:] for p in parts)))
+        special = [any(a in x for a in self.added) for x in texts]
+        known = self.table.cover(set().union(*(p[1:] for p, odd in zip(parts, special, strict=True) if not odd)))
         out = []
-        for text, p in zip(texts, parts, strict=True):
+        for text, p, odd in zip(texts, parts, special, strict=True):
+            if odd:
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+                continue
             rest = [*map(known.__getitem__, p[1:])]
             first = p[0]
             safe = None not in rest and not (first and first[-1].isspace()) and (first or not rest)

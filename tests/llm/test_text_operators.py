@@ -302,6 +302,18 @@ def test_packing(spark, docs, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
+def test_packing_special_tokens(spark):
+    """A literal added token in a text is its one id, as in the tokenizers library with its defaults."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "plain text here"]
+    got = chunk_codec.codec(chunk_codec.ByteCodec, path).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in np.frombuffer(got[0], "<u4")
+
+
 def test_plan_is_optimal():
     rng = np.random.default_rng(1)
     for _ in range(30):
