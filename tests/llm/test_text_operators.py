@@ -275,6 +275,23 @@ def test_suffix_tree_is_a_distribution():
     assert len(tree.logp) > 10 and np.allclose((10**tree.logp * spread).sum(1), 1)
 
 
+def test_suffix_tree_tells_all_bytes_apart():
+    """More than 63 byte values keep their own probabilities, as symbols and as contexts."""
+    import pyarrow as pa
+
+    from mutalake.llm.common import Words, slices
+
+    letters = [chr(0x0410 + i) for i in range(48)] + [chr(0x4E00 + 97 * i) for i in range(120)]
+    for _, data, offsets in slices(pa.array([" ".join(a + letters[i - 1] for i, a in enumerate(letters) for _ in range(1 + i % 9))])):
+        code = suffix_tree_lm.windows(*suffix_tree_lm.symbols(Words(data, offsets)), 5)
+    orders = [np.unique(code & np.uint64((1 << 8 * (d + 1)) - 1), return_counts=True) for d in range(6)]
+    tree = suffix_tree_lm.grow(orders, len(code))
+    count = np.bincount((code & np.uint64(255)).astype(np.int64), minlength=256)
+    assert (count > 0).sum() > 64 and np.allclose(tree.base, np.log10((count + 0.5) / (len(code) + 128)))
+    rare = np.argsort(-count, kind="stable")[63:]
+    assert np.isin(tree.contexts[0], rare[count[rare] > 0].astype(np.uint64)).sum() > 1
+
+
 def test_packing(spark, docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = packing.pack_documents(docs, path).collect()
