@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
-import os
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,25 +23,54 @@ _ROOT = 0x9E3779B97F4A7C15 | 1
 _ROOT_INVERSE = pow(_ROOT, -1, 1 << 64)
 
 
-def scratch_folder() -> str:
-    """For sessions without a shared folder, as in tests on one machine."""
-    return os.path.join(tempfile.gettempdir(), "mutalake-checkpoints")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's; one is made only on one machine."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="mutalake-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def release(df: DataFrame) -> None:
+    """Delete the shuffle files of a plan whose result has been written."""
+    df._jdf.queryExecution().toRdd().cleanShuffleDependencies(False)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder; one is set only where the session has none."""
-    session = df.sparkSession
-    context = session.sparkContext
+    """Cut the lineage through the shared checkpoint folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = session.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or scratch_folder())
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    done = df.checkpoint(eager=True)
+    release(df)
+    return done
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage through Parquet in the shared folder, for wide tables of which a reader needs few columns."""
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/mutalake-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    atexit.register(discard, spark, at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def discard(spark: SparkSession, at: str) -> None:
+    """Delete an intermediate table, if the session still lives."""
+    if spark.sparkContext._jsc is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files that only cut lineages refer to; it waits for a collection in the driver."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def salted_join(large: DataFrame, small: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
+    """Inner join on a key that may be hot in large: its rows are dealt by another column, those of small repeated."""
+    left = large.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    right = small.withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return left.join(right, [key, "salt_"]).drop("salt_")
 
 
 def partitions_of(spark: SparkSession) -> int:
@@ -69,7 +98,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash's root and of its inverse modulo 2**64; grown when a longer text comes."""
-    if len(_POWERS.get("up", ())) < n:
+    if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(n + n // 2, 2 * SLICE_BYTES)
         for name, root in (("up", _ROOT), ("down", _ROOT_INVERSE)):
             powers = np.full(size, root, dtype=_U)

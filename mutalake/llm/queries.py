@@ -13,9 +13,9 @@ from mutalake.llm.common import table
 from mutalake.llm.main_text import main_text
 from mutalake.llm.ngram_join import ngram_components
 from mutalake.llm.packing import pack_documents
+from mutalake.llm.passages import repeated_passages
 from mutalake.llm.quality_rules import FIGURES, judge
 from mutalake.llm.quality_votes import vote_quality
-from mutalake.llm.repeated_runs import repeats
 from mutalake.llm.suffix_tree_lm import score_documents
 from mutalake.llm.url_filter import judge_urls
 from mutalake.llm.vector_search import nearest_vectors
@@ -35,7 +35,7 @@ def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,48 +12,10 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from mutalake.llm import chunk_codec, main_text, ngram_join, packing, paragraph_dedup, quality_rules, quality_votes, repeated_runs, simjoin, suffix_tree_lm, url_filter, vector_search
+from mutalake.llm import chunk_codec, main_text, ngram_join, packing, quality_rules, quality_votes, simjoin, suffix_tree_lm, url_filter, vector_search
 from mutalake.llm.common import shingle_sets
 from mutalake.llm.components import connected_components
-
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, node long, sigs string, key string"
-
-
-def corpus(seed=3, n=60):
-    """Texts with copies, near copies, a shared passage, junk, and odd rows; further columns clash with inner names."""
-    rng = random.Random(seed)
-    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 7))) for _ in range(300)]
-    text = lambda k: " ".join(rng.choice(vocabulary) for _ in range(k)).capitalize() + "."
-    passage = text(60)
-    out = []
-    for i in range(n):
-        body = "\n".join(text(rng.randint(1, 40)) for _ in range(rng.randint(1, 6)))
-        if i % 6 == 5:
-            words = out[i - 1][1].split(" ")
-            words[rng.randrange(len(words))] = "changed"
-            body = " ".join(words) if i % 12 == 5 else out[i - 1][1]
-        if i % 9 == 0:
-            body += "\n" + passage
-        out.append((i, body))
-    out += [(n, None), (n + 1, ""), (n + 2, "one"), (n + 3, "One"), (n + 4, text(3)), (n + 5, " \t\n "), (n + 6, "word " * 3000), (n + 7, "x" * 20000), (n + 8, "é日本 🎉\u2581a  b"), (n + 9, "\n".join(["same line here"] * 40))]
-    return [(i, t, "en" if i % 3 else None, 1, "s", "k") for i, t in out]
-
-
-@pytest.fixture(scope="module")
-def docs(spark):
-    return spark.createDataFrame(corpus(), SCHEMA).repartition(3).cache()
-
-
-@pytest.fixture(scope="module")
-def none(spark):
-    return spark.createDataFrame([], SCHEMA)
-
-
-def words(text):
-    return WORD.findall((text or "").translate(LOWER))
-
+from texts import LOWER, SCHEMA, WORD, corpus, words
 
 def test_shingles_match_words():
     import pyarrow as pa
@@ -134,68 +96,6 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_passages(spark, docs, none):
-    rows = paragraph_dedup.repeated_passages(docs).collect()
-    places = collections.defaultdict(set)
-    for i, t, *_ in corpus():
-        for k, line in enumerate((t or "").split("\n")):
-            if len(words(line)) >= paragraph_dedup.MIN_WORDS:
-                places[tuple(words(line))].add((i, k))
-    repeated = {p for x in places.values() if len(x) > 1 for p in x}
-    assert repeated and repeated <= {(r.doc_id, r.paragraph) for r in rows}
-    assert all((r.doc_id, r.paragraph) >= (r.first_doc_id, r.first_paragraph) and r.removed == ((r.doc_id, r.paragraph) != (r.first_doc_id, r.first_paragraph)) for r in rows)
-    cut = {r.doc_id: r.text for r in paragraph_dedup.without_repeats(docs).collect()}
-    gone = {(r.doc_id, r.paragraph) for r in rows if r.removed}
-    for i, t, *_ in corpus():
-        assert cut[i] == (t if not any(d == i for d, _ in gone) else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone))
-    assert paragraph_dedup.repeated_passages(none).count() == 0
-    assert 1 - (1 - 0.8**4) ** paragraph_dedup.bands_for() >= 0.999
-
-
-def test_passages_inside_and_across_lines(spark):
-    """A run of 50 words that repeats inside longer lines or over several short ones goes, one of 49 stays."""
-    rng = random.Random(8)
-    text = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
-    run, short = text(50), text(49)
-    lines = [" ".join(run[a : a + 20]) for a in (0, 20, 40)]
-    head, tail = text(40), text(40)
-    rows = [(1, " ".join([*text(30), *run, *text(30)]) + "\nlast"), (2, " ".join([*head, *run, *tail])), (3, "\n".join(["top", *lines, "end"])), (4, " ".join([*text(60), *short])), (5, " ".join([*text(60), *short])), (6, None)]
-    table = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
-    got = sorted((r.doc_id, r.paragraph, r.word, r.n_words, r.first_doc_id, r.first_paragraph, r.first_word, r.removed) for r in repeated_runs.repeats(table).collect())
-    assert got == [(1, 0, 30, 50, 1, 0, 30, False), (2, 0, 40, 50, 1, 0, 30, True), (3, 1, 1, 50, 1, 0, 30, True)]
-    cut = {r.doc_id: r.text for r in repeated_runs.without_all_repeats(table).collect()}
-    assert cut == dict(rows) | {2: " ".join([*head, *tail]), 3: "top\nend"}
-
-
-def test_runs_match_brute_force(spark, docs, none):
-    gone = collections.defaultdict(list)
-    for r in paragraph_dedup.repeated_passages(docs).where("removed").collect():
-        gone[r.doc_id].append(r.paragraph)
-    first, want = {}, collections.defaultdict(set)
-    for i, t, *_ in corpus():
-        flat = [(w, k) for k, line in enumerate((t or "").split("\n")) for w in words(line)]
-        for at in range(len(flat) - 49):
-            part = flat[at : at + 50]
-            if not any(k in gone[i] for _, k in part):
-                origin = first.setdefault(tuple(w for w, _ in part), (i, at))
-                if origin[0] != i or at - origin[1] >= 50:
-                    want[i].update(range(at, at + 50))
-    rows = repeated_runs.repeats(docs).collect()
-    got = collections.defaultdict(set)
-    for r in rows:
-        if r.removed and r.word is not None:
-            got[r.doc_id].update(range(r.word, r.word + r.n_words))
-            here, there = (words(next(t for i, t, *_ in corpus() if i == d))[a : a + r.n_words] for d, a in ((r.doc_id, r.word), (r.first_doc_id, r.first_word)))
-            assert here == there
-    assert want and got == want
-    cut = {r.doc_id: r.text for r in repeated_runs.without_all_repeats(docs).collect()}
-    for i, t, *_ in corpus():
-        flat = [(w, k) for k, line in enumerate((t or "").split("\n")) for w in words(line)]
-        assert words(cut[i]) == [w for at, (w, k) in enumerate(flat) if k not in gone[i] and at not in want[i]]
-        assert i in gone or i in want or cut[i] == t
-    assert repeated_runs.repeats(none).count() == 0 and repeated_runs.without_all_repeats(none).count() == 0
-
-
 def test_suffix_tree(spark, docs, none):
     rows = suffix_tree_lm.score_documents(docs, F.col("doc_id") % 7 != 2).collect()
     count, texts = collections.Counter(), {i: [*words(t), "\n"] for i, t, *_ in corpus()}
