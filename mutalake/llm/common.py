@@ -56,7 +56,14 @@ def stored(df: DataFrame) -> DataFrame:
     at = f"{shared_folder(spark)}/mutalake-{uuid.uuid4().hex}"
     df.write.parquet(at)
     atexit.register(discard, spark, at)
-    return spark.read.schema(df.schema).parquet(at)
+    done = spark.read.schema(df.schema).parquet(at)
+    done.stored_at_ = at
+    return done
+
+
+def discard_with(df: DataFrame) -> None:
+    """Delete what stored wrote, when nothing will read it any more."""
+    discard(df.sparkSession, df.stored_at_)
 
 
 def discard(spark: SparkSession, at: str) -> None:
