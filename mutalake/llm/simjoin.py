@@ -26,7 +26,7 @@ BLOCK_ELEMENTS = 2_000_000
 #: Type of the list of a set's tasks.
 TASKS = "array<struct<task: bigint, side: int>>"
 #: Expanded (member, posting) pairs that are counted together.
-EXPAND = 4_000_000
+EXPAND = 1_000_000
 #: Signature rows that a map task joins locally before the shuffle.
 LOCAL_ROWS = 1_000_000
 
@@ -407,17 +407,17 @@ def _verify(percent: int):
     return run
 
 
-def similar_components(candidates: DataFrame, items_of, percent: int) -> DataFrame:
+def similar_components(candidates: DataFrame, items_of, percent: int, block: int = BLOCK_ELEMENTS) -> DataFrame:
     """(node, root) for nodes linked with another one: 100 * intersection >= percent * union, closed under links.
 
     candidates: (node, root, weight), each node's candidate group and the size of its set, by which
-    large groups are cut in blocks. items_of(wanted) adds items (array of long, distinct) to the rows of wanted(node, tasks);
+    large groups are cut in blocks of so many elements. items_of(wanted) adds items (array of long, distinct) to the rows of wanted(node, tasks);
     sets then travel once to each of their tasks. Nodes without a link have no row.
     """
     spark = candidates.sparkSession
     groups = checkpointed(candidates)
     sizes = groups.groupBy("root").agg(F.count("*").alias("members"), F.sum(F.col("weight") + 64).alias("total")).where("members > 1")
-    blocked = sizes.select("root", F.ceil(F.col("total") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
+    blocked = sizes.select("root", F.ceil(F.col("total") / block).cast("int").alias("blocks"))
     placed = groups.join(blocked, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     # One block: one task. Several: a task for each block (i, i) and for each pair of blocks i < j.
     low, high = (lambda j: F.least(F.col("block"), j)), (lambda j: F.greatest(F.col("block"), j))

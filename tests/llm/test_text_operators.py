@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from mutalake.llm import chunk_codec, main_text, ngram_join, packing, quality_rules, quality_votes, simjoin, suffix_tree_lm, url_filter, vector_search
 from mutalake.llm.common import shingle_sets
 from mutalake.llm.components import connected_components
-from texts import LOWER, SCHEMA, WORD, corpus, words
+from texts import LOWER, SCHEMA, WORD, corpus, docs, none, words  # noqa: F401
 
 def test_shingles_match_words():
     import pyarrow as pa

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, node long, sigs string, key string"
@@ -30,3 +32,13 @@ def corpus(seed=3, n=60):
 
 def words(text):
     return WORD.findall((text or "").translate(LOWER))
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
