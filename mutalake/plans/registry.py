@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mutalake.functions import catalog
-from mutalake.operators import edits, outcomes, scoring, selection
+from mutalake.operators import discovery, edits, outcomes, scoring, selection
 from mutalake.plans import adapters as A
-from mutalake.plans import reports
+from mutalake.plans import programs, reports
 from mutalake.plans.rewrite_queries import REWRITES, REWRITES_SQL
 from mutalake.sources.files import excluded
 
@@ -114,6 +114,23 @@ _TOTALS = ", ".join(["count(*) AS total", *(f"count(*) FILTER (status = '{s}') A
 _RATE = "CASE WHEN killed + survived > 0 THEN CAST(killed AS DOUBLE) / (killed + survived) * 100 END AS mutation_score"
 
 
+@query(programs.SCAN_SQL)
+def scan_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.scan_programs(programs.program_sources(spark, sf_dir)).select("file", "language", "function", "start_line", "end_line", "cyclomatic")
+
+
+@query(programs.CYCLOMATIC_SQL)
+def cyclomatic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = discovery.scan_programs(programs.program_sources(spark, sf_dir))
+    return found.groupBy("language").agg(F.count("*").alias("functions"), F.sum("cyclomatic").alias("cyclomatic"), F.max("cyclomatic").alias("highest"))
+
+
+@query(programs.DISCOVER_SQL)
+def discover_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = discovery.discover(programs.program_sources(spark, sf_dir))
+    return found.select("id", "file", "language", "function", "operator", "implementation", "line", "column", "original", "replacement")
+
+
 @query(f"WITH {A.OUTCOMES_SQL}, t AS (SELECT {_TOTALS} FROM outcomes) SELECT *, {_RATE} FROM t")
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.run_totals(A.outcomes(spark, sf_dir))
