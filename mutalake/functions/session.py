@@ -2,15 +2,40 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's; one is made only on one machine."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="mutalake-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def release(df: DataFrame) -> None:
+    """Delete the shuffle files of a plan whose result has been written."""
+    df._jdf.queryExecution().toRdd().cleanShuffleDependencies(False)
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written once to the checkpoint folder the session names (a temporary one if it names none)."""
-    session = df.sparkSession
-    if session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(session.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "mutalake-settled"))
-    return df.checkpoint(eager=True)
+    """df written once to the shared checkpoint folder, its lineage cut and its shuffle files deleted."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    done = df.checkpoint(eager=True)
+    release(df)
+    return done
+
+
+def discard(spark: SparkSession, at: str) -> None:
+    """Delete an intermediate table, if the session still lives."""
+    if spark.sparkContext._jsc is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

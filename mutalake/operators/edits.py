@@ -117,50 +117,61 @@ def skip_rules(candidates: DataFrame, sources: DataFrame, macros: DataFrame) ->
     return joined.withColumn("skip_rule", rule).drop("generated_", "macro_")
 
 
-_MACRO = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+_NAME = re.compile(rb"[A-Za-z_][A-Za-z0-9_]*")
+_SKIPPED = re.compile(rb'"(?:[^"\\]|\\.)*+"?|//[^\n]*', re.S)
+_NESTED = re.compile(rb"/\*|\*/")
+_OPENS = {40: 41, 91: 93, 123: 125}
+
+
+def _not_code(raw: bytes, i: int) -> int:
+    """Behind the string or comment that begins at i; i itself if none does."""
+    if raw[i] == 34 or raw[i : i + 2] == b"//":
+        return _SKIPPED.match(raw, i).end()
+    if raw[i : i + 2] != b"/*":
+        return i
+    level, i = 1, i + 2
+    while level and (m := _NESTED.search(raw, i)):
+        level += 1 if m.group() == b"/*" else -1
+        i = m.end()
+    return len(raw) if level else i
 
 
 def macro_ranges(text: str) -> list[tuple[str, int, int]]:
-    """(name, first byte, byte after) of macro calls name!(…), outside strings and comments; calls inside a call aren't listed."""
+    """(name, first byte inside the brackets, byte of the closing one) of macro calls name!(…), outside strings and comments.
+
+    Calls inside a call aren't listed, nor calls that never close. Linear in the text.
+    """
     out: list[tuple[str, int, int]] = []
-    raw, i, start = text.encode(), 0, None
-    depth: list[int] = []
-    close = {40: 41, 91: 93, 123: 125}
-    name, begin = "", 0
+    raw, i, name, begin = text.encode(), 0, "", 0
+    closers: list[int] = []
     while i < len(raw):
+        if (after := _not_code(raw, i)) > i:
+            i = after
+            continue
         c = raw[i]
-        if c == 34:
-            i += 1
-            while i < len(raw) and raw[i] != 34:
-                i += 2 if raw[i] == 92 else 1
-            i += 1
-        elif raw[i : i + 2] == b"//":
-            i = raw.find(b"\n", i) if raw.find(b"\n", i) >= 0 else len(raw)
-        elif raw[i : i + 2] == b"/*":
-            level, i = 1, i + 2
-            while i < len(raw) and level:
-                step = raw[i : i + 2]
-                level += (step == b"/*") - (step == b"*/")
-                i += 2 if step in (b"/*", b"*/") else 1
-        elif start is None and (m := _MACRO.match(raw[i : i + 200].decode("latin-1"))):
-            end = i + len(m.group())
-            j = end + 1
-            if raw[end : end + 1] == b"!":
-                while j < len(raw) and raw[j] in b" \t\r\n":
+        if not closers and (m := _NAME.match(raw, i)):
+            i = m.end()
+            if raw[i : i + 1] == b"!":
+                j = i + 1
+                while j < len(raw) and raw[j] in b" \t\r\n\f":
                     j += 1
-                if j < len(raw) and raw[j] in close:
-                    name, begin, start, depth = m.group(), i, j, [close[raw[j]]]
-                    i = j + 1
-                    continue
-            i = end
-        else:
-            if start is not None:
-                if c in close:
-                    depth.append(close[c])
-                elif depth and c == depth[-1]:
-                    depth.pop()
-                    if not depth:
-                        out.append((name, begin, i + 1))
-                        start = None
-            i += 1
+                if j < len(raw) and raw[j] in _OPENS:
+                    name, begin, closers, i = m.group().decode(), j + 1, [_OPENS[raw[j]]], j + 1
+            continue
+        if closers and c in _OPENS:
+            closers.append(_OPENS[c])
+        elif closers and c == closers[-1]:
+            closers.pop()
+            if not closers:
+                out.append((name, begin, i))
+        i += 1
     return out
+
+
+def macro_table(sources: DataFrame) -> DataFrame:
+    """(file, name, s, e) of the macro calls of sources (file, text); null texts have none."""
+    @F.pandas_udf("array<struct<name: string, s: int, e: int>>")
+    def ranges(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: [{"name": n, "s": a, "e": b} for n, a, b in macro_ranges(x)] if x is not None else [])
+
+    return sources.select("file", F.explode(ranges("text")).alias("m")).select("file", "m.*")

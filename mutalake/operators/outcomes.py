@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mutalake.functions.catalog import operator_catalog
+from mutalake.operators.scoring import path_parts
+
 STATUSES = ("killed", "survived", "timeout", "error")
 
 
@@ -34,6 +37,12 @@ def operator_summary(outcomes: DataFrame) -> DataFrame:
     return _scored(outcomes.groupBy("operator").agg(*status_counts()))
 
 
+def operator_order(summary: DataFrame) -> DataFrame:
+    """summary with position: most mutants first, then as the catalog lists them; unknown operators last, by name."""
+    known = operator_catalog(summary.sparkSession).select("operator", "ordinal")
+    return ranked(summary.join(F.broadcast(known), "operator", "left"), [F.desc("total"), F.asc_nulls_last("ordinal"), F.asc("operator")]).drop("ordinal")  # a fixed table
+
+
 def one_entry(scores: DataFrame) -> DataFrame:
     """One score row a (file, function): of duplicates the lowest crap, then the latest scan_seq."""
     order = Window.partitionBy("file", "function").orderBy("crap", F.desc("scan_seq"))
@@ -59,12 +68,6 @@ def all_summaries(outcomes: DataFrame) -> DataFrame:
     return _scored(sets.agg(level.alias("level"), *status_counts()))
 
 
-def thirds(order: list[Column]) -> Column:
-    """high for the first third (one at least), medium up to two thirds (one at least if there are two), low after that."""
-    n = F.count("*").over(Window.partitionBy())
-    return _thirds(F.row_number().over(Window.orderBy(*order)), n)
-
-
 def _thirds(r: Column, n: Column) -> Column:
     high = F.least(F.greatest(F.floor(n / 3), F.lit(1)), n)
     medium = F.least(F.greatest(F.floor(n * 2 / 3), high + 1), n)
@@ -84,7 +87,7 @@ def ranked(df: DataFrame, order: list[Column], name: str = "position") -> DataFr
 
 def priority_groups(functions: DataFrame) -> DataFrame:
     """Functions with their place by priority and the third it falls in."""
-    order = [F.desc("priority_score"), F.asc("file"), F.asc("function")]
+    order = [F.desc("priority_score"), path_parts("file"), F.asc("function")]
     n = functions.count()
     return ranked(functions, order).withColumn("priority_group", _thirds(F.col("position"), F.lit(n)))
 
@@ -92,7 +95,7 @@ def priority_groups(functions: DataFrame) -> DataFrame:
 def weak_functions(functions: DataFrame, n: int = 10) -> DataFrame:
     """The n functions of highest priority with a survivor, a timeout or an error: a top-k report."""
     weak = functions.where("survived > 0 or timeout > 0 or error > 0")
-    return weak.orderBy(F.desc("priority_score"), "file", "function").limit(n)
+    return weak.orderBy(F.desc("priority_score"), path_parts("file"), "function").limit(n)
 
 
 def affected_files(outcomes: DataFrame, n: int = 5) -> DataFrame:
@@ -115,13 +118,15 @@ def best_of_site(tasks: DataFrame) -> DataFrame:
     return kept.select(*site, "best.seq", "best.priority", "duplicates")
 
 
-def trim(outcomes: DataFrame, detail: str = "normal", only_survivors: bool = False) -> DataFrame:
-    """Outcomes for a report: compact blanks diff and output, normal blanks output of all but survivors, full keeps all."""
+def trim(outcomes: DataFrame, detail: str = "normal", only_survivors: bool | None = None, diff: bool | None = None, stdout: bool | None = None, stderr: bool | None = None, context: bool = True) -> DataFrame:
+    """Outcomes for a report. full keeps all, normal drops what probes printed, compact keeps survivors alone and drops diffs too.
+
+    The other arguments override a detail's choice; context has a switch of its own. Totals are taken before.
+    """
     if detail not in ("compact", "normal", "full"):
         raise ValueError(detail)
-    kept = outcomes.where("status = 'survived'") if only_survivors else outcomes
-    for column in ("diff", "stdout", "stderr"):
-        if column in kept.columns and detail != "full":
-            keep = F.lit(False) if detail == "compact" else F.col("status") == "survived"
-            kept = kept.withColumn(column, F.when(keep, F.col(column)).otherwise(""))
-    return kept
+    keep = {"diff": detail != "compact" if diff is None else diff, "stdout": detail == "full" if stdout is None else stdout, "stderr": detail == "full" if stderr is None else stderr}
+    kept = outcomes.where("status = 'survived'") if (detail == "compact" if only_survivors is None else only_survivors) else outcomes
+    for column in (x for x, stays in keep.items() if not stays and x in kept.columns):
+        kept = kept.withColumn(column, F.lit(""))
+    return kept if context or "source_context" not in kept.columns else kept.withColumn("source_context", F.lit(None).cast(kept.schema["source_context"].dataType))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mutalake.functions.session import settled
@@ -14,8 +14,9 @@ def with_place(df: DataFrame, order: list[Column], name: str = "position") -> Da
     Range partitions are numbered apart and settled, since their bounds come from samples; a running total of their sizes, a number each, is added.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("part_", F.spark_partition_id())
-    local = settled(parts.withColumn("local_", F.row_number().over(Window.partitionBy("part_").orderBy(*order))))
+    number = F.monotonically_increasing_id()  # the partition in the upper, the row in the lower 33 bits
+    parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at_", number)
+    local = settled(parts).withColumn("part_", F.shiftrightunsigned("at_", 33).cast("int")).withColumn("local_", F.col("at_").bitwiseAND((1 << 33) - 1) + 1).drop("at_")
     sizes = local.groupBy("part_").agg(F.max("local_").cast("long").alias("size_"))
     entries = F.array_sort(F.collect_list(F.struct("part_", "size_")))
     totals = sizes.agg(entries.alias("all_")).select(F.explode("all_").alias("x_"), "all_").select(

@@ -17,15 +17,19 @@ RANKING = "ranked-v1"
 _INT_MIN = -(2**31)
 
 
-def _rules() -> list[tuple[Column, int, str]]:
+def _one_decimal(column: str) -> Column:
+    return F.expr(f"format_number({column}, '0.0')")
+
+
+def _rules() -> list[tuple[Column, int, Column]]:
     """(condition, points, reason) of the actionable strategy, in order. Ranges include both ends."""
     crap, c, cov = F.col("crap"), F.col("cyclomatic"), F.col("coverage")
     return [
-        (crap.between(15, 40), 100, "crap is in the useful range"),
-        (c.between(5, 15), 50, "complexity is in the useful range"),
-        (cov.between(60, 90), 50, "coverage is in the useful range"),
-        (cov <= 0, -80, "function isn't covered"),
-        (crap > 80, -50, "crap is too high"),
+        (crap.between(15, 40), 100, F.concat(F.lit("crap "), _one_decimal("crap"), F.lit(" lies in [15,40]"))),
+        (c.between(5, 15), 50, F.concat(F.lit("complexity "), c.cast("string"), F.lit(" lies in [5,15]"))),
+        (cov.between(60, 90), 50, F.concat(F.lit("coverage "), _one_decimal("coverage"), F.lit("% lies in [60,90]"))),
+        (cov <= 0, -80, F.lit("function isn't covered")),
+        (crap > 80, -50, F.concat(F.lit("crap "), _one_decimal("crap"), F.lit(" exceeds 80"))),
     ]
 
 
@@ -45,7 +49,7 @@ def reasons(strategy: str) -> Column:
         fired = F.filter(F.array(*(F.when(when, text) for when, _, text in _rules())), lambda x: x.isNotNull())
         fired = F.when(F.col("crap").isNull(), F.array(F.lit("function has no entry"))).otherwise(fired)
     elif strategy == "highest-crap":
-        fired = F.array(F.when(F.col("crap").isNull(), "function has no entry").otherwise(F.concat(F.lit("crap "), F.expr("format_number(crap, '0.0')"))))
+        fired = F.array(F.when(F.col("crap").isNull(), "function has no entry").otherwise(F.concat(F.lit("crap "), _one_decimal("crap"))))
     else:
         fired = F.array(F.lit("discovery order"))
     return F.when(F.size(fired) == 0, F.array(F.lit("no scoring rules matched"))).otherwise(fired)
@@ -88,7 +92,7 @@ def plan(candidates: DataFrame, scores: DataFrame, strategy: str = "discovery",
 
 def stable_id() -> Column:
     path = F.regexp_replace(F.regexp_replace("file", r"\\", "/"), r"^\./", "")
-    return F.to_json(F.struct(path.alias("path"), "operator", "start_byte", "end_byte", "original", "replacement"))
+    return F.concat_ws("\0", path, "operator", F.col("start_byte").cast("string"), F.col("end_byte").cast("string"), "original", "replacement")
 
 
 def framed(*fields: bytes) -> bytes:
@@ -96,15 +100,15 @@ def framed(*fields: bytes) -> bytes:
     return b"".join(len(x).to_bytes(8, "little") + x for x in fields)
 
 
-def ranking_key(seed: str, commit: str, stable: str) -> str:
-    return blake3(framed(RANKING.encode(), commit.encode(), seed.encode(), stable.encode())).hex()
+def ranking_key(seed: str, commit: str, stable: str, version: str = RANKING) -> str:
+    return blake3(framed(version.encode(), commit.encode(), seed.encode(), stable.encode())).hex()
 
 
-def seeded(candidates: DataFrame, seed: str, commit: str = "") -> DataFrame:
-    """Candidates with stable_id and ranking_key, a keyed order that the seed and the commit fix."""
+def seeded(candidates: DataFrame, seed: str, commit: str = "", version: str = RANKING) -> DataFrame:
+    """Candidates with stable_id (fields joined by NUL) and ranking_key, a keyed order that version, seed and commit fix."""
     @F.pandas_udf("string")
     def key(stable: pd.Series) -> pd.Series:
-        return stable.map(lambda x: ranking_key(seed, commit, x))
+        return stable.map(lambda x: ranking_key(seed, commit, x, version))
 
     return candidates.withColumn("stable_id", stable_id()).withColumn("ranking_key", key("stable_id"))
 

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mutalake.functions.catalog import OPERATORS
+
+_NAMES = [name for name, *_ in OPERATORS]
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,29 +47,30 @@ LINES_SQL = """raw_lines AS (
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An event is a mutant's outcome; its user is a function, its user's last digit a file, k of props an operator."""
     status = F.create_map(*(F.lit(x) for pair in (("view", "survived"), ("click", "killed"), ("purchase", "killed"), ("signup", "timeout"), ("error", "error")) for x in pair))
-    operator = F.concat(F.lit("op"), (F.get_json_object("props", "$.k").cast("long") % 54).cast("string"))
+    operator = F.element_at(F.array(*map(F.lit, _NAMES)), (F.get_json_object("props", "$.k").cast("long") % len(_NAMES) + 1).cast("int"))
     return load(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"), F.concat(F.lit("m"), "event_id").alias("id"), F.concat(F.lit("src/f:"), F.col("user_id") % 10, F.lit(",%.rs")).alias("file"), F.col("user_id").alias("function"), operator.alias("operator"),
-        F.element_at(status, F.col("event_type")).alias("status"), (F.col("event_id") % 97 + 1).alias("line"), (F.col("event_id") % 13).alias("column"), F.concat(F.lit("edit "), "event_type", F.lit(" "), F.col("event_id") % 7).alias("description"))
+        F.element_at(status, F.col("event_type")).alias("status"), (F.col("event_id") % 97 + 1).alias("line"), (F.col("event_id") % 13).alias("column"), F.concat(F.lit("edit "), "event_type", F.lit(" "), F.col("event_id") % 7).alias("description"),
+        F.concat("event_type", F.lit(", 100%")).alias("original"), F.concat(F.lit("x:"), F.col("event_id") % 7).alias("replacement"))
 
 
 OUTCOMES_SQL = """outcomes AS (
-  SELECT event_id AS seq, 'm' || event_id AS id, 'src/f:' || (user_id % 10) || ',%.rs' AS file, user_id AS function, 'op' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 54) AS operator,
+  SELECT event_id AS seq, 'm' || event_id AS id, 'src/f:' || (user_id % 10) || ',%.rs' AS file, user_id AS function, [{names}][CAST(json_extract_string(props, '$.k') AS BIGINT) % {n} + 1] AS operator,
     CASE event_type WHEN 'view' THEN 'survived' WHEN 'click' THEN 'killed' WHEN 'purchase' THEN 'killed' WHEN 'signup' THEN 'timeout' ELSE 'error' END AS status,
-    event_id % 97 + 1 AS line, event_id % 13 AS "column", 'edit ' || event_type || ' ' || (event_id % 7) AS description FROM events)"""
+    event_id % 97 + 1 AS line, event_id % 13 AS "column", 'edit ' || event_type || ' ' || (event_id % 7) AS description, event_type || ', 100%' AS original, 'x:' || (event_id % 7) AS replacement FROM events)""".format(names=", ".join(f"'{x}'" for x in _NAMES), n=len(_NAMES))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score entries for most of the functions of outcomes; some keys occur twice."""
     c = load(spark, sf_dir, "customer")
-    return c.where("c_custkey % 5 <> 0").select(
-        F.concat(F.lit("src/f:"), F.col("c_custkey") % 10, F.lit(",%.rs")).alias("file"), (F.col("c_custkey") - F.col("c_custkey") % 20 + F.col("c_custkey") % 10).alias("function"), (F.col("c_nationkey") + 1).cast("long").alias("cyclomatic"),
+    return c.select(
+        F.concat(F.when(F.col("c_custkey") % 5 == 0, "other/f:").otherwise("src/f:"), F.col("c_custkey") % 10, F.lit(",%.rs")).alias("file"), (F.col("c_custkey") - F.col("c_custkey") % 20 + F.col("c_custkey") % 10).alias("function"), (F.col("c_nationkey") + 1).cast("long").alias("cyclomatic"),
         (F.col("c_custkey") * 7 % 101).cast("double").alias("coverage"), (F.col("c_custkey") * 11 % 120).cast("double").alias("crap"), F.col("c_custkey").alias("scan_seq"))
 
 
 ENTRIES_SQL = """entries AS (
-  SELECT 'src/f:' || (c_custkey % 10) || ',%.rs' AS file, c_custkey - c_custkey % 20 + c_custkey % 10 AS function, CAST(c_nationkey + 1 AS BIGINT) AS cyclomatic, CAST(c_custkey * 7 % 101 AS DOUBLE) AS coverage, CAST(c_custkey * 11 % 120 AS DOUBLE) AS crap, c_custkey AS scan_seq
-  FROM customer WHERE c_custkey % 5 <> 0)"""
+  SELECT CASE WHEN c_custkey % 5 = 0 THEN 'other/f:' ELSE 'src/f:' END || (c_custkey % 10) || ',%.rs' AS file, c_custkey - c_custkey % 20 + c_custkey % 10 AS function, CAST(c_nationkey + 1 AS BIGINT) AS cyclomatic, CAST(c_custkey * 7 % 101 AS DOUBLE) AS coverage, CAST(c_custkey * 11 % 120 AS DOUBLE) AS crap, c_custkey AS scan_seq
+  FROM customer)"""
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +90,10 @@ def url_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rest = F.regexp_replace("url", r"^[a-z]+://|[?#].*$|/$", "")
     pages = load(spark, sf_dir, "pages").select("page_id", rest.alias("p"))
     parts = F.split("p", "/")
-    return pages.where("page_id % 3 <> 0").select(F.concat_ws("/", F.get(parts, F.size(parts) - 2), F.get(parts, F.size(parts) - 1)).alias("file")), pages.where("page_id % 4 <> 0").select(F.col("p").alias("file"))
+    last = F.concat(F.get(parts, F.size(parts) - 1), F.when(F.col("page_id") % 3 == 0, "~").otherwise(""))
+    return pages.select(F.concat_ws("/", F.get(parts, F.size(parts) - 2), last).alias("file")), pages.select(F.concat("p", F.when(F.col("page_id") % 4 == 0, "+").otherwise("")).alias("file"))
 
 
 URL_FILES_SQL = """paths AS (SELECT page_id, regexp_replace(url, '^[a-z]+://|[?#].*$|/$', '', 'g') AS p FROM pages),
-sources AS (SELECT DISTINCT concat_ws('/', split_part(p, '/', -2), split_part(p, '/', -1)) AS file FROM paths WHERE page_id % 3 <> 0),
-covered AS (SELECT DISTINCT p AS file FROM paths WHERE page_id % 4 <> 0)"""
+sources AS (SELECT DISTINCT concat_ws('/', split_part(p, '/', -2), split_part(p, '/', -1) || CASE WHEN page_id % 3 = 0 THEN '~' ELSE '' END) AS file FROM paths),
+covered AS (SELECT DISTINCT p || CASE WHEN page_id % 4 = 0 THEN '+' ELSE '' END AS file FROM paths)"""

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mutalake.functions import catalog
+from mutalake.functions.session import discard, shared_folder
 from mutalake.operators import discovery, edits, outcomes, scoring, selection
 from mutalake.plans import adapters as A
 from mutalake.plans import programs, reports
@@ -46,7 +46,7 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_CRAP} SELECT file, function, cyclomatic, coverage, crap FROM crap")
 def crap_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).select("file", "function", "cyclomatic", "coverage", "crap").orderBy(F.desc("crap"), "file", "function")
+    return _scores(spark, sf_dir).select("file", "function", "cyclomatic", "coverage", "crap").orderBy(F.desc("crap"), scoring.path_parts("file"), "function")
 
 
 @query(f"WITH {A.FUNCTIONS_SQL} SELECT file, function, CAST(0 AS DOUBLE) AS coverage, CAST(cyclomatic * cyclomatic + cyclomatic AS DOUBLE) AS crap FROM functions")
@@ -136,9 +136,12 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.run_totals(A.outcomes(spark, sf_dir))
 
 
-@query(f"WITH {A.OUTCOMES_SQL}, t AS (SELECT operator, {_TOTALS} FROM outcomes GROUP BY operator) SELECT *, {_RATE} FROM t")
+_ORDINALS = "ordinals(operator, ordinal) AS (VALUES " + ", ".join(f"('{name}', {i})" for i, (name, *_) in enumerate(catalog.OPERATORS)) + ")"
+
+
+@query(f"WITH {A.OUTCOMES_SQL}, {_ORDINALS}, t AS (SELECT operator, {_TOTALS} FROM outcomes GROUP BY operator) SELECT t.*, {_RATE}, row_number() OVER (ORDER BY total DESC, ordinal) AS position FROM t JOIN ordinals USING (operator)")
 def operator_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcomes.operator_summary(A.outcomes(spark, sf_dir)).orderBy(F.desc("total"), "operator")
+    return outcomes.operator_order(outcomes.operator_summary(A.outcomes(spark, sf_dir)))
 
 
 _ENTRY = "one AS (SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY file, function ORDER BY crap, scan_seq DESC) = 1)"
@@ -161,13 +164,13 @@ def summary_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.all_summaries(A.outcomes(spark, sf_dir))
 
 
-@query(f"""{_FUNCTION}, p AS (SELECT file, function, priority_score, row_number() OVER (ORDER BY priority_score DESC, file, function) AS position, count(*) OVER () AS n FROM summary),
+@query(f"""{_FUNCTION}, p AS (SELECT file, function, priority_score, row_number() OVER (ORDER BY priority_score DESC, string_split(file, '/'), function) AS position, count(*) OVER () AS n FROM summary),
 h AS (SELECT *, least(greatest(n // 3, 1), n) AS high FROM p) SELECT file, function, priority_score, position, CASE WHEN position <= high THEN 'high' WHEN position <= least(greatest(2 * n // 3, high + 1), n) THEN 'medium' ELSE 'low' END AS priority_group FROM h""")
 def priority_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.priority_groups(_summary(spark, sf_dir)).select("file", "function", "priority_score", "position", "priority_group")
 
 
-@query(f"{_FUNCTION} SELECT file, function, priority_score FROM summary WHERE survived > 0 OR timeout > 0 OR error > 0 ORDER BY priority_score DESC, file, function LIMIT 10")
+@query(f"{_FUNCTION} SELECT file, function, priority_score FROM summary WHERE survived > 0 OR timeout > 0 OR error > 0 ORDER BY priority_score DESC, string_split(file, '/'), function LIMIT 10")
 def weak_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.weak_functions(_summary(spark, sf_dir)).select("file", "function", "priority_score")
 
@@ -219,8 +222,8 @@ def plan_index_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir, strategy="actionable", limit=100).select("id", "plan_index")
 
 
-@query(f"""{_KNOWN}, r AS (SELECT id, CASE WHEN crap IS NULL THEN 'function has no entry' ELSE concat_ws('; ', CASE WHEN crap BETWEEN 15 AND 40 THEN 'crap is in the useful range' END, CASE WHEN cyclomatic BETWEEN 5 AND 15 THEN 'complexity is in the useful range' END,
-  CASE WHEN coverage BETWEEN 60 AND 90 THEN 'coverage is in the useful range' END, CASE WHEN coverage <= 0 THEN 'function isn''t covered' END, CASE WHEN crap > 80 THEN 'crap is too high' END) END AS x FROM known) SELECT id, CASE WHEN x = '' THEN 'no scoring rules matched' ELSE x END AS reasons FROM r""")
+@query(f"""{_KNOWN}, r AS (SELECT id, CASE WHEN crap IS NULL THEN 'function has no entry' ELSE concat_ws('; ', CASE WHEN crap BETWEEN 15 AND 40 THEN 'crap ' || printf('%.1f', crap) || ' lies in [15,40]' END, CASE WHEN cyclomatic BETWEEN 5 AND 15 THEN 'complexity ' || cyclomatic || ' lies in [5,15]' END,
+  CASE WHEN coverage BETWEEN 60 AND 90 THEN 'coverage ' || printf('%.1f', coverage) || '% lies in [60,90]' END, CASE WHEN coverage <= 0 THEN 'function isn''t covered' END, CASE WHEN crap > 80 THEN 'crap ' || printf('%.1f', crap) || ' exceeds 80' END) END AS x FROM known) SELECT id, CASE WHEN x = '' THEN 'no scoring rules matched' ELSE x END AS reasons FROM r""")
 def explain_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = selection.with_entries(A.outcomes(spark, sf_dir), A.entries(spark, sf_dir))
     return known.select("id", F.array_join(selection.reasons("actionable"), "; ").alias("reasons"))
@@ -286,7 +289,7 @@ def path_component_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ESCAPED = "replace(replace(replace({x}, '%', '%25'), ':', '%3A'), ',', '%2C')"
 
 
-@query(f"""WITH {A.OUTCOMES_SQL} SELECT id, '::warning file=' || {_ESCAPED.format(x="file")} || ',line=' || line || ',col=' || ("column" + 1) || '::' || {_ESCAPED.format(x="'survived: ' || operator")} AS annotation FROM outcomes WHERE status = 'survived'""")
+@query(f"""WITH {A.OUTCOMES_SQL} SELECT id, '::warning file=' || {_ESCAPED.format(x="file")} || ',line=' || line || ',col=' || ("column" + 1) || ',title=Survived mutant::' || {_ESCAPED.format(x="operator || ' ' || original || ' -> ' || replacement || ' survived in ' || function")} AS annotation FROM outcomes WHERE status = 'survived'""")
 def annotation_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.annotations(A.outcomes(spark, sf_dir))
 
@@ -302,15 +305,29 @@ def agent_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.agent_tasks(A.outcomes(spark, sf_dir), _summary(spark, sf_dir)).select("id", "file", "function", "crap", "priority_score", "task_id")
 
 
-@query(f"WITH {A.OUTCOMES_SQL} SELECT id, CASE WHEN status = 'survived' THEN description ELSE '' END AS stdout FROM outcomes")
+def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.outcomes(spark, sf_dir).select("id", "status", F.col("description").alias("diff"), F.col("original").alias("stdout"), F.col("replacement").alias("stderr"))
+
+
+@query(f"WITH {A.OUTCOMES_SQL} SELECT id, status, description AS diff, '' AS stdout, '' AS stderr FROM outcomes")
 def detail_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outcomes.trim(A.outcomes(spark, sf_dir).withColumn("stdout", F.col("description"))).select("id", "stdout")
+    return outcomes.trim(_printed(spark, sf_dir))
+
+
+@query(f"WITH {A.OUTCOMES_SQL} SELECT id, status, '' AS diff, '' AS stdout, '' AS stderr FROM outcomes WHERE status = 'survived'")
+def detail_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes.trim(_printed(spark, sf_dir), "compact")
+
+
+@query(f"WITH {A.OUTCOMES_SQL} SELECT id, status, description AS diff, original AS stdout, replacement AS stderr FROM outcomes")
+def detail_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outcomes.trim(_printed(spark, sf_dir), "full")
 
 
-@query("""WITH n AS (SELECT doc_id, string_split(text, chr(10)) AS l, CAST(doc_id % 5 + 1 AS INT) AS line FROM documents)
-SELECT doc_id, array_to_string(list_transform(range(greatest(line - 2, 1), least(line + 2, len(l)) + 1), lambda i: CASE WHEN i = line THEN '> ' ELSE '  ' END || i || ' | ' || l[i]), chr(10)) AS context FROM n""")
+@query("""WITH n AS (SELECT doc_id, string_split(text, chr(10)) AS l, CAST(doc_id % 5 + 1 AS INT) AS line FROM documents WHERE length(text) > 0)
+SELECT doc_id, greatest(line - 2, 1) AS start_line, CAST(least(line + 2, len(l)) AS INT) AS end_line, array_to_string(list_transform(range(greatest(line - 2, 1), least(line + 2, len(l)) + 1), lambda i: CASE WHEN i = line THEN '> ' ELSE '  ' END || lpad(CAST(i AS VARCHAR), 4, ' ') || ' | ' || l[i] || chr(10)), '') AS snippet FROM n""")
 def survivors_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.load(spark, sf_dir, "documents").select("doc_id", reports.context(F.col("text"), (F.col("doc_id") % 5 + 1).cast("int"), 2).alias("context"))
+    return A.load(spark, sf_dir, "documents").select("doc_id", reports.context(F.col("text"), (F.col("doc_id") % 5 + 1).cast("int"), 2).alias("context")).where("context is not null").select("doc_id", "context.*")
 
 
 def _values(rows: list[tuple]) -> str:
@@ -342,9 +359,9 @@ def stream_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from mutalake.streaming.events import count_available
 
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    folder, name = f"{shared}/events-{uuid.uuid4().hex}", f"counts_{uuid.uuid4().hex}"
+    folder, name = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}", f"counts_{uuid.uuid4().hex}"
     rows = A.outcomes(spark, sf_dir).select(F.lit("mutant_finished").alias("event"), F.lit("r1").alias("run_id"), "id", "status")
     rows.write.json(f"{folder}/in")
     count_available(spark, f"{folder}/in", name, f"{folder}/state").awaitTermination()
+    discard(spark, folder)
     return spark.table(name)

@@ -1,12 +1,21 @@
-"""Report sinks: annotations, SARIF rules and results, agent tasks, JSON and the run ledger."""
+"""Report sinks: annotations, SARIF, agent tasks, JSON, markdown and text, and the run ledger.
+
+What grows with the run stays a DataFrame: documents are rows (place, text) that a text sink writes in
+order. Only totals, operators and the ten weakest functions come to the driver.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from mutalake.operators.outcomes import run_totals
+from mutalake.functions.catalog import operator_catalog
+from mutalake.operators.outcomes import affected_files, best_of_site, function_summary, operator_order, operator_summary, ranked, run_totals, weak_functions
 from mutalake.operators.rank import with_place
+from mutalake.operators.scoring import path_parts
+
+#: Versions of the report formats.
+REPORT_VERSION, SARIF_VERSION = 1, "2.1.0"
 
 
 def escaped(c: Column) -> Column:
@@ -20,9 +29,38 @@ def survivors(outcomes: DataFrame) -> DataFrame:
     return outcomes.where("status = 'survived'")
 
 
+def mutation() -> Column:
+    return F.concat("original", F.lit(" -> "), "replacement")
+
+
+#: What a test should look at, by category of the operator, in our own words.
+FOCUS = {
+    "comparison": "Test the values on both sides of this bound, and the bound itself.", "equality": "Test one case where both sides are equal and one where they differ.", "logical": "Test each operand alone, so that the other one can't decide.",
+    "boolean_literal": "Assert what follows from this flag in both states.", "numeric_literal": "Assert the exact result that this number leads to.", "range_boundary": "Test the last element of the range.", "method": "Assert a result that only this method gives.",
+    "return_value": "Assert the returned value itself.", "nullability": "Test with the value missing and with it present.", "membership": "Test a member and a stranger.", "truthiness": "Take both branches of this condition.", "collection_boundary": "Test an empty and a filled collection.",
+    "dict": "Test a key that is missing.", "comprehension": "Test with an element that the filter should drop.", "collection": "Assert the elements, not only that there is a collection.", "pattern_matching": "Test an input for this arm and one for the others.",
+    "error_handling": "Test the failing path and assert the error.", "arithmetic": "Assert a result that tells these operations apart.", "conditional": "Test both arms and assert what each gives.", "object": "Assert the object's members.", "string": "Assert the text itself.",
+    "statement": "Assert that the awaited result is there before going on.", "assignment": "Assert the value after this assignment.",
+}
+
+
+def with_suggestion(rows: DataFrame) -> DataFrame:
+    """rows(operator, function, original, replacement) with focus, operator_hint and prompt."""
+    hints = F.create_map(*(F.lit(x) for pair in FOCUS.items() for x in pair))
+    known = operator_catalog(rows.sparkSession).select("operator", "category")
+    out = rows.join(F.broadcast(known), "operator", "left")  # a fixed table
+    hint = F.coalesce(F.element_at(hints, F.col("category")), F.lit("Assert the behaviour that this edit changes."))
+    focus = F.concat(F.lit("Function "), F.col("function").cast("string"))
+    prompt = F.concat(F.lit("Add a test of "), F.col("function").cast("string"), F.lit(" that fails when "), F.col("original"), F.lit(" becomes "), F.when(F.col("replacement") == "", "nothing").otherwise(F.col("replacement")), F.lit(". "), hint)
+    return out.withColumns({"focus": focus, "operator_hint": hint, "prompt": prompt}).drop("category")
+
+
 def annotations(outcomes: DataFrame) -> DataFrame:
-    """(id, annotation) of each survivor, with 1-based columns."""
-    text = F.concat(F.lit("::warning file="), escaped(F.col("file")), F.lit(",line="), F.col("line"), F.lit(",col="), F.col("column") + 1, F.lit("::"), escaped(F.concat(F.lit("survived: "), F.col("operator"))))
+    """(id, annotation) of each survivor, with 1-based columns; with a prompt, if there is one, behind the message."""
+    body = F.concat(F.col("operator"), F.lit(" "), mutation(), F.lit(" survived in "), F.col("function").cast("string"))
+    if "prompt" in outcomes.columns:
+        body = F.concat(body, F.coalesce(F.concat(F.lit(". "), "prompt"), F.lit("")))
+    text = F.concat(F.lit("::warning file="), escaped(F.col("file")), F.lit(",line="), F.col("line"), F.lit(",col="), F.col("column") + 1, F.lit(",title="), escaped(F.lit("Survived mutant")), F.lit("::"), escaped(body))
     return survivors(outcomes).select("id", text.alias("annotation"))
 
 
@@ -32,28 +70,135 @@ def sarif_rules(outcomes: DataFrame) -> DataFrame:
 
 
 def sarif_results(outcomes: DataFrame) -> DataFrame:
-    """(id, result) with each survivor's SARIF 2.1.0 result object as JSON."""
+    """(id, seq, result) with each survivor's SARIF result object as JSON."""
     region = F.struct(F.col("line").alias("startLine"), (F.col("column") + 1).alias("startColumn"))
     place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     result = F.struct(F.col("operator").alias("ruleId"), F.lit("warning").alias("level"), F.struct(F.col("description").alias("text")).alias("message"), F.array(place).alias("locations"))
-    return survivors(outcomes).select("id", F.to_json(result).alias("result"))
+    return survivors(outcomes).select("id", "seq", F.to_json(result).alias("result"))
+
+
+def lines_in_order(rows: DataFrame) -> DataFrame:
+    """rows(part, place, text) as text in order of part and place."""
+    return rows.orderBy("part", "place").select("text")
+
+
+def sarif_document(outcomes: DataFrame) -> DataFrame:
+    """(part, place, text): the lines of a whole SARIF document, one a rule and one a result."""
+    spark = outcomes.sparkSession
+    rule = F.to_json(F.struct(F.col("rule_id").alias("id"), F.struct(F.col("help").alias("text")).alias("shortDescription"), F.struct(F.lit("warning").alias("level")).alias("defaultConfiguration")))
+    rules = with_place(sarif_rules(outcomes), [F.asc("rule_id")], "place").select(F.lit(1).alias("part"), F.col("place"), F.concat(F.when(F.col("place") > 1, ","), rule).alias("text"), rule.alias("first"))
+    results = with_place(sarif_results(outcomes), [F.asc("seq")], "place").select(F.lit(3).alias("part"), F.col("place"), F.concat(F.when(F.col("place") > 1, ","), "result").alias("text"), F.col("result").alias("first"))
+    body = rules.union(results).select("part", "place", F.coalesce("text", "first").alias("text"))
+    head = f'{{"version":"{SARIF_VERSION}","$schema":"https://json.schemastore.org/sarif-{SARIF_VERSION}.json","runs":[{{"tool":{{"driver":{{"name":"mutalake","rules":['
+    frame = spark.createDataFrame([(0, 0, head), (2, 0, ']}},"results":['), (4, 0, "]}]}")], "part int, place long, text string")
+    return frame.union(body)
 
 
 def agent_tasks(outcomes: DataFrame, functions: DataFrame) -> DataFrame:
-    """One task a survivor, test-task-001 and so on in outcome order, with its function's summary."""
-    numbered = with_place(survivors(outcomes), [F.col("seq")], "task")
-    summary = functions.select("file", "function", "crap", "coverage", "mutation_score", "priority_score")
-    return numbered.join(summary, ["file", "function"], "left").withColumn("task_id", F.format_string("test-task-%03d", "task")).drop("task")
+    """One task a survivor, test-task-001 and so on in outcome order: where, what, a suggestion and its function's summary."""
+    numbered = with_place(with_suggestion(survivors(outcomes)), [F.col("seq")], "task")
+    summary = functions.select("file", "function", "cyclomatic", "coverage", "crap", "mutation_score", "priority_score")
+    joined = numbered.withColumn("mutation", mutation()).withColumn("column", F.col("column") + 1).join(summary, ["file", "function"], "left")
+    context = ["source_context"] if "source_context" in outcomes.columns else []
+    return joined.select(
+        F.format_string("test-task-%03d", "task").alias("task_id"), "id", "file", "function", "line", "column", "operator", "mutation", "focus", "operator_hint", "prompt",
+        "cyclomatic", "coverage", "crap", "mutation_score", F.coalesce("priority_score", F.lit(0.0)).alias("priority_score"), "seq", *context)
 
 
 def context(text: Column, line: Column, radius: int) -> Column:
-    """Lines around a 1-based line, numbered, the line itself marked; null for radius 0."""
+    """(start_line, end_line, snippet): lines around a 1-based line, numbered, the line itself marked; null for radius 0 or no line."""
+    kind = "struct<start_line: int, end_line: int, snippet: string>"
     if not radius:
-        return F.lit(None).cast("string")
+        return F.lit(None).cast(kind)
     lines = F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n")
-    first = F.greatest(line - radius, F.lit(1))
-    part = F.slice(lines, first, F.greatest(F.least(line + radius, F.size(lines)) - first + 1, F.lit(0)))
-    return F.array_join(F.transform(part, lambda x, i: F.concat(F.when(first + i == line, "> ").otherwise("  "), (first + i).cast("string"), F.lit(" | "), x)), "\n")
+    line = F.greatest(line, F.lit(1))
+    first, last = F.greatest(line - radius, F.lit(1)), F.least(line + radius, F.size(lines))
+    part = F.slice(lines, first, F.greatest(last - first + 1, F.lit(0)))
+    shown = F.transform(part, lambda x, i: F.concat(F.when(first + i == line, "> ").otherwise("  "), F.lpad((first + i).cast("string"), 4, " "), F.lit(" | "), x, F.lit("\n")))
+    return F.when(F.length(text) > 0, F.struct(first.cast("int").alias("start_line"), last.cast("int").alias("end_line"), F.array_join(shown, "").alias("snippet"))).cast(kind)
+
+
+def _shown(value: float | None, unit: str = "") -> str:
+    return "n/a" if value is None else f"{value:.1f}{unit}"
+
+
+def human_text(totals: Row, operators: list[Row], weak: list[Row]) -> str:
+    """The text report from run totals, the operators in order and the weakest functions, each with a list survivors."""
+    out = [f"Score {_shown(totals.mutation_score, '%')}: {totals.killed} killed, {totals.survived} survived, {totals.timeout} timed out, {totals.error} failed", ""]
+    if operators:
+        out.append("By operator:")
+        out += [f"  {r.operator:<28} {r.total:>5} mutants {r.killed:>5} killed {r.survived:>5} survived  {_shown(r.mutation_score, '%')}" for r in operators]
+        out.append("")
+    if not weak:
+        return "\n".join([*out, "No weakly tested functions.", ""])
+    out += ["Functions to test first:", ""]
+    for i, f in enumerate(weak, 1):
+        out += [f"{i}. {f.file}::{f.function}", f"   crap {_shown(f.crap)}, complexity {'n/a' if f.cyclomatic is None else f.cyclomatic}, coverage {_shown(f.coverage, '%')}, score {_shown(f.mutation_score, '%')}, priority {f.priority_score:.1f}"]
+        out += [f"   - {s.operator} at {s.line}:{s.column + 1}: {s.mutation}" for s in f.survivors]
+        out.append("")
+    return "\n".join(out)
+
+
+def text_report(outcomes: DataFrame, scores: DataFrame, top: int = 10) -> str:
+    """human_text of a run; a top-k report, so only so many functions and their survivors come to the driver."""
+    functions = function_summary(outcomes, scores)
+    found = survivors(outcomes).groupBy("file", "function").agg(F.sort_array(F.collect_list(F.struct("seq", "operator", "line", "column", mutation().alias("mutation")))).alias("survivors"))
+    weak = weak_functions(functions, top).join(found, ["file", "function"], "left").orderBy(F.desc("priority_score"), path_parts("file"), "function").withColumn("survivors", F.coalesce("survivors", F.array()))
+    return human_text(run_totals(outcomes).first(), operator_order(operator_summary(outcomes)).orderBy("position").collect(), weak.collect())
+
+
+def tasks_markdown(tasks: DataFrame) -> DataFrame:
+    """(part, place, text): the markdown report of tasks, duplicates of a site once, thirds by priority, context for the first third."""
+    spark = tasks.sparkSession
+    distinct = best_of_site(tasks.withColumn("priority", F.col("priority_score")))
+    rest = [c for c in tasks.columns if c not in ("file", "line", "column", "operator", "mutation", "priority")]
+    rows = distinct.select("file", "line", "column", "operator", "mutation", "seq", "duplicates").join(tasks.select(*rest), "seq")
+    n = distinct.count()
+    placed = ranked(rows, [F.desc("priority_score"), F.asc("seq")])
+    high = max(1, n // 3) if n else 0
+    medium = max(min(2 * n // 3, n), min(high + 1, n))
+    group = F.when(F.col("position") <= high, "High").when(F.col("position") <= medium, "Medium").otherwise("Low")
+    number = lambda c, unit="": F.coalesce(F.concat(F.expr(f"format_number({c}, '0.0')"), F.lit(unit)), F.lit("n/a"))
+    body = F.concat(
+        F.lit("### "), "task_id", F.lit(": "), "file", F.lit(":"), "line", F.lit(" "), F.col("function").cast("string"), F.lit("\n\n- edit: `"), "mutation", F.lit("` ("), "operator", F.lit(")"), F.when(F.col("duplicates") > 1, F.concat(F.lit(", found "), "duplicates", F.lit(" times"))).otherwise(""),
+        F.lit("\n- priority "), number("priority_score"), F.lit(", crap "), number("crap"), F.lit(", coverage "), number("coverage", "%"), F.lit("\n- "), "prompt", F.lit("\n"))
+    if "source_context" in tasks.columns:
+        body = F.concat(body, F.when((group == "High") & F.col("source_context").isNotNull(), F.concat(F.lit("\n```\n"), "source_context.snippet", F.lit("```\n"))).otherwise(""))
+    heading = F.when(F.col("position").isin(1, high + 1, medium + 1), F.concat(F.lit("## "), group, F.lit(" priority\n\n"))).otherwise("")
+    parts = placed.select(F.lit(2).alias("part"), F.col("position").alias("place"), F.concat(heading, body).alias("text"))
+    files = affected_files(tasks.withColumn("status", F.lit("survived"))).collect()
+    targets = placed.groupBy("file", "function").agg(F.min("position").alias("position")).orderBy("position").limit(10).collect()
+    counts = distinct.agg(F.count("*").alias("n"), F.count_distinct("file", "line").alias("places"), F.sum("duplicates").alias("all")).first()
+    head = ["# Survived mutants", "", f"{counts.all or 0} survivors, {counts.n} distinct, at {counts.places} places.", "", *(f"- {r.file}: {r.survivors}" for r in files), "", "Test first:", "", *(f"{i}. {r.file}::{r.function}" for i, r in enumerate(targets, 1)), ""]
+    return spark.createDataFrame([(0, 0, "\n".join(head))], "part int, place long, text string").union(parts)
+
+
+def json_report(outcomes: DataFrame, scores: DataFrame) -> DataFrame:
+    """(part, place, text): the lines of one JSON object with totals, operators, functions and outcomes, one row a line."""
+    spark = outcomes.sparkSession
+
+    def rows(part: int, df: DataFrame, order: list[Column]) -> DataFrame:
+        placed = with_place(df, order, "place_")
+        text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+        return placed.select(F.lit(part).alias("part"), F.col("place_").alias("place"), F.concat(F.when(F.col("place_") > 1, ",").otherwise(""), text).alias("text"))
+
+    functions = function_summary(outcomes, scores)
+    ordered = operator_order(operator_summary(outcomes)).drop("position")
+    out = rows(1, run_totals(outcomes), [F.asc("total")]).union(rows(3, ordered, [F.desc("total"), F.asc("operator")]))
+    out = out.union(rows(5, functions, [F.desc("priority_score"), path_parts("file"), F.asc("function")])).union(rows(7, outcomes, [F.asc("seq")]))
+    frame = [(0, f'{{"version":{REPORT_VERSION},"totals":'), (2, ',"operators":['), (4, '],"functions":['), (6, '],"outcomes":['), (8, "]}")]
+    return spark.createDataFrame([(part, 0, text) for part, text in frame], "part int, place long, text string").union(out)
+
+
+def operators_text(operators: DataFrame, implementations: DataFrame) -> str:
+    """A line an operator, with its category, whether it is on, and its languages; a fixed table."""
+    langs = implementations.groupBy("operator").agg(F.array_join(F.array_sort(F.collect_set("language")), ", ").alias("languages"))
+    return "\n".join(f"{r.operator:<34} {r.category:<20} {'on' if r.default_enabled else 'off':<4} {r.languages}" for r in operators.join(langs, "operator").orderBy("ordinal").collect())
+
+
+def languages_text(languages: DataFrame) -> str:
+    """A line a language, with its support and extensions; a fixed table."""
+    return "\n".join(f"{r.language:<12} {r.support:<20} {', '.join(r.extensions)}" for r in languages.orderBy("ordinal").collect())
 
 
 def write_ledger(folder: str, run_id: str, metadata: DataFrame, plan: DataFrame, events: DataFrame, outcomes: DataFrame) -> None:

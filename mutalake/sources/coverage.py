@@ -13,12 +13,13 @@ FORMATS = ("lcov", "cobertura", "jacoco", "go")
 def detect_format(path: str, head: str) -> str:
     """By name or by the first 4096 characters."""
     name = path.replace("\\", "/").rsplit("/", 1)[-1]
+    extension = name.rpartition(".")[2].lower() if "." in name.lstrip(".") else ""
     head = head[:4096]
-    if name.endswith(".info"):
+    if extension == "info":
         return "lcov"
-    if head.startswith("mode:") or name.endswith((".coverprofile", "coverage.out", "cover.out")):
+    if name in ("coverage.out", "cover.out") or head.lstrip().startswith("mode:"):
         return "go"
-    if name.endswith(".xml") or "<" in head:
+    if extension == "xml" or "<" in head:
         if "<report" in head:
             return "jacoco"
         if "<coverage" in head:

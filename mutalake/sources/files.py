@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mutalake.functions.catalog import language_catalog
 
 # Folders left out by default.
-DEFAULT_EXCLUDES = ["target/**", "node_modules/**", ".git/**", "dist/**", "build/**", "vendor/**", ".venv/**"]
+DEFAULT_EXCLUDES = ["target/**", ".mutalake/**", ".git/**", "node_modules/**", "vendor/**", "__pycache__/**", ".gradle/**"]
 
 
 def ignore_lines(text: str) -> list[str]:

@@ -11,13 +11,22 @@ from mutalake.operators.outcomes import STATUSES
 EVENT_SCHEMA = "event string, run_id string, total int, jobs int, completed int, id string, status string, duration_ms long, exit_code int, operator string, file string, line int, column int, killed int, survived int, timeout int, error int"
 
 
+#: How long after a mutant's first event another one of it may come; older keys leave the state.
+REPEATS_WITHIN = "2 days"
+
+
 def read_events(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    """The events of a folder, with the time at which their file was written as ingested_at."""
+    raw = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    return raw.select("*", F.col("_metadata.file_modification_time").alias("ingested_at"))
 
 
 def finished(events: DataFrame) -> DataFrame:
-    """One row a finished mutant of a run."""
-    return events.where("event = 'mutant_finished'").dropDuplicates(["run_id", "id"])
+    """One row a finished mutant of a run; a stream drops repeats that come within REPEATS_WITHIN and keeps no older state."""
+    done = events.where("event = 'mutant_finished'")
+    if events.isStreaming:
+        return done.withWatermark("ingested_at", REPEATS_WITHIN).dropDuplicatesWithinWatermark(["run_id", "id"])
+    return done.dropDuplicates(["run_id", "id"])
 
 
 def status_counts(events: DataFrame) -> DataFrame:

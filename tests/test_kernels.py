@@ -104,7 +104,8 @@ def test_seed_prefix_and_order_independence(spark):
         (scanners.sorted_reverse_flip, "sorted(x)", "sorted(x, reverse=True)"), (scanners.sorted_reverse_flip, "sorted(x, reverse=True)", "sorted(x, reverse=False)"),
         (scanners.nullish_coalescing_removal, "f(a ?? b) ?? c", "f(a ?? b)"), (scanners.ternary_arm_swap, "a ? b ? 1 : 2 : c", "a ? c : b ? 1 : 2"), (scanners.ternary_arm_swap, "a?.b ?? c", None),
         (scanners.nullable_access_to_member_access, "'a?.b' + x?.y", "'a?.b' + x.y"), (scanners.is_pattern_negation, "a is b is c", "a is b is not c"), (scanners.is_pattern_negation, "x is not T", "x is T"),
-        (scanners.as_expression_to_direct_cast, "a + b as T", "(T)(a + b)"), (scanners.as_expression_to_direct_cast, "a as T", "(T)a"),
+        (scanners.as_expression_to_direct_cast, "a + b as T", "(T)(a + b)"), (scanners.as_expression_to_direct_cast, "a as T", "(T)a"), (scanners.is_pattern_negation, "(a)is T", "(a) is not T"), (scanners.is_pattern_negation, "x is(T)", "x is not (T)"), (scanners.is_pattern_negation, "x is not(T)", "x is (T)"),
+        (scanners.is_pattern_negation, "island", None), (scanners.as_expression_to_direct_cast, "f(x as Y)", None), (scanners.dict_get_default_removal, "d.get(`a, b`)", "d.get(`a)"),
     ],
 )
 def test_scanners(f, text, want):
@@ -113,7 +114,11 @@ def test_scanners(f, text, want):
 
 def test_macro_ranges():
     text = 'fn f() { assert!(x(1)); // panic!()\n "todo!()"; println!("{}", vec![1]) }'
-    assert [(n, text[a:b]) for n, a, b in edits.macro_ranges(text)] == [("assert", "assert!(x(1))"), ("println", 'println!("{}", vec![1])')]
+    assert [(n, text[a:b]) for n, a, b in edits.macro_ranges(text)] == [("assert", "x(1)"), ("println", '"{}", vec![1]')]
+    deep = "m!(" * 3 + "assert!{ x }" + ")" * 3
+    assert [(n, deep[a:b]) for n, a, b in edits.macro_ranges(deep)] == [("m", "m!(m!(assert!{ x }))")]
+    long = "a" * 300 + "!(b) c!(d"
+    assert [(len(n), long[a:b]) for n, a, b in edits.macro_ranges(long)] == [(300, "b")]
 
 
 def test_skip_order(spark):
@@ -138,6 +143,9 @@ def test_coverage_readers(spark, tmp_path):
     assert coverage.parse_spec("C:/x.info") == (None, "C:/x.info") and rows() == {}
     with pytest.raises(ValueError):
         coverage.detect_format("x.txt", "hello")
+    assert coverage.detect_format("X.INFO", "") == "lcov" and coverage.detect_format("a.txt", "\n mode: set") == "go" and coverage.detect_format("r.XML", "<report>") == "jacoco"
+    with pytest.raises(ValueError):
+        coverage.detect_format("mycoverage.out", "x")
 
 
 def test_sources(spark, tmp_path):
@@ -150,7 +158,7 @@ def test_sources(spark, tmp_path):
 
 def test_context_and_ledger(spark, tmp_path):
     row = spark.createDataFrame([("a\nb\nc\n", 3)], "t string, l int").select(reports.context(F.col("t"), F.col("l"), 1).alias("x"), reports.context(F.col("t"), F.col("l"), 0).alias("z")).first()
-    assert row.x == "  2 | b\n> 3 | c" and row.z is None
+    assert (row.x.start_line, row.x.end_line, row.x.snippet) == (2, 3, "     2 | b\n>    3 | c\n") and row.z is None
     rows = spark.createDataFrame([(1, "killed")], "seq int, status string")
     reports.write_ledger(str(tmp_path), "r1", rows, rows, rows, rows)
     assert spark.read.json(str(tmp_path / "run_id=r1/totals")).first().killed == 1
