@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mutalake.llm.common import checkpointed, list_array, partitions_of
+from mutalake.llm.common import checkpointed, list_array, mix, partitions_of
 from mutalake.llm.components import connected_components, contract
 
 #: Elements and members that one task of a group holds at most, for a side.
@@ -27,6 +27,8 @@ BLOCK_ELEMENTS = 2_000_000
 TASKS = "array<struct<task: bigint, side: int>>"
 #: Expanded (member, posting) pairs that are counted together.
 EXPAND = 1_000_000
+#: Sets of a group that is searched together with others, and elements of such groups.
+FEW, FEW_ELEMENTS = 48, 150_000
 #: Signature rows that a map task joins locally before the shuffle.
 LOCAL_ROWS = 1_000_000
 
@@ -295,27 +297,27 @@ def _links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Ite
     order = np.argsort(flat, kind="stable")
     keys, owners = flat[order], np.repeat(np.arange(len(right)), [len(x) for x in right])[order]
     sizes = np.array([len(x) for x in right])
+    lengths = np.array([len(x) for x in left])
+    mine = np.concatenate(left)
+    lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+    owner = np.repeat(np.arange(len(left)), lengths)
+    hit = hi > lo
+    lo, count, owner = lo[hit], (hi - lo)[hit], owner[hit]
+    done = np.cumsum(count)
     at = 0
-    while at < len(left):
-        spans, members, work = [], [], 0
-        while at < len(left) and (not spans or work < EXPAND):
-            lo, hi = np.searchsorted(keys, left[at], "left"), np.searchsorted(keys, left[at], "right")
-            spans.append((lo[hi > lo], hi[hi > lo]))
-            members.append(at)
-            work += int((hi - lo).sum())
-            at += 1
-        lo, hi = np.concatenate([x[0] for x in spans]), np.concatenate([x[1] for x in spans])
-        if not len(lo):
-            continue
-        count = hi - lo
-        ends = np.cumsum(count)
-        places = np.arange(ends[-1]) + np.repeat(lo - (ends - count), count)
-        mine = np.repeat(np.repeat(np.arange(len(members)), [len(x[0]) for x in spans]), count)
-        code, both = np.unique(mine * len(right) + owners[places], return_counts=True)
-        a, b = np.array(members)[code // len(right)], code % len(right)
-        size = np.array([len(left[i]) for i in members])[code // len(right)] + sizes[b] - both
-        good = 100 * both >= percent * size
+    while at < len(count):
+        # Whole sets of the left side, EXPAND pairs of them or one set.
+        end = int(np.searchsorted(done, (done[at - 1] if at else 0) + EXPAND, "right"))
+        end = int(np.searchsorted(owner, owner[min(end, len(owner) - 1)], "left")) if end < len(owner) else end
+        end = max(end, int(np.searchsorted(owner, owner[at], "right")))
+        n = count[at:end]
+        ends = np.cumsum(n)
+        places = np.arange(ends[-1]) + np.repeat(lo[at:end] - (ends - n), n)
+        code, both = np.unique(np.repeat(owner[at:end], n) * len(right) + owners[places], return_counts=True)
+        a, b = code // len(right), code % len(right)
+        good = 100 * both >= percent * (lengths[a] + sizes[b] - both)
         yield a[good], b[good]
+        at = end
 
 
 #: Members tried as centres before the rest is searched.
@@ -359,12 +361,39 @@ def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by task key; each run of a key is searched when it is complete."""
         key, nodes, sides, sets = None, [], [], []
-        u, v = [], []
+        u, v, whole = [], [], []
+        few_nodes, few_sets, few = [], [], 0
+
+        def search_few() -> None:
+            """Small groups together: elements are told apart by their group."""
+            nonlocal few
+            if few_nodes:
+                roots = _Union(len(few_nodes))
+                for a, b in _links(few_sets, few_sets, percent):
+                    far = a > b
+                    roots.join(a[far], b[far])
+                found, ids = roots.roots(), np.array(few_nodes)
+                far = found != np.arange(len(found))
+                u.append(ids[far])
+                v.append(ids[found[far]])
+                whole.append(np.ones(int(far.sum()), dtype=bool))
+            few_nodes.clear()
+            few_sets.clear()
+            few = 0
 
         def search() -> None:
+            nonlocal few
             if len(nodes) < 2:
                 return
             side = np.array(sides)
+            if len(nodes) <= FEW and side[0] == 1:
+                salt = mix(np.array([key], dtype=np.int64).view(np.uint64))[0]
+                few_nodes.extend(nodes)
+                few_sets.extend(x.view(np.uint64) ^ salt for x in sets)
+                few += sum(map(len, sets))
+                if few > FEW_ELEMENTS:
+                    search_few()
+                return
             if (side < 2).all():
                 roots, order = components_within(sets, percent), np.arange(len(sets))
             else:
@@ -376,11 +405,12 @@ def _verify(percent: int):
             far = roots != np.arange(len(roots))
             u.append(ids[far])
             v.append(ids[roots[far]])
+            whole.append(np.full(int(far.sum()), side[0] == 1))
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
-            u.clear()
-            v.clear()
+            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v, whole)], names=["u", "v", "whole"])
+            for x in (u, v, whole):
+                x.clear()
             return made
 
         for batch in batches:
@@ -401,13 +431,14 @@ def _verify(percent: int):
             if len(u) > 10_000:
                 yield out()
         search()
+        search_few()
         if u:
             yield out()
 
     return run
 
 
-def similar_components(candidates: DataFrame, items_of, percent: int, block: int = BLOCK_ELEMENTS) -> DataFrame:
+def similar_components(candidates: DataFrame, items_of, percent: int, block: int | None = None) -> DataFrame:
     """(node, root) for nodes linked with another one: 100 * intersection >= percent * union, closed under links.
 
     candidates: (node, root, weight), each node's candidate group and the size of its set, by which
@@ -417,13 +448,15 @@ def similar_components(candidates: DataFrame, items_of, percent: int, block: int
     spark = candidates.sparkSession
     groups = checkpointed(candidates)
     sizes = groups.groupBy("root").agg(F.count("*").alias("members"), F.sum(F.col("weight") + 64).alias("total")).where("members > 1")
-    blocked = sizes.select("root", F.ceil(F.col("total") / block).cast("int").alias("blocks"))
+    blocked = sizes.select("root", F.ceil(F.col("total") / (block or BLOCK_ELEMENTS)).cast("int").alias("blocks"))
     placed = groups.join(blocked, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     # One block: one task. Several: a task for each block (i, i) and for each pair of blocks i < j.
     low, high = (lambda j: F.least(F.col("block"), j)), (lambda j: F.greatest(F.col("block"), j))
-    side = lambda j: F.when(F.col("block") == j, 0).when(F.col("block") < j, 2).otherwise(3)
+    side = lambda j: F.when(F.col("blocks") == 1, 1).when(F.col("block") == j, 0).when(F.col("block") < j, 2).otherwise(3)
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.xxhash64("root", low(j), high(j)).alias("task"), side(j).alias("side")))
     held = items_of(placed.select("node", tasks.alias("tasks"))).select("node", "items", F.explode("tasks").alias("t")).select("t.task", "node", "t.side", "items")
     n = partitions_of(spark)
-    links = held.repartition(n, "task").sortWithinPartitions("task", "node").mapInArrow(_verify(percent), "u long, v long")
-    return connected_components(links)
+    links = checkpointed(held.repartition(n, "task").sortWithinPartitions("task", "node").mapInArrow(_verify(percent), "u long, v long, whole boolean"))
+    # A group that was searched in one task gives its stars; those of several tasks are joined.
+    stars = links.where("whole").select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return stars.union(stars.select("root", "root").distinct()).union(connected_components(links.where("not whole")))
