@@ -31,20 +31,110 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 SILENT = "script|style|noscript|template|head|title|svg|iframe|object|math|canvas|audio|video|select|textarea"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({SILENT})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|(?=<body\b)|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_OPENING = re.compile(rf"<!--|<(?:({SILENT})\b|(/?)([a-z][a-z0-9:-]*))|<[!?]", re.I)
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 #: A tag that opens ends an open one of its kind.
 _ENDS_SAME = frozenset("p li dt dd tr td th option".split())
 
 
-def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(tag path, text, characters inside links) of each block with text, in page order."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str]] = []
+class Step:
+    """An element on the way to a block: its parent, tag, and the signed hashes of all tags and names down to it."""
+
+    __slots__ = ("parent", "tag", "depth", "sums", "below")
+
+    def __init__(self, parent: Step | None, tag: str, names: str):
+        self.parent, self.tag = parent, tag
+        self.depth = parent.depth + 1 if parent else 0
+        self.sums = _signs([tag, *(f".{x}" for x in names.split())]) if tag else np.zeros(PATH, dtype=np.float32)
+        if parent:
+            self.sums = self.sums + parent.sums
+        self.below: dict[tuple[str, str], Step] = {}
+
+    def vector(self) -> np.ndarray:
+        """The path's hashes, those of the two innermost tags also by place."""
+        if not self.depth:
+            return np.tanh(_signs(["", "0:"]) / 2)
+        own = self.sums + _signs([f"0:{self.tag}"])
+        if self.depth > 1:
+            own = own + _signs([f"1:{self.parent.tag}"])
+        return np.tanh(own / 2)
+
+
+@lru_cache(maxsize=20_000)
+def _sign(text: str) -> np.ndarray:
+    v = np.zeros(PATH, dtype=np.float32)
+    h = zlib.crc32(text.encode())
+    for shift in (0, 8, 16):
+        v[(h >> shift) % PATH] += 1.0 if (h >> (shift + 7)) & 1 else -1.0
+    return v
+
+
+def _signs(texts: list[str]) -> np.ndarray:
+    return np.sum([_sign(x) for x in texts], axis=0, dtype=np.float32)
+
+
+class _Scanner:
+    """Ends of tags in time linear in the page: scans that fail, as quotes never close, share a budget."""
+
+    def __init__(self, page: str):
+        self.page, self.budget, self.lost = page, 4 * len(page), set()
+
+    def tag_end(self, at: int) -> int:
+        """Behind the > of a tag whose attributes begin here, quotes observed; without it the next >, or the page's end."""
+        if self.budget > 0:
+            if m := _REST.match(self.page, at):
+                return m.end()
+            self.budget -= len(self.page) - at
+        k = self.page.find(">", at)
+        return len(self.page) if k < 0 else k + 1
+
+    def find(self, pattern: re.Pattern, at: int) -> re.Match | None:
+        """The next match; a pattern that is nowhere isn't sought again."""
+        if pattern in self.lost:
+            return None
+        m = pattern.search(self.page, at)
+        if m is None:
+            self.lost.add(pattern)
+        return m
+
+
+_ENDS = {x: re.compile(rf"</{x}\s*>", re.I) for x in SILENT.split("|")}
+_BODY = re.compile(r"<body\b", re.I)
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, tag or none for comments and silent elements, whether it closes, attributes) in order."""
+    scan, at = _Scanner(page), 0
+    while m := _OPENING.search(page, at):
+        if m.group() == "<!--":
+            k = page.find("-->", m.end())
+            at = len(page) if k < 0 else k + 3
+            yield m.start(), at, "", False, ""
+        elif m.group(1):
+            end = scan.tag_end(m.end())
+            close = scan.find(_ENDS[m.group(1).lower()], end) or scan.find(_BODY, end)
+            at = len(page) if close is None else close.start() if close.group().lower() == "<body" else close.end()
+            yield m.start(), at, "", False, ""
+        elif m.group(3):
+            at = scan.tag_end(m.end())
+            yield m.start(), at, m.group(3).lower(), bool(m.group(2)), page[m.end() : at - 1]
+        else:
+            k = page.find(">", m.end())
+            at = len(page) if k < 0 else k + 1
+            yield m.start(), at, "", False, ""
+
+
+def blocks(page: str, root: Step | None = None) -> list[tuple[Step, str, int]]:
+    """(path, text, characters inside links) of each block with text, in page order; in time linear in the page."""
+    out: list[tuple[Step, str, int]] = []
+    root = root or Step(None, "", "")
+    stack: list[Step] = [root]
+    opened: dict[str, int] = {}
     parts: list[str] = []
     linked = at = in_link = 0
-    path = ""
+    path = root
 
     def close() -> None:
         nonlocal linked
@@ -63,67 +153,61 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if in_link:
             linked += len(raw)
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            put(page[at : m.start()])
-        at = m.end()
-        tag = m.group(3)
-        if tag is None:
+    def leave(tag: str, depth: int) -> None:
+        """Ends the innermost open element of a tag, if one is among so many innermost ones."""
+        if not opened.get(tag):
+            return
+        k, last = len(stack) - 1, max(0, len(stack) - 1 - depth)
+        while k > last and stack[k].tag != tag:
+            k -= 1
+        if k > last:
+            for x in stack[k:]:
+                opened[x.tag] -= 1
+            del stack[k:]
+
+    for start, end, tag, closes, attributes in _tags(page):
+        if start > at:
+            put(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
-                in_link = not m.group(2)
+                in_link = not closes
             if tag not in ("ins", "span"):
                 continue
         else:
             close()
             in_link = 0
-        if m.group(2):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-        elif tag not in VOID and not m.group(4).endswith("/"):
+        if closes:
+            leave(tag, len(stack))
+        elif tag not in VOID and not attributes.endswith("/"):
             if tag in _ENDS_SAME:
-                for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-            names = " ".join(" ".join(_PARTS.findall("".join(x).lower())) for x in _NAMES.findall(m.group(4))) if m.group(4) else ""
-            stack.append((tag, f"{tag} {names}" if names else tag))
+                leave(tag, 3)
+            names = " ".join(" ".join(_PARTS.findall("".join(x).lower())) for x in _NAMES.findall(attributes)) if attributes else ""
+            own = stack[-1].below.get((tag, names))
+            if own is None:
+                own = stack[-1].below[tag, names] = Step(stack[-1], tag, names)
+            stack.append(own)
+            opened[tag] = opened.get(tag, 0) + 1
         if tag not in INLINE:
-            path = "/".join(x for _, x in stack)
+            path = stack[-1]
     if at < len(page):
         put(page[at:])
     close()
     return out
 
 
-@lru_cache(maxsize=20_000)
-def path_vector(path: str) -> np.ndarray:
-    """Signed hashes of the path's tags and names; the innermost steps also by place."""
-    v = np.zeros(PATH, dtype=np.float32)
-    steps = path.split("/")
-    for depth, step in enumerate(reversed(steps)):
-        tag, *names = step.split(" ")
-        for sign in [tag, *(f".{x}" for x in names), *([f"{depth}:{tag}"] if depth < 2 else [])]:
-            h = zlib.crc32(sign.encode())
-            for shift in (0, 8, 16):
-                v[(h >> shift) % PATH] += 1.0 if (h >> (shift + 7)) & 1 else -1.0
-    return np.tanh(v / 2)
-
-
-def features(page: list[tuple[str, str, int]], counts: np.ndarray) -> np.ndarray:
+def features(page: list[tuple[Step, str, int]], counts: np.ndarray) -> np.ndarray:
     """The input of each block. counts: signed hashed words, (blocks, WORDS + 1), the last the number of words."""
     n = len(page)
     x = np.zeros((n, WIDTH), dtype=np.float32)
     if not n:
         return x
     chars = np.array([len(t) for _, t, _ in page], dtype=np.float32)
-    x[:, :PATH] = [path_vector(p) for p, _, _ in page]
+    x[:, :PATH] = [p.vector() for p, _, _ in page]
     words = counts[:, WORDS]
     x[:, PATH : PATH + WORDS] = counts[:, :WORDS] / np.sqrt(np.maximum(words, 1))[:, None] / 2
     f = x[:, PATH + WORDS :]
@@ -133,7 +217,7 @@ def features(page: list[tuple[str, str, int]], counts: np.ndarray) -> np.ndarray
     f[:, 3] = [t[-1] in ".!?" for _, t, _ in page]
     f[:, 4] = np.arange(n) / max(1, n - 1)
     f[:, 5] = chars / max(1.0, chars.max())
-    f[:, 6] = [p.count("/") / 8 for p, _, _ in page]
+    f[:, 6] = [max(0, p.depth - 1) / 8 for p, _, _ in page]
     f[:, 7] = ["©" in t or "|" in t for _, t, _ in page]
     return x
 
@@ -151,7 +235,7 @@ def word_counts(texts: list[str]) -> np.ndarray:
     return out
 
 
-def inputs_of(pages: list[list[tuple[str, str, int]]]) -> list[np.ndarray]:
+def inputs_of(pages: list[list[tuple[Step, str, int]]]) -> list[np.ndarray]:
     counts = word_counts([t for page in pages for _, t, _ in page])
     ends = np.cumsum([0, *map(len, pages)])
     return [features(page, counts[ends[k] : ends[k + 1]]) for k, page in enumerate(pages)]
@@ -245,7 +329,7 @@ class Labeller:
                     self.w[name] = (self.w[name] - rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
         return float(np.mean(losses))
 
-    def label(self, pages: list[list[tuple[str, str, int]]]) -> list[np.ndarray]:
+    def label(self, pages: list[list[tuple[Step, str, int]]]) -> list[np.ndarray]:
         """Whether each block is main text, for each page."""
         out: list[np.ndarray] = [np.zeros(0, dtype=bool)] * len(pages)
         xs = inputs_of(pages)
@@ -369,7 +453,7 @@ class PageWriter:
         return kinds[int(self.rng.integers(len(kinds)))]
 
 
-def training_pages(n: int, seed: int) -> tuple[list[list[tuple[str, str, int]]], list[np.ndarray]]:
+def training_pages(n: int, seed: int) -> tuple[list[list[tuple[Step, str, int]]], list[np.ndarray]]:
     """(blocks, labels) of written pages."""
     writer = PageWriter(seed)
     pages, labels = [], []
