@@ -1,12 +1,12 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Per text a few ratios are measured. Fixed base rules reject first. Then, for each stratum and ratio,
-cutoffs from a fixed grid are tested on labelled holdout texts: the hypothesis that a cutoff rejects
-more than its share ALPHA / (number of ratios) of good texts is rejected if an exact binomial tail is
-at most DELTA / (strata x ratios). The grid is walked from the loosest cutoff and stops at the first
-that fails, so the walk needs no further correction (fixed-sequence testing). Of the cutoffs that
-pass, the one that rejects most bad texts is taken, the loosest of equals; none if it rejects none.
-So with probability 1 - DELTA every stratum loses at most ALPHA of its good texts to the cutoffs.
+Per text a few ratios are measured. Fixed base rules reject first. Then, for each stratum, cutoffs of
+all ratios are tightened together along one path that is fixed beforehand. At each step the hypothesis
+that its cutoffs reject more than ALPHA of the good texts is tested on the labelled holdout; it is
+rejected if an exact binomial tail is at most DELTA / strata. The walk begins at the loosest step and
+stops at the first that fails, so it needs no further correction (fixed-sequence testing). Of the
+steps that pass, the one that rejects most bad texts is taken, the loosest of equals; none if it
+rejects none. So with probability 1 - DELTA every stratum loses at most ALPHA of its good texts.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from mutalake.llm.common import SPACE, checkpointed
 
-ALPHA, DELTA = 0.05, 0.05
+ALPHA, DELTA = 0.03, 0.05
 #: Cutoffs of each ratio, from loose to tight; a text is rejected above the cutoff.
 GRID = {
     "symbol_ratio": [0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02],
@@ -25,6 +25,9 @@ GRID = {
     "upper_ratio": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15],
     "mean_word": [30.0, 25.0, 20.0, 17.0, 15.0, 13.0, 12.0, 11.0, 10.0],
 }
+#: Steps of the walk; at each every ratio has its cutoff of the same share of its grid.
+STEPS = 14
+PATH = [tuple(grid[i * len(grid) // STEPS] for grid in GRID.values()) for i in range(STEPS)]
 #: Strata up to which their cutoffs are broadcast.
 BROADCAST_STRATA = 100_000
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -87,19 +90,26 @@ def _tail(k: Column, n: Column, p: float) -> Column:
 
 def fit_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, one cutoff a ratio, null for none) from figures with a column good (boolean)."""
-    share = alpha / len(GRID)
-    tests = F.array(*(F.struct(F.lit(name).alias("ratio"), F.lit(float(cut)).alias("cutoff"), F.lit(i).alias("step"), (value > cut).alias("hit")) for name, value in _ratios().items() for i, cut in enumerate(GRID[name])))
-    counts = labelled.select("stratum", "good", F.explode(tests).alias("t")).groupBy("stratum", "t.ratio", "t.step", "t.cutoff").agg(
-        F.count_if("good").alias("n"), F.count_if(F.col("good") & F.col("t.hit")).alias("k"), F.count_if(~F.col("good") & F.col("t.hit")).alias("caught"))
+    ratios = _ratios()
+
+    def rejects(step: tuple[float, ...]) -> Column:
+        hit = F.lit(False)
+        for value, cut in zip(ratios.values(), step, strict=True):
+            hit = hit | (value > cut)
+        return hit
+
+    tests = F.array(*(F.struct(F.lit(i).alias("step"), rejects(step).alias("hit")) for i, step in enumerate(PATH)))
+    counts = labelled.select("stratum", "good", F.explode(tests).alias("t")).groupBy("stratum", "t.step").agg(F.count_if("good").alias("n"), F.count_if(F.col("good") & F.col("t.hit")).alias("k"), F.count_if(~F.col("good") & F.col("t.hit")).alias("caught"))
     strata = labelled.agg(F.count_distinct("stratum").alias("strata"))
-    p = F.when(F.col("k") > F.col("n") * share, 1.0).otherwise(_tail(F.col("k"), F.col("n"), share))
-    tested = counts.crossJoin(F.broadcast(strata)).select("*", (p <= F.lit(delta) / (F.col("strata") * len(GRID))).alias("passes"))  # strata is one row
-    walks = tested.groupBy("stratum", "ratio").agg(F.array_sort(F.collect_list(F.struct("step", "passes", "caught", "cutoff"))).alias("walk"))
-    first_fail = F.coalesce(F.array_min(F.transform(F.filter("walk", lambda x: ~x["passes"]), lambda x: x["step"])), F.lit(1 << 30))
+    p = F.when(F.col("k") > F.col("n") * alpha, 1.0).otherwise(_tail(F.col("k"), F.col("n"), alpha))
+    tested = counts.crossJoin(F.broadcast(strata)).select("*", (p <= F.lit(delta) / F.col("strata")).alias("passes"))  # strata is one row
+    walks = tested.groupBy("stratum").agg(F.collect_list(F.struct("step", "passes", "caught")).alias("walk"))  # one entry a step
+    first_fail = F.coalesce(F.array_min(F.transform(F.filter("walk", lambda x: ~x["passes"]), lambda x: x["step"])), F.lit(len(PATH)))
     valid = F.filter("walk", lambda x: (x["step"] < F.col("stop")) & (x["caught"] > 0))
-    best = F.array_max(F.transform("valid", lambda x: F.struct(x["caught"].alias("caught"), (-x["step"]).alias("loose"), x["cutoff"].alias("cutoff"))))["cutoff"]
-    chosen = walks.withColumn("stop", first_fail).withColumn("valid", valid).select("stratum", "ratio", best.alias("cutoff"))
-    return chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("ratio") == name, F.col("cutoff"))).alias(f"max_{name}") for name in GRID))
+    best = -F.array_max(F.transform("valid", lambda x: F.struct(x["caught"].alias("caught"), (-x["step"]).alias("loose"))))["loose"]
+    chosen = walks.withColumn("stop", first_fail).withColumn("valid", valid).select("stratum", best.alias("step"))
+    cut = lambda j: F.get(F.array(*(F.lit(step[j]) for step in PATH)), F.col("step"))
+    return chosen.select("stratum", *(cut(j).alias(f"max_{name}") for j, name in enumerate(GRID)))
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang", good: str = "quality") -> DataFrame:

@@ -14,7 +14,7 @@ from mutalake.llm.main_text import main_text
 from mutalake.llm.ngram_join import ngram_components
 from mutalake.llm.packing import pack_documents
 from mutalake.llm.passages import repeated_passages
-from mutalake.llm.quality_rules import FIGURES, judge
+from mutalake.llm.quality_rules import ALPHA, DELTA, FIGURES, PATH, judge
 from mutalake.llm.quality_votes import vote_quality
 from mutalake.llm.suffix_tree_lm import score_documents
 from mutalake.llm.url_filter import judge_urls
@@ -73,7 +73,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+_PATH = ", ".join("(" + ", ".join(map(str, (i, *step))) + ")" for i, step in enumerate(PATH))
+_REJECTED = "(symbol_ratio > c1 OR dup_line_ratio > c2 OR repeat_ratio > c3 OR upper_ratio > c4 OR mean_word > c5)"
+
 ORACLES: dict[str, str] = {
+    "op8_quality_rules": f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+lines AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts),
+triples AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS times FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM texts)),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM triples WHERE times > 1) GROUP BY r),
+figures AS (
+  SELECT texts.r, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, len(regexp_extract_all(t, '[A-Z]')) AS n_upper FROM texts JOIN lines USING (r) LEFT JOIN covered USING (r)),
+measured AS (
+  SELECT *, coalesce(CAST(n_symbols AS DOUBLE) / nullif(word_chars, 0), 0) AS symbol_ratio, coalesce(CAST(n_dup_lines AS DOUBLE) / nullif(n_lines, 0), 0) AS dup_line_ratio, coalesce(CAST(n_repeat_words AS DOUBLE) / nullif(n_words, 0), 0) AS repeat_ratio,
+    coalesce(CAST(n_upper AS DOUBLE) / nullif(word_chars, 0), 0) AS upper_ratio, coalesce(CAST(word_chars AS DOUBLE) / nullif(n_words, 0), 0) AS mean_word FROM figures),
+path(step, c1, c2, c3, c4, c5) AS (VALUES {_PATH}),
+marked AS (SELECT m.*, quality = 1 AS good FROM measured m JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+counts AS (SELECT stratum, step, count(*) FILTER (good) AS n, count(*) FILTER (good AND {_REJECTED}) AS k, count(*) FILTER (NOT good AND {_REJECTED}) AS caught FROM marked, path GROUP BY ALL),
+tails AS (SELECT *, CASE WHEN k > n * {ALPHA} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) END AS p FROM counts),
+tested AS (SELECT *, p <= {DELTA} / (SELECT count(DISTINCT stratum) FROM marked) AS passes FROM tails),
+stops AS (SELECT stratum, coalesce(min(step) FILTER (NOT passes), {len(PATH)}) AS stop FROM tested GROUP BY stratum),
+chosen AS (SELECT stratum, arg_max(step, (caught, -step)) AS step FROM tested JOIN stops USING (stratum) WHERE step < stop AND caught > 0 GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce({_REJECTED}, false) AS kept
+FROM measured LEFT JOIN chosen USING (stratum) LEFT JOIN path USING (step)
+""",
     "op6_ngram_join": f"""
 WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
 shingles AS (
