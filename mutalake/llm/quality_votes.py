@@ -82,7 +82,7 @@ class Voters:
         self.idf[-(LAGS + 3) :] = 2.0
         x = weighted(counts, self.idf)
         values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-        self.axes = vectors[:, ::-1][:, :LATENT].astype(np.float32)
+        self.axes = np.ascontiguousarray(vectors[:, ::-1][:, :LATENT])
         self.vectors = self.latent(counts)
         self.marks = marks.astype(np.float32)
         # Each mark's votes count as its share of all labelled texts, not of the sample.
@@ -91,13 +91,15 @@ class Voters:
         self.share = share
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        z = weighted(counts, self.idf).astype(np.float32) @ self.axes
+        z = weighted(counts, self.idf).astype(np.float64) @ self.axes
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        cosines = self.latent(counts) @ self.vectors.T
+        # Rounded, so that a text's cosines don't depend on the block it is in; ties go to the smaller id.
+        cosines = np.round(self.latent(counts) @ self.vectors.T, 9)
         k = min(NEIGHBOURS, cosines.shape[1])
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        rank = (cosines * 1e9).astype(np.int64) * cosines.shape[1] - np.arange(cosines.shape[1])
+        near = np.sort(np.argpartition(-rank, k - 1, axis=1)[:, :k], axis=1)
         # Similarity over the k-th neighbour's counts most: weights fall to a tenth there.
         own = np.take_along_axis(cosines, near, 1)
         least = own.min(1, keepdims=True)
@@ -134,7 +136,7 @@ def vote_quality(docs: DataFrame, labels: DataFrame, training: Column, key: str
     training: a condition on doc_id; labels of other rows are never read for the fit. Null and empty
     texts have the vector of a text without terms and are scored alike. Labels with null ids or marks
     are left out; without both marks the score is the good share (0.5 without labels). Repeated rows
-    are scored each; ties in similarity go either way but the score of equal texts is equal; an empty
+    are scored each; ties in similarity go to the smaller id, so equal texts score alike; an empty
     table gives no rows; other columns are neither read nor returned.
     """
     source = whole(docs, key, text)
