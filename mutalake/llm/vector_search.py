@@ -1,7 +1,7 @@
 """Nearest neighbours by inner product through a hierarchical k-means tree.
 
 The tree is fitted on a bounded sample; every vector is put in one of its leaves. A query walks the
-tree best bin first: a priority queue of nodes by their centre's inner product with the query, widening
+tree best bin first: a priority queue of nodes by what their centre and spread promise of the inner product, widening
 the number of leaves visited until a calibration set, compared with brute force over all rows, reaches
 the wanted recall. Equal vectors are one class with its smallest ids, which is exact for the k nearest.
 Leaves are split in blocks of bounded size, so a crowded leaf is searched by several tasks.
@@ -20,12 +20,16 @@ from pyspark.sql import functions as F
 from mutalake.llm.common import checkpointed, partitions_of
 
 K = 20
-#: Vectors the tree is fitted on; branches of a node; leaves of the tree.
-SAMPLE, BRANCHES, LEAVES = 16_384, 8, 128
+#: Vectors the tree is fitted on, and branches of a node.
+SAMPLE, BRANCHES = 16_384, 8
+#: Vectors of a leaf, as far as the sample can tell leaves apart; least and most leaves.
+LEAF, LEAVES, MOST_LEAVES = 1024, 128, 1024
 #: Queries that calibrate the visits, and the recall they must reach.
 CALIBRATION, RECALL = 192, 0.97
 #: Vectors, and queries, of a block.
 BLOCK = 8192
+#: Queries whose best a task holds before it passes them on.
+HELD = 50_000
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -66,25 +70,35 @@ class Tree:
         self.leaf = np.full(len(centres), -1)
         self.leaf[tips] = np.arange(len(tips))
         self.leaves = len(tips)
-
-    def assign(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each vector: at each node the nearest centre."""
-        at = np.zeros(len(x), dtype=np.int64)
+        # What a vector of a node gains over its centre: two standard deviations of its sample along any direction.
+        self.spread = np.zeros(len(centres))
+        for node, rows in self._members(sample):
+            if len(rows):
+                self.spread[node] = 2 * np.sqrt(((sample[rows] - self.centres[node]) ** 2).sum(1).mean() / sample.shape[1])
+
+    def _members(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each node with the vectors that fall below it."""
         todo = [(0, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
+            yield node, rows
             below = self.children[node]
-            if not below:
-                at[rows] = self.leaf[node]
-            elif len(rows):
+            if below and len(rows):
                 c = self.centres[below]
                 near = np.argmin((c**2).sum(1) - 2 * x[rows] @ c.T, axis=1)
                 todo += [(below[j], rows[near == j]) for j in range(len(below))]
+
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each vector: at each node the nearest centre."""
+        at = np.zeros(len(x), dtype=np.int64)
+        for node, rows in self._members(x):
+            if not self.children[node]:
+                at[rows] = self.leaf[node]
         return at
 
     def visits(self, query: np.ndarray, most: int, held: dict[int, int] | None = None, least: int = 0) -> list[int]:
         """Leaves in best-bin-first order: so many, and more until they hold the least number of ids."""
-        gain = self.centres @ query
+        gain = self.centres @ query + np.linalg.norm(query) * self.spread
         queue, out = [(-gain[0], 0)], []
         ids = 0
         while queue and (len(out) < most or (held is not None and ids < least)):
@@ -116,7 +130,7 @@ def _nearest(queries: np.ndarray, own_ids: np.ndarray, vectors: np.ndarray, ids:
 
 
 def _search(k: int):
-    """Rows of a task key: vectors (ids not null), then queries. A task keeps its best k of each query."""
+    """Rows of a task key: vectors (ids not null), then queries, of which a block is held. A task keeps its best k of some queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple[float, int]]] = {}
@@ -127,14 +141,26 @@ def _search(k: int):
                 for q, scores, found in _nearest(np.array(queries), np.array(own), np.array(vectors), ids, k):
                     held = best.get(own[q], [])
                     best[own[q]] = sorted([*held, *((-s, i) for s, i in zip(scores, found, strict=True))])[:k]
+            queries.clear(), own.clear()
+
+        def out(least: int) -> Iterator[pa.RecordBatch]:
+            if len(best) <= least:
+                return
+            names = [*best]
+            for at in range(0, len(names), 5000):
+                part = names[at : at + 5000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([[-s for s, _ in best[q]] for q in part], pa.list_(pa.float64())), pa.array([[i for _, i in best[q]] for q in part], pa.list_(pa.int64()))], names=["query_id", "scores", "ids"])
+            best.clear()
 
         for batch in batches:
             x = _matrix(batch.column("embedding"))
             for i, (task, query, members) in enumerate(zip(batch.column("task").to_pylist(), batch.column("query_id").to_pylist(), batch.column("ids").to_pylist(), strict=True)):
-                if task != key:
+                if task != key or len(queries) >= BLOCK:
                     search()
+                    yield from out(HELD)
+                if task != key:
                     key = task
-                    vectors.clear(), ids.clear(), queries.clear(), own.clear()
+                    vectors.clear(), ids.clear()
                 if query is None:
                     vectors.append(x[i])
                     ids.append(members)
@@ -142,10 +168,7 @@ def _search(k: int):
                     queries.append(x[i])
                     own.append(query)
         search()
-        names = [*best]
-        for at in range(0, len(names), 5000):
-            part = names[at : at + 5000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([[-s for s, _ in best[q]] for q in part], pa.list_(pa.float64())), pa.array([[i for _, i in best[q]] for q in part], pa.list_(pa.int64()))], names=["query_id", "scores", "ids"])
+        yield from out(0)
 
     return run
 
@@ -178,7 +201,8 @@ def nearest_vectors(df: DataFrame, is_query: Column, k: int = K, key: str = "vec
     order = Window.partitionBy("embedding").orderBy("vec_id")
     classes = sound.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     sample = np.array([r[0] for r in sound.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()])
-    tree = Tree(sample)
+    rows = lengths["count"]  # whole rows of vectors of this length
+    tree = Tree(sample, min(max(LEAVES, rows // LEAF), MOST_LEAVES))
     shared = spark.sparkContext.broadcast(tree)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
