@@ -7,6 +7,7 @@ The tree has two levels: functions and decisions under the file.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -50,13 +51,24 @@ class Masked:
         out.append(blank(" ", text[at:]))
         self.text = "".join(out)
         self.partner: dict[int, int] = {}
-        self.around: list[tuple[int, int]] = []
+        self.opener: dict[int, int] = {}
+        # At each bracket the innermost one open behind it, and around each opening one the next.
+        self.events, self.inner, self.outer = [-1], [-1], {}
         stack: list[int] = []
         for m in re.finditer(r"[()\[\]{}]", self.text):
+            at = m.start()
             if m.group() in _OPENS:
-                stack.append(m.start())
+                self.outer[at] = stack[-1] if stack else -1
+                stack.append(at)
             elif stack and _OPENS[self.text[stack[-1]]] == m.group():
-                self.partner[stack.pop()] = m.start()
+                self.opener[at] = stack[-1]
+                self.partner[stack.pop()] = at
+            self.events.append(at)
+            self.inner.append(stack[-1] if stack else -1)
+
+    def innermost(self, at: int) -> int:
+        """The innermost bracket that is open at a place, itself included; -1 for none."""
+        return self.inner[bisect_right(self.events, at) - 1]
 
     def find(self, pattern: str, flags: int = 0) -> Iterator[re.Match]:
         return re.compile(pattern, re.M | flags).finditer(self.text)
@@ -167,17 +179,8 @@ def _switch_spans(m: Masked, head: str) -> list[tuple[int, int]]:
 
 def _direct(m: Masked, spans: list[tuple[int, int]], at: int) -> bool:
     """Whether the innermost bracket around a place is one of the spans."""
-    depth, k = 0, at
-    while k >= 0:
-        c = m.text[k]
-        if c in ")]}":
-            depth += 1
-        elif c in _OPENS:
-            if not depth:
-                return any(a == k for a, _ in spans)
-            depth -= 1
-        k -= 1
-    return False
+    own = m.innermost(at)
+    return own >= 0 and any(a == own for a, _ in spans)
 
 
 def _groups(places: list[int], m: Masked) -> list[int]:
@@ -221,7 +224,7 @@ def _parameters_begin(m: Masked, arrow: int) -> int:
     """The start of the name or the parentheses before an arrow."""
     k = len(m.text[:arrow].rstrip())
     if k and m.text[k - 1] == ")":
-        return next((a for a, b in m.partner.items() if b == k - 1), k - 1)
+        return m.opener.get(k - 1, k - 1)
     while k and (m.text[k - 1].isalnum() or m.text[k - 1] == "_"):
         k -= 1
     return k
@@ -314,26 +317,16 @@ def _dart(m: Masked) -> Found:
 
 def _in_list(m: Masked, at: int) -> bool:
     """Whether the innermost bracket around a place is square or round."""
-    depth = 0
-    for k in range(at - 1, -1, -1):
-        c = m.text[k]
-        if c in ")]}":
-            depth += 1
-        elif c in _OPENS:
-            if not depth:
-                return c != "{"
-            depth -= 1
-    return False
+    own = m.innermost(at - 1)
+    return own >= 0 and m.text[own] != "{"
 
 
 def _enclosed(m: Masked, at: int) -> bool:
     """Whether a brace is open around a place."""
-    depth = 0
-    for k in range(at - 1, -1, -1):
-        depth += (m.text[k] == "}") - (m.text[k] == "{")
-        if depth < 0:
-            return True
-    return False
+    own = m.innermost(at - 1)
+    while own >= 0 and m.text[own] != "{":
+        own = m.outer[own]
+    return own >= 0
 
 
 def _ended(m: Masked, opens: str, closes: str = r"\bend\b") -> dict[int, int]:
@@ -479,8 +472,6 @@ def _ocaml(m: Masked) -> Found:
     functions = []
     for x in m.find(r"^([ \t]*)(let|and)\s+(?:rec\s+)?([a-z_][\w']*)((?:\s+(?!=)(?:[~?]?[\w']+(?::[^\s=]+)?|\([^()]*\)|\(\)))+)(?:\s*:\s*[^=]+)?\s*=(?!=)"):
         column = len(x.group(1))
-        if x.group(2) == "and" or not m.after(r"", 0):
-            pass
         functions.append(("value_definition", x.group(3), x.start() + column, _indented_end(m, x.start(), column)))
     functions += [("function_expression" if x.group().startswith("function") else "fun_expression", None, x.start(), min(m.expression_end(x.end(), ")]}"), _indented_end(m, m.text.rfind("\n", 0, x.start()) + 1, x.start() - m.text.rfind("\n", 0, x.start()) - 1))) for x in m.find(r"(?<![\w'])(?:function|fun)(?![\w'])")]
     branches = [b for b in _words(m, {"if": "if_expression", "while": "while_expression", "for": "for_expression", "try": "try_expression"})]
@@ -493,7 +484,6 @@ def _ocaml(m: Masked) -> Found:
 
 def _ruby(m: Masked) -> Found:
     line = r"(?:^|;|=|\(|\bthen\b|\bdo\b|\belse\b|&&|\|\|)[ \t]*"
-    opens = r"\bdef\b(?![^\n]*\)\s*=[^=])|\b(?:class|module|begin|case)\b|\bdo\b|" + line + r"\b(?:if|unless|while|until|for)\b"
     ends, stack = {}, []
     loops_do = set()
     for x in m.find(r"(?P<close>\bend\b(?![?!:]))|(?P<def>(?<![.:])\bdef\b)|(?P<other>(?<![.:@])\b(?:class|module|begin|case)\b(?!:))|(?P<do>\bdo\b)|(?:" + line + r")(?P<head>(?:if|unless|while|until|for)\b)"):
@@ -514,7 +504,6 @@ def _ruby(m: Masked) -> Found:
             if x.group("head") in ("while", "until", "for"):
                 loops_do.add(m.text.rfind("\n", 0, at) + 1)
             stack.append(at)
-    del opens
     functions = []
     for x in m.find(r"(?<![.:])\bdef\s+(self\.)?([\w]+[?!=]?|[+\-*/<>=!\[\]%&|^~]+)"):
         end = ends.get(x.start(), m.text.find("\n", x.end()) if m.text.find("\n", x.end()) >= 0 else len(m.text))
