@@ -45,7 +45,7 @@ TEMPLATES = {
     "as_expression_to_direct_cast": ["x as T", "{n} + 1 as T", "f(x as y)"],
 }
 
-#: The same rewrites as DuckDB expressions of t; scanner operators have none.
+#: The same rewrites as DuckDB expressions of t.
 _TWINS = {
     "remove_not": "CASE WHEN starts_with(t, '!') THEN nullif(ltrim(substr(t, 2)), '') END",
     "remove_unary_minus": "CASE WHEN starts_with(t, '-') THEN nullif(ltrim(substr(t, 2)), '') END",
@@ -71,6 +71,22 @@ _TWINS = {
 }
 
 
+#: What the scanner operators must make of their TEMPLATES, worked out by hand; null for no edit.
+_CASES = {
+    "dict_get_default_removal": ["d.get({n})", None, "d.get(f({n}, 1))"],
+    "dict_get_to_index": ["d[{n}]", None, "d[f({n}, 1)]"],
+    "empty_collection_literal": ["[]", "{}", "set()", None, "set()"],
+    "sorted_reverse_flip": ["sorted({n}, reverse=True)", "sorted({n}, reverse=False)", "sorted({n}, key=f, reverse=True)", None],
+    "nullish_coalescing_removal": ["{n}", "f(a ?? b)", None],
+    "ternary_arm_swap": ["a ? c : {n}", "a ?? b ? d : {n}", "a ? {n} : b ? 1 : 2", None],
+    "nullable_access_to_member_access": ["{n}.Name", "{n}[0]", None, None],
+    "is_pattern_negation": ["x is not {n}", "x is {n}", None, "a is b is not {n}"],
+    "as_expression_to_direct_cast": ["(T)x", "(T)({n} + 1)", None],
+}
+for _name, _made in _CASES.items():
+    _TWINS[_name] = f"CASE p_partkey % {len(_made)} " + " ".join(f"WHEN {i} THEN replace('{x}', '{{n}}', p_name)" for i, x in enumerate(_made) if x is not None) + " END"
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -99,7 +115,7 @@ def _sql(operator: str) -> str:
     texts = _texts(operator)
     cases = " ".join(f"WHEN {i} THEN replace({_quoted(x)}, '{{n}}', p_name)" for i, x in enumerate(texts))
     impls = ", ".join(f"({_quoted(i)})" for i, name, _ in implementations() if name == operator)
-    base = f"WITH targets AS (SELECT p_partkey, CASE p_partkey % {len(texts)} {cases} END AS t, implementation FROM part, (VALUES {impls}) AS i(implementation))"
+    base = f"WITH targets AS (SELECT p_partkey, CASE p_partkey % {len(texts)} {cases} END AS t, implementation, p_name FROM part, (VALUES {impls}) AS i(implementation))"
     if kind_of(operator) == "swap":
         rows = ", ".join(f"({', '.join(map(_quoted, x))})" for x in swaps() if x[0].endswith(f".{operator}"))
         return f"{base}, swap(implementation, t, replacement) AS (VALUES {rows}) SELECT p_partkey, implementation, t AS original, replacement FROM targets JOIN swap USING (implementation, t)"
