@@ -56,16 +56,17 @@ class PieceCodec:
         self.opens = np.array([x.startswith("▁") for x in pieces])
         self.shown = [b" %d" % i for i in range(len(pieces))]
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
+    def _encode(self, chunks: list[str]) -> list[bytes | None]:
         """Missing chunks are segmented in runs, as one text each; a piece with the marker begins a chunk."""
-        out: list[bytes] = []
+        out: list[bytes | None] = []
         for at in range(0, len(chunks), MISSING_RUN):
             run = chunks[at : at + MISSING_RUN]
             text = " ".join(run)
             ids = self.library.encode(text)
             heads = np.flatnonzero(self.opens[ids]).tolist()
-            if len(heads) != len(run):
-                raise ValueError("the vocabulary has pieces that cross the space marker")
+            if len(heads) != len(run):  # a piece crosses the marker somewhere: texts with these chunks are encoded whole
+                out += [None] * len(run)
+                continue
             if self.library.decode(ids) != text:
                 self.odd.update(x for x in run if self.library.decode(self.library.encode(x)) != x)
             shown = [*map(self.shown.__getitem__, ids)]
@@ -79,8 +80,9 @@ class PieceCodec:
         known = self.table.cover(set().union(*(p for p, ok in zip(parts, usable, strict=True) if ok)))
         out = []
         for text, p, ok in zip(texts, parts, usable, strict=True):
-            if ok:
-                ids = b"".join(map(known.__getitem__, p)) + b" %d" % self.end
+            own = [*map(known.__getitem__, p)] if ok else [None]
+            if None not in own:
+                ids = b"".join(own) + b" %d" % self.end
                 same = not self.odd or self.odd.isdisjoint(p)
             else:
                 ids, same = b"".join(b" %d" % i for i in [*self.library.encode(text), self.end]), False
@@ -127,8 +129,8 @@ class ByteCodec:
         safe = [bool(x) and not (x[0].isspace() or x[-1].isspace()) for x in chunks]
         raw = self.ids("".join(" " + x for x, ok in zip(chunks, safe, strict=True) if ok))
         heads = np.flatnonzero(self.opens[np.frombuffer(raw, dtype="<u4")]).tolist()
-        if len(heads) != sum(safe):
-            raise ValueError("the vocabulary has tokens that cross a space")
+        if len(heads) != sum(safe):  # a token crosses a space somewhere: texts with these chunks are encoded whole
+            return [None] * len(chunks)
         spans = zip(heads, [*heads[1:], len(raw) // 4], strict=True)
         return [raw[4 * (x := next(spans))[0] : 4 * x[1]] if ok else None for ok in safe]
 
