@@ -27,6 +27,8 @@ BLOCK_ELEMENTS = 2_000_000
 TASKS = "array<struct<task: bigint, side: int>>"
 #: Expanded (member, posting) pairs that are counted together.
 EXPAND = 1_000_000
+#: Elements of one side that are looked up together.
+SLICE_ELEMENTS = 200_000
 #: Sets of a group that is searched together with others, and elements of such groups.
 FEW, FEW_ELEMENTS = 48, 150_000
 #: Signature rows that a map task joins locally before the shuffle.
@@ -297,6 +299,19 @@ def _links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Ite
     order = np.argsort(flat, kind="stable")
     keys, owners = flat[order], np.repeat(np.arange(len(right)), [len(x) for x in right])[order]
     sizes = np.array([len(x) for x in right])
+    begin = 0
+    while begin < len(left):
+        stop, elements = begin, 0
+        while stop < len(left) and (stop == begin or elements + len(left[stop]) <= SLICE_ELEMENTS):
+            elements += len(left[stop])
+            stop += 1
+        for a, b in _links_of(left[begin:stop], keys, owners, sizes, percent):
+            yield a + begin, b
+        begin = stop
+
+
+def _links_of(left: list[np.ndarray], keys: np.ndarray, owners: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of some sets with those whose sorted elements and owners are given."""
     lengths = np.array([len(x) for x in left])
     mine = np.concatenate(left)
     lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
@@ -313,8 +328,8 @@ def _links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> Ite
         n = count[at:end]
         ends = np.cumsum(n)
         places = np.arange(ends[-1]) + np.repeat(lo[at:end] - (ends - n), n)
-        code, both = np.unique(np.repeat(owner[at:end], n) * len(right) + owners[places], return_counts=True)
-        a, b = code // len(right), code % len(right)
+        code, both = np.unique(np.repeat(owner[at:end], n) * len(sizes) + owners[places], return_counts=True)
+        a, b = code // len(sizes), code % len(sizes)
         good = 100 * both >= percent * (lengths[a] + sizes[b] - both)
         yield a[good], b[good]
         at = end
