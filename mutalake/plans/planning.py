@@ -13,7 +13,7 @@ from mutalake.functions.patterns import Pattern
 from mutalake.operators import discovery, edits, scoring, selection
 from mutalake.operators.rank import with_place
 from mutalake.sources.coverage import read_coverage
-from mutalake.sources.files import read_sources
+from mutalake.sources.files import read_sources, root_excludes
 from mutalake.sources.git import changed_files, head_commit, only_changed
 
 
@@ -38,6 +38,10 @@ class Plan:
     def scanned_files(self) -> DataFrame:
         return self.functions.select("file").distinct()
 
+    def unreadable(self) -> DataFrame:
+        """(file, error) of the files that have no text, so no candidates either."""
+        return self.sources.where("error is not null").select("file", "error")
+
     def candidate(self, id_: str) -> Row:
         """The first candidate with an id; LookupError without one."""
         found = self.candidates.where(F.col("id") == id_).orderBy("plan_index").limit(1).collect()
@@ -72,8 +76,11 @@ def plan_sources(sources: DataFrame, settings: Settings, coverage: DataFrame | N
 
 
 def build_plan(spark: SparkSession, root: str, settings: Settings, ignore: list[str] = (), **options) -> Plan:
-    """The plan of a folder: its sources without excluded paths, coverage reports and git's changes as the settings say."""
-    sources = read_sources(spark, root, [*ignore, *(settings["scope.exclude"] or [])])
+    """The plan of a folder: its sources without excluded paths, coverage reports and git's changes as the settings say.
+
+    Excluded are the defaults, the lines of the root's ignore file, ignore and the settings' globs.
+    """
+    sources = read_sources(spark, root, [*root_excludes(root), *ignore, *(settings["scope.exclude"] or [])])
     specs = [*(settings["mutation.coverage"] or []), *([f"lcov:{settings['mutation.lcov']}"] if settings["mutation.lcov"] else [])]
     coverage = read_coverage(spark, *specs) if specs else None
     if coverage is not None:  # scores meet coverage by the file names of the sources

@@ -1,13 +1,15 @@
-"""Source files: extension lookup, hidden names and excludes."""
+"""Source files of a project, and globs over paths."""
 
 from __future__ import annotations
 
-import re
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mutalake.functions.catalog import language_catalog
+from mutalake.sources.ignore import excludes as rules
+from mutalake.sources.ignore import glob_body
+from mutalake.sources.project import Project, opened
 
 # Folders left out by default.
 DEFAULT_EXCLUDES = ["target/**", ".mutalake/**", ".git/**", "node_modules/**", "vendor/**", "__pycache__/**", ".gradle/**"]
@@ -19,27 +21,10 @@ def ignore_lines(text: str) -> list[str]:
 
 
 def glob_regex(pattern: str) -> str:
-    """A path glob as a regular expression over whole relative paths; a pattern without a slash fits at any depth."""
-    out, i = "", 0
+    """A path glob as a regular expression over whole relative paths and what lies below them; a pattern without a slash fits at any depth."""
     body = pattern.rstrip("/")
-    while i < len(body):
-        if body.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif body.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif body[i] == "*":
-            out, i = out + "[^/]*", i + 1
-        elif body[i] == "?":
-            out, i = out + "[^/]", i + 1
-        elif body[i] == "[":
-            end = body.find("]", i)
-            if end < 0:
-                raise ValueError(f"bad glob: {pattern}")
-            out, i = out + "[" + body[i + 1 : end].replace("!", "^", 1) + "]", end + 1
-        else:
-            out, i = out + re.escape(body[i]), i + 1
     anchor = "" if "/" in body else "(?:.*/)?"
-    return f"^{anchor}{out}(?:/.*)?$"
+    return f"^{anchor}{glob_body(body)}(?:/.*)?$"
 
 
 def excluded(path: Column, patterns: list[str]) -> Column:
@@ -47,16 +32,25 @@ def excluded(path: Column, patterns: list[str]) -> Column:
     return path.rlike("|".join(f"(?:{glob_regex(p)})" for p in patterns)) if patterns else F.lit(False)
 
 
-def with_language(files: DataFrame) -> DataFrame:
-    """files(file, …) with the language of their extension; others are left out."""
-    by_extension = language_catalog(files.sparkSession).select("language", "ordinal", F.explode("extensions").alias("extension")).groupBy("extension").agg(F.min_by("language", "ordinal").alias("language"))
-    return files.withColumn("extension", F.regexp_extract("file", r"[^/]\.([^./]+)$", 1)).join(F.broadcast(by_extension), "extension").drop("extension")  # a fixed table
-
-
-def read_sources(spark: SparkSession, root: str, excludes: list[str] = ()) -> DataFrame:
-    """(file, text, language) below a folder, with paths relative to it; hidden names are skipped."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    prefix = root.rstrip("/") + "/"
-    relative = F.element_at(F.split("path", re.escape(prefix)), -1)
-    files = rows.select(relative.alias("file"), F.decode("content", "UTF-8").alias("text")).where(~F.col("file").rlike(r"(^|/)\."))
-    return with_language(files.where(~excluded(F.col("file"), [*DEFAULT_EXCLUDES, *excludes])))
+def root_excludes(root: str) -> list[str]:
+    """The lines of the ignore file in a project's root, which a plan leaves out wherever they fit; none without the file."""
+    try:
+        lines = ignore_lines(opened(root).read(".gitignore").decode("utf-8", "replace"))
+    except FileNotFoundError:
+        return []
+    return [x for x in lines if not x.startswith("!")]
+
+
+def read_sources(spark: SparkSession, root: str, excludes: list[str] = (), languages: list[str] = ()) -> DataFrame:
+    """(file, text, language, error, bytes) of a project's source files, with paths relative to its root.
+
+    Left out, and never read: excluded paths, hidden names, links, what ignore files name, files of no
+    known language or of none of those wanted. A file that isn't UTF-8 or can't be read is a row
+    without a text whose error says why. ValueError for a bad glob, FileNotFoundError without a folder.
+    """
+    patterns = [*DEFAULT_EXCLUDES, *excludes]
+    rules(patterns)
+    opened(root)
+    spark.dataSource.register(Project)
+    rows = spark.read.format("project").option("excludes", "\n".join(patterns)).option("languages", ",".join(languages)).load(root if "://" in root else os.path.abspath(root))
+    return rows.select("file", "text", "language", "error", "bytes")
