@@ -1,23 +1,17 @@
 """Patterns over syntax nodes, and the patterns of all mutation implementations.
 
 A pattern names kinds of a node, its field, texts it may have, and parts that its children must
-match in order; one part is the target. Over the node table, whose rows carry two levels of children,
-a pattern is one column expression: no join and no shuffle.
+match in order, to any depth; one part is the target. syntax.automaton matches all patterns of a
+language at once while a text is parsed.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from mutalake.functions.catalog import implementations
 
-TARGET = "array<struct<start_byte: int, end_byte: int, line: int, column: int, leaf_text: string>>"
-
 
 @dataclass(frozen=True)
 class Pattern:
@@ -25,13 +19,15 @@ class Pattern:
     kinds: tuple[str, ...] = ()
     parts: tuple[Pattern, ...] = ()
     field: str | None = None
-    #: Texts of the node: any of these, or a regular expression.
+    #: Texts of the whole node: any of these, or a regular expression; denied, none of them.
     texts: tuple[str, ...] = ()
     like: str | None = None
+    denied: bool = False
     #: Whether it is a named node; tokens have their text as kind.
     named: bool = True
     target: bool = False
-    #: Whether it must be the first part's direct neighbour, or the last named child.
+    #: Whether no named child may stand between it and the part before it, or before it at all; whether it must be the last named child.
+    next: bool = False
     last: bool = False
     #: Whether it may be missing.
     optional: bool = False
@@ -58,61 +54,6 @@ def token(*texts: str, **options) -> Pattern:
     return Pattern(texts, named=False, **options)
 
 
-def _is(c: Column, p: Pattern) -> Column:
-    """Whether a node matches, its parts left aside."""
-    good = c["named"] == F.lit(p.named)
-    if p.kinds:
-        good = good & c["kind"].isin(*p.kinds)
-    if p.field:
-        good = good & (F.coalesce(c["field"], F.lit("")) == p.field)
-    if p.texts:
-        good = good & F.coalesce(c["leaf_text"].isin(*p.texts), F.lit(False))
-    if p.like:
-        good = good & F.coalesce(c["leaf_text"].rlike(p.like), F.lit(False))
-    return good & c["last_named"] if p.last else good
-
-
-def matches(c: Column, p: Pattern) -> Column:
-    """Whether a node and its parts match; parts follow each other among the children."""
-    good = _is(c, p)
-    needed = [x for x in p.parts if not x.optional]
-    return good & _in_order(c, needed, None) if needed else good
-
-
-def _in_order(c: Column, parts: list[Pattern], after: Column | None) -> Column:
-    first, rest = parts[0], parts[1:]
-
-    def fits(k: Column) -> Column:
-        good = matches(k, first) if after is None else (k["index"] > after) & matches(k, first)
-        return good & _in_order(c, rest, k["index"]) if rest else good
-
-    return F.exists(c["kids"], fits)
-
-
-def _shown(c: Column) -> Column:
-    return F.struct(*(c[x].alias(x) for x in ("start_byte", "end_byte", "line", "column", "leaf_text")))
-
-
-def targets(c: Column, p: Pattern) -> Column:
-    """The nodes that a pattern captures at a node: the target of each way in which it matches."""
-    none = F.array().cast(TARGET)
-    if p.target:
-        return F.when(matches(c, p), F.array(_shown(c))).otherwise(none)
-    parts = [x for x in p.parts if not x.optional or x.has_target]
-    where = next(i for i, x in enumerate(parts) if x.has_target)
-    before, aimed, behind = parts[:where], parts[where], parts[where + 1 :]
-
-    def fits(k: Column) -> Column:
-        good = matches(k, replace(aimed, target=False))
-        for x in before:
-            good = good & F.exists(c["kids"], lambda o: (o["index"] < k["index"]) & matches(o, x))
-        return good & _in_order(c, behind, k["index"]) if behind else good
-
-    found = F.filter(c["kids"], fits)
-    shown = F.transform(found, _shown) if aimed.target else F.flatten(F.transform(found, lambda k: targets(k, aimed)))
-    return F.when(_is(c, p), shown).otherwise(none)
-
-
 _ANY = node()
 _COMPARE, _EQUAL = ("<", ">", "<=", ">="), ("==", "!=")
 
@@ -211,21 +152,42 @@ def pattern_catalog(extra: dict[str, list[Pattern]] | None = None) -> dict[str,
     return {impl: kept for impl, found in (out | (extra or {})).items() if (kept := [p for p in found if p.has_target])}
 
 
-_QUERY = re.compile(r"""\s*(?:;[^\n]*|(?P<mark>[()\[\].?])|(?P<string>"(?:\\.|[^"\\])*")|(?P<capture>@[\w.]+)|(?P<predicate>\#[\w-]+\?)|(?P<word>[\w-]+)(?P<colon>:)?)""")
+_QUERY = re.compile(r"""\s*(?:;[^\n]*|(?P<mark>[()\[\].?])|(?P<string>"(?:\\.|[^"\\])*")|(?P<capture>@[\w.]+)|(?P<predicate>\#[\w-]+\?)|(?P<word>[\w-]+)(?P<colon>:)?|(?P<other>\S))""")
+_PREDICATES = {"eq", "any-of", "match"}
 
 
 def parse_pattern(text: str) -> list[Pattern]:
-    """Patterns written as nested lists: (kind field: (kind "token" @target (_) .) [(a) (b)] (#eq? @name "text")).
+    """Patterns written as nested lists: (kind field: (kind "token" @target . (_) .) [(a) (b)] (#eq? @name "text")).
 
-    One list a pattern; alternatives at the top give one pattern each, others must be kinds or tokens.
+    One list a pattern, or a group of one pattern and its predicates; alternatives give one pattern
+    each. Predicates compare a captured node's whole text with texts: #eq? #any-of? #match?, also with not-.
+    ValueError for what isn't written so, as repetitions, several patterns in a group or a field's absence.
     """
     words = [(m.lastgroup if m.lastgroup != "colon" else "field", (m.group("word") if m.lastgroup == "colon" else m.group(m.lastgroup))) for m in _QUERY.finditer(text) if m.lastgroup]
     at = 0
 
+    def look() -> tuple[str, str]:
+        if at >= len(words):
+            raise ValueError(f"a bracket isn't closed: {text}")
+        return words[at]
+
+    def predicate() -> tuple[str, str, tuple[str, ...], bool]:
+        nonlocal at
+        name = look()[1][1:-1]
+        at += 1
+        values = []
+        while look() != ("mark", ")"):
+            values.append(words[at])
+            at += 1
+        at += 1
+        if name.removeprefix("not-") not in _PREDICATES or len(values) < 2 or values[0][0] != "capture" or any(kind != "string" for kind, _ in values[1:]):
+            raise ValueError(f"a predicate compares a capture with texts: #{name}?")
+        return name.removeprefix("not-"), values[0][1], tuple(_unquoted(v) for _, v in values[1:]), name.startswith("not-")
+
     def read(field: str | None = None) -> tuple[list[Pattern], list]:
         """The alternatives that begin here, and the predicates inside."""
         nonlocal at
-        kind, word = words[at]
+        kind, word = look()
         at += 1
         if kind == "field":
             return read(word)
@@ -234,42 +196,42 @@ def parse_pattern(text: str) -> list[Pattern]:
             found = [token(_unquoted(word))]
         elif word == "[":
             found = []
-            while words[at] != ("mark", "]"):
+            while look() != ("mark", "]"):
                 more, inner = read()
                 found += more
                 checks += inner
             at += 1
             if len(found) > 1 and len({(p.named, p.parts, p.texts) for p in found}) == 1 and not any(p.target for p in found):
                 found = [replace(found[0], kinds=tuple(k for p in found for k in p.kinds))]
+        elif word == "(" and look()[0] == "predicate":
+            return [], [predicate()]
         elif word == "(":
-            if words[at][0] == "predicate":
-                name = words[at][1]
-                at += 1
-                values = []
-                while words[at] != ("mark", ")"):
-                    values.append(words[at][1])
-                    at += 1
+            group = look()[1] in "([" and look()[0] == "mark"
+            if not group:
+                kinds, named = ((_unquoted(words[at][1]),), False) if words[at][0] == "string" else (() if words[at][1] == "_" else (words[at][1],), True)
+                if words[at][0] not in ("string", "word"):
+                    raise ValueError(f"unexpected {words[at][1]}")
                 at += 1
-                return [], [(name, values[0], tuple(_unquoted(v) for v in values[1:]))]
-            if words[at][0] == "string":
-                kinds, named = (_unquoted(words[at][1]),), False
-            else:
-                kinds, named = (() if words[at][1] == "_" else (words[at][1],)), True
-            at += 1
-            parts: list[Pattern] = []
-            while words[at] != ("mark", ")"):
+            ways: list[list[Pattern]] = [[]]
+            close = False
+            while look() != ("mark", ")"):
                 if words[at] == ("mark", "."):
                     at += 1
-                    if words[at] == ("mark", ")") and parts:
-                        parts[-1] = replace(parts[-1], last=True)
+                    close = True
                     continue
                 more, inner = read()
-                if len(more) > 1:
-                    raise ValueError("alternatives inside a pattern must be alike")
-                parts += more
                 checks += inner
+                if more:
+                    ways = [[*way, replace(p, next=close)] for way in ways for p in more]
+                    close = False
             at += 1
-            found = [Pattern(kinds, tuple(parts), named=named)]
+            if group and (close or any(len(way) != 1 or way[0].next for way in ways)):
+                raise ValueError("a group holds one pattern and its predicates")
+            if close:
+                if not ways[0]:
+                    raise ValueError("an anchor needs a neighbour")
+                ways = [[*way[:-1], replace(way[-1], last=True)] for way in ways]
+            found = [way[0] for way in ways] if group else [Pattern(kinds, tuple(way), named=named) for way in ways]
         else:
             raise ValueError(f"unexpected {word}")
         while at < len(words) and words[at][0] in ("capture",) or at < len(words) and words[at] == ("mark", "?"):
@@ -278,7 +240,6 @@ def parse_pattern(text: str) -> list[Pattern]:
             elif words[at][1] == "@target":
                 found = [p.aim for p in found]
             else:
-                names.setdefault(words[at][1], []).extend(found)
                 found = [replace(p, like=p.like or f"{words[at][1]}") for p in found]
             at += 1
         return [p.at(field) if field else p for p in found], checks
@@ -287,44 +248,18 @@ def parse_pattern(text: str) -> list[Pattern]:
         """Captured names become what the predicates say of them."""
         found = checks.get("@target") if p.target else None
         if p.like and p.like.startswith("@"):
-            found, p = checks.get(p.like), replace(p, like=None)
+            found, p = checks.get(p.like, found), replace(p, like=None)
         if found:
-            name, values = found
-            p = replace(p, like=values[0]) if name == "#match?" else replace(p, texts=values)
+            name, values, denied = found
+            p = replace(p, like=values[0], denied=denied) if name == "match" else replace(p, texts=values, denied=denied)
         return replace(p, parts=tuple(settle(x, checks) for x in p.parts))
 
-    names: dict[str, list[Pattern]] = {}
     out = []
     while at < len(words):
         found, checks = read()
-        out += [settle(p, {of: (name, values) for name, of, values in checks}) for p in found]
+        out += [settle(p, {of: (name, values, denied) for name, of, values, denied in checks}) for p in found]
     return out
 
 
 def _unquoted(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text[1:-1]) if text[:1] == '"' else text
-
-
-def _named(impl: str) -> Callable[[Column], Column]:
-    return lambda t: F.struct(F.lit(impl).alias("implementation"), t.alias("target"))
-
-
-def all_targets(catalog: dict[str, list[Pattern]], c: Callable[[str], Column] = F.col) -> Column:
-    """For a row of the node table, an array of (implementation, target) over all implementations of its language."""
-    by_pattern: dict[tuple[Pattern, ...], list[str]] = {}
-    for impl, found in catalog.items():
-        by_pattern.setdefault(tuple(found), []).append(impl)
-    row = F.struct(*(c(x).alias(x) for x in ("kind", "field", "named", "start_byte", "end_byte", "line", "column", "leaf_text", "kids")), F.lit(True).alias("last_named"))
-    kind = "array<struct<implementation: string, target: struct<start_byte: int, end_byte: int, line: int, column: int, leaf_text: string>>>"
-    out = []
-    for found, impls in by_pattern.items():
-        for p in found:
-            for impl in impls:
-                language = impl.split(".")[0]
-                here = (c("language") == language) & (c("kind").isin(*p.kinds) if p.kinds else c("named"))
-                out.append(F.when(here, F.transform(targets(row, p), _named(impl))).otherwise(F.array().cast(kind)))
-    return F.flatten(F.array(*out))
-
-
-def root_kinds(catalog: dict[str, list[Pattern]]) -> list[str]:
-    return sorted({k for found in catalog.values() for p in found for k in p.kinds})

@@ -1,21 +1,26 @@
-"""Functions, their complexity, and mutation candidates, from syntax nodes."""
+"""Functions, their complexity, and mutation candidates, found while a text is parsed."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from mutalake.functions.catalog import implementation_catalog, operator_catalog
-from mutalake.functions.patterns import Pattern, all_targets, pattern_catalog, root_kinds
+from mutalake.functions.patterns import Pattern, pattern_catalog
 from mutalake.functions.rewrites import rewrite_targets
 from mutalake.operators.edits import dedupe_overlapping, widen_deletions
 from mutalake.operators.scoring import path_parts
+from mutalake.syntax.automaton import Automaton
+from mutalake.syntax.nodes import Node, Rows, in_order
 from mutalake.syntax.parsers import PARSERS
-from mutalake.syntax.table import syntax_nodes
+from mutalake.syntax.table import languages, tree
 
 _SCRIPT_FUNCTIONS = "function_declaration function_expression arrow_function method_definition"
 _SCRIPT_BRANCHES = "if_statement for_statement for_in_statement while_statement do_statement switch_case switch_default catch_clause ternary_expression"
@@ -51,65 +56,22 @@ _NAMED = {"function_item": "identifier", "method_definition": "property_identifi
 _BODIED = ("function_item", "function_definition", "function_declaration", "method_declaration", "constructor_declaration", "local_function_statement")
 
 
-def _pairs(which: int) -> Column:
-    """(language, kind) keys of the conventions, as a set of strings."""
-    return F.concat_ws(".", "language", "kind").isin(*(f"{language}.{kind}" for language, own in CONVENTIONS.items() for kind in own[which].split()))
+def _kinds(language: str, which: int) -> frozenset[str]:
+    return frozenset(CONVENTIONS[language][which].split())
 
 
-def _has(field: str) -> Column:
-    return F.exists("kids", lambda k: F.coalesce(k["field"], F.lit("")) == field)
+def _name_of(node: Node, text: str) -> tuple[str, str] | None:
+    """(kind, text) of the first child without children that names a node."""
+    return next(((k.kind, text[k.start : k.end]) for k in node.children if k.field == "name" and not k.children), None)
 
 
-def _named_kid() -> Column:
-    return F.get(F.filter("kids", lambda k: (k["field"] == "name") & k["leaf_text"].isNotNull()), 0)
-
-
-def _name() -> Column:
-    return F.coalesce(_named_kid()["leaf_text"], F.concat(F.lit("<anonymous>:"), "line"))
-
-
-def _is_function() -> Column:
-    full = F.col("language").isin(*PARSERS)
-    good = F.col("named") & _pairs(0) & (~full | ~F.col("kind").isin(*_BODIED) | _has("body"))
-    for kind, of in _NAMED.items():
-        good = good & ((F.col("kind") != kind) | ~full | F.coalesce(_named_kid()["kind"] == of, F.lit(False)))
-    return good
-
-
-def _is_token(operators: str) -> Callable[[Column], Column]:
-    return lambda k: ~k["named"] & k["kind"].isin(*operators.split())
-
-
-def _is_decision() -> Column:
-    """A node of a deciding kind, or a binary expression with a deciding operator."""
-    signs = F.lit(False)
-    for language, (_, _, operators) in CONVENTIONS.items():
-        if operators:
-            signs = signs | ((F.col("language") == language) & (F.col("kind") == "binary_expression") & F.exists("kids", _is_token(operators)))
-    return F.col("named") & (_pairs(1) | signs)
-
-
-def _span() -> Column:
-    return F.struct("language", _name().alias("function"), F.col("line").alias("start_line"), "end_line", "start_byte", "end_byte", F.col("node").alias("scan_seq"))
-
-
-def function_spans(nodes: DataFrame) -> DataFrame:
-    """(file, language, function, start_line, end_line, start_byte, end_byte, scan_seq) of the functions, in scan order within a file.
-
-    A function without a name is called <anonymous>: and its first line.
-    """
-    return nodes.where(_is_function()).select("file", _span().alias("f")).select("file", "f.*")
-
-
-def decision_points(nodes: DataFrame) -> DataFrame:
-    """(file, at) of each decision."""
-    return nodes.where(_is_decision()).select("file", F.col("start_byte").alias("at"))
-
-
-def needed_kinds(catalog: dict[str, list[Pattern]] | None = None) -> list[str]:
-    """Kinds of the nodes that functions, decisions and the patterns of a catalog (null for none) look at."""
-    own = {kind for functions, decisions, _ in CONVENTIONS.values() for kind in f"{functions} {decisions} binary_expression".split()}
-    return sorted(own | {*(root_kinds(catalog) if catalog else ())})
+def is_function(node: Node, language: str, text: str) -> bool:
+    """Whether a node of a function's kind is one: in languages that are parsed whole some need a body, others a plain name."""
+    if language not in PARSERS:
+        return True
+    if node.kind in _BODIED and not any(k.field == "body" for k in node.children):
+        return False
+    return node.kind not in _NAMED or (_name_of(node, text) or ("", ""))[0] == _NAMED[node.kind]
 
 
 def own_points(starts: np.ndarray, ends: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -138,61 +100,135 @@ def own_points(starts: np.ndarray, ends: np.ndarray, points: np.ndarray) -> np.n
     return out
 
 
-_SPANS = "file string, language string, function string, start_line int, end_line int, start_byte int, end_byte int, scan_seq int"
+_FUNCTION = "function: string, start_line: int, end_line: int, start_byte: int, end_byte: int, scan_seq: int, cyclomatic: bigint"
+_SITE = "implementation: string, root_start: int, root_end: int, match_seq: int, start_byte: int, end_byte: int, line: int, column: int, scan_seq: int, function: string, original: string, before: string"
+#: What a parse of a text keeps.
+PARSED = f"functions array<struct<{_FUNCTION}>>, sites array<struct<{_SITE}>>"
+#: Functions and sites of a batch of parsed texts.
+BATCH = 20_000
 
 
-def scan_functions(nodes: DataFrame) -> DataFrame:
-    """function_spans with cyclomatic: one more than the decisions inside, those of nested functions left aside.
+def parsed_text(language: str, text: str, automaton: Automaton | None) -> tuple[list[tuple], list[tuple]]:
+    """The functions and sites of one text, in the order of their nodes; see PARSED.
 
-    One pass over the nodes and one shuffle by file; a file's functions and decisions meet in one row.
+    A function without a name is called <anonymous>: and its first line. Its complexity is one more than
+    the decisions inside, those of nested functions left aside. A site counts for the outermost function
+    that holds its whole match, and has no function where none does.
+    """
+    rows = Rows("", language, text, tree(language, text))
+    order = in_order(rows.root)
+    if automaton is not None:
+        automaton.run(order, text)
+    functions_kinds, decisions, signs = (_kinds(language, i) for i in range(3))
+    functions, points, sites = [], [], []
+    outer, ends = None, -1  # the outermost function that is open, where it ends
+    for me, node in enumerate(order):
+        if not node.named:
+            continue
+        if node.kind in decisions or signs and node.kind == "binary_expression" and any(not k.named and k.kind in signs for k in node.children):
+            points.append(rows.byte(node.start))
+        if node.kind in functions_kinds and is_function(node, language, text):
+            line = rows.place(node.start)[0]
+            name = (_name_of(node, text) or ("", f"<anonymous>:{line}"))[1]
+            functions.append((name, line, bisect_right(rows.lines, node.end), rows.byte(node.start), rows.byte(node.end), me))
+            if node.start >= ends:
+                outer, ends = (me, name), node.end
+        if automaton is not None and node.states & automaton.root_bits:
+            held = outer if node.end <= ends else (None, None)
+            for name, t in automaton.found(node):
+                line, column = rows.place(t.start)
+                sites.append((name, rows.byte(node.start), rows.byte(node.end), me, rows.byte(t.start), rows.byte(t.end), line, column, *held, text[t.start : t.end], text[t.start - 1] if t.start else None))
+    if functions:
+        own = own_points(np.array([f[3] for f in functions]), np.array([f[4] for f in functions]), np.array(points, dtype=np.int64))
+        functions = [(*f, 1 + int(n)) for f, n in zip(functions, own, strict=True)]
+    return functions, sites
+
+
+def _automata(catalog: dict[str, list[Pattern]]) -> dict[str, Automaton]:
+    by_language: dict[str, list[tuple[str, Pattern]]] = {}
+    for impl, found in catalog.items():
+        by_language.setdefault(impl.split(".")[0], []).extend((impl, p) for p in found)
+    return {language: Automaton(found) for language, found in by_language.items()}
+
+
+def _listed(groups: list[list[tuple]], kind: pa.ListType) -> pa.ListArray:
+    """A column of lists of rows."""
+    offsets = np.cumsum([0, *map(len, groups)]).astype(np.int32)
+    flat = [row for group in groups for row in group]
+    columns = list(zip(*flat, strict=True)) if flat else [[]] * kind.value_type.num_fields
+    rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind.value_type, strict=True)], fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(offsets), rows, type=kind)
+
+
+def parse_sources(sources: DataFrame, catalog: dict[str, list[Pattern]] | None = None) -> DataFrame:
+    """(file, language, functions, sites) of sources (file, language, text): one parse a text, functions and matches alone leave it.
+
+    catalog: the patterns to look for, null for none. Null texts and languages without a parser have no
+    row; others have one, with empty lists where nothing is found. Odd syntax gives an odd tree, never
+    an error. Repeated files give repeated rows.
     """
-    marked = nodes.where(F.col("named")).select("file", F.when(_is_function(), _span()).alias("f"), F.when(_is_decision(), F.col("start_byte")).alias("at"))
-    per_file = marked.where("f is not null or at is not null").groupBy("file").agg(F.collect_list("f").alias("functions"), F.collect_list("at").alias("points"))  # of one file
+    names = f"file string, language string, {PARSED}"
+    schema = to_arrow_schema(_parse_datatype_string(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automata = _automata(catalog or {})
+        rows, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)] + [_listed([r[i] for r in rows], schema.field(i).type) for i in (2, 3)], schema=schema)
+            rows.clear()
+            return made
+
         for batch in batches:
-            functions, points = batch.column("functions"), batch.column("points")
-            for i in range(batch.num_rows):
-                own = functions[i].values
-                if not len(own):
-                    continue
-                found = own_points(own.field("start_byte").to_numpy(), own.field("end_byte").to_numpy(), points[i].values.to_numpy())
-                names = [x.split()[0] for x in _SPANS.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("file")[i].as_py()] * len(own), pa.string()), *(own.field(x) for x in names[1:]), pa.array(found + 1)], names=[*names, "cyclomatic"])
+            for file, language, text in zip(*(batch.column(x).to_pylist() for x in ("file", "language", "text")), strict=True):
+                functions, sites = parsed_text(language, text, automata.get(language))
+                rows.append((file, language, functions, sites))
+                size += len(functions) + len(sites) + 1
+                if size >= BATCH:
+                    yield flush()
+                    size = 0
+        if rows:
+            yield flush()
+
+    known = sources.where("text is not null").where(F.col("language").isin(*languages()))
+    return known.select("file", "language", "text").mapInArrow(run, names)
 
-    return per_file.mapInArrow(run, f"{_SPANS}, cyclomatic long")
+
+def functions_of(parsed: DataFrame) -> DataFrame:
+    """(file, language, function, start_line, end_line, start_byte, end_byte, scan_seq, cyclomatic) of parsed sources."""
+    return parsed.select("file", "language", F.explode("functions").alias("f")).select("file", "language", "f.*")
 
 
 def scan_programs(sources: DataFrame) -> DataFrame:
-    """scan_functions of sources (file, language, text), with only the nodes that it needs."""
-    return scan_functions(syntax_nodes(sources, needed_kinds()))
+    """functions_of sources (file, language, text), without looking for patterns."""
+    return functions_of(parse_sources(sources))
 
 
-def candidate_sites(nodes: DataFrame, catalog: dict[str, list[Pattern]] | None = None) -> DataFrame:
-    """(file, language, root_start, root_end, match_seq, implementation, start_byte, end_byte, line, column, leaf_text) of every capture."""
-    catalog = pattern_catalog() if catalog is None else catalog
-    rooted = nodes.where(_is_root(catalog))
-    found = rooted.select("file", "language", F.col("start_byte").alias("root_start"), F.col("end_byte").alias("root_end"), F.col("node").alias("match_seq"), F.explode(all_targets(catalog)).alias("m"))
-    return found.select("file", "language", "root_start", "root_end", "match_seq", "m.implementation", "m.target.*")
+def candidate_sites(sources: DataFrame, catalog: dict[str, list[Pattern]] | None = None) -> DataFrame:
+    """(file, language, implementation, root_start, root_end, match_seq, start_byte, end_byte, line, column, scan_seq, function, original, before) of every capture."""
+    return _sites(parse_sources(sources, pattern_catalog() if catalog is None else catalog))
 
 
-def _is_root(catalog: dict[str, list[Pattern]]) -> Column:
-    return F.col("named") & F.col("language").isin(*sorted({impl.split(".")[0] for impl in catalog})) & F.col("kind").isin(*root_kinds(catalog))
+def _sites(parsed: DataFrame) -> DataFrame:
+    return parsed.select("file", "language", F.explode("sites").alias("s")).select("file", "language", "s.*")
 
 
 def discover(sources: DataFrame, catalog: dict[str, list[Pattern]] | None = None, operators: DataFrame | None = None, overrides: dict[str, bool] | None = None) -> DataFrame:
-    """Mutation candidates of sources (file, language, text), one an edit:
+    """candidates_of sources (file, language, text), with the patterns of a catalog, null for all of the library's."""
+    return candidates_of(parse_sources(sources, pattern_catalog() if catalog is None else catalog), operators, overrides)
+
+
+def candidates_of(parsed: DataFrame, operators: DataFrame | None = None, overrides: dict[str, bool] | None = None) -> DataFrame:
+    """Mutation candidates of parsed sources, one an edit:
 
     id, file, language, function, operator, operator_category, implementation, line, column, start_byte,
     end_byte, original, replacement, discovery_seq. A site counts for the first function in scan order
     that holds its whole match. operators: those that run (a column operator), null for all; overrides:
     implementation to whether it runs, whatever its operator's default says. Sources without functions or
     sites have no rows; equal edits are one candidate, of the operator with the higher priority. Files
-    must be unique. One parse and one shuffle by file; a file's sites, functions and text meet in one row.
+    must be unique. Sites are shuffled by file, texts aren't.
     """
-    spark = sources.sparkSession
-    catalog = pattern_catalog() if catalog is None else catalog
-    nodes = syntax_nodes(sources, needed_kinds(catalog))
+    spark = parsed.sparkSession
     implementations = implementation_catalog(spark).withColumn("impl_seq", F.monotonically_increasing_id())
     if operators is not None:
         implementations = implementations.join(operators.select("operator", F.lit(True).alias("on_")), "operator", "left")
@@ -200,21 +236,13 @@ def discover(sources: DataFrame, catalog: dict[str, list[Pattern]] | None = None
         for impl, runs in (overrides or {}).items():
             on = F.when(F.col("implementation") == impl, F.lit(runs)).otherwise(on)
         implementations = implementations.where(on).drop("on_")
-    seen = F.transform(all_targets(catalog), lambda m: F.struct(F.col("start_byte").alias("root_start"), F.col("end_byte").alias("root_end"), F.col("node").alias("match_seq"), m["implementation"].alias("implementation"), *(m["target"][x].alias(x) for x in ("start_byte", "end_byte", "line", "column"))))
-    holder = F.struct(F.col("node").alias("scan_seq"), _name().alias("function"), F.col("start_byte").alias("s"), F.col("end_byte").alias("e"))
-    marked = nodes.select("file", "language", F.when(F.col("parent") == -1, F.col("leaf_text")).alias("text"), F.when(_is_function(), holder).alias("f"), F.when(_is_root(catalog), seen).alias("sites"))
-    per_file = marked.groupBy("file", "language").agg(F.max("text").alias("text"), F.collect_list("f").alias("functions"), F.flatten(F.collect_list("sites")).alias("sites"))  # of one file
-    raw = F.encode("text", "UTF-8")
-    cut = lambda a, n: F.decode(F.substring(raw, a, n), "UTF-8")
-    owner = lambda x: F.array_min(F.filter("functions", lambda f: (f["s"] <= x["root_start"]) & (x["root_end"] <= f["e"])))
-    site = lambda x: F.struct(x.alias("x"), owner(x).alias("f"), cut(x["start_byte"] + 1, x["end_byte"] - x["start_byte"]).alias("original"), F.when(x["start_byte"] > 0, cut(x["start_byte"], F.lit(1))).alias("before"))
-    flat = per_file.select("file", "language", F.explode(F.transform("sites", site)).alias("y")).select("file", "language", "y.x.*", "y.f", "y.original", "y.before").where("f is not null")
-    flat = flat.join(F.broadcast(implementations.drop("language")), "implementation")  # a fixed table
+    sites = _sites(parsed).where("scan_seq is not null")
+    flat = sites.join(F.broadcast(implementations.drop("language")), "implementation")  # a fixed table
     rewritten = widen_deletions(rewrite_targets(flat).withColumn("at_column", F.col("column")))
-    order = Window.partitionBy("file").orderBy("f.scan_seq", "impl_seq", "match_seq", "start_byte")
+    order = Window.partitionBy("file").orderBy("scan_seq", "impl_seq", "match_seq", "start_byte")
     kept = dedupe_overlapping(rewritten.withColumn("discovery_seq", F.row_number().over(order)))
     category = operator_catalog(spark).select("operator", F.col("category").alias("operator_category"))
-    out = kept.withColumn("function", F.col("f.function")).join(F.broadcast(category), "operator")  # a fixed table
+    out = kept.join(F.broadcast(category), "operator")  # a fixed table
     return out.select(
         F.concat_ws(":", "file", F.col("line").cast("string"), F.col("at_column").cast("string"), "implementation").alias("id"), "file", "language", "function", "operator", "operator_category", "implementation",
         "line", F.col("at_column").alias("column"), "start_byte", "end_byte", "original", "replacement", "discovery_seq")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from mutalake.config import Settings
 from mutalake.functions.catalog import OPERATORS, enabled_operators
-from mutalake.functions.patterns import Pattern
+from mutalake.functions.patterns import Pattern, pattern_catalog
+from mutalake.functions.session import settled
 from mutalake.operators import discovery, edits, scoring, selection
 from mutalake.operators.rank import with_place
 from mutalake.sources.coverage import read_coverage
@@ -61,15 +62,16 @@ def plan_sources(sources: DataFrame, settings: Settings, coverage: DataFrame | N
     """The plan over sources (file, language, text).
 
     Excludes are the sources' business. Skipped candidates and those kept are both limited to changed
-    files; order and limit apply to those kept.
+    files; order and limit apply to those kept. Each text is parsed once; what was found is stored.
     """
     spark = sources.sparkSession
     operators = chosen_operators(spark, settings)
-    found = discovery.discover(sources, catalog, operators, overrides)
+    parsed = settled(discovery.parse_sources(sources, pattern_catalog() if catalog is None else catalog))
+    found = discovery.candidates_of(parsed, operators, overrides)
     if changed is not None:
         found = only_changed(found, changed)
     ruled = edits.skip_rules(found, sources, edits.macro_table(sources.where("language = 'rust'"))) if settings["mutation.static_skips"] else found.withColumn("skip_rule", F.lit(None).cast("string"))
-    functions = scoring.score_functions(discovery.scan_programs(sources), coverage) if coverage is not None else scoring.score_functions(discovery.scan_programs(sources))
+    functions = scoring.score_functions(discovery.functions_of(parsed), *([coverage] if coverage is not None else []))
     kept = with_place(ruled.where("skip_rule is null").drop("skip_rule", "discovery_seq"), selection.discovery_order(), "discovery_seq")
     planned = selection.plan(kept, functions, settings["mutation.strategy"] or "discovery", settings["mutation.limit"], settings["mutation.seed"], commit or "")
     return Plan(planned, ruled.where("skip_rule is not null"), functions, sources, commit)

@@ -11,7 +11,7 @@ import numpy as np
 class Node:
     """A piece of text with a kind; tokens without a name of their own have named = False and their text as kind."""
 
-    __slots__ = ("kind", "field", "named", "start", "end", "children")
+    __slots__ = ("kind", "field", "named", "start", "end", "children", "states")
 
     def __init__(self, kind: str, start: int, end: int, children: list[Node] | None = None, named: bool = True, field: str | None = None):
         self.kind, self.start, self.end, self.named, self.field = kind, start, end, named, field
@@ -24,13 +24,13 @@ class Node:
 
 _KID = "index: int, kind: string, field: string, named: boolean, last_named: boolean, start_byte: int, end_byte: int, line: int, column: int, leaf_text: string"
 #: Columns of the node table; positions are bytes, lines count from one, columns are bytes from zero. A row
-#: carries its children and theirs, so that patterns need no join; leaf_text is null for nodes with children.
-SCHEMA = f"file string, language string, node int, parent int, depth int, kind string, field string, named boolean, start_byte int, end_byte int, line int, end_line int, column int, leaf_text string, kids array<struct<{_KID}, kids: array<struct<{_KID}>>>>"
+#: carries its children, so that looking at them needs no join; leaf_text is null for nodes with children.
+SCHEMA = f"file string, language string, node int, parent int, depth int, kind string, field string, named boolean, start_byte int, end_byte int, line int, end_line int, column int, leaf_text string, kids array<struct<{_KID}>>"
 COLUMNS = ["file", "language", "node", "parent", "depth", "kind", "field", "named", "start_byte", "end_byte", "line", "end_line", "column", "leaf_text", "kids"]
 
 
 class Rows:
-    """The rows of one tree, in pre-order."""
+    """The rows of one tree, in pre-order, and where its places lie in bytes and lines."""
 
     def __init__(self, file: str, language: str, text: str, root: Node):
         self.file, self.language, self.text = file, language, text
@@ -50,28 +50,29 @@ class Rows:
         line = bisect_right(self.lines, at)
         return line, self.byte(at) - self.byte(self.lines[line - 1])
 
-    def kids(self, node: Node, deep: bool) -> list[dict]:
+    def kids(self, node: Node) -> list[dict]:
         final = max((i for i, c in enumerate(node.children) if c.named), default=-1)
         out = []
         for i, c in enumerate(node.children):
             line, column = self.place(c.start)
-            kid = {"index": i, "kind": c.kind, "field": c.field, "named": c.named, "last_named": i == final, "start_byte": self.byte(c.start), "end_byte": self.byte(c.end), "line": line, "column": column, "leaf_text": None if c.children else self.text[c.start : c.end]}
-            if deep:
-                kid["kids"] = self.kids(c, False)
-            out.append(kid)
+            out.append({"index": i, "kind": c.kind, "field": c.field, "named": c.named, "last_named": i == final, "start_byte": self.byte(c.start), "end_byte": self.byte(c.end), "line": line, "column": column, "leaf_text": None if c.children else self.text[c.start : c.end]})
         return out
 
-    def all(self, kinds: frozenset[str] | None = None) -> Iterator[tuple]:
-        """Rows of the named nodes of these kinds and of the root, whose leaf_text is then the whole text; None for all nodes."""
+    def all(self) -> Iterator[tuple]:
         stack, me = [(self.root, -1, 0)], -1
         while stack:
             node, parent, depth = stack.pop()
             me += 1
             stack.extend((c, me, depth + 1) for c in reversed(node.children))
-            if kinds is not None and me and not (node.named and node.kind in kinds):
-                continue
             line, column = self.place(node.start)
-            if kinds is not None and not me:
-                yield (self.file, self.language, 0, -1, 0, node.kind, None, True, 0, self.byte(len(self.text)), 1, len(self.lines), 0, self.text, [])
-                continue
-            yield (self.file, self.language, me, parent, depth, node.kind, node.field, node.named, self.byte(node.start), self.byte(node.end), line, bisect_right(self.lines, node.end), column, None if node.children else self.text[node.start : node.end], self.kids(node, True))
+            yield (self.file, self.language, me, parent, depth, node.kind, node.field, node.named, self.byte(node.start), self.byte(node.end), line, bisect_right(self.lines, node.end), column, None if node.children else self.text[node.start : node.end], self.kids(node))
+
+
+def in_order(root: Node) -> list[Node]:
+    """The nodes of a tree in pre-order; a node's place is its number."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack.extend(reversed(node.children))
+    return out

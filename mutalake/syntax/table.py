@@ -25,15 +25,12 @@ def languages() -> list[str]:
     return sorted({*parsers.PARSERS, *outline.SCANNERS})
 
 
-def syntax_nodes(sources: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+def syntax_nodes(sources: DataFrame) -> DataFrame:
     """A row a node of each source (file, language, text); see nodes.SCHEMA.
 
     Null texts and languages without a parser have no rows, an empty text has its root alone. A text is
     parsed in one task; odd syntax gives an odd tree, never an error. Repeated files give repeated rows.
-    kinds: named nodes of these kinds and each text's root alone, which then holds the whole text.
     """
-    wanted = None if kinds is None else frozenset(kinds)
-
     schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +43,7 @@ def syntax_nodes(sources: DataFrame, kinds: list[str] | None = None) -> DataFram
 
         for batch in batches:
             for file, language, text in zip(*(batch.column(x).to_pylist() for x in ("file", "language", "text")), strict=True):
-                for row in Rows(file, language, text, tree(language, text)).all(wanted):
+                for row in Rows(file, language, text, tree(language, text)).all():
                     rows.append(row)
                     if len(rows) >= BATCH:
                         yield flush()

@@ -145,7 +145,7 @@ def test_own_patterns(spark):
     assert parse_pattern('[(a) (b)] @target') == [node("a b").aim] or len(parse_pattern('[(a) (b)] @target')) == 2
     assert parse_pattern('(x "=="  @target (y)?)') == [node("x", token("==", target=True), node("y", optional=True))]
     table = spark.createDataFrame([("a.rs", "rust", "fn f() { push(a, b + c); push(); put(d) }")], SOURCES)
-    sites = discovery.candidate_sites(syntax_nodes(table), {"rust.mine": mine}).collect()
+    sites = discovery.candidate_sites(table, {"rust.mine": mine}).collect()
     assert [(r.start_byte, r.end_byte) for r in sites] == [(17, 22)]
 
 
@@ -153,8 +153,7 @@ def test_odd_texts(spark):
     """No text stops the parser: broken syntax, unclosed marks, deep nesting, nulls."""
     odd = ["", "}}}}", "((((", '"', "'", "/*", "`${", "fn", "def f(", "class", "if if if", "\x00", "é" * 10, "{" * 3000, "(" * 3000 + ")" * 3000, "a ? b : " * 500, "x" * 100_000, "a.b()" * 300, "<" * 500, "=>" * 100, "@ # $ \\"]
     rows = [(f"{language}/{k}", language, text) for language in languages() for k, text in enumerate(odd)]
-    roots = syntax_nodes(spark.createDataFrame(rows, SOURCES).repartition(8), []).count()
-    assert roots == len(rows)
+    assert discovery.parse_sources(spark.createDataFrame(rows, SOURCES).repartition(8), pattern_catalog()).count() == len(rows)
 
 
 @pytest.mark.parametrize("language", sorted(parsers.PARSERS))
