@@ -20,6 +20,8 @@ _NO_OPERAND = {
 }
 _NO_OPERAND["typescript"] = _NO_OPERAND["javascript"]
 _TERNARY, _ASSIGN, _UNARY = 8, 5, 60
+#: Expressions, prefixes and brackets inside each other; what lies deeper is read as loose tokens.
+DEEP = 1500
 _CLOSERS = frozenset(") ] } ; ,".split())
 _TYPE_TOKENS = frozenset(", . :: ? & [ ] ( ) | * : ; { } => ->".split())
 _TYPE_WORDS = frozenset("extends is keyof typeof readonly infer unique asserts mut dyn impl".split())
@@ -48,6 +50,12 @@ class Expressions:
         self.js = language in ("javascript", "typescript")
         #: A brace after a name opens a block, as in conditions of Rust and Go.
         self.braces_are_blocks = False
+        self.depth = 0
+        self._ends: dict[int, int] | None = None
+        self._colons: set[int] | None = None
+        #: Tokens at which a prefix or a condition was tried and led nowhere, and where lookahead from a token ends.
+        self._barren: set[tuple] = set()
+        self._ways: dict[str, dict[int, tuple[int, int]]] = {}
 
     # Cursor.
 
@@ -78,14 +86,18 @@ class Expressions:
     def group(self, kind: str, inner=None) -> Node:
         """A bracketed run of what inner reads, by default loose."""
         end = self.closing.get(self.i, len(self.tokens))
+        if self.depth >= DEEP:
+            return self.tokens_to(end + 1, kind)
         parts, was = [self.take()], self.braces_are_blocks
         self.braces_are_blocks = False
+        self.depth += 1
         while self.i < end:
             before = self.i
             parts += inner() if inner else self.loose()
             if self.i == before:
                 parts.append(self.take())
         self.braces_are_blocks = was
+        self.depth -= 1
         if self.i < len(self.tokens):
             parts.append(self.take())
         return self.over(kind, parts)
@@ -99,25 +111,83 @@ class Expressions:
 
     def generic_end(self, i: int) -> int | None:
         """The token behind the > that closes type arguments opened at i; None if < compares there."""
-        depth, k = 0, i
-        while k < len(self.tokens):
-            t = self.tokens[k]
-            if t.kind == OP and t.text == "<":
-                depth += 1
-            elif t.kind == OP and t.text == ">":
-                depth -= 1
-                if not depth:
-                    return k + 1
-            elif t.kind == OP and t.text in ("(", "[", "{"):
-                if k not in self.closing or (t.text == "{" and self.language != "typescript"):
-                    return None
-                k = self.closing[k]
-            elif t.kind == LINE or (t.kind == OP and t.text not in _TYPE_TOKENS and not (t.text in ("=", "+", "!") and self.language == "rust") and not (t.text == "=" and self.language == "typescript")) or (t.kind == OP and t.text in (";", ")", "]", "}")):
-                return None
-            elif t.kind in (NUMBER, STRING) and self.language not in ("typescript", "rust"):
-                return None
-            k += 1
-        return None
+        if self._ends is None:
+            self._ends = self._generic_ends()
+        return self._ends.get(i)
+
+    def _generic_ends(self) -> dict[int, int]:
+        """All < that open type arguments, with what generic_end says of them, from one pass over the tokens.
+
+        A < waits for its > within its brackets; what no type holds takes all that wait there.
+        """
+        typed, out = self.language in ("typescript", "rust"), {}
+        extra = {"rust": ("=", "+", "!"), "typescript": ("=",)}.get(self.language, ())
+        waiting: list[int] = []
+        outer: list[tuple[int, list[int]]] = []
+        for k, t in enumerate(self.tokens):
+            if t.kind == OP:
+                if t.text == "<":
+                    waiting.append(k)
+                elif t.text == ">":
+                    if waiting:
+                        out[waiting.pop()] = k + 1
+                elif t.text in ("(", "[", "{"):
+                    if k not in self.closing or t.text == "{" and self.language != "typescript":
+                        waiting.clear()
+                    if k in self.closing:
+                        outer.append((self.closing[k], waiting))
+                        waiting = []
+                elif outer and k == outer[-1][0]:
+                    waiting = outer.pop()[1]
+                elif t.text in (";", ")", "]", "}") or t.text not in _TYPE_TOKENS and t.text not in extra:
+                    waiting.clear()
+            elif t.kind == LINE or t.kind in (NUMBER, STRING) and not typed:
+                waiting.clear()
+        return out
+
+    def colon_ahead(self, i: int) -> bool:
+        """Whether a colon comes behind token i within its brackets and its statement."""
+        if self._colons is None:
+            self._colons, ahead, outer = set(), False, []
+            opening = {end: k for k, end in self.closing.items()}
+            for k in range(len(self.tokens) - 1, -1, -1):
+                t = self.tokens[k]
+                if t.kind != OP:
+                    continue
+                if t.text in (")", "]", "}"):
+                    if k in opening:
+                        outer.append(ahead)
+                    ahead = False
+                elif t.text in ("(", "[", "{"):
+                    ahead = outer.pop() if k in self.closing else False  # an open bracket takes all behind it
+                elif t.text == ";":
+                    ahead = False
+                elif t.text == ":":
+                    ahead = True
+                elif ahead and t.text == "?":
+                    self._colons.add(k)
+        return i in self._colons
+
+    def follow(self, way: str, k: int, step) -> tuple[int, int]:
+        """Where the steps of a way end that begin at token k, and how many of them counted.
+
+        step(k) is the next token and whether this one counts, or None at the end. A token is stepped
+        over once, however often a way is asked for.
+        """
+        known = self._ways.setdefault(way, {})
+        seen = []
+        while (found := known.get(k)) is None:
+            taken = step(k) if k < len(self.tokens) else None
+            if taken is None:
+                found = (k, 0)
+                break
+            seen.append((k, taken[1]))
+            k = taken[0]
+        end, n = found
+        for at, counts in reversed(seen):
+            n += counts
+            known[at] = (end, n)
+        return end, n
 
     def generic(self) -> bool:
         """Whether type arguments open here: no space before, only types inside, and something fitting behind."""
@@ -284,10 +354,15 @@ class Expressions:
         t = self.peek()
         if t is not None and t.kind in (OP, NAME) and t.text in self.prefixes:
             start = self.i
+            if self.depth >= DEEP or ("unary", start) in self._barren:
+                return None
+            self.depth += 1
             sign = self.take("operator")
             node = self.unary()
+            self.depth -= 1
             if node is None:
                 self.i = start
+                self._barren.add(("unary", start))
                 return None
             return self.over(self.kind("unary"), [sign, node.at("argument")])
         node = self.operand()
@@ -312,6 +387,14 @@ class Expressions:
         return Node(text, first.start, last.end, named=False, field="operator")
 
     def expression(self, least: int = 0) -> Node | None:
+        if self.depth >= DEEP:
+            return None
+        self.depth += 1
+        node = self._expression(least)
+        self.depth -= 1
+        return node
+
+    def _expression(self, least: int) -> Node | None:
         left = self.unary()
         if left is None:
             return None
@@ -348,6 +431,8 @@ class Expressions:
             return self.over(kind, [left.at("left"), sign, right.at("right")])
         if op == "?" and least <= _TERNARY and (self.js or self.language == "c_sharp"):
             start = self.i
+            if ("?", start, self.braces_are_blocks) in self._barren or not self.colon_ahead(start):
+                return None
             sign = self.take()
             then = self.expression(_ASSIGN)
             if then is not None and self.at(":"):
@@ -356,4 +441,5 @@ class Expressions:
                 if other is not None:
                     return self.over(self.kind("ternary"), [left.at("condition"), sign, then.at("consequence"), colon, other.at("alternative")])
             self.i = start
+            self._barren.add(("?", start, self.braces_are_blocks))
         return None

@@ -7,7 +7,7 @@ The tree has two levels: functions and decisions under the file.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -50,6 +50,7 @@ class Masked:
             at = t.end
         out.append(blank(" ", text[at:]))
         self.text = "".join(out)
+        self._places, self._nests, self._starts, self._dedents = {}, {}, {}, {}
         self.partner: dict[int, int] = {}
         self.opener: dict[int, int] = {}
         # At each bracket the innermost one open behind it, and around each opening one the next.
@@ -80,27 +81,91 @@ class Masked:
     def after(self, pattern: str, at: int) -> re.Match | None:
         return re.compile(pattern, re.M).match(self.text, at)
 
+    def _stops(self, signs: str) -> tuple[list[int], dict[int, int]]:
+        """The places of some signs, and what is known of where ways from them end."""
+        if signs not in self._places:
+            self._places[signs] = [x.start() for x in re.finditer(f"[{re.escape(signs)}]", self.text)], {}
+        return self._places[signs]
+
+    def next(self, at: int, signs: str) -> int | None:
+        """The first place of any of some signs from a place on."""
+        places, _ = self._stops(signs)
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else None
+
     def expression_end(self, at: int, stops: str = ";,)]}") -> int:
         """Behind an expression: the first stop outside brackets."""
-        while at < len(self.text) and self.text[at] not in stops:
-            at = self.end(at) if self.text[at] in _OPENS else at + 1
-        return at
+        places, ends = self._stops("".join(sorted({*stops, *_OPENS})))
+        k, way = bisect_left(places, at), []
+        while k < len(places) and (known := ends.get((stops, k))) is None:
+            if self.text[places[k]] in stops:
+                known = places[k]
+                break
+            way.append(k)
+            k = bisect_left(places, self.end(places[k]))
+        else:
+            known = len(self.text) if k == len(places) else known
+        for x in way:
+            ends[stops, x] = known
+        return max(known, at)
 
     def begin(self, at: int, stops: str = ";{}") -> int:
         """The first word of the declaration that holds a place."""
-        k = at
-        while k and self.text[k - 1] not in stops:
-            k -= 1
-        m = re.compile(r"(?:\s|#[^\n]*\n)*").match(self.text, k, at)
-        return m.end() if m else at
+        places, firsts = self._stops(stops)
+        k = bisect_left(places, at)
+        k = places[k - 1] + 1 if k else 0
+        blank = re.compile(r"(?:\s|#[^\n]*\n)*+")
+        if k not in firsts:
+            firsts[k] = blank.match(self.text, k).end()
+        return firsts[k] if firsts[k] <= at else blank.match(self.text, k, at).end()
+
+    def before(self, begin: int, at: int, most: int = 2000) -> str:
+        """The end of what stands between two places, without the space around it."""
+        return self.text[max(begin, at - most) : at].strip()
+
+    def line_before(self, at: int, most: int = 400) -> str:
+        """The end of what stands before a place in its line; one that is cut begins with a sign."""
+        start = self.text.rfind("\n", max(0, at - most), at) + 1
+        return self.text[start:at] if start or at <= most else "." + self.text[at - most : at]
 
     def inside(self, spans: list[tuple[int, int]], at: int) -> tuple[int, int] | None:
         """The smallest of the spans around a place; spans nest."""
-        best = None
-        for a, b in spans:
-            if a <= at < b and (best is None or b - a < best[1] - best[0]):
-                best = (a, b)
-        return best
+        if id(spans) not in self._nests:
+            events, inner, stack = [-1], [None], []
+            for a, b in sorted({x for x in spans if x[1] > x[0]}, key=lambda x: (x[0], -x[1])):
+                while stack and stack[-1][1] <= a:
+                    events.append(stack.pop()[1])
+                    inner.append(stack[-1] if stack else None)
+                stack.append((a, b))
+                events.append(a)
+                inner.append((a, b))
+            while stack:
+                events.append(stack.pop()[1])
+                inner.append(stack[-1] if stack else None)
+            self._nests[id(spans)] = events, inner, spans
+        events, inner, _ = self._nests[id(spans)]
+        return inner[bisect_right(events, at) - 1]
+
+    def starts(self, spans: list[tuple[int, int]]) -> set[int]:
+        if id(spans) not in self._starts:
+            self._starts[id(spans)] = {a for a, _ in spans}, spans
+        return self._starts[id(spans)][0]
+
+    def indented_end(self, line_start: int, column: int) -> int:
+        """Behind the line and all lines that are indented more than the column."""
+        if (line_start, column) not in self._dedents:
+            at = self.text.find("\n", line_start)
+            last = len(self.text) if at < 0 else at
+            while at >= 0:
+                nxt = self.text.find("\n", at + 1)
+                line = self.text[at + 1 : nxt if nxt >= 0 else len(self.text)]
+                if line.strip():
+                    if len(line) - len(line.lstrip()) <= column:
+                        break
+                    last = nxt if nxt >= 0 else len(self.text)
+                at = nxt
+            self._dedents[line_start, column] = last
+        return self._dedents[line_start, column]
 
 
 @dataclass
@@ -144,7 +209,7 @@ def _ternaries(m: Masked, kind: str, avoid: str = r"[?.:\]\[,>)]") -> list[tuple
     for q in m.find(r"(?<![?<\w])\?(?![?.])|(?<=\w)\s*\?(?![?.:])"):
         at = q.end() - 1
         k = m.expression_end(at + 1, ":;,)]}")
-        if k < len(m.text) and m.text[k] == ":" and m.text[at + 1 : k].strip():
+        if k < len(m.text) and m.text[k] == ":" and re.compile(r"\S").search(m.text, at + 1, k):
             out.append((kind, at))
     return out
 
@@ -155,8 +220,10 @@ def _without_do_tails(m: Masked, found: list[tuple[str, int]], loop: str, word:
     for d in m.find(r"(?<!\w)(?:do|repeat)\s*\{"):
         if t := m.after(rf"\s*{word}\b", m.end(d.end() - 1)):
             tails.add(t.end() - len(word))
-    for d in m.find(r"(?<!\w)do\s+(?!\{)[^;{}]*;\s*(while)\b"):
-        tails.add(d.start(1))
+    for d in m.find(r"(?<!\w)do\s+(?!\{)"):
+        k = m.next(d.end(), ";{}")
+        if k is not None and m.text[k] == ";" and (t := m.after(r"\s*while\b", k + 1)):
+            tails.add(t.end() - 5)
     return [(k, p) for k, p in found if not (k == loop and p in tails)]
 
 
@@ -180,7 +247,7 @@ def _switch_spans(m: Masked, head: str) -> list[tuple[int, int]]:
 def _direct(m: Masked, spans: list[tuple[int, int]], at: int) -> bool:
     """Whether the innermost bracket around a place is one of the spans."""
     own = m.innermost(at)
-    return own >= 0 and any(a == own for a, _ in spans)
+    return own >= 0 and own in m.starts(spans)
 
 
 def _groups(places: list[int], m: Masked) -> list[int]:
@@ -199,7 +266,7 @@ def _java(m: Masked) -> Found:
     functions = []
     for kind, name, a, b in _called_heads(m, r"(?<![\w.])\w+", r"\s*(?:throws\s+[\w.,\s]+)?\{", "method_declaration"):
         at = m.text.find(name, a)
-        before = m.text[a:at].strip()
+        before = m.before(a, at)
         if re.search(r"(?:^|\s)new$|[=(,.]$|->$", before):
             continue
         if name in classes and not re.search(r"(?:[\w>\]])$", re.sub(r"\b(?:public|private|protected)\b|@\w+(?:\([^)]*\))?", "", before).strip()):
@@ -209,8 +276,7 @@ def _java(m: Masked) -> Found:
         functions.append((kind, name, a, b))
     switches = _switch_spans(m, r"\bswitch\s*\(")
     for x in m.find(r"->"):
-        head = m.text[max(0, m.begin(x.start(), ";{}")) : x.start()]
-        if re.match(r"\s*(?:case|default)\b", head) and _direct(m, switches, x.start() - 1):
+        if re.compile(r"(?:case|default)\b").match(m.text, m.begin(x.start()), x.start()) and _direct(m, switches, x.start() - 1):
             continue
         functions.append(("lambda_expression", None, _parameters_begin(m, x.start()), _body_end(m, x.end())))
     branches = _without_do_tails(m, _words(m, {"if": "if_statement", "for": "for_statement", "while": "while_statement", "do": "do_statement", "catch": "catch_clause"}), "while_statement")
@@ -222,7 +288,9 @@ def _java(m: Masked) -> Found:
 
 def _parameters_begin(m: Masked, arrow: int) -> int:
     """The start of the name or the parentheses before an arrow."""
-    k = len(m.text[:arrow].rstrip())
+    k = arrow
+    while k and m.text[k - 1].isspace():
+        k -= 1
     if k and m.text[k - 1] == ")":
         return m.opener.get(k - 1, k - 1)
     while k and (m.text[k - 1].isalnum() or m.text[k - 1] == "_"):
@@ -237,11 +305,11 @@ def _body_end(m: Masked, at: int) -> int:
 
 
 def _c(m: Masked, plus: bool = False) -> Found:
-    classes = [(m.text.index("{", x.start()), m.end(m.text.index("{", x.start()))) for x in m.find(r"\b(?:class|struct|union)\s+[\w:<>,\s]*\{")] if plus else []
+    classes = [(x.end(), m.end(x.end())) for x in m.find(r"\b(?:class|struct|union)\s[\w:<>,\s]*+") if m.text.startswith("{", x.end())] if plus else []
     functions = []
     tail = r"\s*(?:(?:const|noexcept|override|final|volatile|&|&&)\s*)*(?:->\s*[\w:<>*&\s]+)?(?::\s*\w[^{;]*)?\{" if plus else r"\s*\{"
     for kind, name, a, b in _called_heads(m, r"(?<![\w.>:~])(?:\w+::)*~?\w+" if plus else r"(?<![\w.>])\w+", tail, "function_definition"):
-        before = m.text[a : m.text.find(name, a)].strip()
+        before = m.before(a, m.text.find(name, a))
         if not before and "::" not in name or re.search(r"[=(,\]]$|\belse$|\breturn$", before) or re.match(r"(?:struct|enum|union|class)\s+\w*\s*\{", before):
             continue
         own = m.inside(classes, a)
@@ -259,7 +327,7 @@ def _c(m: Masked, plus: bool = False) -> Found:
             functions.append(("lambda_expression", None, x.start(), m.end(at)))
     kinds = {"if": "if_statement", "for": "for_statement", "while": "while_statement", "do": "do_statement"} | ({"catch": "catch_clause"} if plus else {})
     branches = [(k, p) for k, p in _without_do_tails(m, _words(m, kinds), "while_statement") if not re.search(r"#[ \t]*$", m.text[max(0, p - 20) : p])]
-    branches += [("case_statement", x.start()) for x in m.find(r"\b(?:case\b[^:;{}]*|default\s*):(?!:)")]
+    branches += [("case_statement", x.start()) for x in m.find(r"\bcase\b|\bdefault(?=\s*+:(?!:))") if x.group() == "default" or (k := m.next(x.end(), ":;{}")) is not None and m.text[k] == ":" and not m.text.startswith(":", k + 1)]
     branches += [({"if": "preproc_if", "ifdef": "preproc_ifdef", "ifndef": "preproc_ifdef", "elif": "preproc_elif", "elifdef": "preproc_elifdef", "elifndef": "preproc_elifdef"}[x.group(1)], x.start()) for x in m.find(r"^[ \t]*#[ \t]*(if|ifdef|ifndef|elif|elifdef|elifndef)\b")]
     return Found(functions, branches + _ternaries(m, "conditional_expression") + _signs(m, _AND_OR))
 
@@ -269,16 +337,38 @@ def _bash(m: Masked) -> Found:
     command = r"(?:^|[;&|({]|\bthen\b|\bdo\b|\belse\b|!)[ \t]*"
     kinds = {"if": "if_statement", "elif": "elif_clause", "for": "for_statement", "select": "for_statement", "while": "while_statement", "until": "while_statement"}
     branches = [(kinds[x.group(1)], x.start(1)) for x in m.find(command + r"(if|elif|for|select|while|until)\b")]
-    cases = [(x.start(), (e.start() if (e := re.compile(r"\besac\b").search(m.text, x.end())) else len(m.text))) for x in m.find(r"\bcase\b[^\n]*\bin\b")]
-    for a, b in cases:
-        body = m.text.index("in", a) + 2
-        branches += [("case_item", x.start(1)) for x in re.compile(r"(?:^|;;&?|;&|(?<=in))\s*(\(?[^\s();&|][^()\n;]*\))", re.M).finditer(m.text, body, b)]
-    tests = [(x.start(), x.end()) for x in m.find(r"\[\[.*?\]\]|\(\(.*?\)\)")]
-    branches += [("binary_expression", p) for _, p in _signs(m, _AND_OR) if any(a < p < b for a, b in tests)]
-    branches += [("ternary_expression", x.start()) for x in m.find(r"(?<=\s)\?(?=\s)") if any(a < x.start() < b for a, b in tests)]
+    esacs, until = [x.start() for x in m.find(r"\besac\b")], 0
+    for line in m.find(r"^.*\bcase\b.*$"):  # from the last in of a line on to the next esac
+        first = re.compile(r"\bcase\b").search(line.group()).end()
+        places = [x.start() for x in re.compile(r"\bin\b").finditer(line.group(), first)]
+        if not places:
+            continue
+        k = bisect_left(esacs, line.start() + places[-1])
+        body, end = max(until, line.start() + places[-1] + 2), esacs[k] if k < len(esacs) else len(m.text)
+        branches += [("case_item", x.start(1)) for x in re.compile(r"(?:^|;;&?|;&|(?<=in))\s*(\(?[^\s();&|][^()\n;]*\))", re.M).finditer(m.text, body, end)]
+        until = max(until, end)
+    tests = _tests(m)
+    in_test = lambda p: (k := bisect_right(tests, (p, 0)) - 1) >= 0 and tests[k][0] < p < tests[k][1]
+    branches += [("binary_expression", p) for _, p in _signs(m, _AND_OR) if in_test(p)]
+    branches += [("ternary_expression", x.start()) for x in m.find(r"(?<=\s)\?(?=\s)") if in_test(x.start())]
     return Found(functions, branches)
 
 
+def _tests(m: Masked) -> list[tuple[int, int]]:
+    """[[ … ]] and (( … )) within a line, from left to right."""
+    closers = {"[[": [x.start() for x in m.find(r"\](?=\])")], "((": [x.start() for x in m.find(r"\)(?=\))")]}
+    lines, out, at = [x.start() for x in m.find("\n")] + [len(m.text)], [], 0
+    for x in m.find(r"\[(?=\[)|\((?=\()"):
+        if x.start() < at:
+            continue
+        own = closers[x.group() * 2]
+        k = bisect_left(own, x.start() + 2)
+        if k < len(own) and own[k] < lines[bisect_left(lines, x.start())]:
+            at = own[k] + 2
+            out.append((x.start(), at))
+    return out
+
+
 def _dart(m: Masked) -> Found:
     classes = {x.group(1): (m.text.index("{", x.start()), m.end(m.text.index("{", x.start()))) for x in m.find(r"\b(?:class|mixin|enum|extension)\s+(\w+)[^{;]*\{")}
     spans = [*classes.values()]
@@ -291,13 +381,13 @@ def _dart(m: Masked) -> Found:
         a = m.begin(h.start())
         own = m.inside(spans, a)
         in_class = own is not None and _direct(m, [own], a - 1)
-        before = m.text[a : h.start()].strip()
+        before = m.before(a, h.start())
         if in_class and name.split(".")[0] in classes and classes[name.split(".")[0]] == own and not before.replace("const", "").replace("factory", "").strip():
             functions.append(("constructor_signature", name, a, m.end(opening)))
             continue
         if t is None or "." in name or re.search(r"[=(,:]$|=>$", before):
             continue
-        outer = in_class or not re.search(r"\{", m.text[:a]) or not _enclosed(m, a)
+        outer = in_class or not _enclosed(m, a)
         if not before and not outer:
             continue
         heads.add(opening)
@@ -361,19 +451,20 @@ def _erlang(m: Masked) -> Found:
     functions += [("anonymous_fun", None, x.start(), ends.get(x.start(), len(m.text))) for x in m.find(r"\bfun\b(?=\s*\()")]
     kinds = {"if": "if_expr", "case": "case_expr", "try": "try_expr", "maybe": "maybe_expr", "receive": "receive_expr", "after": "receive_after", "andalso": "binary_op_expr", "orelse": "binary_op_expr"}
     branches = _words(m, kinds)
-    blocks = [(a, b, m.text[a:].split(None, 1)[0]) for a, b in ends.items()]
+    words = {a: m.after(r"\S*", a).group() for a in ends}
+    blocks = list(ends.items())
     catches = [x.start() for x in m.find(r"\bcatch\b")]
     for x in m.find(r"->"):
-        own = [(b - a, a, w) for a, b, w in blocks if a < x.start() < b]
-        if own:
-            _, a, word = min(own)
-            if any(a < c < x.start() for c in catches) and word.startswith("try"):
+        if (own := m.inside(blocks, x.start())) is not None:
+            a, word = own[0], words[own[0]]
+            if word.startswith("try") and (k := bisect_right(catches, a)) < len(catches) and catches[k] < x.start():
                 branches.append(("catch_clause", x.start()))
             elif word.startswith("if"):
                 branches.append(("if_clause", x.start()))
-            elif re.match(r"case|receive|try", word) and not re.search(r"\bafter\b[^>]*$", m.text[a : x.start()].rsplit("->", 1)[-1]):
+            elif re.match(r"case|receive|try", word) and not re.search(r"\bafter\b[^>]*$", m.before(a, x.start()).rsplit("->", 1)[-1]):
                 branches.append(("cr_clause", x.start()))
-    branches += [("catch_expr", p) for p in catches if not any(a < p < b and w.startswith("try") for a, b, w in blocks)]
+    tries = [(a, b) for a, b in blocks if words[a].startswith("try")]
+    branches += [("catch_expr", p) for p in catches if m.inside(tries, p) is None]
     return Found(functions, branches)
 
 
@@ -405,38 +496,23 @@ def _gleam(m: Masked) -> Found:
     return Found(functions, branches + _signs(m, _AND_OR))
 
 
-def _indented_end(m: Masked, line_start: int, column: int) -> int:
-    """Behind the line and all lines that are indented more than the column."""
-    at = m.text.find("\n", line_start)
-    last = len(m.text) if at < 0 else at
-    while at >= 0:
-        nxt = m.text.find("\n", at + 1)
-        line = m.text[at + 1 : nxt if nxt >= 0 else len(m.text)]
-        if line.strip():
-            if len(line) - len(line.lstrip()) <= column:
-                break
-            last = nxt if nxt >= 0 else len(m.text)
-        at = nxt
-    return last
-
-
 def _haskell(m: Masked) -> Found:
     functions, branches = [], []
     for x in m.find(r"^([ \t]*)([a-z_][\w']*)((?:[ \t]+[^\s=|:][^\n=|]*)?)[ \t]*(?:\n[ \t]+)?(=(?!=)|\|(?!\|))"):
         name, column = x.group(2), len(x.group(1))
         if not x.group(3).strip() or name in ("where", "let", "in", "if", "then", "else", "case", "of", "do", "data", "type", "newtype", "class", "instance", "import", "module", "deriving") or "<-" in x.group(3) or "->" in x.group(3) or "::" in x.group(3):
             continue
-        functions.append(("function", name, x.start() + column, _indented_end(m, x.start(), column)))
+        functions.append(("function", name, x.start() + column, m.indented_end(x.start(), column)))
     for x in m.find(r"\\(?=[\w(\[{_~!])"):
-        functions.append(("lambda", None, x.start(), min(m.expression_end(x.end(), ",)]}"), _indented_end(m, x.start(), x.start() - m.text.rfind("\n", 0, x.start()) - 1))))
+        functions.append(("lambda", None, x.start(), min(m.expression_end(x.end(), ",)]}"), m.indented_end(x.start(), x.start() - m.text.rfind("\n", 0, x.start()) - 1))))
     multi = [x.start() for x in m.find(r"\bif\s*\|")]
     branches += [("multi_way_if", p) for p in multi] + [("conditional", x.start()) for x in m.find(r"(?<![\w'])if(?![\w'])") if x.start() not in multi]
-    branches += [("guard", x.start(1)) for x in m.find(r"(?:^[ \t]+|\bif\s*|(?<=\S)[ \t]+)(\|)(?![|])[^\n|]*?(?:=(?![=>])|->)") if not re.search(r"^\s*(?:data|newtype)\b|[\[]", m.text[m.text.rfind("\n", 0, x.start(1)) + 1 : x.start(1)])]
+    branches += [("guard", x.start(1)) for x in m.find(r"(?:^[ \t]+|\bif\s*|(?<=\S)[ \t]+)(\|)(?![|])[^\n|]*?(?:=(?![=>])|->)") if not re.search(r"^\s*(?:data|newtype)\b|[\[]", m.line_before(x.start(1)))]
     for x in m.find(r"(?<![\w'])of(?![\w'])|\\case\b"):
         line = m.text.rfind("\n", 0, x.start()) + 1
         first = m.after(r"\s*", x.end()).end()
         column = first - m.text.rfind("\n", 0, first) - 1
-        end = _indented_end(m, line, len(m.text[line:]) - len(m.text[line:].lstrip()))
+        end = m.indented_end(line, len(m.text[line:]) - len(m.text[line:].lstrip()))
         for a in re.compile(r"->").finditer(m.text, x.end(), max(end, x.end())):
             begin = m.text.rfind("\n", 0, a.start()) + 1
             start = max(begin, first)
@@ -449,7 +525,8 @@ def _haskell(m: Masked) -> Found:
 
 def _julia(m: Masked) -> Found:
     ends = _ended(m, r"(?<![\w.:@])(?:function|macro|if|for|while|try|let|begin|do|struct|module|quote)\b(?!\s*[=,)])", r"(?<![\w.:@\[])end\b(?!\s*\])")
-    inside = lambda at: any(a < at < b and m.text[a] in "([" for a, b in m.partner.items())
+    around = [(a, b) for a, b in m.partner.items() if m.text[a] in "(["]
+    inside = lambda at: m.inside(around, at) is not None
     functions = [("macro_definition" if x.group(1) == "macro" else "function_definition", x.group(2), x.start(), ends.get(x.start(), len(m.text))) for x in m.find(r"\b(function|macro)\s+([\w!]+)\s*(?=[({\n;]|$)")]
     functions += [("arrow_function_expression", None, _parameters_begin(m, x.start()), min(m.expression_end(x.end(), ",;)]}\n"), len(m.text))) for x in m.find(r"->")]
     branches = [(k, p) for k, p in _words(m, {"if": "if_statement", "elseif": "elseif_clause", "for": "for_statement", "while": "while_statement", "catch": "catch_clause", "finally": "finally_clause"}) if not (k in ("for_statement", "if_statement") and inside(p))]
@@ -472,13 +549,13 @@ def _ocaml(m: Masked) -> Found:
     functions = []
     for x in m.find(r"^([ \t]*)(let|and)\s+(?:rec\s+)?([a-z_][\w']*)((?:\s+(?!=)(?:[~?]?[\w']+(?::[^\s=]+)?|\([^()]*\)|\(\)))+)(?:\s*:\s*[^=]+)?\s*=(?!=)"):
         column = len(x.group(1))
-        functions.append(("value_definition", x.group(3), x.start() + column, _indented_end(m, x.start(), column)))
-    functions += [("function_expression" if x.group().startswith("function") else "fun_expression", None, x.start(), min(m.expression_end(x.end(), ")]}"), _indented_end(m, m.text.rfind("\n", 0, x.start()) + 1, x.start() - m.text.rfind("\n", 0, x.start()) - 1))) for x in m.find(r"(?<![\w'])(?:function|fun)(?![\w'])")]
+        functions.append(("value_definition", x.group(3), x.start() + column, m.indented_end(x.start(), column)))
+    functions += [("function_expression" if x.group().startswith("function") else "fun_expression", None, x.start(), min(m.expression_end(x.end(), ")]}"), m.indented_end(m.text.rfind("\n", 0, x.start()) + 1, x.start() - m.text.rfind("\n", 0, x.start()) - 1))) for x in m.find(r"(?<![\w'])(?:function|fun)(?![\w'])")]
     branches = [b for b in _words(m, {"if": "if_expression", "while": "while_expression", "for": "for_expression", "try": "try_expression"})]
     arms = [x.end() for x in m.find(r"(?<![\w'])(?:with|function)(?![\w'])")]
     first = [p for p in arms if not m.after(r"\s*\|", p)]
     types = [(x.start(), (n.start() if (n := re.compile(r"^\S", re.M).search(m.text, x.end())) else len(m.text))) for x in m.find(r"^type\b")]
-    branches += [("match_case", p) for p in first] + [("match_case", x.start()) for x in m.find(r"(?<!\|)\|(?![|\]])") if not any(a < x.start() < b for a, b in types) and re.compile(r"[^|\n]*?(?:->|when\b)").match(m.text, x.end())]
+    branches += [("match_case", p) for p in first] + [("match_case", x.start()) for x in m.find(r"(?<!\|)\|(?![|\]])") if m.inside(types, x.start()) is None and re.compile(r"[^|\n]*?(?:->|when\b)").match(m.text, x.end())]
     return Found(functions, branches + _signs(m, {"&&": "infix_expression", "||": "infix_expression"}))
 
 
@@ -509,7 +586,7 @@ def _ruby(m: Masked) -> Found:
         end = ends.get(x.start(), m.text.find("\n", x.end()) if m.text.find("\n", x.end()) >= 0 else len(m.text))
         functions.append(("singleton_method" if x.group(1) else "method", x.group(2), x.start(), end))
     kinds = {"if": "if", "elsif": "elsif", "unless": "unless", "when": "when", "while": "while", "until": "until", "for": "for", "rescue": "rescue", "and": "binary", "or": "binary"}
-    branches = [(k + "_modifier" if k in ("if", "unless", "while", "until") and not re.search(r"(?:^|[;=(]|\bthen|\bdo|\belse)\s*$", m.text[m.text.rfind("\n", 0, p) + 1 : p]) else k, p) for k, p in _words(m, kinds)]
+    branches = [(k + "_modifier" if k in ("if", "unless", "while", "until") and not re.search(r"(?:^|[;=(]|\bthen|\bdo|\belse)\s*$", m.line_before(p)) else k, p) for k, p in _words(m, kinds)]
     branches += [("in_clause", x.start(1)) for x in m.find(r"^[ \t]*(in)\b")]
     return Found(functions, branches + _ternaries(m, "conditional") + _signs(m, {"&&": "binary", "||": "binary"}))
 
@@ -530,9 +607,9 @@ def _php(m: Masked) -> Found:
             functions.append(("arrow_function", None, x.start(), m.expression_end(t.end())))
     kinds = {"if": "if_statement", "elseif": "else_if_clause", "for": "for_statement", "foreach": "foreach_statement", "while": "while_statement", "do": "do_statement", "catch": "catch_clause"}
     branches = _without_do_tails(m, _words(m, kinds), "while_statement")
-    matches = _switch_spans(m, r"\bmatch\s*\(")
-    branches += [("case_statement" if x.group().startswith("case") else "default_statement", x.start()) for x in m.find(r"\bcase\b|\bdefault\s*:") if _direct(m, _switch_spans(m, r"\bswitch\s*\("), x.start() - 1)]
-    branches += [("match_default_expression" if re.search(r"\bdefault\s*$", m.text[: x.start()]) else "match_conditional_expression", x.start()) for x in m.find(r"=>") if _direct(m, matches, x.start() - 1)]
+    matches, switches = _switch_spans(m, r"\bmatch\s*\("), _switch_spans(m, r"\bswitch\s*\(")
+    branches += [("case_statement" if x.group().startswith("case") else "default_statement", x.start()) for x in m.find(r"\bcase\b|\bdefault\s*:") if _direct(m, switches, x.start() - 1)]
+    branches += [("match_default_expression" if re.search(r"\bdefault$", m.before(0, x.start(), 80)) else "match_conditional_expression", x.start()) for x in m.find(r"=>") if _direct(m, matches, x.start() - 1)]
     return Found(functions, branches + _ternaries(m, "conditional_expression") + _signs(m, _AND_OR | {"??": "binary_expression"}))
 
 
@@ -540,17 +617,17 @@ def _scala(m: Masked) -> Found:
     functions = []
     for x in m.find(r"^([ \t]*)(?:[\w@]+[ \t]+)*?def[ \t]+(\w+)(?:\[[^\]]*\])?(?:[ \t]*\([^()]*(?:\([^()]*\)[^()]*)*\))*[ \t]*(?::[^=\n{]+)?=[ \t]*(\{)?"):
         column = len(x.group(1))
-        functions.append(("function_definition", x.group(2), x.start() + column, m.end(x.start(3)) if x.group(3) else _indented_end(m, x.start(), column)))
+        functions.append(("function_definition", x.group(2), x.start() + column, m.end(x.start(3)) if x.group(3) else m.indented_end(x.start(), column)))
     for x in m.find(r"=>"):
-        head = m.text[m.text.rfind("\n", 0, x.start()) + 1 : x.start()]
+        head = m.line_before(x.start())
         at = _parameters_begin(m, x.start())
-        if re.search(r"\bcase\b[^=]*$", head) or re.search(r":\s*$", m.text[:at][-3:]) or at >= x.start():
+        if re.search(r"\bcase\b[^=]*$", head) or re.search(r":\s*$", m.text[max(0, at - 3) : at]) or at >= x.start():
             continue
         line = m.text.rfind("\n", 0, x.start()) + 1
-        block = _indented_end(m, line, len(head) - len(head.lstrip()))
+        block = m.indented_end(line, m.after(r"[ \t]*", line).end() - line)
         functions.append(("lambda_expression", None, at, _body_end(m, x.end()) if m.after(r"\s*\{", x.end()) else min(m.expression_end(x.end(), ",;)]}"), block)))
     kinds = {"if": "if_expression", "while": "while_expression", "for": "for_expression", "case": "case_clause", "catch": "catch_clause", "finally": "finally_clause", "try": "try_expression", "do": "do_while_expression"}
-    branches = [(k, p) for k, p in _without_do_tails(m, _words(m, kinds), "while_expression") if not (k == "case_clause" and re.match(r"case\s+(?:class|object)\b", m.text[p:])) and not (k == "do_while_expression" and not re.match(r"do\s*\{", m.text[p:])) and not (k == "if_expression" and re.search(r"(?:<-[^;{}]*|\bcase\b[^=\n]*)$", m.text[max(0, p - 80) : p].rsplit("\n", 1)[-1]))]
+    branches = [(k, p) for k, p in _without_do_tails(m, _words(m, kinds), "while_expression") if not (k == "case_clause" and m.after(r"case\s+(?:class|object)\b", p)) and not (k == "do_while_expression" and not m.after(r"do\s*\{", p)) and not (k == "if_expression" and re.search(r"(?:<-[^;{}]*|\bcase\b[^=\n]*)$", m.text[max(0, p - 80) : p].rsplit("\n", 1)[-1]))]
     return Found(functions, branches + _signs(m, {"&&": "infix_expression", "||": "infix_expression"}))
 
 
@@ -558,7 +635,7 @@ def _swift(m: Masked) -> Found:
     functions, bodies = [], set()
     for x in m.find(r"\b(?:func[ \t]+([^\s(<]+)(?:<[^>]*>)?|(init)[?!]?(?:<[^>]*>)?|(subscript))\s*\("):
         t = m.after(r"\s*(?:async\b)?\s*(?:throws|rethrows)?\s*(?:->\s*[^{\n;]+?)?\s*(?:where[^{]*)?\{", m.end(x.end() - 1))
-        if t and not re.search(r"\.\s*$", m.text[: x.start()][-2:]):
+        if t and not re.search(r"\.\s*$", m.text[max(0, x.start() - 2) : x.start()]):
             kind = "function_declaration" if x.group(1) else "init_declaration" if x.group(2) else "subscript_declaration"
             functions.append((kind, x.group(1), m.begin(x.start(), ";{}\n"), m.end(t.end() - 1)))
             bodies.add(t.end() - 1)
@@ -566,7 +643,7 @@ def _swift(m: Masked) -> Found:
         functions.append(("deinit_declaration", None, x.start(), m.end(x.end() - 1)))
         bodies.add(x.end() - 1)
     for x in m.find(r"\{"):
-        line = m.text[m.text.rfind("\n", 0, x.start()) + 1 : x.start()]
+        line = m.line_before(x.start())
         if x.start() in bodies or x.start() not in m.partner:
             continue
         if m.after(r"\{\s*(?:\[[^\]]*\]\s*)?(?:\([^()]*\)|[\w, ]+)\s*(?:->\s*[\w?.]+\s*)?\bin\b", x.start()) or re.search(r"(?:[=(,:]|\breturn)\s*$", line) or (re.search(r"[\w)]\s*$", line) and not re.search(r"\b(?:if|guard|for|while|switch|else|do|catch|repeat|class|struct|enum|protocol|extension|func|init|var|let\s+\w+\s*:|get|set|didSet|willSet|defer|case|default|actor)\b", line)):
@@ -579,11 +656,17 @@ def _swift(m: Masked) -> Found:
 
 def _zig(m: Masked) -> Found:
     functions = []
-    for x in m.find(r"(?:\b(?:pub|export|inline|extern)\s+)*\bfn\s+(\w+)\s*\("):
-        at = m.end(x.end() - 1)
-        opening = m.expression_end(at, "{;")
+    for x in m.find(r"\bfn\s+(\w+)\s*\("):
+        opening = m.expression_end(m.end(x.end() - 1), "{;")
         if opening < len(m.text) and m.text[opening] == "{":
-            functions.append(("function_declaration", x.group(1), x.start(), m.end(opening)))
+            start = k = x.start()
+            while k and m.text[k - 1].isspace():
+                end = len(m.text[max(0, k - 400) : k].rstrip()) + max(0, k - 400)
+                word = re.search(r"\b(?:pub|export|inline|extern)$", m.text[max(0, end - 7) : end])
+                if word is None:
+                    break
+                start = k = end - len(word.group())
+            functions.append(("function_declaration", x.group(1), start, m.end(opening)))
     functions += [("test_declaration", x.group(1), x.start(), m.end(x.end() - 1)) for x in m.find(r"^[ \t]*test\s+(\w+)\s*\{")]
     kinds = {"if": "if_expression", "while": "while_expression", "for": "for_expression", "try": "try_expression", "catch": "catch_expression", "and": "binary_expression", "or": "binary_expression"}
     switches = _switch_spans(m, r"\bswitch\s*\(")

@@ -385,11 +385,12 @@ class Script(Braced):
         if self.at(","):
             return [self.take()]
         t = self.peek()
-        end = self.closing.get(self.i, self.i) + 1 if t.text == "[" else self.i + 1
-        if t.kind == NAME and t.text in ("async", "get", "set") and end < len(self.tokens) and self.tokens[end].text not in (":", ",", "}", "(", "="):
-            end += 1
-        if t.text == "*":
-            end += 1
+        k = self.i
+        if t.kind == NAME and t.text in ("async", "get", "set") and k + 1 < len(self.tokens) and self.tokens[k + 1].text not in (":", ",", "}", "(", "="):
+            k += 1
+        if self.tokens[k].kind == OP and self.tokens[k].text == "*" and k + 1 < len(self.tokens):
+            k += 1
+        end = (self.closing.get(k, k) if self.tokens[k].kind == OP and self.tokens[k].text == "[" else k) + 1
         if end < len(self.tokens) and self.tokens[end].kind == OP and self.tokens[end].text == "(" and (k := self.closing.get(end)) and k + 1 < len(self.tokens) and self.tokens[k + 1].text in ("{", ":") and t.text != "...":
             found = self._member()
             if found and found[0].kind == "method_definition":
@@ -580,6 +581,22 @@ class Go(Braced):
 
 class Rust(Braced):
     _BLOCK_LIKE = frozenset("if match for while loop unsafe async".split())
+    _BEFORE_FN = frozenset("fn pub default const async unsafe extern".split())
+
+    def _fn_at(self) -> int | None:
+        """The fn of a named function whose visibility and modifiers begin here; a word of each kind at most."""
+        k = self.i
+        if self.at("pub"):
+            k += 1
+            if k < len(self.tokens) and self.tokens[k].text == "(" and self.tokens[k].kind == OP:
+                k = self.closing.get(k, k) + 1
+        for word in ("default", "const", "async", "unsafe", "extern"):
+            if k < len(self.tokens) and self.tokens[k].kind == NAME and self.tokens[k].text == word:
+                k += 1
+                if word == "extern" and k < len(self.tokens) and self.tokens[k].kind == STRING:
+                    k += 1
+        named = k + 1 < len(self.tokens) and self.tokens[k].kind == NAME and self.tokens[k].text == "fn" and self.tokens[k + 1].kind == NAME
+        return k if named else None
 
     def statements(self) -> list[Node]:
         t = self.peek()
@@ -589,8 +606,8 @@ class Rust(Braced):
         if t.kind == OP and t.text == "{":
             return [self.block()]
         if t.kind == NAME:
-            if t.text == "fn" and self.peek(1) is not None and self.peek(1).kind == NAME:
-                return [self._fn()]
+            if t.text in self._BEFORE_FN and (k := self._fn_at()) is not None:
+                return [self._fn(k)]
             if t.text in ("struct", "enum", "union", "trait", "impl", "mod", "extern") and self.peek(1) is not None:
                 parts = [self.take()]
                 while self.peek() is not None and not self.at("{", ";", "}"):
@@ -652,8 +669,13 @@ class Rust(Braced):
         elif found:
             parts.append(self.over("or_pattern" if any(x.kind == "|" for x in found) else "composed_pattern", found))
 
-    def _fn(self) -> Node:
-        parts = [self.take(), self.leaf("identifier").at("name")]
+    def _fn(self, at: int) -> Node:
+        parts = []
+        if self.at("pub"):
+            parts.append(self.tokens_to(self.closing.get(self.i + 1, self.i + 1) + 1 if self.at("(", k=1) else self.i + 1, "visibility_modifier"))
+        if self.i < at:
+            parts.append(self.tokens_to(at, "function_modifiers"))
+        parts += [self.take(), self.leaf("identifier").at("name")]
         if self.at("<") and (end := self.generic_end(self.i)):
             parts.append(self.tokens_to(end, "type_parameters"))
         if self.at("("):
@@ -730,7 +752,7 @@ class Rust(Braced):
                         own.append(value.at("value"))
                 parts.append(self.over("let_condition", own))
             else:
-                node = self.expression(12 if parts or any(x.text == "let" and x.kind == NAME for x in self._until_block()) else 0)
+                node = self.expression(12 if parts or self._let_until_block() else 0)
                 if node is None:
                     break
                 parts.append(node)
@@ -743,12 +765,14 @@ class Rust(Braced):
             return None
         return self.over("let_chain", parts) if chain else parts[0]
 
-    def _until_block(self) -> list[Token]:
-        out, k = [], self.i
-        while k < len(self.tokens) and self.tokens[k].text not in ("{", ";"):
-            out.append(self.tokens[k])
-            k = self.closing.get(k, k) + 1 if self.tokens[k].text in ("(", "[") else k + 1
-        return out
+    def _let_until_block(self) -> bool:
+        """Whether a let condition comes before the block."""
+
+        def step(k: int) -> tuple[int, int] | None:
+            t = self.tokens[k]
+            return None if t.text in ("{", ";") else ((self.closing.get(k, k) if t.text in ("(", "[") else k) + 1, t.text == "let" and t.kind == NAME)
+
+        return self.follow("block", self.i, step)[1] > 0
 
     def _arm(self) -> list[Node]:
         if self.at(","):
@@ -881,6 +905,8 @@ class Rust(Braced):
 
 
 class CSharp(Braced):
+    _NO_TYPE = frozenset("return await throw new yield else in is as case when typeof default from select operator var".split())
+    _starts: dict[int, int] | None = None
     _TYPES = frozenset("class struct interface record enum".split())
     _MODIFIERS = frozenset("public private protected internal static abstract sealed virtual override readonly async partial extern unsafe new volatile const required file ref".split())
 
@@ -898,9 +924,7 @@ class CSharp(Braced):
 
     def _declared(self) -> Node | None:
         """A type or a local function, with its modifiers."""
-        k = self.i
-        while k < len(self.tokens) and self.tokens[k].kind == NAME and self.tokens[k].text in self._MODIFIERS:
-            k += 1
+        k = self._past_modifiers()
         if k < len(self.tokens) and self.tokens[k].kind == NAME and self.tokens[k].text in self._TYPES and k + 1 < len(self.tokens) and self.tokens[k + 1].kind == NAME:
             return self._type_declaration(k)
         return self._method(None)
@@ -922,13 +946,13 @@ class CSharp(Braced):
         if t.kind == OP and t.text == "[":
             return [self.group("attribute_list")]
         if t.kind == NAME:
-            k = self.i
-            while k < len(self.tokens) and self.tokens[k].kind == NAME and self.tokens[k].text in self._MODIFIERS:
-                k += 1
+            k = self._past_modifiers()
             if k < len(self.tokens) and self.tokens[k].kind == NAME and self.tokens[k].text in self._TYPES and k + 1 < len(self.tokens) and self.tokens[k + 1].kind == NAME:
                 return [self._type_declaration(k)]
             if (node := self._method(owner)) is not None:
                 return [node]
+            if (node := self._operator(k)) is not None:
+                return [node]
             if (k := self._property_end()) is not None:
                 return [self.tokens_to(k, "property_declaration")]
         if t.kind == OP and t.text == "{":
@@ -941,19 +965,84 @@ class CSharp(Braced):
 
     def _property_end(self) -> int | None:
         """The token at which a property's => or accessors begin."""
-        k, names = self.i, 0
-        while k < len(self.tokens):
+
+        def step(k: int) -> tuple[int, int] | None:
             t = self.tokens[k]
             if t.kind == NAME:
-                names, k = names + 1, k + 1
-            elif t.kind == OP and t.text == "<" and (end := self.generic_end(k)):
-                k = end
-            elif t.kind == OP and t.text in (".", "?", "[", "]"):
-                k += 1
-            else:
-                break
+                return k + 1, 1
+            if t.kind == OP and t.text == "<" and (end := self.generic_end(k)):
+                return end, 0
+            return (k + 1, 0) if t.kind == OP and t.text in (".", "?", "[", "]") else None
+
+        k, names = self.follow("property", self.i, step)
         return k if names > 1 and k < len(self.tokens) and self.tokens[k].text in ("=>", "{") else None
 
+    def _past_modifiers(self) -> int:
+        is_modifier = lambda k: self.tokens[k].kind == NAME and self.tokens[k].text in self._MODIFIERS
+        return self.follow("modifiers", self.i, lambda k: (k + 1, 0) if is_modifier(k) else None)[0]
+
+    def _body_at(self, k: int) -> int:
+        """The body, arrow or end of a declaration whose constraints or initializer begin at k."""
+
+        def step(k: int) -> tuple[int, int] | None:
+            t = self.tokens[k]
+            return None if t.text in ("{", "=>", ";") else ((self.closing.get(k, k) if t.text == "(" else k) + 1, 0)
+
+        return self.follow("body", k, step)[0]
+
+    def _typed_name(self, begin: int) -> tuple[int, int]:
+        """Where "type name" that begins at a token ends, and the number of its names; no tokens if nothing like it stands there."""
+
+        def is_name(k: int) -> bool:
+            return self.tokens[k].kind == NAME and self.tokens[k].text not in self._NO_TYPE
+
+        def step(k: int) -> tuple[int, int] | None:
+            t = self.tokens[k]
+            if is_name(k):
+                return k + 1, self.tokens[k - 1].text not in (".", "::")
+            if t.kind == OP and t.text in (".", "::", "?", "*"):
+                return k + 1, 0
+            if t.kind == OP and t.text == "[" and all(self.tokens[x].text == "," for x in range(k + 1, self.closing.get(k, k))):
+                return self.closing.get(k, k) + 1, 0
+            return (end, 0) if t.kind == OP and t.text == "<" and (end := self.generic_end(k)) else None
+
+        if begin >= len(self.tokens):
+            return begin, 0
+        t = self.tokens[begin]
+        if is_name(begin):
+            after = begin + 1
+        elif t.kind == OP and t.text == "(" and begin in self.closing and self.closing[begin] + 1 < len(self.tokens) and self.tokens[self.closing[begin] + 1].kind == NAME:
+            after = self.closing[begin] + 1
+        else:
+            return begin, 0
+        end, names = self.follow("typed", after, step)
+        return end, names + 1
+
+    def _operator(self, begin: int) -> Node | None:
+        """An operator or a conversion: [modifiers] [type] operator sign(…) body."""
+        at, _ = self._typed_name(begin)
+        if at >= len(self.tokens) or self.tokens[at].kind != NAME or self.tokens[at].text != "operator":
+            return None
+        k = at + 1
+        while k < min(at + 5, len(self.tokens)) and self.tokens[k].text != "(":
+            k += 1
+        if k == at + 1 or k >= len(self.tokens) or self.tokens[k].text != "(" or k not in self.closing:
+            return None
+        parts = []
+        while self.i < k:
+            parts.append(self.leaf("identifier") if self.peek().kind == NAME and self.peek().text not in self._MODIFIERS else self.take())
+        parts.append(self.group("parameter_list").at("parameters"))
+        self._add_body(parts)
+        return self.over("operator_declaration" if self.tokens[at + 1].kind == OP else "conversion_operator_declaration", parts)
+
+    def _add_body(self, parts: list[Node]) -> None:
+        if self.at("{"):
+            parts.append(self.block().at("body"))
+        elif self.at("=>"):
+            clause = [self.take()]
+            self.add(clause, self.expression(), "body")
+            parts.append(self.over("arrow_expression_clause", clause).at("body"))
+
     def _accessor(self) -> list[Node]:
         if self.peek().kind == NAME and self.at("=>", k=1):
             parts = [self.leaf("accessor"), self.take()]
@@ -963,41 +1052,21 @@ class CSharp(Braced):
 
     def _method(self, owner: str | None) -> Node | None:
         """[modifiers] type name(…) body, or a constructor of the owner; None if something else stands here."""
-        k = self.i
-        while k < len(self.tokens) and self.tokens[k].kind == NAME and self.tokens[k].text in self._MODIFIERS:
-            k += 1
-        begin = k
-        named = 0  # names and type parts that may form "type name"
-        while k < len(self.tokens):
-            t = self.tokens[k]
-            if t.kind == NAME and (t.text not in ("return", "await", "throw", "new", "yield", "else", "in", "is", "as", "case", "when", "typeof", "default", "from", "select", "operator", "var")):
-                named += 1 if not (k > begin and self.tokens[k - 1].text in (".", "::")) else 0
-                k += 1
-            elif t.kind == OP and t.text in (".", "::", "?", "*") and k > begin:
-                k += 1
-            elif t.kind == OP and t.text == "[" and k > begin and all(x.text == "," for x in self.tokens[k + 1 : self.closing.get(k, k)]):
-                k = self.closing.get(k, k) + 1
-            elif t.kind == OP and t.text == "(" and k == begin and k in self.closing and k + 1 < len(self.tokens) and self.tokens[self.closing[k] + 1 : self.closing[k] + 2] and self.tokens[self.closing[k] + 1].kind == NAME:
-                k, named = self.closing[k] + 1, named + 1
-            elif t.kind == OP and t.text == "<" and k > begin and (end := self.generic_end(k)):
-                k = end
-            else:
-                break
+        begin = self._past_modifiers()
+        k, named = self._typed_name(begin)
         if k >= len(self.tokens) or self.tokens[k].text != "(" or k not in self.closing or k == begin:
             return None
-        last = k - 1
-        while last > begin and self.tokens[last].kind != NAME or (self.tokens[last].kind == NAME and self._inside_generic(last, begin, k)):
+        last = self._generic_start(k) - 1
+        while last > begin and self.tokens[last].kind != NAME:
             last -= 1
         constructor = owner is not None and named == 1 and self.tokens[last].text == owner
         if named < 2 and not constructor:
             return None
         after = self.closing[k] + 1
         if constructor and after < len(self.tokens) and self.tokens[after].text == ":":
-            while after < len(self.tokens) and self.tokens[after].text not in ("{", "=>", ";"):
-                after = self.closing.get(after, after) + 1 if self.tokens[after].text == "(" else after + 1
-        while after < len(self.tokens) and self.tokens[after].kind == NAME and self.tokens[after].text == "where":
-            while after < len(self.tokens) and self.tokens[after].text not in ("{", "=>", ";"):
-                after = self.closing.get(after, after) + 1 if self.tokens[after].text == "(" else after + 1
+            after = self._body_at(after)
+        if after < len(self.tokens) and self.tokens[after].kind == NAME and self.tokens[after].text == "where":
+            after = self._body_at(after)
         if after >= len(self.tokens) or self.tokens[after].text not in ("{", "=>"):
             if owner is None or after >= len(self.tokens) or self.tokens[after].text != ";":
                 return None
@@ -1007,20 +1076,15 @@ class CSharp(Braced):
         parts.append(self.group("parameter_list").at("parameters"))
         while self.i < after and self.peek() is not None:
             parts.append(self.arguments() if self.at("(") else self.leaf("identifier") if self.peek().kind == NAME else self.take())
-        if self.at("{"):
-            parts.append(self.block().at("body"))
-        elif self.at("=>"):
-            clause = [self.take()]
-            self.add(clause, self.expression(), "body")
-            parts.append(self.over("arrow_expression_clause", clause).at("body"))
+        self._add_body(parts)
         return self.over("constructor_declaration" if constructor else "method_declaration" if owner is not None else "local_function_statement", parts)
 
-    def _inside_generic(self, k: int, begin: int, end: int) -> bool:
-        """Whether token k lies in type arguments that end right before the parentheses."""
-        for a in range(begin, k):
-            if self.tokens[a].text == "<" and self.tokens[a].kind == OP and (stop := self.generic_end(a)) and stop == end and a < k < stop:
-                return True
-        return False
+    def _generic_start(self, end: int) -> int:
+        """The < of type arguments that end right before a token; the token itself if none do."""
+        if self._starts is None:
+            self.generic_end(0)
+            self._starts = {stop: a for a, stop in self._ends.items()}
+        return self._starts.get(end, end)
 
     # Statements by their first word.
 
@@ -1225,10 +1289,11 @@ class CSharp(Braced):
         if self._arrow_after(self.i):
             return self._lambda(self.i)
         end = self.closing.get(self.i, len(self.tokens))
-        inner = self.tokens[self.i + 1 : end]
+        inner = range(self.i + 1, end)
         after = self.tokens[end + 1] if end + 1 < len(self.tokens) else None
-        typed = inner and all((x.kind == NAME and x.text not in self.words) or (x.kind == OP and x.text in (".", "::", "?", "[", "]", "<", ">", ",", "*")) for x in inner)
-        if typed and after is not None and (after.kind in (STRING, "number") or (after.kind == NAME and after.text not in ("is", "as", "switch", "with", "when", "and", "or")) or after.text in ("(", "!", "~")) and not (inner[-1].text == "," or len(inner) > 1 and all(x.kind == NAME for x in inner)):
+        cast = after is not None and (after.kind in (STRING, "number") or (after.kind == NAME and after.text not in ("is", "as", "switch", "with", "when", "and", "or")) or after.text in ("(", "!", "~"))
+        typed = cast and inner and all((x.kind == NAME and x.text not in self.words) or (x.kind == OP and x.text in (".", "::", "?", "[", "]", "<", ">", ",", "*")) for x in map(self.tokens.__getitem__, inner))
+        if typed and not (self.tokens[end - 1].text == "," or len(inner) > 1 and all(self.tokens[k].kind == NAME for k in inner)):
             parts = [self.tokens_to(end + 1, "cast_type")]
             if (value := self.unary()) is not None:
                 return self.over("cast_expression", [*parts, value.at("value")])

@@ -1,6 +1,7 @@
 """Parsing, complexity, patterns and candidates, on snippets of all languages."""
 
 import collections
+import time
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from mutalake.functions.patterns import node, parse_pattern, pattern_catalog, to
 from mutalake.operators import discovery
 from mutalake.syntax import lexer, parsers
 from mutalake.syntax.languages import RULES
-from mutalake.syntax.table import languages, syntax_nodes, tree
+from mutalake.syntax.table import languages, tree
 
 SOURCES = "file string, language string, text string"
 
@@ -181,6 +182,44 @@ def test_own_points():
     assert discovery.own_points(starts, ends, points).tolist() == [2, 2, 2, 2, 1]
 
 
+@pytest.mark.parametrize(("language", "form", "function"), [
+    ("rust", "impl A { pub const fn a() {} fn b() {} fn c() { x; } fn d() {} }", "abcd"),
+    ("rust", 'extern "C" { fn q(); }\nextern "C" fn a() {}\npub(crate) const unsafe extern "C" fn b<T>(x: T) -> u8 { 1 }\nconst X: u8 = 1;\nasync fn c() {}\nunsafe impl Z for Y {}\ndefault fn d() {}\nconst fn e() {}', "abcde"),
+    ("javascript", "x = { async *a() {}, *b() {}, async c() {}, get d() { return 1 }, async: 1, get: 2, [x]() {}, async [y]() {}, e() {} }; class A { async *f() {} *g() {} static async *h() {} }", "abcdefgh"),
+    ("c_sharp", "class A { public static A operator +(A a, A b) => a; public static implicit operator int(A a) => 1; public static bool operator ==(A a, B b) { return 1; } int a(int q) => q; public static A operator checked -(A a) => a; static explicit operator List<int>(A a) { return a; } List<int> b<T>() where T : A {} }", "ab"),
+])
+def test_function_forms(language, form, function):
+    found, _ = discovery.parsed_text(language, form, None)
+    assert [f[0] for f in found] == list(function)
+
+
+def test_visibility_belongs_to_a_function():
+    found, _ = discovery.parsed_text("rust", "#[x]\npub(crate) const fn a() {}", None)
+    assert [(f[0], f[1], f[3]) for f in found] == [("a", 2, 5)]
+
+
+def test_operators_hold_decisions_of_no_function():
+    found, sites = discovery.parsed_text("c_sharp", "class A { public static bool operator <(A a, A b) => a && b; int f() => 1; }", None)
+    assert [(f[0], f[6]) for f in found] == [("f", 1)] and not sites
+
+
+_LONG = [("c_sharp", "a\n"), ("c_sharp", "a<b,"), ("c_sharp", "public "), ("c_sharp", "a b() where "), ("c_sharp", "("), ("c_sharp", "a ? "), ("typescript", "a<b,"), ("typescript", "a?["), ("javascript", "! "), ("rust", "a<b,"), ("rust", "if a "), ("rust", "{"), ("go", "("), ("python", "("), ("bash", "(("), ("bash", "[[ "), ("bash", "case "),
+         ("java", "a ? "), ("java", "-> "), ("c", "do "), ("cpp", "class A "), ("ruby", "if a "), ("dart", "a b() where "), ("erlang", "a -> "), ("php", "case a: "), ("swift", "do "), ("scala", "=> "), ("zig", "pub "), ("julia", "(for ")]
+
+
+@pytest.mark.parametrize(("language", "piece"), _LONG)
+def test_time_is_linear(language, piece):
+    """Twice the text takes little more than twice the time: what looks ahead from each token looks once."""
+    def took(size):
+        began = time.process_time()
+        discovery.parsed_text(language, piece * (size // len(piece)), None)
+        return time.process_time() - began
+
+    took(2000)
+    small = max(took(60_000), 0.05)
+    assert took(240_000) < 9 * small
+
+
 def test_lexer_is_linear():
     text = '"a' * 50_000 + "/* x " * 50_000
     assert lexer.tokens(text, RULES["rust"])
