@@ -88,13 +88,13 @@ def _key(x: np.ndarray) -> np.ndarray:
 def _features(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
+            ids, hashes, texts = (batch.column(x) for x in ("doc_id", "h", "text"))
             sizes, keys, sketches = [], [], []
             for _, x in shingle_sets(texts, width):
                 sizes.append(len(x))
                 keys.append(_key(x))
                 sketches.append(parity_sketch(x))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array([int(x.view(np.int64)[0]) for x in keys], pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "key", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(sizes, pa.int64()), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array([int(x.view(np.int64)[0]) for x in keys], pa.int64()), pa.array(sketches, pa.binary())], names=["doc_id", "h", "n_shingles", "key", "node", "sketch"])
 
     return run
 
@@ -128,26 +128,35 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     """(doc_id, n_shingles, component_id) for each row of docs.
 
     Null and empty texts have no shingles and stand alone. Equal sets are one class, whose smallest
-    id stands for it, so copies cost one row each. A row with a null id is dropped from the links
-    but returned alone; ids must be unique. Ties can't arise: component_id is the smallest id.
-    An empty table gives no rows; further columns are neither read nor returned.
+    id stands for it, so copies cost one row each. A row with a null id has its set's size, but no
+    links and a null component. Rows that share an id are documents of their own: each has the
+    component of its own text. Ties can't arise: component_id is the smallest id. An empty table
+    gives no rows; further columns are neither read nor returned.
     """
-    source = whole(docs, key, text)
-    named = source.where("doc_id is not null")
-    seen = checkpointed(named.mapInArrow(_features(width), "doc_id long, n_shingles long, key binary, node long, sketch binary"))
-    repeated_ids = not seen.groupBy("doc_id").count().where("count > 1").isEmpty()
-    full = seen.where("n_shingles > 0")
+    source = whole(docs, key, text).withColumn("h", F.xxhash64("text"))
+    seen = checkpointed(source.mapInArrow(_features(width), "doc_id long, h long, n_shingles long, key binary, node long, sketch binary"))
+    named = seen.where("doc_id is not null")
+    repeated_ids = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
+    full = named.where("n_shingles > 0")
     # Candidates are sought among the first halves of the keys; two classes with one half only share candidates.
-    classes = checkpointed(full.groupBy("key", "node").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("r")).select("key", "node", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.sketch").alias("x")))
+    classes = full.groupBy("key", "node").agg(F.min(F.struct("doc_id", "h", "n_shingles", "sketch")).alias("r")).select("key", "node", F.col("r.doc_id").alias("rep"), F.col("r.h").alias("h"), F.col("r.n_shingles").alias("n"), F.col("r.sketch").alias("x"))
+    # Where one id stands for two classes they are told apart by numbers, which a checkpoint settles.
+    classes = checkpointed(classes.withColumn("class", F.monotonically_increasing_id()) if repeated_ids else classes.withColumn("class", F.col("rep")))
 
     def items_of(wanted: DataFrame) -> DataFrame:
-        kept = source.dropDuplicates(["doc_id"]) if repeated_ids else source
-        return kept.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "text", "tasks").mapInArrow(_items(width), f"node long, tasks {TASKS}, items array<long>")
-
-    edges = candidate_edges(named.select("text").mapInArrow(_signed(width, percent), "node long, sigs array<long>"), classes.select("node", "n", "x"), percent)
-    groups = connected_components(edges).join(classes.select("node", "rep", F.col("n").alias("weight")), "node").select(F.col("rep").alias("node"), "root", "weight")
-    linked = similar_components(groups, items_of, percent)
-    roots = classes.join(linked.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component_id"))
-    done = seen.select("doc_id", "n_shingles", "key").join(roots, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    alone = source.where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return done.union(alone)
+        named = wanted.withColumnRenamed("node", "class")
+        if repeated_ids:  # a text may come several times under one id
+            found = source.join(named.join(classes.select("class", F.col("rep").alias("doc_id"), "h"), "class"), ["doc_id", "h"]).dropDuplicates(["class"])
+        else:
+            found = source.join(named.withColumnRenamed("class", "doc_id"), "doc_id").withColumnRenamed("doc_id", "class")
+        return found.select(F.col("class").alias("node"), "text", "tasks").mapInArrow(_items(width), f"node long, tasks {TASKS}, items array<long>")
+
+    edges = candidate_edges(source.where("doc_id is not null").select("text").mapInArrow(_signed(width, percent), "node long, sigs array<long>"), classes.select("node", "n", "x"), percent)
+    groups = connected_components(edges).join(classes.select("node", "class", F.col("n").alias("weight")), "node").select(F.col("class").alias("node"), "root", "weight")
+    linked = similar_components(groups, items_of, percent).withColumnRenamed("node", "class")
+    if repeated_ids:  # a component is called by its smallest id
+        members = checkpointed(linked.join(classes.select("class", "rep"), "class"))
+        linked = members.join(members.groupBy("root").agg(F.min("rep").alias("least")), "root").select("class", F.col("least").alias("root"))
+    roots = classes.join(linked, "class", "left").select("key", F.coalesce("root", "rep").alias("component_id"))
+    done = seen.select("doc_id", "n_shingles", "key").join(roots, "key", "left")
+    return done.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
