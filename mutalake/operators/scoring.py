@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mutalake.operators.intervals import covered_lines, points_of_innermost, smallest_around
+
 #: How hits of one line combine, by report format.
 MERGES = {"lcov": F.sum, "cobertura": F.max, "go_cover": F.max}
 
@@ -28,14 +30,12 @@ def span_coverage(functions: DataFrame, lines: DataFrame, files: DataFrame | Non
     """functions(file, function, start_line, end_line, …) with coverage in percent.
 
     A covered file's span without executable lines counts 100, a function of a file without
-    coverage 0. files: covered files that may have no lines. The join is on file, so it stays an
-    equi join with the span as residue.
+    coverage 0. files: covered files that may have no lines. Spans meet lines by buckets of a file.
     """
     covered = lines.select("file") if files is None else lines.select("file").union(files.select("file"))
     known = covered.distinct().withColumn("has_coverage", F.lit(True))
     keys = ["file", "start_line", "end_line"]
-    inside = functions.select(*keys).distinct().join(lines, "file").where("line between start_line and end_line")
-    counts = inside.groupBy(*keys).agg(F.count_if(F.col("hits") > 0).alias("hit"), F.count("*").alias("executable"))
+    counts = covered_lines(functions.select(*keys).distinct(), lines)
     joined = functions.join(known, "file", "left").join(counts, keys, "left")
     percent = F.when(F.col("has_coverage").isNull(), F.lit(0.0)).when(F.coalesce("executable", F.lit(0)) == 0, F.lit(100.0)).otherwise(F.col("hit") / F.col("executable") * 100.0)
     return joined.withColumn("coverage", percent).drop("has_coverage", "hit", "executable")
@@ -62,17 +62,23 @@ def path_parts(path: str | Column) -> Column:
 def match_files(sources: DataFrame, covered: DataFrame) -> DataFrame:
     """(file, coverage_file): the equal path, else the covered path of which one is the other's tail.
 
-    Several tails: the longest common one, then the smallest path. Tails meet on their last component.
+    Several tails: the longest common one, then the smallest path. A path is looked up by its whole list
+    of components from the last on, among the beginnings of such lists on the other side; each beginning
+    has one row there, so files that share a name, or any part of a path, don't meet in pairs.
     """
-    left = sources.select("file").distinct().withColumn("parts", path_parts("file"))
-    right = covered.select(F.col("file").alias("coverage_file")).distinct().withColumn("other", path_parts("coverage_file"))
-    last = lambda c: F.element_at(F.reverse(c), 1)
-    pairs = left.where(F.size("parts") > 0).withColumn("tail", last("parts")).join(right.where(F.size("other") > 0).withColumn("tail", last("other")), "tail")
-    n = F.least(F.size("parts"), F.size("other"))
-    cut = lambda c: F.slice(c, F.size(c) - n + 1, n)
-    good = pairs.where(cut("parts") == cut("other")).withColumn("n", n)
-    order = Window.partitionBy("file").orderBy((F.col("file") == F.col("coverage_file")).desc(), F.desc("n"), "coverage_file")
-    return good.withColumn("r", F.row_number().over(order)).where("r = 1").select("file", "coverage_file")
+    turned = lambda path: F.reverse(path_parts(path))
+    key = lambda parts: (F.xxhash64(parts).alias("key"), F.xxhash64(F.lit("other"), parts).alias("key2"))
+    left = sources.select("file").distinct().withColumn("turned", turned("file")).where(F.size("turned") > 0)
+    right = covered.select(F.col("file").alias("coverage_file")).distinct().withColumn("turned", turned("coverage_file")).where(F.size("turned") > 0)
+    begun = lambda df, name, most: df.select(name, "turned", F.explode(F.sequence(F.lit(1), most)).alias("n")).select(name, "n", *key(F.slice("turned", F.lit(1), F.col("n"))))
+    on = ["n", "key", "key2"]
+    whole = right.select("coverage_file", F.size("turned").alias("n"), *key(F.col("turned"))).groupBy(*on).agg(F.min("coverage_file").alias("coverage_file"))
+    shorter = begun(left, "file", F.size("turned")).join(whole, on).select("file", "n", "coverage_file")
+    beginnings = begun(right.where(F.size("turned") > 1), "coverage_file", F.size("turned") - 1).groupBy(*on).agg(F.min("coverage_file").alias("coverage_file"))
+    longer = left.select("file", F.size("turned").alias("n"), *key(F.col("turned"))).join(beginnings, on).select("file", "n", "coverage_file")
+    equal = left.join(right.withColumn("file", F.col("coverage_file")).select("file", "coverage_file"), "file").select("file", F.lit(1 << 30).alias("n"), "coverage_file")
+    best = F.min(F.struct((-F.col("n")).alias("less"), "coverage_file"))
+    return shorter.union(longer).union(equal).groupBy("file").agg(best.alias("b")).select("file", "b.coverage_file")
 
 
 def match_report(sources: DataFrame, covered: DataFrame) -> DataFrame:
@@ -90,15 +96,10 @@ def attribute_branches(functions: DataFrame, branches: DataFrame) -> DataFrame:
     functions: (file, start_byte, end_byte, ...) ; branches: (file, at). A function is nested in
     another if its range lies within and isn't the same.
     """
-    ranges = functions.select("file", "start_byte", "end_byte").distinct()
-    inside = ranges.join(branches.select("file", "at"), "file").where("at >= start_byte and at < end_byte")
-    nested = ranges.select("file", F.col("start_byte").alias("s"), F.col("end_byte").alias("e"))
-    held = (inside["file"] == nested["file"]) & (F.col("s") >= F.col("start_byte")) & (F.col("e") <= F.col("end_byte")) & ((F.col("s") != F.col("start_byte")) | (F.col("e") != F.col("end_byte"))) & (F.col("at") >= F.col("s")) & (F.col("at") < F.col("e"))
-    own = inside.join(nested, held, "left_anti").groupBy("file", "start_byte", "end_byte").agg(F.count("*").alias("n"))
+    own = points_of_innermost(functions.select("file", "start_byte", "end_byte").distinct(), branches.select("file", "at"))
     return functions.join(own, ["file", "start_byte", "end_byte"], "left").withColumn("cyclomatic", 1 + F.coalesce("n", F.lit(0))).drop("n")
 
 
 def innermost(points: DataFrame, ranges: DataFrame) -> DataFrame:
     """(file, at, name) of the smallest range(file, s, e, name) around each point(file, at); points outside have no row."""
-    around = points.join(ranges, "file").where("at >= s and at < e")
-    return around.groupBy("file", "at").agg(F.min_by("name", F.struct(F.col("e") - F.col("s"), "s", "name")).alias("name"))
+    return smallest_around(ranges, points)
