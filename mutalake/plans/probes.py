@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import re
 import shutil
@@ -16,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mutalake.functions.session import settled
 from mutalake.operators.edits import diff_text
 
 _PLACE = re.compile(r"\{worker\}|\{build_cache\}")
@@ -86,21 +89,63 @@ def mutated(text: str, start: int, end: int, original: str, replacement: str) ->
     return (raw[:start] + replacement.encode() + raw[end:]).decode()
 
 
-_OUTCOME = "status string, exit_code int, duration_ms long, diff string, stdout string, stderr string"
+_OUTCOME = "status string, exit_code int, duration_ms long, diff string, stdout string, stderr string, finished_at long"
+#: What an event keeps of a candidate, if it has them.
+_SHOWN = ("operator", "file", "line", "column")
 
 
-def test_mutants(candidates: DataFrame, root: str, command: list[str], timeout: float | None = None, templates: list[str] = (), build_cache: str | None = None, leave_out: tuple[str, ...] = (".git", ".mutalake", "target", "node_modules"), work: str | None = None) -> DataFrame:
+def event_path(events: str, id_: str) -> str:
+    return os.path.join(events, f"{hashlib.sha256(id_.encode()).hexdigest()}.json")
+
+
+def finished_event(events: str, id_: str) -> dict | None:
+    """What a probe that ended has left of itself; None before."""
+    try:
+        with open(event_path(events, id_), encoding="utf-8") as f:
+            return json.loads(f.read())
+    except FileNotFoundError:
+        return None
+
+
+def write_event(events: str, event: dict) -> None:
+    """An event appears whole, under its mutant's name."""
+    os.makedirs(events, exist_ok=True)
+    path = event_path(events, event["id"])
+    part = f"{os.path.join(events, '.' + os.path.basename(path))}-{uuid.uuid4().hex}"
+    with open(part, "w", encoding="utf-8") as f:
+        f.write(json.dumps(event) + "\n")
+    os.replace(part, path)
+
+
+def copy_project(root: str, copy: str, leave_out: tuple[str, ...]) -> None:
+    """The project without some names directly below its root; links are left out."""
+    top = os.path.realpath(root)
+
+    def ignored(folder: str, names: list[str]) -> set[str]:
+        own = {n for n in names if n in leave_out} if os.path.realpath(folder) == top else set()
+        return own | {n for n in names if os.path.islink(os.path.join(folder, n))}
+
+    shutil.copytree(root, copy, ignore=ignored, dirs_exist_ok=True)
+
+
+def test_mutants(candidates: DataFrame, root: str, command: list[str], timeout: float | None = None, templates: list[str] = (), build_cache: str | None = None, leave_out: tuple[str, ...] = (".git", ".mutalake", "target", "node_modules"), work: str | None = None, events: str | None = None, run: str | None = None) -> DataFrame:
     """candidates(file, start_byte, end_byte, original, replacement, …) with their outcomes, each probed in a copy of the project.
 
     A partition copies the project once (root must be readable there) and restores the file after each
     mutant, so partitions are the workers: repartition candidates to set how many run. Copies lie below
     work, by default .mutalake/work of the project, and go with their task. What fails before
-    the probe ends is status error with the message in stderr. A lost executor's mutants run again.
+    the probe ends is status error with the message in stderr. The outcomes are stored: the probes run
+    here, once, whatever is made of the outcomes.
+
+    events: a folder that all workers share. A probe that ends leaves its event there at once (with id,
+    status, the outcome and finished_at, nanoseconds since 1970), for streaming.events to follow. A mutant that has an event isn't probed again, so
+    a lost executor's tasks, or a call after a stopped one, go on where probes ended. ids must be unique.
     """
     columns = candidates.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema)
+    names = [x.split()[0] for x in _OUTCOME.split(", ")]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         copy, worker = None, TaskContext.get().partitionId()
@@ -109,9 +154,12 @@ def test_mutants(candidates: DataFrame, root: str, command: list[str], timeout:
                 out = []
                 for row in frame.to_dict("records"):
                     try:
+                        if events and (done := finished_event(events, row["id"])):
+                            out.append(tuple(done[x] for x in names))
+                            continue
                         if copy is None:
                             copy = os.path.join(work or os.path.join(root, ".mutalake", "work"), uuid.uuid4().hex)
-                            shutil.copytree(root, copy, ignore=shutil.ignore_patterns(*leave_out), dirs_exist_ok=True)
+                            copy_project(root, copy, leave_out)
                         path = os.path.join(copy, row["file"])
                         with open(path, encoding="utf-8", newline="") as f:
                             before = f.read()
@@ -124,28 +172,32 @@ def test_mutants(candidates: DataFrame, root: str, command: list[str], timeout:
                         finally:
                             with open(path, "w", encoding="utf-8", newline="") as f:
                                 f.write(before)
-                        out.append((ran.status, ran.exit_code, ran.duration_ms, diff, ran.stdout, ran.stderr))
+                        out.append((ran.status, ran.exit_code, ran.duration_ms, diff, ran.stdout, ran.stderr, time.time_ns()))
                     except (OSError, ValueError) as e:
-                        out.append(("error", None, 0, "", "", str(e)))
-                made = pd.DataFrame(out, columns=["status", "exit_code", "duration_ms", "diff", "stdout", "stderr"])
+                        out.append(("error", None, 0, "", "", str(e), time.time_ns()))
+                    if events:
+                        shown = {x: row[x] if isinstance(row[x], str) else int(row[x]) for x in _SHOWN if x in columns and row[x] is not None}
+                        write_event(events, {"event": "mutant_finished", "run_id": run, "id": row["id"], **shown, **dict(zip(names, out[-1], strict=True))})
+                made = pd.DataFrame(out, columns=names)
                 made["exit_code"] = made["exit_code"].astype("Int32")
                 yield pd.concat([frame[columns].reset_index(drop=True), made], axis=1)
         finally:
             if copy is not None:
                 shutil.rmtree(copy, ignore_errors=True)
 
-    return candidates.mapInPandas(run, f"{fields}, {_OUTCOME}")
+    return settled(candidates.mapInPandas(probe, f"{fields}, {_OUTCOME}"))
 
 
 def run_events(outcomes: DataFrame, jobs: int = 1) -> DataFrame:
     """(place, event) as JSON: the start of a run, each finished mutant, the end with its counts.
 
-    Mutants come in the order of their ids; a batch has no order in which they were done.
+    Mutants come in the order in which their probes ended (finished_at), else in that of their ids.
     """
     from mutalake.operators.outcomes import run_totals
     from mutalake.operators.rank import with_place
 
-    numbered = with_place(outcomes, [F.asc("id")], "completed")
+    outcomes = settled(outcomes)
+    numbered = with_place(outcomes, [F.asc(x) for x in ("finished_at", "id") if x in outcomes.columns], "completed")
     total = outcomes.count()
     mutant = F.to_json(F.struct(F.lit("mutant_finished").alias("event"), "completed", F.lit(total).alias("total"), "id", "status", "duration_ms", "exit_code", "operator", "file", "line", "column"))
     spark = outcomes.sparkSession

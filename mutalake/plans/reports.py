@@ -6,6 +6,8 @@ order. Only totals, operators and the ten weakest functions come to the driver.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from mutalake.functions.catalog import operator_catalog
 from mutalake.operators.outcomes import affected_files, best_of_site, function_summary, operator_order, operator_summary, ranked, run_totals, weak_functions
 from mutalake.operators.rank import with_place
 from mutalake.operators.scoring import path_parts
+from mutalake.plans.documents import write_document
 
 #: Versions of the report formats.
 REPORT_VERSION, SARIF_VERSION = 1, "2.1.0"
@@ -201,7 +204,52 @@ def languages_text(languages: DataFrame) -> str:
     return "\n".join(f"{r.language:<12} {r.support:<20} {', '.join(r.extensions)}" for r in languages.orderBy("ordinal").collect())
 
 
-def write_ledger(folder: str, run_id: str, metadata: DataFrame, plan: DataFrame, events: DataFrame, outcomes: DataFrame) -> None:
-    """A run's metadata, plan, events and whole outcomes below run_id=…; a second write of a run fails."""
-    for name, df in (("metadata", metadata), ("plan", plan), ("events", events), ("report", outcomes), ("totals", run_totals(outcomes))):
-        df.write.json(f"{folder}/run_id={run_id}/{name}")
+def plan_document(planned: DataFrame, skipped: DataFrame, commit: str | None = None) -> DataFrame:
+    """(part, place, text): the lines of one JSON object with a plan's candidates in their order and the skipped ones with their rules."""
+    spark = planned.sparkSession
+
+    def rows(part: int, df: DataFrame, name: str) -> DataFrame:
+        text = F.to_json(F.struct(*(c for c in df.columns if c != "place_")), {"ignoreNullFields": "false"})
+        return df.select(F.lit(part).alias("part"), F.col(name).cast("long").alias("place"), F.concat(F.when(F.col(name) > 0, ",").otherwise(""), text).alias("text"))
+
+    left_out = with_place(skipped, [path_parts("file"), F.asc("line"), F.asc("column"), F.asc("implementation")], "place_").withColumn("place_", F.col("place_") - 1)
+    frame = [(0, f'{{"version":{REPORT_VERSION},"commit":{json.dumps(commit)},"candidates":['), (2, '],"skipped":['), (4, "]}")]
+    return spark.createDataFrame([(part, 0, text) for part, text in frame], "part int, place long, text string").union(rows(1, planned, "plan_index")).union(rows(3, left_out, "place_"))
+
+
+def scan_document(functions: DataFrame) -> DataFrame:
+    """(part, place, text): a JSON array of the functions of a scan, in the order of paths and lines."""
+    return _array(functions, [path_parts("file"), F.asc("start_line"), F.asc("function")])
+
+
+def crap_document(scores: DataFrame) -> DataFrame:
+    """(part, place, text): a JSON array of scored functions, the riskiest first."""
+    return _array(scores, [F.desc("crap"), path_parts("file"), F.asc("function")])
+
+
+def candidates_document(candidates: DataFrame) -> DataFrame:
+    """(part, place, text): a JSON array of candidates in the order of paths, lines, columns and implementations."""
+    return _array(candidates, [path_parts("file"), F.asc("line"), F.asc("column"), F.asc("implementation")])
+
+
+def _array(df: DataFrame, order: list[Column]) -> DataFrame:
+    placed = with_place(df, order, "place_")
+    text = F.concat(F.when(F.col("place_") > 1, ",").otherwise(""), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    return df.sparkSession.createDataFrame([(0, 0, "["), (2, 0, "]")], "part int, place long, text string").union(placed.select(F.lit(1), "place_", text))
+
+
+def write_ledger(folder: str, run: str, metadata: dict, plan: DataFrame, events: DataFrame, report: DataFrame) -> str:
+    """A run's documents below folder/run: metadata.json, plan.json, events.jsonl and report.json; the path of the run.
+
+    plan and report: documents as (part, place, text); events: (place, event). FileExistsError if the run has a ledger.
+    """
+    spark = plan.sparkSession
+    at = f"{folder.rstrip('/')}/{run}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise FileExistsError(at)
+    write_document(spark.createDataFrame([(0, 0, json.dumps({"run_id": run, **metadata}))], "part int, place long, text string"), f"{at}/metadata.json")
+    write_document(plan, f"{at}/plan.json")
+    write_document(events, f"{at}/events.jsonl", ["place"], "event")
+    write_document(report, f"{at}/report.json")
+    return at

@@ -71,7 +71,7 @@ def test_a_long_file_is_many_tasks(spark):
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total])], names=["task", "n"])
 
     named = ranges.select("file", F.col("start_byte").alias("s"), F.col("end_byte").alias("e"), F.lit("").alias("name"))
-    tasks = intervals._buckets(named, lines.select("file", F.col("line").alias("at"), F.lit(1).alias("n")), intervals.BYTES, False, held, "task int, n long").collect()
+    tasks = intervals._buckets(named, lines.select("file", F.col("line").alias("at"), F.lit(1).alias("n")), intervals.BYTES, False, held, "task long, n long").collect()
     assert sum(r.n for r in tasks) == n and len(tasks) == 4 and max(r.n for r in tasks) < n / 2
 
 

@@ -156,9 +156,6 @@ def test_sources(spark, tmp_path):
     assert got == {"a.py": "python", "sub/b.rs": "rust"}
 
 
-def test_context_and_ledger(spark, tmp_path):
+def test_context(spark):
     row = spark.createDataFrame([("a\nb\nc\n", 3)], "t string, l int").select(reports.context(F.col("t"), F.col("l"), 1).alias("x"), reports.context(F.col("t"), F.col("l"), 0).alias("z")).first()
     assert (row.x.start_line, row.x.end_line, row.x.snippet) == (2, 3, "     2 | b\n>    3 | c\n") and row.z is None
-    rows = spark.createDataFrame([(1, "killed")], "seq int, status string")
-    reports.write_ledger(str(tmp_path), "r1", rows, rows, rows, rows)
-    assert spark.read.json(str(tmp_path / "run_id=r1/totals")).first().killed == 1
