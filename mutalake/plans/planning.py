@@ -13,6 +13,7 @@ from mutalake.functions.patterns import Pattern, pattern_catalog
 from mutalake.functions.session import settled
 from mutalake.operators import discovery, edits, scoring, selection
 from mutalake.operators.rank import with_place
+from mutalake.plans.parsed import parsed_by_content
 from mutalake.sources.coverage import read_coverage
 from mutalake.sources.files import read_sources, root_excludes
 from mutalake.sources.git import changed_files, head_commit, only_changed
@@ -58,15 +59,17 @@ def chosen_operators(spark: SparkSession, settings: Settings) -> DataFrame:
     return enabled_operators(spark, settings["mutation.operators"], sorted(set(excluded)), settings["mutation.categories"] or [])
 
 
-def plan_sources(sources: DataFrame, settings: Settings, coverage: DataFrame | None = None, changed: DataFrame | None = None, commit: str | None = None, catalog: dict[str, list[Pattern]] | None = None, overrides: dict[str, bool] | None = None) -> Plan:
+def plan_sources(sources: DataFrame, settings: Settings, coverage: DataFrame | None = None, changed: DataFrame | None = None, commit: str | None = None, catalog: dict[str, list[Pattern]] | None = None, overrides: dict[str, bool] | None = None, store: str | None = None) -> Plan:
     """The plan over sources (file, language, text).
 
     Excludes are the sources' business. Skipped candidates and those kept are both limited to changed
-    files; order and limit apply to those kept. Each text is parsed once; what was found is stored.
+    files; order and limit apply to those kept. Each text is parsed once; with a store, only if no plan
+    before has left it there.
     """
     spark = sources.sparkSession
     operators = chosen_operators(spark, settings)
-    parsed = settled(discovery.parse_sources(sources, pattern_catalog() if catalog is None else catalog))
+    catalog = pattern_catalog() if catalog is None else catalog
+    parsed = settled(discovery.parse_sources(sources, catalog) if store is None else parsed_by_content(sources, catalog, store))
     found = discovery.candidates_of(parsed, operators, overrides)
     if changed is not None:
         found = only_changed(found, changed)

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mutalake.functions import catalog
+from mutalake.functions.rewrites import rewrite_targets
 from mutalake.functions.session import discard, shared_folder
 from mutalake.operators import discovery, edits, outcomes, scoring, selection
 from mutalake.plans import adapters as A
-from mutalake.plans import programs, reports
+from mutalake.plans import cases, programs, reports
 from mutalake.plans.rewrite_queries import REWRITES, REWRITES_SQL
 from mutalake.sources.files import excluded
 
@@ -131,6 +132,20 @@ def discover_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "file", "language", "function", "operator", "implementation", "line", "column", "original", "replacement")
 
 
+@query(cases.CASES_SQL)
+def implementation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of all implementations in files of their own, each beside texts that only look like one."""
+    found = discovery.candidate_sites(cases.case_sources(spark, sf_dir)).where(F.col("implementation") == F.substring_index("file", "/", 1))
+    return edits.widen_deletions(rewrite_targets(found.where("scan_seq is not null"))).select("file", "implementation", "line", "column", "original", "replacement")
+
+
+@query(cases.COMPLEXITY_SQL)
+def complexity_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions and complexities in all 23 languages."""
+    found = discovery.scan_programs(cases.complexity_sources(spark, sf_dir)).withColumn("function", F.regexp_replace("function", "^(<anonymous>):.*", "$1"))
+    return found.groupBy("file", "function", "cyclomatic").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {A.OUTCOMES_SQL}, t AS (SELECT {_TOTALS} FROM outcomes) SELECT *, {_RATE} FROM t")
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.run_totals(A.outcomes(spark, sf_dir))
@@ -337,19 +352,27 @@ def _values(rows: list[tuple]) -> str:
 _CATALOG = f"operators(name, category, enabled, langs) AS (VALUES {_values([(n, c, int(on), x) for n, c, on, x in catalog.OPERATORS])})"
 
 
-@query(f"WITH {_CATALOG} SELECT name AS operator FROM operators WHERE enabled = 1 AND name <> 'swap_boolean'")
+def _outcomes_of(spark: SparkSession, sf_dir: str, operators: DataFrame) -> DataFrame:
+    return A.outcomes(spark, sf_dir).join(F.broadcast(operators.select("operator").distinct()), "operator").groupBy("operator").agg(F.count("*").alias("n"))  # a fixed table
+
+
+@query(f"WITH {A.OUTCOMES_SQL}, {_CATALOG} SELECT operator, count(*) AS n FROM outcomes JOIN operators ON name = operator WHERE enabled = 1 AND name <> 'swap_boolean' GROUP BY operator")
 def operator_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.enabled_operators(spark, exclude=["swap_boolean"]).select("operator")
+    """Outcomes of the operators that are on by default, one of them excluded."""
+    return _outcomes_of(spark, sf_dir, catalog.enabled_operators(spark, exclude=["swap_boolean"]))
 
 
-@query(f"WITH {_CATALOG} SELECT name AS operator FROM operators WHERE category IN ('nullability', 'logical')")
+@query(f"WITH {A.OUTCOMES_SQL}, {_CATALOG} SELECT operator, count(*) AS n FROM outcomes JOIN operators ON name = operator WHERE category IN ('nullability', 'logical', 'equality') GROUP BY operator")
 def category_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.enabled_operators(spark, categories=["nullability", "logical"]).select("operator")
+    """Outcomes of the operators of three categories, on by default or not."""
+    return _outcomes_of(spark, sf_dir, catalog.enabled_operators(spark, categories=["nullability", "logical", "equality"]))
 
 
-@query(f"WITH {_CATALOG} SELECT name AS operator, len(string_split(langs, ' ')) AS languages FROM operators")
+@query(f"WITH {A.OUTCOMES_SQL}, {_CATALOG} SELECT operator, count(*) AS n, any_value(len(string_split(langs, ' '))) AS languages FROM outcomes JOIN operators ON name = operator GROUP BY operator")
 def operator_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.implementation_catalog(spark).groupBy("operator").agg(F.count_distinct("language").alias("languages"))
+    """Outcomes of each operator, and the number of its languages."""
+    languages = catalog.implementation_catalog(spark).groupBy("operator").agg(F.count_distinct("language").alias("languages"))
+    return _outcomes_of(spark, sf_dir, languages).join(F.broadcast(languages), "operator")  # a fixed table
 
 
 @query(f"WITH {A.OUTCOMES_SQL} SELECT status, count(*) AS n FROM outcomes GROUP BY status")

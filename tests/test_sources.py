@@ -136,3 +136,23 @@ def test_plan_of_a_project(spark, tmp_path):
     plan = planning.build_plan(spark, str(tmp_path), config.resolve({"mutation.operators": ["comparison_boundary"]}, {}))
     assert sorted(r.file for r in plan.candidates.collect()) == ["__init__.py", "_x.py"]
     assert [(r.file, r.error) for r in plan.unreadable().collect()] == [("latin.py", "not UTF-8 at byte 0")]
+
+
+def test_texts_are_parsed_once(spark, tmp_path):
+    """Copies share a parse; a second plan parses nothing, a changed file one text, another catalog all again."""
+    root, store = tmp_path / "p", tmp_path / "store"
+    write(root, ["a.py", "b/copy.py", "c.py"], "def f(x):\n    return x < 1\n")
+    write(root, ["d.js", "e.py"], "function f(x) { return x < 1 }\n")
+    settings = config.resolve({"mutation.operators": ["comparison_boundary"]}, {})
+    plan = lambda **o: sorted((r.id, r.function) for r in planning.build_plan(spark, str(root), settings, store=str(store), **o).candidates.collect())
+    held = lambda: sum(spark.read.parquet(str(v)).count() for v in store.iterdir())
+    first = plan()
+    assert [i for i, _ in first] == ["a.py:2:13:python.comparison_boundary", "b/copy.py:2:13:python.comparison_boundary", "c.py:2:13:python.comparison_boundary", "d.js:1:25:javascript.comparison_boundary"]
+    assert held() == 3 and first == sorted((r.id, r.function) for r in planning.build_plan(spark, str(root), settings).candidates.collect())
+    files_ = {str(f) for f in store.rglob("*")}
+    assert plan() == first and {str(f) for f in store.rglob("*")} == files_
+    (root / "c.py").write_text("def g(x):\n    return x > 1\n")
+    assert [(f, i) for i, f in plan() if i.startswith("c.py")] == [("g", "c.py:2:13:python.comparison_boundary")] and held() == 4
+    write(root, ["n.py"], "")
+    plan(catalog={"python.comparison_boundary": []})
+    assert len(list(store.iterdir())) == 2 and held() == 9
