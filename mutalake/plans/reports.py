@@ -11,7 +11,6 @@ import json
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from mutalake.functions.catalog import operator_catalog
 from mutalake.operators.outcomes import affected_files, best_of_site, function_summary, operator_order, operator_summary, ranked, run_totals, weak_functions
 from mutalake.operators.rank import with_place
 from mutalake.operators.scoring import path_parts
@@ -36,26 +35,33 @@ def mutation() -> Column:
     return F.concat("original", F.lit(" -> "), "replacement")
 
 
-#: What a test should look at, by category of the operator, in our own words.
-FOCUS = {
-    "comparison": "Test the values on both sides of this bound, and the bound itself.", "equality": "Test one case where both sides are equal and one where they differ.", "logical": "Test each operand alone, so that the other one can't decide.",
-    "boolean_literal": "Assert what follows from this flag in both states.", "numeric_literal": "Assert the exact result that this number leads to.", "range_boundary": "Test the last element of the range.", "method": "Assert a result that only this method gives.",
-    "return_value": "Assert the returned value itself.", "nullability": "Test with the value missing and with it present.", "membership": "Test a member and a stranger.", "truthiness": "Take both branches of this condition.", "collection_boundary": "Test an empty and a filled collection.",
-    "dict": "Test a key that is missing.", "comprehension": "Test with an element that the filter should drop.", "collection": "Assert the elements, not only that there is a collection.", "pattern_matching": "Test an input for this arm and one for the others.",
-    "error_handling": "Test the failing path and assert the error.", "arithmetic": "Assert a result that tells these operations apart.", "conditional": "Test both arms and assert what each gives.", "object": "Assert the object's members.", "string": "Assert the text itself.",
-    "statement": "Assert that the awaited result is there before going on.", "assignment": "Assert the value after this assignment.",
+#: What a test should look at, by operator, in our own words.
+HINTS = {
+    "comparison_boundary": "Use the bound itself and its neighbours as inputs.", "comparison_negation": "Take one input on each side of the comparison.", "negate_equality": "Take one case where both sides are equal and one where they differ.", "swap_logical": "Let each operand decide alone, with the other one fixed.",
+    "swap_boolean": "Assert what follows from the flag in both states.", "remove_not": "Assert the path that the negation chooses.", "integer_zero_one": "Assert the exact result that this number leads to, with none and with one.", "range_inclusive_exclusive": "Assert what happens to the last element of the range.",
+    "swap_predicate_method": "Take a value for which the two methods answer differently.", "negate_predicate_method": "Take one value that has the property and one that hasn't.", "return_boolean": "Assert the returned flag itself.", "is_none_negation": "Call it with None and with a value.",
+    "in_negation": "Use a member and a stranger.", "truthiness_negation": "Take both branches of the condition.", "len_zero_boundary": "Use an empty collection and one with elements.", "dict_get_default_removal": "Look up a key that is missing and assert the default.",
+    "comprehension_filter_removal": "Include an element that the filter drops.", "none_return": "Assert the returned value, not only that the call ends.", "empty_collection_literal": "Assert the elements of the collection.", "iterator_any_all": "Use elements of which some but not all fulfil the condition.",
+    "match_bool_pattern": "Match with both true and false.", "ok_err_boolean": "Assert the flag inside the result.", "some_boolean": "Assert the flag inside the option.", "option_some_none": "Assert that there is a value, and which.",
+    "remove_try": "Let the inner call fail and assert the error.", "unwrap_to_unwrap_or_default": "Reach the missing value and assert that it isn't hidden.", "min_max_swap": "Use two different numbers and assert which one comes back.", "match_wildcard_to_panic": "Reach the arm that takes all other values.",
+    "empty_vec_macro": "Assert the elements of the vector.", "saturating_checked_swap": "Go beyond the number's range and assert what happens.", "expect_to_unwrap_or_default": "Reach the missing value and assert the failure.", "string_boundary_method_swap": "Use a text that begins but doesn't end with the part.",
+    "includes_negation": "Use one text or list with the part and one without.", "sorted_reverse_flip": "Assert the order of at least two elements.", "dict_get_to_index": "Look up a key that is missing.", "nullish_coalescing_removal": "Pass a missing value and assert the fallback.",
+    "optional_chaining_removal": "Pass a missing object.", "ternary_arm_swap": "Assert the value of each arm.", "array_empty_literal": "Assert the array's elements.", "object_empty_literal": "Assert the object's members.",
+    "string_empty_literal": "Assert the text itself.", "await_removal": "Assert the awaited value rather than a promise.", "swap_arithmetic": "Use operands for which the two operations differ.", "swap_assignment": "Assert the variable's value afterwards.",
+    "remove_unary_minus": "Assert the sign of the result.", "plus_to_minus": "Assert the sign of the result.", "null_forgiving_removal": "Pass null and assert what happens.", "nullable_access_to_member_access": "Pass a null object.",
+    "is_pattern_negation": "Use one value that fits the pattern and one that doesn't.", "as_expression_to_direct_cast": "Pass an object of another type.", "checked_unchecked_swap": "Let the arithmetic overflow.", "throw_expression_to_null": "Reach the throw and assert the exception.",
+    "default_literal_to_null": "Assert the default value.", "ternary_condition_negation": "Assert which arm is taken for both outcomes of the condition.",
 }
 
 
 def with_suggestion(rows: DataFrame) -> DataFrame:
-    """rows(operator, function, original, replacement) with focus, operator_hint and prompt."""
-    hints = F.create_map(*(F.lit(x) for pair in FOCUS.items() for x in pair))
-    known = operator_catalog(rows.sparkSession).select("operator", "category")
-    out = rows.join(F.broadcast(known), "operator", "left")  # a fixed table
-    hint = F.coalesce(F.element_at(hints, F.col("category")), F.lit("Assert the behaviour that this edit changes."))
-    focus = F.concat(F.lit("Function "), F.col("function").cast("string"))
-    prompt = F.concat(F.lit("Add a test of "), F.col("function").cast("string"), F.lit(" that fails when "), F.col("original"), F.lit(" becomes "), F.when(F.col("replacement") == "", "nothing").otherwise(F.col("replacement")), F.lit(". "), hint)
-    return out.withColumns({"focus": focus, "operator_hint": hint, "prompt": prompt}).drop("category")
+    """rows(operator, function, original, replacement, file, line, column) with focus, operator_hint and prompt; columns are shown from one."""
+    hints = F.create_map(*(F.lit(x) for pair in HINTS.items() for x in pair))
+    hint = F.coalesce(F.try_element_at(hints, F.col("operator")), F.lit("Assert the behaviour that this edit changes."))
+    name = F.coalesce(F.col("function").cast("string"), F.lit("the code"))
+    place = [F.lit(" ("), F.col("file"), F.lit(", line "), F.col("line").cast("string"), F.lit(", column "), (F.col("column") + 1).cast("string"), F.lit(")")] if {"file", "line", "column"} <= set(rows.columns) else []
+    prompt = F.concat(F.lit("Add a test of "), name, *place, F.lit(" that fails when "), F.col("original"), F.lit(" becomes "), F.when(F.col("replacement") == "", "nothing").otherwise(F.col("replacement")), F.lit(". "), hint)
+    return rows.withColumns({"focus": F.concat(F.lit("Function "), name), "operator_hint": hint, "prompt": prompt})
 
 
 def annotations(outcomes: DataFrame) -> DataFrame:
@@ -88,11 +94,16 @@ def lines_in_order(rows: DataFrame) -> DataFrame:
 def sarif_document(outcomes: DataFrame) -> DataFrame:
     """(part, place, text): the lines of a whole SARIF document, one a rule and one a result."""
     spark = outcomes.sparkSession
-    rule = F.to_json(F.struct(F.col("rule_id").alias("id"), F.struct(F.col("help").alias("text")).alias("shortDescription"), F.struct(F.lit("warning").alias("level")).alias("defaultConfiguration")))
+    said = lambda text: F.struct(text.alias("text"))
+    hints = F.create_map(*(F.lit(x) for pair in HINTS.items() for x in pair))
+    hint = F.coalesce(F.try_element_at(hints, F.col("rule_id")), F.col("help"))
+    rule = F.to_json(F.struct(
+        F.col("rule_id").alias("id"), F.concat(F.lit("Survived mutant: "), "rule_id").alias("name"), said(F.col("help")).alias("shortDescription"), said(F.concat(F.col("help"), F.lit(" No test failed when this was changed."))).alias("fullDescription"),
+        said(hint).alias("help"), F.struct(F.lit("warning").alias("level")).alias("defaultConfiguration")))
     rules = with_place(sarif_rules(outcomes), [F.asc("rule_id")], "place").select(F.lit(1).alias("part"), F.col("place"), F.concat(F.when(F.col("place") > 1, ","), rule).alias("text"), rule.alias("first"))
     results = with_place(sarif_results(outcomes), [F.asc("seq")], "place").select(F.lit(3).alias("part"), F.col("place"), F.concat(F.when(F.col("place") > 1, ","), "result").alias("text"), F.col("result").alias("first"))
     body = rules.union(results).select("part", "place", F.coalesce("text", "first").alias("text"))
-    head = f'{{"version":"{SARIF_VERSION}","$schema":"https://json.schemastore.org/sarif-{SARIF_VERSION}.json","runs":[{{"tool":{{"driver":{{"name":"mutalake","rules":['
+    head = f'{{"version":"{SARIF_VERSION}","$schema":"https://json.schemastore.org/sarif-{SARIF_VERSION}.json","runs":[{{"tool":{{"driver":{{"name":"mutalake","informationUri":"urn:mutalake","rules":['
     frame = spark.createDataFrame([(0, 0, head), (2, 0, ']}},"results":['), (4, 0, "]}]}")], "part int, place long, text string")
     return frame.union(body)
 
@@ -187,6 +198,8 @@ def json_report(outcomes: DataFrame, scores: DataFrame) -> DataFrame:
 
     functions = function_summary(outcomes, scores)
     ordered = operator_order(operator_summary(outcomes)).drop("position")
+    shown = with_suggestion(outcomes)  # survivors alone keep what a test should look at
+    outcomes = shown.select(*outcomes.columns, F.when(F.col("status") == "survived", F.struct("focus", "operator_hint", "prompt")).alias("suggestion"))
     out = rows(1, run_totals(outcomes), [F.asc("total")]).union(rows(3, ordered, [F.desc("total"), F.asc("operator")]))
     out = out.union(rows(5, functions, [F.desc("priority_score"), path_parts("file"), F.asc("function")])).union(rows(7, outcomes, [F.asc("seq")]))
     frame = [(0, f'{{"version":{REPORT_VERSION},"totals":'), (2, ',"operators":['), (4, '],"functions":['), (6, '],"outcomes":['), (8, "]}")]

@@ -122,3 +122,19 @@ def test_ledger(spark, tmp_path):
     assert [json.loads(x)["event"] for x in open(f"{at}/events.jsonl")] == ["a", "b"] and json.load(open(f"{at}/plan.json"))["candidates"][0]["id"] == "y"
     with pytest.raises(FileExistsError):
         reports.write_ledger(str(tmp_path), run, {}, report, lines, report)
+
+
+def test_every_operator_has_a_hint_of_its_own():
+    from mutalake.functions.catalog import OPERATORS
+
+    assert sorted(reports.HINTS) == sorted(name for name, *_ in OPERATORS) and len(set(reports.HINTS.values())) >= 53
+
+
+def test_suggestions_and_rules(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "i", "a.py", "f", "swap_logical", "survived", 3, 4, "and", "or", "Swap and and or."), (1, "j", "a.py", "g", "own", "survived", 5, 0, "x", "", "Own.")], "seq int, id string, file string, function string, operator string, status string, line int, column int, original string, replacement string, description string")
+    said = {r.id: r.prompt for r in reports.with_suggestion(rows).collect()}
+    assert said == {"i": "Add a test of f (a.py, line 3, column 5) that fails when and becomes or. Let each operand decide alone, with the other one fixed.", "j": "Add a test of g (a.py, line 5, column 1) that fails when x becomes nothing. Assert the behaviour that this edit changes."}
+    documents.write_document(reports.sarif_document(rows), f"{tmp_path}/r.sarif")
+    driver = json.loads((tmp_path / "r.sarif").read_text())["runs"][0]["tool"]["driver"]
+    assert driver["informationUri"] and [r["id"] for r in driver["rules"]] == ["own", "swap_logical"]
+    assert all(r["name"] and r["shortDescription"]["text"] and r["fullDescription"]["text"] and r["help"]["text"] for r in driver["rules"])
