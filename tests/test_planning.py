@@ -176,7 +176,7 @@ def test_text_and_tasks(spark, run):
     withs = rows.withColumn("source_context", reports.context(F.lit("x\ny\nz"), F.lit(2), 1))
     tasks = reports.agent_tasks(withs, outcomes.function_summary(rows, scores))
     first = tasks.orderBy("seq").first()
-    assert (first.task_id, first.column, first.mutation, first.crap, first.focus) == ("test-task-001", 5, "true -> false", 20.0, "Function f") and first.prompt.startswith("Add a test of f that fails when true becomes false. ")
+    assert (first.task_id, first.column, first.mutation, first.crap, first.focus) == ("test-task-001", 5, "true -> false", 20.0, "Function f") and first.prompt.startswith("Add a test of f (a/b.rs, line 3, column 5) that fails when true becomes false. ")
     page = "\n".join(lines(reports.tasks_markdown(tasks)))
     assert page.startswith("# Survived mutants\n\n3 survivors, 2 distinct, at 2 places.\n\n- a/b.rs: 3\n") and page.index("## High") < page.index("## Medium") and "found 2 times" in page and page.count("```\n") == 2
     assert "0 survivors" in "\n".join(lines(reports.tasks_markdown(tasks.limit(0))))
