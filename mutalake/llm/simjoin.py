@@ -22,11 +22,11 @@ from mutalake.llm.common import checkpointed, list_array, mix, partitions_of
 from mutalake.llm.components import connected_components, contract
 
 #: Elements and members that one task of a group holds at most, for a side.
-BLOCK_ELEMENTS = 2_000_000
+BLOCK_ELEMENTS = 1_000_000
 #: Type of the list of a set's tasks.
 TASKS = "array<struct<task: bigint, side: int>>"
 #: Expanded (member, posting) pairs that are counted together.
-EXPAND = 1_000_000
+EXPAND = 500_000
 #: Elements of one side that are looked up together.
 SLICE_ELEMENTS = 200_000
 #: Sets of a group that is searched together with others, and elements of such groups.
