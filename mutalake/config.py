@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tomllib
 from dataclasses import dataclass, field
@@ -133,8 +134,44 @@ def resolve(arguments: dict[str, Any], config: dict[str, Any], preset: dict[str,
     return out
 
 
-def starter(preset: str | None = None) -> str:
-    """The text of a first settings file."""
-    lines = ["[scope]", "exclude = []", "", "[mutation]", 'strategy = "actionable"', "", "[runner]", "jobs = 1", "timeout_seconds = 180", "", "[probe]"]
-    command = ", ".join(f'"{x}"' for x in (PRESETS[preset].probe if preset else ("true",)))
-    return "\n".join([*lines, f"command = [{command}]", ""])
+# First settings of the usual tools: probe, its variables, workers, seconds, a cache for each worker, warm-up. Fixed values.
+STARTERS: dict[str, tuple[list[str], list[str], int, int, bool, bool]] = {
+    "rust": (["cargo", "test", "--jobs", "1"], ["CARGO_TARGET_DIR={build_cache}"], 2, 120, True, True),
+    "go": (["go", "test", "./..."], ["GOCACHE=.mutalake/cache/gocache-{worker}", "GOFLAGS=-count=1"], 4, 60, False, True),
+    "python": (["pytest", "-q"], ["PYTHONDONTWRITEBYTECODE=1", "PYTEST_CACHE_DIR=.mutalake/cache/pytest-{worker}"], 4, 60, False, False),
+    "node": (["npm", "test"], ["npm_config_cache=.mutalake/cache/npm-{worker}"], 2, 60, False, False),
+    "java-gradle": (["./gradlew", "test", "--no-daemon"], ["GRADLE_USER_HOME=.mutalake/cache/gradle-{worker}"], 2, 300, False, True),
+    "java-maven": (["mvn", "-q", "test"], ["MAVEN_OPTS=-Dmaven.repo.local=.mutalake/cache/m2-{worker}"], 2, 300, False, True),
+    "ruby": (["bundle", "exec", "rake", "test"], ["BUNDLE_PATH=.mutalake/cache/bundle-{worker}"], 2, 60, False, False),
+}
+
+
+def starter(name: str | None = None) -> str:
+    """The text of a first settings file for one of STARTERS; without a name, one whose probe does nothing."""
+    if name is not None and name not in STARTERS:
+        raise ConfigError(f"unknown starter {name}; known are {', '.join(STARTERS)}")
+    command, env, jobs, seconds, own_cache, warmup = STARTERS[name] if name else (["true"], [], 1, 180, False, False)
+    shown = lambda x: str(x).lower() if isinstance(x, bool) else json.dumps(x)
+    return "\n".join([
+        "# Arguments win over this file.", "", "[scope]", "# Globs beside the usual build folders and the lines of .gitignore.", "exclude = []", '# changed_only = "main"', "",
+        "[mutation]", 'strategy = "actionable"', "static_skips = true", "context_lines = 3", "# limit = 50", '# coverage = ["lcov:lcov.info"]', "",
+        "[runner]", 'workspace_backend = "auto"', f"jobs = {jobs}", f"timeout_seconds = {seconds}", f"preflight = {shown(name is not None)}", f"per_worker_cache = {shown(own_cache)}", f"warmup = {shown(warmup)}", 'cache_dir = ".mutalake/cache"', 'runs_dir = ".mutalake/runs"', "",
+        "[probe]", f"command = {shown(command)}", f"env = {shown(env)}", "", "[report]", 'format = "human"', "fail_on_survivors = true", "allow_incomplete = false", ""])
+
+
+def project_types(folder: str) -> list[str]:
+    """The presets whose marks lie in a folder, in the presets' order."""
+    found = os.listdir(folder)
+    return [name for name, p in PRESETS.items() if any(x in found for x in p.markers) or not p.markers and any(x.endswith((".sln", ".csproj")) for x in found)]
+
+
+def recommended(folder: str) -> dict[str, Any]:
+    """What a project should begin with: its type (unknown, mixed or a preset), the preset's probe, a workspace and a way to write settings.
+
+    Mixed and unknown projects have no probe; a folder under version control is worked on in worktrees, others in copies.
+    """
+    types = project_types(folder)
+    kind = types[0] if len(types) == 1 else "mixed" if types else "unknown"
+    backend = "worktree" if os.path.exists(os.path.join(folder, ".git")) else "copy"
+    probe = preset_settings(kind, folder)["probe.command"] if kind in PRESETS else None
+    return {"project_type": kind, "types": types, "workspace_backend": backend, "probe.command": probe, "starter": kind if kind in STARTERS else None}

@@ -14,6 +14,7 @@ from mutalake.functions.session import settled
 from mutalake.operators import discovery, edits, scoring, selection
 from mutalake.operators.rank import with_place
 from mutalake.plans.parsed import parsed_by_content
+from mutalake.plans.probes import pre_run
 from mutalake.sources.coverage import read_coverage
 from mutalake.sources.files import read_sources, root_excludes
 from mutalake.sources.git import changed_files, head_commit, only_changed
@@ -94,3 +95,9 @@ def build_plan(spark: SparkSession, root: str, settings: Settings, ignore: list[
     base = settings["scope.changed_only"]
     changed = changed_files(spark, root, base) if base else None
     return plan_sources(sources, settings, coverage, changed, head_commit(root), **options)
+
+
+def prepare_run(spark: SparkSession, root: str, settings: Settings, ignore: list[str] = (), **options) -> Plan:
+    """build_plan for a run: the settings' pre_run command first, whose failure is a PreRunError and leaves nothing planned."""
+    pre_run(root, settings["runner.pre_run"])
+    return build_plan(spark, root, settings, ignore, **options)

@@ -71,6 +71,23 @@ def run_probe(command: list[str], folder: str, timeout: float | None = None, env
     return Ran(timed_out, None if timed_out or code < 0 else code, int((time.monotonic() - began) * 1000), out.decode("utf-8", "replace"), err.decode("utf-8", "replace"))
 
 
+class PreRunError(RuntimeError):
+    """The command before a run failed."""
+
+
+def pre_run(root: str, command: list[str] | None) -> Ran | None:
+    """The settings' command that prepares a project, once in its folder, before it is planned; PreRunError if it fails or can't be started."""
+    if not command:
+        return None
+    try:
+        ran = run_probe(command, root)
+    except OSError as e:
+        raise PreRunError(f"{' '.join(command)} can't be started: {e}") from e
+    if not ran.success:
+        raise PreRunError(f"{' '.join(command)} failed ({ran.exit_code}): {ran.stderr.strip()[-2000:]}")
+    return ran
+
+
 def preflight(command: list[str], folder: str, timeout: float | None = None, env: dict[str, str] | None = None) -> Ran:
     """The probe on the unchanged project; a plan only makes sense if it succeeds."""
     return run_probe(command, folder, timeout, env)

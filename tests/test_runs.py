@@ -138,3 +138,37 @@ def test_suggestions_and_rules(spark, tmp_path):
     driver = json.loads((tmp_path / "r.sarif").read_text())["runs"][0]["tool"]["driver"]
     assert driver["informationUri"] and [r["id"] for r in driver["rules"]] == ["own", "swap_logical"]
     assert all(r["name"] and r["shortDescription"]["text"] and r["fullDescription"]["text"] and r["help"]["text"] for r in driver["rules"])
+
+
+def test_pre_run(spark, tmp_path):
+    """The command runs once in the project before anything is planned; a failure stops the run."""
+    from mutalake import config
+    from mutalake.plans import planning
+
+    settings = lambda *command: config.resolve({"runner.pre_run": list(command), "mutation.operators": ["comparison_boundary"]}, {})
+    made = planning.prepare_run(spark, str(tmp_path), settings("sh", "-c", "printf 'def f(x):\\n    return x < 1\\n' > made.py; echo x >> ran"))
+    assert [r.file for r in made.candidates.collect()] == ["made.py"] and (tmp_path / "ran").read_text() == "x\n"
+    for command in (["sh", "-c", "echo bad >&2; exit 3"], ["/no/such/program"]):
+        with pytest.raises(probes.PreRunError):
+            planning.prepare_run(spark, str(tmp_path), settings(*command))
+    assert probes.pre_run(str(tmp_path), None) is None
+
+
+def test_starters_and_recommendations(tmp_path):
+    from mutalake import config
+
+    assert list(config.STARTERS) == ["rust", "go", "python", "node", "java-gradle", "java-maven", "ruby"]
+    for name, (command, env, jobs, *_) in config.STARTERS.items():
+        found = config.parse_config(config.starter(name))
+        assert (found["probe.command"], found["probe.env"], found["runner.jobs"], found["runner.preflight"]) == (command, env, jobs, True)
+    assert config.parse_config(config.starter())["probe.command"] == ["true"]
+    with pytest.raises(config.ConfigError):
+        config.starter("cobol")
+    seen = lambda: [config.recommended(str(tmp_path))[k] for k in ("project_type", "workspace_backend", "probe.command", "starter")]
+    assert seen() == ["unknown", "copy", None, None]
+    (tmp_path / "package.json").write_text("{}")
+    (tmp_path / "yarn.lock").write_text("")
+    assert seen() == ["node", "copy", ["yarn", "test"], "node"]
+    (tmp_path / "a.csproj").write_text("")
+    (tmp_path / ".git").mkdir()
+    assert seen() == ["mixed", "worktree", None, None] and config.project_types(str(tmp_path)) == ["node", "c_sharp"]
