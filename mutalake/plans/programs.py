@@ -45,7 +45,8 @@ def program_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_file = named.select("o_custkey", "o_orderkey", block.alias("block")).groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "block"))).alias("blocks"))  # of one customer
     lines = F.concat(F.array(pick(1)), F.flatten(F.col("blocks.block")), F.array(pick(8)))
     language = F.element_at(F.array(*map(F.lit, _LANGUAGES)), (F.col("o_custkey") % len(_LANGUAGES) + 1).cast("int"))
-    return per_file.select(F.concat(F.lit("src/c"), "o_custkey", F.lit("."), pick(0)).alias("file"), language.alias("language"), F.array_join(lines, "\n").alias("text"))
+    made = per_file.select(F.concat(F.lit("src/c"), "o_custkey", F.lit("."), pick(0)).alias("file"), language.alias("language"), F.array_join(lines, "\n").alias("text"))
+    return made.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")  # else small texts meet in few tasks, and parsing is what takes time
 
 
 def _values(rows: list[tuple]) -> str:
