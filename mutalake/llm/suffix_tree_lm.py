@@ -7,8 +7,10 @@ distributions are smoothed towards the parent's. A symbol is scored in the longe
 
 Counts travel packed: a map task sends one row a bucket with sorted hashes and counts. Words of at
 least N / HOT occurrences are HOT at most, so their counts are broadcast; the rest meet their counts
-in a bucket, where a word's rows are then less than that share of all tokens. Contexts of two bytes
-and more grow in their buckets; the driver joins the states and broadcasts them, GRAMS grams at most.
+in a bucket, where a word's rows are then less than that share of all tokens. There are BUCKETS of
+them whatever the corpus, so packed rows grow with the map tasks alone. Contexts of two bytes and more
+grow in their buckets. A window is scored by the states of one bucket, so a tree of more than GRAMS
+grams is broadcast in shares of whole buckets, one after the other, and each share scores its windows.
 """
 
 from __future__ import annotations
@@ -17,11 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mutalake.llm.common import Words, checkpointed, list_array, mix, partitions_of, slices, whole
+from mutalake.llm.common import Words, checkpointed, discard_with, list_array, mix, partitions_of, slices, stored, whole
 
 #: Longest context in bytes; windows that are counted have one byte more.
 DEPTH = 5
@@ -31,15 +32,18 @@ MIN_COUNT = 8
 MIN_GAIN = 12.0
 #: Weight of the parent's distribution, in observations.
 PRIOR = 6.0
-#: Grams that the states of a tree have together at most: 32 bytes each in the driver and in every worker.
-#: Where more pass the divergence test, the least gain rises until they fit.
+#: Grams of a share of the tree, unless a bucket alone has more: 32 bytes each in the driver and in every worker.
 GRAMS = 6_000_000
+#: Buckets of words and of windows.
+BUCKETS = 1024
 #: Words above a HOT-th of all tokens have their counts broadcast.
 HOT = 65_536
 END, BLANK = 10, 32
 _U = np.uint64
 _END_WORD = _U(0x51ED270B7A4F3C95)
 _NEED = 4_000_000
+#: Rare words of texts that a task of pass 2 packs together.
+PACK = 1 << 19
 
 
 def symbols(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +122,11 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(list_array([x.view(np.int64) for x in c], pa.int64()) for c in columns[2:])], names=names)
 
 
+def _bucket(last: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a window by the last two bytes of its context, the byte before the symbol the lower one."""
+    return (mix(last) % _U(buckets)).astype(np.int64)
+
+
 def _gather(depth: int, buckets: int):
     """Pass 1 over training texts: (kind, bucket, keys, counts); kind 0 are windows, dealt by the last two bytes of the context, 1 words."""
 
@@ -132,7 +141,7 @@ def _gather(depth: int, buckets: int):
         if ends:
             words_seen.add(np.array([_END_WORD]), np.array([ends]))
             keys, counts = grams.merge()  # never empty: an end is a symbol
-            yield _batch(_packed(0, (mix((keys >> _U(8)) & _U(0xFFFF)) % _U(buckets)).astype(np.int64), keys, counts), ["kind", "bucket", "keys", "counts"])
+            yield _batch(_packed(0, _bucket((keys >> _U(8)) & _U(0xFFFF), buckets), keys, counts), ["kind", "bucket", "keys", "counts"])
             keys, counts = words_seen.merge()
             yield _batch(_packed(1, (keys % _U(buckets)).astype(np.int64), keys, counts), ["kind", "bucket", "keys", "counts"])
 
@@ -201,14 +210,21 @@ class Tree:
             live = live[hit]
         return value
 
-    def scores(self, words: Words) -> np.ndarray:
-        """log10 probability of each text."""
+    def scores(self, words: Words, share: tuple[int, int, int] | None = None) -> np.ndarray:
+        """log10 probability of each text; share: (first bucket, end, buckets) of the windows that count, null for all."""
         out, starts = symbols(words)
         if len(starts) < 2:
             return np.zeros(0)
         seen, at = np.unique(_reversed(windows(out, starts, self.depth), self.depth), return_inverse=True)
-        value = self._values(seen >> _U(8), (seen & _U(255)).astype(np.int64), self.depth)[at]
-        return np.add.reduceat(value, starts[:-1] - np.arange(len(starts) - 1))
+        if share is None:
+            value = self._values(seen >> _U(8), (seen & _U(255)).astype(np.int64), self.depth)
+        else:
+            first, end, buckets = share
+            of = _bucket((seen >> _U(8 * self.depth)) | ((seen >> _U(8 * (self.depth - 1))) & _U(255)) << _U(8), buckets)
+            mine = (of >= first) & (of < end)
+            value = np.zeros(len(seen))
+            value[mine] = self._values(seen[mine] >> _U(8), (seen[mine] & _U(255)).astype(np.int64), self.depth)
+        return np.add.reduceat(value[at], starts[:-1] - np.arange(len(starts) - 1))
 
 
 def _reversed(grams: np.ndarray, depth: int) -> np.ndarray:
@@ -278,7 +294,7 @@ def grow(orders: list[tuple[np.ndarray, np.ndarray]], total: int, depth: int = D
 
 
 _SHORT = "d int, key long, n long"
-_STATES = "d int, contexts array<long>, weights array<double>, gains array<double>, sizes array<int>, grams array<long>, values array<double>"
+_STATES = "bucket long, d int, contexts array<long>, weights array<double>, grams array<long>, values array<double>"
 
 
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,92 +322,120 @@ def _deepen(tree: Tree):
                     gains = extend(own, *summed(full.view(_U), n, d), gains)
                     if not len(gains):
                         break
-                    sizes = np.bincount(np.searchsorted(own.contexts[-1], own.grams[-1] >> _U(8)), minlength=len(gains))
-                    yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), list_array([own.contexts[-1].view(np.int64)], pa.int64()), list_array([own.weights[-1]], pa.float64()), list_array([gains], pa.float64()), list_array([sizes.astype(np.int32)], pa.int32()), list_array([own.grams[-1].view(np.int64)], pa.int64()), list_array([own.values[-1]], pa.float64())], names=[x.split()[0] for x in _STATES.split(", ")])
+                    yield pa.RecordBatch.from_arrays([batch.column("bucket").slice(i, 1), pa.array([d], pa.int32()), list_array([own.contexts[-1].view(np.int64)], pa.int64()), list_array([own.weights[-1]], pa.float64()), list_array([own.grams[-1].view(np.int64)], pa.int64()), list_array([own.values[-1]], pa.float64())], names=[x.split()[0] for x in _STATES.split(", ")])
 
     return run
 
 
-def least_gain(states: DataFrame, most: int) -> float:
-    """The gain from which on all contexts together have so many grams at most; MIN_GAIN if all fit.
+class Shares:
+    """A tree in shares of whole buckets: its root and contexts of one byte, the states of longer ones, and the bounds of the shares.
 
-    Gains are counted by powers of a quarter, a few hundred rows whatever the corpus.
+    counts: bucketed windows (kind 0). The driver sees states alone, one share at a time, of GRAMS grams unless a bucket
+    has more. Together the shares are the whole tree.
     """
-    each = states.select(F.explode(F.arrays_zip("gains", "sizes")).alias("x")).select(F.floor(F.log2("x.gains") * 4).cast("int").alias("level"), F.col("x.sizes").alias("n"))
-    total, least = 0, MIN_GAIN
-    for r in sorted(each.groupBy("level").agg(F.sum("n").alias("n")).collect(), key=lambda r: -r.level):
-        total += r.n
-        if total > most:
-            return float(2 ** ((r.level + 1) / 4))
-    return least
+
+    def __init__(self, counts: DataFrame, buckets: int, depth: int = DEPTH, most: int = GRAMS):
+        windows_ = counts.where("kind = 0")
+        short = windows_.mapInArrow(_short, _SHORT).groupBy("d", "key").agg(F.sum("n").alias("n")).collect()
+        orders = []
+        for d in (0, 1):
+            rows = sorted((int(np.int64(r.key).view(_U)), r.n) for r in short if r.d == d)
+            orders.append((np.array([k for k, _ in rows], dtype=_U), np.array([n for _, n in rows], dtype=np.int64)))
+        self.short = grow(orders, int(orders[0][1].sum()), depth)
+        self.states = checkpointed(windows_.select("bucket", "keys", "counts").mapInArrow(_deepen(self.short), _STATES))
+        sizes = self.states.groupBy("bucket").agg(F.sum(F.size("grams")).alias("n")).collect()  # a row a bucket
+        starts, held = [0], 0
+        for r in sorted(sizes, key=lambda r: r.bucket):
+            if held and held + r.n > most:
+                starts.append(r.bucket)
+                held = 0
+            held += r.n
+        self.bounds = [(a, b, buckets) for a, b in zip(starts, [*starts[1:], buckets], strict=True)]
+
+    def tree(self, share: int) -> Tree:
+        """The tree with the states of a share's buckets."""
+        first, end, _ = self.bounds[share]
+        tree = Tree(self.short.base, self.short.depth)
+        tree.contexts, tree.weights, tree.grams, tree.values = ([*x] for x in (self.short.contexts, self.short.weights, self.short.grams, self.short.values))
+        parts: list[tuple[list, ...]] = [([], [], [], []) for _ in range(tree.depth - 1)]
+        for r in self.states.where((F.col("bucket") >= first) & (F.col("bucket") < end)).toLocalIterator():
+            for column, x, kind in zip(parts[r.d - 2], (r.contexts, r.weights, r.grams, r.values), (np.int64, np.float64, np.int64, np.float64), strict=True):
+                column.append(np.array(x, dtype=kind))
+        for contexts, weights, grams, values in parts:
+            c, w, g, v = (np.concatenate(x) if x else np.zeros(0) for x in (contexts, weights, grams, values))
+            c, g = c.astype(np.int64).view(_U), g.astype(np.int64).view(_U)
+            a, b = np.argsort(c), np.argsort(g)
+            tree.contexts.append(c[a])
+            tree.weights.append(w[a])
+            tree.grams.append(g[b])
+            tree.values.append(v[b])
+        return tree
 
 
 def learn(counts: DataFrame, depth: int = DEPTH, most: int = GRAMS) -> Tree:
-    """The tree from bucketed windows (kind 0). The driver sees its states only, GRAMS of their grams at most."""
-    windows_ = counts.where("kind = 0")
-    short = windows_.mapInArrow(_short, _SHORT).groupBy("d", "key").agg(F.sum("n").alias("n")).collect()
-    orders = []
-    for d in (0, 1):
-        rows = sorted((int(np.int64(r.key).view(_U)), r.n) for r in short if r.d == d)
-        orders.append((np.array([k for k, _ in rows], dtype=_U), np.array([n for _, n in rows], dtype=np.int64)))
-    tree = grow(orders, int(orders[0][1].sum()), depth)
-    states = checkpointed(windows_.select("keys", "counts").mapInArrow(_deepen(tree), _STATES))
-    least = least_gain(states, most)
-    parts: list[tuple[list, ...]] = [([], [], [], []) for _ in range(depth - 1)]
-    for r in states.toLocalIterator():
-        keep = np.array(r.gains) >= least
-        into = parts[r.d - 2]
-        for column, x, kind in zip(into, (r.contexts, r.weights, r.grams, r.values), (np.int64, np.float64, np.int64, np.float64), strict=True):
-            column.append(np.array(x, dtype=kind)[keep if x is r.contexts or x is r.weights else np.repeat(keep, r.sizes)])
-    for contexts, weights, grams, values in parts:
-        c, w, g, v = (np.concatenate(x) if x else np.zeros(0) for x in (contexts, weights, grams, values))
-        c, g = c.astype(np.int64).view(_U), g.astype(np.int64).view(_U)
-        a, b = np.argsort(c), np.argsort(g)
-        tree.contexts.append(c[a])
-        tree.weights.append(w[a])
-        tree.grams.append(g[b])
-        tree.values.append(v[b])
-    return tree
+    """The tree from bucketed windows (kind 0); its first share, if it has more than so many grams."""
+    return Shares(counts, 1 + (counts.agg(F.max("bucket")).first()[0] or 0), depth, most).tree(0)
 
 
-def _word_sums(n_hot: np.ndarray, hot_counts: np.ndarray, shared, buckets: int):
+def _share_scores(shared, share: tuple[int, int, int]):
+    """(row, part): what the windows of a share add to the score of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value
+        for batch in batches:
+            for first, data, offsets in slices(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, len(offsets) - 1), pa.array(tree.scores(Words(data, offsets), share))], names=["row", "part"])
+
+    return run
+
+
+def _word_sums(n_hot: np.ndarray, hot_counts: np.ndarray, shared, share: tuple[int, int, int] | None):
     """Pass 2 over all texts: a row of figures for each text, and packed rare words, which name the text's row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
-        number = TaskContext.get().partitionId() << 40
+        held: list[tuple] = []
+        empty = pa.nulls
+
+        def flush() -> pa.RecordBatch:
+            rare, who, times = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            rows = _packed(1, (rare % _U(BUCKETS)).astype(np.int64), rare, who, times)
+            n = len(rows)
+            return pa.RecordBatch.from_arrays(
+                [empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.float64()), empty(n, pa.float64()), pa.array([x[1] for x in rows], pa.int64()), *(list_array([x[j].view(np.int64) for x in rows], pa.int64()) for j in (2, 3, 4))], names=NAMES)
+
         hot_log = np.log10(hot_counts + 1.0)
         end = np.searchsorted(n_hot, _END_WORD)
         end_known = end < len(n_hot) and n_hot[end] == _END_WORD
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, numbers = batch.column("doc_id"), batch.column("row")
             for first, data, offsets in slices(batch.column("text")):
                 words = Words(data, offsets)
                 docs = len(offsets) - 1
                 keys = words.hashes()
                 owner = np.repeat(np.arange(docs), np.diff(words.bounds))
-                score = tree.scores(words)
+                score = tree.scores(words, share)
                 at = np.minimum(np.searchsorted(n_hot, keys), max(len(n_hot) - 1, 0))
                 hot = n_hot[at] == keys if len(n_hot) else np.zeros(len(keys), dtype=bool)
                 logs = np.bincount(owner[hot], hot_log[at[hot]], docs) + (hot_log[end] if end_known else 0.0)
                 known = np.bincount(owner[hot], minlength=docs) + int(end_known)
                 own = ids.slice(first, docs)
-                rows_ = number + np.arange(docs)
-                number += docs
+                rows_ = numbers.slice(first, docs).to_numpy()
                 rare, who = keys[~hot], owner[~hot]
                 order = np.lexsort((who, rare))
                 rare, who = rare[order], who[order]
                 heads = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (who[1:] != who[:-1])])) if len(rare) else np.zeros(0, dtype=np.int64)
                 times = np.diff(np.append(heads, len(rare)))
                 rare, who = rare[heads], rows_[who[heads]]
-                rows = _packed(1, (rare % _U(buckets)).astype(np.int64), rare, who, times)
-                empty = pa.nulls
+                if len(rare):
+                    held.append((rare, who, times))
                 yield pa.RecordBatch.from_arrays(
                     [own, pa.array(rows_), pa.array(np.diff(words.bounds) + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(logs), pa.array(score), empty(docs, pa.int64()), empty(docs, pa.list_(pa.int64())), empty(docs, pa.list_(pa.int64())), empty(docs, pa.list_(pa.int64()))], names=NAMES)
-                if rows:
-                    n = len(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.float64()), empty(n, pa.float64()), pa.array([x[1] for x in rows], pa.int64()), *(list_array([x[j].view(np.int64) for x in rows], pa.int64()) for j in (2, 3, 4))], names=NAMES)
+                if sum(len(x[0]) for x in held) > PACK:
+                    yield flush()
+        if held:
+            yield flush()
 
     return run
 
@@ -445,24 +489,34 @@ def score_documents(docs: DataFrame, training, key: str = "doc_id", text: str =
     """
     spark = docs.sparkSession
     n = partitions_of(spark)
-    buckets = 16 * n
     source = whole(docs, key, text)
     held = source.withColumn("train", F.coalesce(training, F.lit(False)))
-    gathered = held.where("train").select("text").mapInArrow(_gather(DEPTH, buckets), "kind int, bucket long, keys array<long>, counts array<long>")
+    gathered = held.where("train").select("text").mapInArrow(_gather(DEPTH, BUCKETS), "kind int, bucket long, keys array<long>, counts array<long>")
     counts = checkpointed(gathered.repartition(n, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_total, "kind int, bucket long, keys array<long>, counts array<long>"))
     sums = {r.kind: (r.n or 0, r.v) for r in counts.select("kind", F.size("keys").cast("long").alias("v"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
     tokens, kinds = sums.get(1, (0, 0))
-    shared = spark.sparkContext.broadcast(learn(counts))  # GRAMS grams at most
+    shares = Shares(counts, BUCKETS, most=GRAMS)
+    source = source.withColumn("row", F.monotonically_increasing_id())
+    if len(shares.bounds) > 1:
+        source = stored(source)  # so that all shares see the same numbers
+    shared = spark.sparkContext.broadcast(shares.tree(0))  # a share
     words = counts.where("kind = 1")
     pairs = words.select(F.explode(F.filter(F.arrays_zip("keys", "counts"), lambda x: x["counts"] * HOT >= tokens)).alias("x")).select("x.*").collect()  # HOT rows at most
     hot = sorted((int(np.int64(k).view(_U)), c) for k, c in pairs)
     names, often = np.array([x for x, _ in hot], dtype=_U), np.array([x for _, x in hot], dtype=np.float64)
-    second = checkpointed(source.mapInArrow(_word_sums(names, often, shared, buckets), _PASS_2))
+    second = checkpointed(source.mapInArrow(_word_sums(names, often, shared, shares.bounds[0] if len(shares.bounds) > 1 else None), _PASS_2))
     rare = second.where("bucket is not null").select("bucket", F.lit(False).alias("is_count"), "keys", "docs", "times")
     counted = words.select("bucket", F.lit(True).alias("is_count"), "keys", F.array().cast("array<long>").alias("docs"), F.col("counts").alias("times"))
     met = rare.union(counted).repartition(n, "bucket").sortWithinPartitions("bucket", F.desc("is_count"))
     more = met.mapInArrow(_meet, "row long, known long, logs double").groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("logs").alias("more_logs"))
     flags = second.where("bucket is null").select("doc_id", "row", "n_tokens", "known", "logs", "score")
+    for k in range(1, len(shares.bounds)):
+        shared.unpersist()
+        shared = spark.sparkContext.broadcast(shares.tree(k))
+        part = source.select("row", "text").mapInArrow(_share_scores(shared, shares.bounds[k]), "row long, part double")
+        flags = checkpointed(flags.join(part, "row").withColumn("score", F.col("score") + F.col("part")).drop("part"))
+    if len(shares.bounds) > 1:
+        discard_with(source)
     zero = F.lit(0).cast("long")
     return flags.join(more, "row", "left").select(
         "doc_id", (~F.coalesce(training, F.lit(False))).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", zero)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
