@@ -4,7 +4,9 @@ import collections
 import math
 import time
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,31 @@ def test_tree_is_bounded(spark, docs, monkeypatch):
         assert all((int(c) >> 8) in parents for c in less.contexts[d])
 
 
+def test_tree_in_shares_is_whole(spark, docs, monkeypatch):
+    """A tree of more grams than a share scores as one that fits: nothing is left out."""
+    whole = {r.doc_id: r.score for r in suffix_tree_lm.score_documents(docs, F.lit(True)).collect()}
+    monkeypatch.setattr(suffix_tree_lm, "GRAMS", 300)
+    bounds = []
+    tree = suffix_tree_lm.Shares.tree
+    monkeypatch.setattr(suffix_tree_lm.Shares, "tree", lambda self, k: bounds.append(k) or tree(self, k))
+    got = {r.doc_id: r.score for r in suffix_tree_lm.score_documents(docs, F.lit(True)).collect()}
+    assert len(bounds) > 2 and got.keys() == whole.keys()
+    assert all(abs(got[i] - whole[i]) < 1e-6 for i in whole)
+
+
+def test_rare_words_are_packed_over_slices(monkeypatch):
+    """A task's packed rows are one a bucket, however many slices its texts are cut into."""
+    monkeypatch.setattr(common, "SLICE_BYTES", 1000)
+    texts = [" ".join(f"w{(i * 40 + j) * 7919 % 10007}" for j in range(40)) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts), pa.array(range(300), pa.int64())], names=["doc_id", "text", "row"])
+    tree = suffix_tree_lm.rooted(np.zeros(256), suffix_tree_lm.DEPTH)
+    shared = type("Shared", (), {"value": tree})()
+    made = [r for out in suffix_tree_lm._word_sums(np.zeros(0, dtype=np.uint64), np.zeros(0), shared, None)(iter([batch])) for r in out.to_pylist()]
+    packed = [r for r in made if r["bucket"] is not None]
+    assert len({r["bucket"] for r in packed}) == len(packed) <= suffix_tree_lm.BUCKETS
+    assert sum(sum(r["times"]) for r in packed) == 300 * 40
+
+
 def test_equal_texts_score_alike(spark):
     texts = [f"text {i % 5} of some words " * (1 + i % 5) for i in range(700)]
     labels = spark.createDataFrame([(i, int(i % 5 > 1)) for i in range(300)], "doc_id long, quality int")
