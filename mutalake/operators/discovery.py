@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +107,8 @@ _SITE = "implementation: string, root_start: int, root_end: int, match_seq: int,
 PARSED = f"functions array<struct<{_FUNCTION}>>, sites array<struct<{_SITE}>>"
 #: Functions and sites of a batch of parsed texts.
 BATCH = 20_000
+#: Characters of a short text, and short texts whose parse a task remembers for their copies.
+SHORT, REMEMBERED = 1_000, 4_096
 
 
 def parsed_text(language: str, text: str, automaton: Automaton | None) -> tuple[list[tuple], list[tuple]]:
@@ -165,13 +168,15 @@ def parse_sources(sources: DataFrame, catalog: dict[str, list[Pattern]] | None =
 
     catalog: the patterns to look for, null for none. Null texts and languages without a parser have no
     row; others have one, with empty lists where nothing is found. Odd syntax gives an odd tree, never
-    an error. Repeated files give repeated rows.
+    an error. Repeated files give repeated rows. A task parses copies of a short text once, if not too many others lie between.
     """
     names = f"file string, language string, {PARSED}"
     schema = to_arrow_schema(_parse_datatype_string(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automata(catalog or {})
+        parsed = lambda language, text: parsed_text(language, text, automata.get(language))
+        short = lru_cache(REMEMBERED)(parsed)
         rows, size = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -181,7 +186,7 @@ def parse_sources(sources: DataFrame, catalog: dict[str, list[Pattern]] | None =
 
         for batch in batches:
             for file, language, text in zip(*(batch.column(x).to_pylist() for x in ("file", "language", "text")), strict=True):
-                functions, sites = parsed_text(language, text, automata.get(language))
+                functions, sites = (short if len(text) <= SHORT else parsed)(language, text)
                 rows.append((file, language, functions, sites))
                 size += len(functions) + len(sites) + 1
                 if size >= BATCH:

@@ -18,6 +18,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a small table dealt to all tasks: what is made of a row takes longer than reading it."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is a function of its customer's file; ten lines from ten times its key; its items are its branches."""
     n = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))

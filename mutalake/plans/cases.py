@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mutalake.functions.catalog import LANGUAGES, implementations
-from mutalake.plans.adapters import load
+from mutalake.plans.adapters import load, spread
 
 # Language: (text, {function: complexity}, complexities of functions without a name).
 COMPLEXITY = {
@@ -108,7 +108,7 @@ def case_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, language, text), a file a part: up to four functions, each with a site of the file's implementation or one that only looks like it."""
     texts = {k: (_HEADS.get(lang := name.partition(".")[0], ""), _function(lang, CASES[name][0]), _function(lang, CASES[name][3])) for k, name in enumerate(_NAMES)}
     table = spark.createDataFrame([(k, name.partition(".")[0], f"{name}/", _EXTENSION[name.partition(".")[0]], *texts[k]) for k, name in enumerate(_NAMES)], "k long, language string, folder string, extension string, head string, hit string, miss string")
-    part = load(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % len(_NAMES)).alias("k"))
+    part = spread(load(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % len(_NAMES)).alias("k")), "p_partkey")
     bodies = F.transform(F.sequence(F.lit(0), F.col("p_size") % 4), lambda j: F.when((F.col("p_partkey") + j) % 3 != 0, F.col("hit")).otherwise(F.col("miss")))
     rows = part.join(F.broadcast(table), "k")  # a row an implementation
     return rows.select(F.concat("folder", "p_partkey", F.lit("."), "extension").alias("file"), "language", F.concat("head", F.array_join(bodies, "\n"), F.lit("\n")).alias("text"))
@@ -129,7 +129,7 @@ _SCANNED = sorted(COMPLEXITY)
 def complexity_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, language, text), a file a customer, in all languages that are scanned."""
     table = spark.createDataFrame([(k, language, _EXTENSION[language], COMPLEXITY[language][0]) for k, language in enumerate(_SCANNED)], "k long, language string, extension string, text string")
-    customer = load(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(_SCANNED)).alias("k"))
+    customer = spread(load(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(_SCANNED)).alias("k")), "c_custkey")
     return customer.join(F.broadcast(table), "k").select(F.concat(F.lit("c"), "c_custkey", F.lit("."), "extension").alias("file"), "language", "text")  # a row a language
 
 

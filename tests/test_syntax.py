@@ -156,3 +156,34 @@ def test_time_is_linear(language, piece):
 def test_lexer_is_linear():
     text = '"a' * 50_000 + "/* x " * 50_000
     assert lexer.tokens(text, RULES["rust"])
+
+
+def test_copies_of_short_texts_are_parsed_once(spark, monkeypatch):
+    """A task parses a short text once for all its copies, and made cases are dealt to all tasks."""
+    from mutalake.operators import discovery
+    from mutalake.plans import cases
+
+    seen = []
+    parsed = discovery.parsed_text
+    monkeypatch.setattr(discovery, "parsed_text", lambda language, text, automaton: seen.append(text) or parsed(language, text, automaton))
+    rows = [(f"{i}.rs", "rust", f"fn f{i % 3}() {{ if a {{ b(); }} }}") for i in range(30)]
+    runs = []
+
+    class Sources:
+        """Enough of a table to hand the batches to the function that Spark would run."""
+
+        def __getattr__(self, name):
+            return lambda *_: self
+
+        def mapInArrow(self, run, schema):
+            runs.append(run)
+            return self
+
+    discovery.parse_sources(Sources())
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["file", "language", "text"])
+    made = [r for out in runs[0](iter([batch])) for r in out.to_pylist()]
+    assert len(seen) == 3 and [(r["file"], r["functions"][0]["function"]) for r in made] == [(f"{i}.rs", f"f{i % 3}") for i in range(30)]
+    for sources in (cases.case_sources, cases.complexity_sources):
+        assert sources(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
