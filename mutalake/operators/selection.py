@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mutalake.functions.blake3 import blake3
+from mutalake.functions.blake3 import blake3, blake3_many
 from mutalake.operators.outcomes import one_entry
 from mutalake.operators.rank import with_place
 from mutalake.operators.scoring import path_parts
@@ -108,7 +108,8 @@ def seeded(candidates: DataFrame, seed: str, commit: str = "", version: str = RA
     """Candidates with stable_id (fields joined by NUL) and ranking_key, a keyed order that version, seed and commit fix."""
     @F.pandas_udf("string")
     def key(stable: pd.Series) -> pd.Series:
-        return stable.map(lambda x: ranking_key(seed, commit, x, version))
+        fields = (version.encode(), commit.encode(), seed.encode())
+        return pd.Series([x.hex() for x in blake3_many([framed(*fields, x.encode()) for x in stable])])
 
     return candidates.withColumn("stable_id", stable_id()).withColumn("ranking_key", key("stable_id"))
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mutalake.functions import catalog, scanners
-from mutalake.functions.blake3 import blake3
+from mutalake.functions.blake3 import blake3, blake3_many
 from mutalake.operators import edits, outcomes, scoring, selection
 from mutalake.plans import reports
 from mutalake.sources import coverage, files
@@ -83,6 +83,11 @@ def test_status_classes(spark):
     assert [r.s for r in rows.select(outcomes.classify(F.col("t"), F.col("e"), F.col("f")).alias("s")).collect()] == ["survived", "killed", "timeout", "error", "killed"]
 
 
+def test_blake3_many_is_each():
+    rows = [bytes((i + j) % 251 for j in range(n)) for i, n in enumerate([0, 1, 63, 64, 65, 128, 129, 170, 1000, 1024, 1025, 3000])]
+    assert blake3_many(rows) == [blake3(x) for x in rows] and blake3_many([]) == []
+
+
 def test_blake3_published_values():
     assert blake3(b"").hex() == "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"
     assert len({blake3(bytes(i % 251 for i in range(n))) for n in (1, 64, 65, 1024, 1025, 3000)}) == 6
