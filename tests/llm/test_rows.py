@@ -101,3 +101,24 @@ def test_packing_of_odd_rows(spark, folder):
     rows = [(1, "a b"), (1, "a b"), (None, "c"), (2, None)]
     got = corpus_pipeline.packing(spark, frame(spark, rows), folder).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r.doc_id: r.n for r in got} == {1: 6, None: 2, 2: 1} and corpus_pipeline.packing(spark, spark.createDataFrame([], WIDE), folder).collect() == []
+
+
+def test_near_members_hold_no_pairs():
+    """A crowd of near copies takes memory by its members, and is connected as its near pairs are."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from mutalake.llm import simjoin
+
+    rng = np.random.default_rng(1)
+    kinds = [rng.integers(0, 2**63, 200).astype(np.uint64) for _ in range(3)]
+    sets = [np.concatenate([kinds[i % 3][:198], rng.integers(0, 2**63, 2).astype(np.uint64)]) for i in range(2400)]
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * 2400, pa.int64()), pa.array(range(100, 2500), pa.int64()), pa.array([200] * 2400, pa.int64()), pa.array([simjoin.parity_sketch(x) for x in sets], pa.binary())], names=["a", "b", "n", "x"])
+    tracemalloc.start()
+    made = [(u, v) for out in simjoin._near_members(80)(iter([batch])) for u, v in zip(*(out.column(c).to_pylist() for c in ("u", "v")))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(made) == sorted((i, 100 + (i - 100) % 3) for i in range(103, 2500))
+    assert peak < 20_000_000
