@@ -3,13 +3,14 @@
 A chunk is what lies between two spaces, with the space before it. Pieces of both vocabularies
 never cross the end of such a chunk, so a text's ids are the ids of its chunks in order. Texts in
 which that doesn't hold (white space in a row, the space marker itself) are encoded whole.
-Tables live in a Python worker, are shared by its tasks and hold a bounded number of characters.
+Tables live as long as a task and hold a bounded number of characters; the vocabulary stays in its worker.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from mutalake.llm.common import whole
 
-#: Characters of keys that a worker's table holds before it starts anew.
+#: Characters of keys that a table holds before it starts anew.
 TABLE_CHARS = 6_000_000
 #: Texts handled together.
 RUN = 200
@@ -39,6 +40,9 @@ class ChunkTable:
         self.chars += sum(map(len, missing))
         return self.values
 
+    def clear(self) -> None:
+        self.values, self.chars = {}, 0
+
 
 class PieceCodec:
     """The sentencepiece library's encode and decode, with an end id."""
@@ -165,6 +169,16 @@ def codec(kind: type, model: str):
     return _CODECS[kind, model]
 
 
+@contextmanager
+def task_codec(kind: type, model: str) -> Iterator:
+    """The worker's codec for one task. Its table goes with the task, else workers that idle or serve other stages would hold it."""
+    try:
+        yield codec(kind, model)
+    finally:
+        codec(kind, model).table.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def texts_of(column: pa.Array, at: int, n: int = RUN) -> list[str]:
     return [x or "" for x in column.slice(at, n).to_pylist()]
 
@@ -177,13 +191,13 @@ def piece_digests(docs: DataFrame, model: str, key: str = "doc_id", text: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = codec(PieceCodec, model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, RUN):
-                made = pieces.encode(texts_of(batch.column("text"), at))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, RUN), pa.array([x.count(b" ") for x, _ in made], pa.int64()), pa.array([hashlib.sha256(x[1:]).hexdigest() for x, _ in made]), pa.array([hashlib.sha256(x.encode()).hexdigest() for _, x in made])],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with task_codec(PieceCodec, model) as pieces:
+            for batch in batches:
+                for at in range(0, batch.num_rows, RUN):
+                    made = pieces.encode(texts_of(batch.column("text"), at))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").slice(at, RUN), pa.array([x.count(b" ") for x, _ in made], pa.int64()), pa.array([hashlib.sha256(x[1:]).hexdigest() for x, _ in made]), pa.array([hashlib.sha256(x.encode()).hexdigest() for _, x in made])],
+                        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return whole(docs, key, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -192,10 +206,10 @@ def piece_encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
     """(doc_id, ids array of int, decoded string) of every row; cases as in piece_digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = codec(PieceCodec, model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, RUN):
-                made = pieces.encode(texts_of(batch.column("text"), at))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, RUN), pa.array([[int(i) for i in x.split()] for x, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.string())], names=["doc_id", "ids", "decoded"])
+        with task_codec(PieceCodec, model) as pieces:
+            for batch in batches:
+                for at in range(0, batch.num_rows, RUN):
+                    made = pieces.encode(texts_of(batch.column("text"), at))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, RUN), pa.array([[int(i) for i in x.split()] for x, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.string())], names=["doc_id", "ids", "decoded"])
 
     return whole(docs, key, text).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from mutalake.llm.chunk_codec import RUN, ByteCodec, codec, texts_of
+from mutalake.llm.chunk_codec import RUN, ByteCodec, task_codec, texts_of
 from mutalake.llm.common import whole
 
 LIMIT = 1024
@@ -136,7 +136,10 @@ def pack_documents(docs: DataFrame, model: str, limit: int = LIMIT, key: str = "
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*made, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = codec(ByteCodec, model)
+        with task_codec(ByteCodec, model) as encoder:
+            yield from packed(encoder, batches)
+
+    def packed(encoder: ByteCodec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = encoder.library.get_vocab(with_added_tokens=True)
         sentence = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for piece, i in vocabulary.items():

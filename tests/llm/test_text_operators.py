@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,6 +268,17 @@ def test_codecs_on_odd_texts(text):
     assert [int(x) for x in ids.split()] == want and decoded == p.library.decode(want)
 
 
+def test_no_chunk_table_outlives_its_task(spark):
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(len(x.table.values) for x in chunk_codec._CODECS.values())]})
+
+    texts = spark.range(0, 4000, 1, 8).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 20), i -> md5(concat(id, i)))) AS text")
+    assert packing.pack_documents(texts, public_tokenizers.path("byte_bpe_50k.json")).count() >= 4000
+    assert chunk_codec.piece_digests(texts, public_tokenizers.path("piece_bpe_32k.model")).count() == 4000
+    assert {r.n for r in spark.range(0, 64, 1, 64).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_quality_figures(spark, docs, none):
     labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(50)] + [(None, 1, 0), (51, None, 0), (9999, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality_rules.judge(docs, labels).collect()}
