@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -175,7 +176,14 @@ def parse_sources(sources: DataFrame, catalog: dict[str, list[Pattern]] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automata(catalog or {})
-        parsed = lambda language, text: parsed_text(language, text, automata.get(language))
+
+        def parsed(language: str, text: str) -> tuple[list[tuple], list[tuple]]:
+            gc.disable()  # a tree has no cycles, but so many objects that looking for them takes a quarter of the time
+            try:
+                return parsed_text(language, text, automata.get(language))
+            finally:
+                gc.enable()
+
         short = lru_cache(REMEMBERED)(parsed)
         rows, size = [], 0
 

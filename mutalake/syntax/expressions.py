@@ -64,11 +64,17 @@ class Expressions:
         return own.get(self.language) or own.get(None) or f"{of}_expression"
 
     def peek(self, k: int = 0) -> Token | None:
-        return self.tokens[self.i + k] if self.i + k < len(self.tokens) else None
+        try:
+            return self.tokens[self.i + k]
+        except IndexError:
+            return None
 
     def at(self, *texts: str, k: int = 0) -> bool:
-        t = self.peek(k)
-        return t is not None and t.kind != STRING and t.text in texts
+        try:
+            t = self.tokens[self.i + k]
+        except IndexError:
+            return False
+        return t.text in texts and t.kind != STRING
 
     def take(self, field: str | None = None) -> Node:
         t = self.tokens[self.i]
@@ -81,7 +87,7 @@ class Expressions:
         return node
 
     def over(self, kind: str, parts: list[Node]) -> Node:
-        return Node(kind, parts[0].start, max(p.end for p in parts), parts)
+        return Node(kind, parts[0].start, max([p.end for p in parts]), parts)
 
     def group(self, kind: str, inner=None) -> Node:
         """A bracketed run of what inner reads, by default loose."""

@@ -4,6 +4,7 @@ import collections
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mutalake.functions.catalog import enabled_operators
@@ -187,3 +188,41 @@ def test_copies_of_short_texts_are_parsed_once(spark, monkeypatch):
     assert len(seen) == 3 and [(r["file"], r["functions"][0]["function"]) for r in made] == [(f"{i}.rs", f"f{i % 3}") for i in range(30)]
     for sources in (cases.case_sources, cases.complexity_sources):
         assert sources(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
+def test_lexing_matches_a_plain_scan_of_gaps():
+    """Tokens keep their text and place, and what lies between them is white space or a comment."""
+    from mutalake.syntax.lexer import LINE, tokens
+
+    odd = "\t a  =b /2/ c // x\n  \"s \\\" t\" + 1.5e3\r\n\n   (x)   y /* z\n */ 'q' /r[/]e/g  \n \t "
+    for rules in RULES.values():
+        assert rules.pattern.match(" \t x").end() == 4  # one look a token
+        at = 0
+        for t in tokens(odd, rules):
+            assert at <= t.start < t.end or t.kind == LINE
+            if t.kind != LINE:
+                assert odd[t.start : t.end] == t.text and not t.text[0].isspace()
+                line = odd.rfind("\n", 0, t.start) + 1
+                assert t.indent == -1 or t.indent == t.start - line
+                assert t.apart or at == t.start
+            at = t.end
+
+
+def test_parsing_leaves_no_cycles(spark):
+    """Collection of cycles pauses while a text is parsed, and goes on behind it."""
+    import gc
+
+    def run(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"on": [gc.isenabled()]})
+
+    source = spark.createDataFrame([("a.rs", "rust", "fn a() { if x < 1 { b(); } }\n" * 400)], "file string, language string, text string")
+    assert discovery.scan_programs(source).count() == 400
+    assert all(r["on"] for r in spark.range(0, 16, 1, 16).mapInArrow(run, "on boolean").collect())
+    gc.collect()
+    gc.disable()
+    try:
+        discovery.parsed_text("python", "def a(x):\n    return [k for k in x if k > 1]\n" * 200, discovery._automata(pattern_catalog())["python"])
+        assert gc.collect() < 2000  # a tree of some 5,000 nodes is gone without it
+    finally:
+        gc.enable()
