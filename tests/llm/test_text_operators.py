@@ -97,6 +97,19 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    """Tasks that know of other centres of one leaf: all meet before the first round."""
+    from mutalake.llm import components
+
+    rounds = []
+    star = components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: rounds.append(1) or star(edges))
+    edges = spark.range(0, 400, 1, 8).selectExpr("1000 + id % 50 AS u", "id % 50 + 100 * floor(id / 50) AS v")
+    found = {r.node: r.root for r in connected_components(edges).collect()}
+    assert found == {n: k for k in range(50) for n in [1000 + k, *(k + 100 * j for j in range(8))]}
+    assert not rounds
+
+
 def test_suffix_tree(spark, docs, none):
     rows = suffix_tree_lm.score_documents(docs, F.col("doc_id") % 7 != 2).collect()
     count, texts = collections.Counter(), {i: [*words(t), "\n"] for i, t, *_ in corpus()}
