@@ -19,6 +19,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of a task that sorts and groups them.
+ROWS = 500_000
+
+
+def tasks_for(stored: DataFrame) -> int | None:
+    """Tasks of about ROWS rows each; null where the session's number of them will do. The rows are counted, so it's for stored tables."""
+    tasks = -(-stored.count() // ROWS)
+    return tasks if tasks > int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """df by its keys in so many tasks; as it is for null, so that its joins and groups take the session's number."""
+    return df.repartition(tasks, *keys) if tasks else df
+
+
 def release(df: DataFrame) -> None:
     """Delete the shuffle files of a plan whose result has been written."""
     df._jdf.queryExecution().toRdd().cleanShuffleDependencies(False)

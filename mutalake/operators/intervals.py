@@ -14,27 +14,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mutalake.functions.session import dealt
+
 #: Lines and bytes of a bucket.
 LINES, BYTES = 1024, 4096
 #: Point and range pairs that are looked at together.
 CELLS = 4_000_000
 
 
-def covered_lines(spans: DataFrame, lines: DataFrame, width: int = LINES) -> DataFrame:
+def covered_lines(spans: DataFrame, lines: DataFrame, width: int = LINES, tasks: int | None = None) -> DataFrame:
     """(file, start_line, end_line, hit, executable) of distinct spans that hold lines(file, line, hits).
 
     A span's buckets in full take the bucket's totals, those it cuts look at their lines; a bucket has
-    one row of at most so many lines as it is wide, whatever the number of spans.
+    one row of at most so many lines as it is wide, whatever the number of spans. tasks: how many join and
+    group them, null for the session's number.
     """
     bucket = F.floor(F.col("line") / width)
-    each = lines.groupBy("file", "line").agg(F.count_if(F.col("hits") > 0).alias("hit"), F.count("*").alias("n"))
-    held = each.groupBy("file", bucket.alias("bucket")).agg(F.collect_list(F.struct("line", "hit", "n")).alias("own"), F.sum("hit").alias("hit"), F.sum("n").alias("n"))  # one entry a line of a bucket
+    each = dealt(lines, tasks, "file", "line").groupBy("file", "line").agg(F.count_if(F.col("hits") > 0).alias("hit"), F.count("*").alias("n"))
+    held = dealt(each.withColumn("bucket", bucket), tasks, "file", "bucket").groupBy("file", "bucket").agg(F.collect_list(F.struct("line", "hit", "n")).alias("own"), F.sum("hit").alias("hit"), F.sum("n").alias("n"))  # one entry a line of a bucket
     cut = spans.where("start_line <= end_line").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width))))
     inside = (F.col("start_line") <= F.col("bucket") * width) & (F.col("end_line") >= F.col("bucket") * width + width - 1)
     part = F.filter("own", lambda x: x["line"].between(F.col("start_line"), F.col("end_line")))
     total = lambda name: F.when(inside, F.col(name)).otherwise(F.aggregate(F.transform(part, lambda x: x[name]), F.lit(0).cast("long"), lambda a, x: a + x))
-    found = cut.join(held, ["file", "bucket"]).select("file", "start_line", "end_line", total("hit").alias("hit"), total("n").alias("n"))
-    return found.groupBy("file", "start_line", "end_line").agg(F.sum("hit").alias("hit"), F.sum("n").alias("executable")).where("executable > 0")
+    found = dealt(cut, tasks, "file", "bucket").join(held, ["file", "bucket"]).select("file", "start_line", "end_line", total("hit").alias("hit"), total("n").alias("n"))
+    return dealt(found, tasks, "file", "start_line", "end_line").groupBy("file", "start_line", "end_line").agg(F.sum("hit").alias("hit"), F.sum("n").alias("executable")).where("executable > 0")
 
 
 def _matters(wide: list[tuple[int, int]], s: int, e: int, named: bool) -> bool:

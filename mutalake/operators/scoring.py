@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mutalake.functions.session import dealt
 from mutalake.operators.intervals import covered_lines, points_of_innermost, smallest_around
 
 #: How hits of one line combine, by report format.
 MERGES = {"lcov": F.sum, "cobertura": F.max, "go_cover": F.max}
 
 
-def merge_hits(lines: DataFrame, how: str = "sum") -> DataFrame:
-    """One row a (file, line): hits summed, largest, or the last by seq."""
+def merge_hits(lines: DataFrame, how: str = "sum", tasks: int | None = None) -> DataFrame:
+    """One row a (file, line): hits summed, largest, or the last by seq. tasks: how many group them, null for the session's number."""
     if how == "last":
         hits = F.max_by("hits", "seq")
     else:
         hits = {"sum": F.sum, "max": F.max}[how]("hits")
-    return lines.groupBy("file", "line").agg(hits.alias("hits"))
+    return dealt(lines, tasks, "file", "line").groupBy("file", "line").agg(hits.alias("hits"))
 
 
 def expand_blocks(blocks: DataFrame) -> DataFrame:
@@ -26,17 +27,20 @@ def expand_blocks(blocks: DataFrame) -> DataFrame:
     return merge_hits(lines, "max")
 
 
-def span_coverage(functions: DataFrame, lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def span_coverage(functions: DataFrame, lines: DataFrame, files: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """functions(file, function, start_line, end_line, …) with coverage in percent.
 
     A covered file's span without executable lines counts 100, a function of a file without
     coverage 0. files: covered files that may have no lines. Spans meet lines by buckets of a file.
+    tasks: how many join and group them, null for the session's number; what a task holds grows with its rows.
     """
-    covered = lines.select("file") if files is None else lines.select("file").union(files.select("file"))
-    known = covered.distinct().withColumn("has_coverage", F.lit(True))
+    covered = lines.select("file", "hits")
+    if files is not None:
+        covered = covered.union(files.select("file", F.lit(None)))
+    known = dealt(covered, tasks, "file").groupBy("file").agg(F.count("hits").alias("has_coverage"))  # counts hits, so as to share covered_lines' shuffles of what lines are made of
     keys = ["file", "start_line", "end_line"]
-    counts = covered_lines(functions.select(*keys).distinct(), lines)
-    joined = functions.join(known, "file", "left").join(counts, keys, "left")
+    counts = covered_lines(dealt(functions.select(*keys), tasks, *keys).distinct(), lines, tasks=tasks)
+    joined = dealt(dealt(functions, tasks, "file").join(known, "file", "left"), tasks, *keys).join(counts, keys, "left")
     percent = F.when(F.col("has_coverage").isNull(), F.lit(0.0)).when(F.coalesce("executable", F.lit(0)) == 0, F.lit(100.0)).otherwise(F.col("hit") / F.col("executable") * 100.0)
     return joined.withColumn("coverage", percent).drop("has_coverage", "hit", "executable")
 
@@ -48,12 +52,18 @@ def crap(cyclomatic: Column, coverage: Column) -> Column:
     return c * c * (u * u * u) + c
 
 
-def score_functions(functions: DataFrame, lines: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+def score_functions(functions: DataFrame, lines: DataFrame | None = None, files: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Functions with coverage and crap; without lines coverage is 0 for all."""
-    covered = functions.withColumn("coverage", F.lit(0.0)) if lines is None else span_coverage(functions, lines, files)
+    covered = functions.withColumn("coverage", F.lit(0.0)) if lines is None else span_coverage(functions, lines, files, tasks)
     return covered.withColumn("crap", crap(F.col("cyclomatic"), F.col("coverage")))
 
 
+def by_risk(scores: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Scores from the highest crap on, then by path and function; tasks: how many sort them, null for the session's number."""
+    order = [F.desc("crap"), path_parts("file"), F.col("function")]
+    return scores.repartitionByRange(tasks, *order).sortWithinPartitions(*order) if tasks else scores.orderBy(*order)
+
+
 def path_parts(path: str | Column) -> Column:
     """Components of a path, without empty ones and single dots; paths sort by them."""
     return F.filter(F.split(F.regexp_replace(path, r"\\", "/"), "/"), lambda x: (x != "") & (x != "."))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mutalake.functions.catalog import OPERATORS
+from mutalake.functions.session import dealt, tasks_for
 
 _NAMES = [name for name, *_ in OPERATORS]
 
@@ -23,10 +24,15 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def item_tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """Tasks for rows of line items and orders; see tasks_for."""
+    return tasks_for(load(spark, sf_dir, "lineitem"))
+
+
+def functions(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """An order is a function of its customer's file; ten lines from ten times its key; its items are its branches."""
-    n = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    o = load(spark, sf_dir, "orders")
+    n = dealt(load(spark, sf_dir, "lineitem").select("l_orderkey"), tasks, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    o = dealt(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), tasks, "o_orderkey")
     return o.join(n, o.o_orderkey == n.l_orderkey, "left").select(
         F.col("o_custkey").cast("string").alias("file"), F.col("o_orderkey").alias("function"), (F.col("o_orderkey") * 10).alias("start_line"), (F.col("o_orderkey") * 10 + 9).alias("end_line"),
         (1 + F.coalesce("n", F.lit(0))).alias("cyclomatic"), F.col("o_orderkey").alias("scan_seq"))
@@ -36,9 +42,9 @@ FUNCTIONS_SQL = """functions AS (
   SELECT CAST(o_custkey AS VARCHAR) AS file, o_orderkey AS function, o_orderkey * 10 AS start_line, o_orderkey * 10 + 9 AS end_line, 1 + (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS cyclomatic, o_orderkey AS scan_seq FROM orders)"""
 
 
-def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_lines(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """(file, line, hits, seq) with repeated lines; returned items were never hit."""
-    o, i = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), load(spark, sf_dir, "lineitem")
+    o, i = dealt(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), tasks, "o_orderkey"), dealt(load(spark, sf_dir, "lineitem"), tasks, "l_orderkey")
     hits = F.when(F.col("l_returnflag") == "R", F.lit(0)).otherwise(F.col("l_quantity").cast("long")).cast("long")
     seq = F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_quantity", "l_returnflag")
     return i.join(o, i.l_orderkey == o.o_orderkey).select(F.col("o_custkey").cast("string").alias("file"), (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("line"), hits.alias("hits"), seq.alias("seq"))

@@ -41,24 +41,24 @@ crap AS (
 _CRAP = f"WITH {A.FUNCTIONS_SQL}, {A.LINES_SQL}, {_MERGED}, {_COVERED}"
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score_functions(A.functions(spark, sf_dir), scoring.merge_hits(A.raw_lines(spark, sf_dir)))
-
-
 @query(f"{_CRAP} SELECT file, function, cyclomatic, coverage, crap FROM crap")
 def crap_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).select("file", "function", "cyclomatic", "coverage", "crap").orderBy(F.desc("crap"), scoring.path_parts("file"), "function")
+    tasks = A.item_tasks(spark, sf_dir)
+    lines = scoring.merge_hits(A.raw_lines(spark, sf_dir, tasks), tasks=tasks)
+    scores = scoring.score_functions(A.functions(spark, sf_dir, tasks), lines, tasks=tasks)
+    return scoring.by_risk(scores.select("file", "function", "cyclomatic", "coverage", "crap"), tasks)
 
 
 @query(f"WITH {A.FUNCTIONS_SQL} SELECT file, function, CAST(0 AS DOUBLE) AS coverage, CAST(cyclomatic * cyclomatic + cyclomatic AS DOUBLE) AS crap FROM functions")
 def crap_without_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score_functions(A.functions(spark, sf_dir)).select("file", "function", "coverage", "crap")
+    return scoring.score_functions(A.functions(spark, sf_dir, A.item_tasks(spark, sf_dir))).select("file", "function", "coverage", "crap")
 
 
 for _how, _sql in (("sum", "CAST(sum(hits) AS BIGINT)"), ("max", "max(hits)"), ("last", "arg_max(hits, seq)")):
 
     def _merge(spark: SparkSession, sf_dir: str, how: str = _how) -> DataFrame:
-        return scoring.merge_hits(A.raw_lines(spark, sf_dir), how)
+        tasks = A.item_tasks(spark, sf_dir)
+        return scoring.merge_hits(A.raw_lines(spark, sf_dir, tasks), how, tasks)
 
     QUERIES[f"coverage_merge_{_how}"] = _merge
     ORACLES[f"coverage_merge_{_how}"] = f"WITH {A.LINES_SQL} SELECT file, line, {_sql} AS hits FROM raw_lines GROUP BY file, line"

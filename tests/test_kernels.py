@@ -1,5 +1,7 @@
 """Small cases of the kernels: formulas, edges, ties and empty tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,3 +166,22 @@ def test_sources(spark, tmp_path):
 def test_context(spark):
     row = spark.createDataFrame([("a\nb\nc\n", 3)], "t string, l int").select(reports.context(F.col("t"), F.col("l"), 1).alias("x"), reports.context(F.col("t"), F.col("l"), 0).alias("z")).first()
     assert (row.x.start_line, row.x.end_line, row.x.snippet) == (2, 3, "     2 | b\n>    3 | c\n") and row.z is None
+
+
+def test_score_tasks_grow_with_rows(spark, monkeypatch):
+    """Every shuffle of the scores has as many tasks as their rows need; rows and their order stay."""
+    from conftest import SF
+
+    from mutalake.functions import session
+    from mutalake.plans import registry
+
+    names = ("crap_score", "crap_without_coverage", "coverage_merge_sum", "coverage_merge_last")
+    shuffles = lambda df: {int(n) for n in re.findall(r"Exchange (?:hash|range)partitioning\(.*, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())}
+    before = {name: registry.QUERIES[name](spark, SF) for name in names}
+    assert all(shuffles(df) == {4} for df in before.values())
+    monkeypatch.setattr(session, "ROWS", 1_000)
+    tasks = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 1_000)
+    for name in names:
+        df = registry.QUERIES[name](spark, SF)
+        assert tasks > 4 and shuffles(df) == {tasks}
+        assert df.collect() == before[name].collect() if name == "crap_score" else sorted(df.collect()) == sorted(before[name].collect())
