@@ -452,3 +452,69 @@ def test_pipeline(spark, tmp_path):
             assert after.count() <= docs.count()
         docs = after
     assert {r.doc_id for r in docs.select("doc_id").collect()} == {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()}
+
+
+def test_rounds_take_edges_among_centres_alone(spark, monkeypatch):
+    """Many whole stars and a few that touch: no round sees the leaves."""
+    from mutalake.llm import components
+
+    sizes = []
+    star = components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: sizes.append(edges.count()) or star(edges))
+    # 200 stars of 10 leaves, in one task each; a chain of ties joins the first 20 by leaves and centres that they share.
+    stars = spark.range(0, 2000, 1, 7).selectExpr("1000 + id AS u", "id % 200 AS v")
+    ties = spark.range(0, 19, 1, 19).selectExpr("CASE WHEN id % 2 = 0 THEN 1000 + id ELSE id + 1 END AS u", "CASE WHEN id % 2 = 0 THEN id + 1 ELSE id END AS v")
+    found = {r.node: r.root for r in connected_components(stars.union(ties)).collect()}
+    root = lambda k: 0 if k < 20 else k
+    assert found == {k: root(k) for k in range(200)} | {1000 + k: root(k % 200) for k in range(2000)}
+    assert sizes and max(sizes) <= 40
+
+
+def test_small_groups_need_few_comparisons(monkeypatch):
+    """Near copies are joined by their group's first set; odd groups have the components of all their links."""
+    rng = np.random.default_rng(4)
+
+    def group(at, size, changed):
+        base, sets = rng.permutation(60)[:46], []
+        for k in range(size):
+            x = base.copy()
+            x[rng.choice(len(x), int(rng.integers(0, changed)), replace=False)] = 60 + k
+            sets.append(np.unique(x).astype(np.uint64) + np.uint64(1000 * at))
+            base = x if rng.random() < 0.3 else base
+        return sets
+
+    listed = []
+    links_of = simjoin._links_of
+    monkeypatch.setattr(simjoin, "_links_of", lambda left, *more: listed.append(len(left)) or links_of(left, *more))
+    near = [[group(g, 40, 2)[0]] * 40 for g in range(5)]
+    starts = np.repeat(np.arange(5) * 40, 40)
+    assert np.array_equal(simjoin.components_of_groups([x for g in near for x in g], starts, 80), starts) and not listed
+    for trial in range(60):
+        sizes = rng.integers(2, 30, 8)
+        sets = [x for g, m in enumerate(sizes.tolist()) for x in group(g, m, 9)]
+        starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        want = simjoin._Union(len(sets))
+        for a, b in simjoin._links(sets, sets, 80):
+            want.join(a, b)
+        assert np.array_equal(simjoin.components_of_groups(sets, starts, 80), want.roots())
+    assert listed
+
+
+def test_small_groups_of_a_task(monkeypatch):
+    """The verifying task lists no postings for groups of near copies."""
+    monkeypatch.setattr(simjoin, "_links", lambda *args: pytest.fail("every pair was listed"))
+    sets = [[*range(100 * g, 100 * g + 45), 100 * g + 50 + k] for g in range(6) for k in range(30)]
+    rows = pa.RecordBatch.from_pydict({"task": pa.array(np.repeat(np.arange(6), 30)), "node": pa.array(np.arange(180)), "side": pa.array([1] * 180, pa.int32()), "items": pa.array(sets, pa.list_(pa.int64()))})
+    links = [(u, v) for b in simjoin._verify(80)(iter([rows])) for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist())]
+    assert sorted(links) == [(k, k - k % 30) for k in range(180) if k % 30]
+
+
+def test_binary_signatures():
+    """32-bit values count by their places; slices of a column and empty ones are read right."""
+    rows = pa.array([np.array(x, dtype=np.uint32).tobytes() for x in ([7, 7, 9], [7, 8, 9], [], [7])], pa.binary())
+    flat, counts = simjoin._signatures(rows)
+    assert counts.tolist() == [3, 3, 0, 1] and len(set(flat.tolist())) == 4
+    assert flat[0] == flat[3] == flat[6] != flat[1] and flat[2] == flat[5]
+    part, counts = simjoin._signatures(rows.slice(1, 3))
+    assert part.tolist() == flat[3:].tolist() and counts.tolist() == [3, 0, 1]
+    assert not len(simjoin._signatures(rows.slice(0, 0))[0])
