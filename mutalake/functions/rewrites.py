@@ -107,21 +107,37 @@ def rewrite_text(operator: str, text: Column, language: str | None = None) -> Co
     return scanned(text)
 
 
+def _scanned(operator: Column, text: Column) -> Column:
+    """The replacement of a scanner operator's text, null for null: one call for all scanners, and a filter of its result doesn't call it again."""
+    @F.pandas_udf("string")
+    def scan(operators: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([SCANNERS[o](x) if isinstance(x, str) else None for o, x in zip(operators, texts, strict=True)], dtype=object)
+
+    return scan.asNondeterministic()(operator, text)
+
+
 def rewrite_targets(targets: DataFrame, operators: list[str] | None = None) -> DataFrame:
     """targets(implementation, original, …) with replacement; targets without one are dropped.
 
     operators: those that occur, so that other rewrites stay out of the plan; null for all.
     """
     spark = targets.sparkSession
-    operator, language = F.substring_index("implementation", ".", -1), F.substring_index("implementation", ".", 1)
     out = targets.join(F.broadcast(swap_map(spark).withColumnRenamed("replacement", "swapped_")), ["implementation", "original"], "left")  # a fixed table
-    value = F.col("swapped_")
-    for name, *_ in OPERATORS:
-        if kind_of(name) == "swap" or operators is not None and name not in operators:
-            continue
-        if f"rust.{name}" in EXPRESSIONS:
-            value = F.when((operator == name) & (language == "rust"), rewrite_text(name, F.col("original"), "rust")).otherwise(value)
-            value = F.when((operator == name) & (language != "rust"), rewrite_text(name, F.col("original"))).otherwise(value)
-        else:
-            value = F.when(operator == name, rewrite_text(name, F.col("original"))).otherwise(value)
-    return out.withColumn("replacement", value).drop("swapped_").where("replacement is not null")
+    out = out.withColumn("operator_", F.substring_index("implementation", ".", -1))
+    names = [name for name, *_ in OPERATORS if kind_of(name) != "swap" and (operators is None or name in operators)]
+    operator, language = F.col("operator_"), F.substring_index("implementation", ".", 1)
+    scanners = [name for name in names if kind_of(name) == "scanner"]
+    out = out.withColumn("scanned_", _scanned(operator, F.when(operator.isin(*scanners), F.col("original")))) if scanners else out
+    def other(text: Column) -> Column:
+        value = F.lit(None).cast("string")
+        for name in names:
+            if name in scanners:
+                continue
+            value = F.when(operator == name, rewrite_text(name, text)).otherwise(value)
+            if f"rust.{name}" in EXPRESSIONS:
+                value = F.when((operator == name) & (language == "rust"), rewrite_text(name, text, "rust")).otherwise(value)
+        return value
+
+    # Swaps are operators of their own. The rest stands in a lambda: code generated for so many branches is more than the JVM compiles, and all rows would pay.
+    value = F.coalesce("swapped_", *(["scanned_"] if scanners else []), F.transform(F.array("original"), other)[0])
+    return out.withColumn("replacement", value).drop("swapped_", "operator_", "scanned_").where("replacement is not null")

@@ -17,6 +17,7 @@ from pyspark.sql.types import _parse_datatype_string
 from mutalake.functions.catalog import implementation_catalog, operator_catalog
 from mutalake.functions.patterns import Pattern, pattern_catalog
 from mutalake.functions.rewrites import rewrite_targets
+from mutalake.operators.definitions import Definitions
 from mutalake.operators.edits import dedupe_overlapping, widen_deletions
 from mutalake.operators.scoring import path_parts
 from mutalake.syntax.automaton import Automaton
@@ -119,6 +120,11 @@ def parsed_text(language: str, text: str, automaton: Automaton | None) -> tuple[
     the decisions inside, those of nested functions left aside. A site counts for the outermost function
     that holds its whole match, and has no function where none does.
     """
+    return _parsed(language, text, automaton)[:2]
+
+
+def _parsed(language: str, text: str, automaton: Automaton | None) -> tuple[list[tuple], list[tuple], list[Node]]:
+    """parsed_text, and the nodes in order."""
     rows = Rows("", language, text, tree(language, text))
     order = in_order(rows.root)
     if automaton is not None:
@@ -145,7 +151,7 @@ def parsed_text(language: str, text: str, automaton: Automaton | None) -> tuple[
     if functions:
         own = own_points(np.array([f[3] for f in functions]), np.array([f[4] for f in functions]), np.array(points, dtype=np.int64))
         functions = [(*f, 1 + int(n)) for f, n in zip(functions, own, strict=True)]
-    return functions, sites
+    return functions, sites, order
 
 
 def _automata(catalog: dict[str, list[Pattern]]) -> dict[str, Automaton]:
@@ -169,18 +175,20 @@ def parse_sources(sources: DataFrame, catalog: dict[str, list[Pattern]] | None =
 
     catalog: the patterns to look for, null for none. Null texts and languages without a parser have no
     row; others have one, with empty lists where nothing is found. Odd syntax gives an odd tree, never
-    an error. Repeated files give repeated rows. A task parses copies of a short text once, if not too many others lie between.
+    an error. Repeated files give repeated rows. A task parses copies of a short text once, if not too many others lie between,
+    and equal lines of plain definitions once; see definitions.
     """
     names = f"file string, language string, {PARSED}"
     schema = to_arrow_schema(_parse_datatype_string(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automata(catalog or {})
+        plain = Definitions(lambda language, text: _parsed(language, text, automata.get(language)), automata)
 
         def parsed(language: str, text: str) -> tuple[list[tuple], list[tuple]]:
             gc.disable()  # a tree has no cycles, but so many objects that looking for them takes a quarter of the time
             try:
-                return parsed_text(language, text, automata.get(language))
+                return plain.parsed(language, text) or parsed_text(language, text, automata.get(language))
             finally:
                 gc.enable()
 
@@ -227,8 +235,13 @@ def _sites(parsed: DataFrame) -> DataFrame:
 
 
 def discover(sources: DataFrame, catalog: dict[str, list[Pattern]] | None = None, operators: DataFrame | None = None, overrides: dict[str, bool] | None = None) -> DataFrame:
-    """candidates_of sources (file, language, text), with the patterns of a catalog, null for all of the library's."""
-    return candidates_of(parse_sources(sources, pattern_catalog() if catalog is None else catalog), operators, overrides)
+    """candidates_of sources (file, language, text), with the patterns of a catalog, null for all of the library's.
+
+    A language without patterns has no candidates, so its texts aren't parsed.
+    """
+    patterns = pattern_catalog() if catalog is None else catalog
+    sought = sources.where(F.col("language").isin(*sorted({name.split(".")[0] for name in patterns})))
+    return candidates_of(parse_sources(sought, patterns), operators, overrides)
 
 
 def candidates_of(parsed: DataFrame, operators: DataFrame | None = None, overrides: dict[str, bool] | None = None) -> DataFrame:

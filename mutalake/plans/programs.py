@@ -35,18 +35,20 @@ def program_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, language, text), a file a customer with orders."""
     pick = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, name in enumerate(_LANGUAGES) for x in (k, FORMS[name][i]))), (F.col("o_custkey") % len(_LANGUAGES)).cast("int"))
     o, i = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), load(spark, sf_dir, "lineitem")
-    flag = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
-    items = i.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(flag)).alias("items"))  # of one order
-    line = lambda x: F.when(x["l_returnflag"] == "A", F.col("a")).when(x["l_returnflag"] == "N", F.col("n")).otherwise(F.col("r"))
-    named = o.join(items, o.o_orderkey == items.l_orderkey, "left").withColumns({"a": pick(4), "n": pick(5), "r": pick(6)})
-    body = F.transform(F.coalesce("items", F.array().cast("array<struct<l_linenumber: int, l_partkey: bigint, l_suppkey: bigint, l_returnflag: string>>")), line)
-    head = F.replace(pick(2), F.lit("{}"), F.col("o_orderkey").cast("string"))
-    block = F.concat(F.array(head, pick(3)), body, F.array(pick(7)))
-    per_file = named.select("o_custkey", "o_orderkey", block.alias("block")).groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "block"))).alias("blocks"))  # of one customer
-    lines = F.concat(F.array(pick(1)), F.flatten(F.col("blocks.block")), F.array(pick(8)))
+    flag = F.when(F.col("l_returnflag") == "A", "\1").when(F.col("l_returnflag") == "N", "\2").otherwise("\3")  # signs that no form holds
+    items = i.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", flag.alias("sign")))).alias("items"))  # of one order
+    items = items.select("l_orderkey", F.array_join("items.sign", "").alias("signs"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number of our own, else small texts meet in few tasks, and parsing is what takes time
+    named = o.join(items, o.o_orderkey == items.l_orderkey, "left").select("o_custkey", "o_orderkey", F.coalesce("signs", F.lit("")).alias("body")).repartition(tasks, "o_custkey")
+    per_file = named.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "body"))).alias("orders"))  # of one customer
+    end = F.lit("\n")
+    head, opening, last = (F.concat(pick(n), end) for n in (2, 3, 7))
+    block = lambda x: F.concat(F.replace(head, F.lit("{}"), x["o_orderkey"].cast("string")), opening, x["body"], last)
+    text = F.array_join(F.transform("orders", block), "")
+    for n, sign in ((4, "\1"), (5, "\2"), (6, "\3")):
+        text = F.replace(text, F.lit(sign), F.concat(pick(n), end))
     language = F.element_at(F.array(*map(F.lit, _LANGUAGES)), (F.col("o_custkey") % len(_LANGUAGES) + 1).cast("int"))
-    made = per_file.select(F.concat(F.lit("src/c"), "o_custkey", F.lit("."), pick(0)).alias("file"), language.alias("language"), F.array_join(lines, "\n").alias("text"))
-    return made.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")  # else small texts meet in few tasks, and parsing is what takes time
+    return per_file.select(F.concat(F.lit("src/c"), "o_custkey", F.lit("."), pick(0)).alias("file"), language.alias("language"), F.concat(pick(1), end, text, pick(8)).alias("text"))
 
 
 def _values(rows: list[tuple]) -> str:
